@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once for each context, as spark-submit would with --py-files."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    if getattr(context, "_wireflow_shipped", False):
+        return
+    context._wireflow_shipped = True
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, names in os.walk(os.path.join(top, "wireflow")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(path := os.path.join(folder, name), os.path.relpath(path, top))
+    at = os.path.join(tempfile.mkdtemp(prefix="spark-wf-code-"), "wireflow_code.zip")
+    with open(at, "wb") as f:
+        f.write(packed.getvalue())
+    context.addPyFile(at)  # the driver serves it to the executors
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from wireflow.llm import exact_dedup, host_rules, mixing, sharding, url_filter
+from wireflow.llm import exact_dedup, host_rules, mixing, packing, pii, sharding, url_filter
 
-MODULES = (url_filter, exact_dedup, host_rules, sharding, mixing)
+MODULES = (url_filter, exact_dedup, host_rules, sharding, mixing, packing, pii)
 
 
 def queries() -> dict:
