@@ -72,9 +72,24 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Plans whose rows come in the same partitions and order whenever they run, whatever columns are asked for.
+STEADY = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range"}
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` itself if it only scans, else a staged copy: what a shuffle deals out may come in another order next time."""
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split(" ")[0] not in STEADY:
+            return staged(df, "input")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return df
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows. The scan of the same files gives the same numbers again."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Number the rows. Only a steady input gives the same numbers again, so others are staged first."""
+    return steady(df).withColumn(name, F.monotonically_increasing_id())
 
 
 def key60(*cols) -> F.Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireflow.llm.common import fresh, staged, table, with_row_key
+from wireflow.llm.common import fresh, staged, steady, table, with_row_key
 
 #: A digest is heavy if it has at least this share of the rows; so there are at most 100.
 SUPPORT = 0.01
@@ -44,6 +44,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sup
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with their columns."""
+    docs = steady(docs)
     rid = fresh(docs, "rid")
     kept = exact_dedup(docs, text, doc_id).where("kept").select(F.col("rid").alias(rid))
     return with_row_key(docs, rid).join(kept, rid, "left_semi").drop(rid)

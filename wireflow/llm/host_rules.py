@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireflow.llm.common import SPACE, fresh, staged, table, with_row_key
+from wireflow.llm.common import SPACE, fresh, staged, steady, table, with_row_key
 
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
@@ -84,6 +84,7 @@ def host_rules(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host
 
 def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that :func:`host_rules` keeps, with their columns."""
+    docs = steady(docs)
     rid = fresh(docs, "rid")
     bad = host_rules(docs, text, doc_id, host).where(~F.col("kept")).select(F.col("rid").alias(rid))
     return with_row_key(docs, rid).join(bad, rid, "left_anti").drop(rid)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wireflow.llm.common import WORD, fresh, key60, staged, table, weighted_cuts, with_row_key
+from wireflow.llm.common import WORD, fresh, key60, staged, steady, table, weighted_cuts, with_row_key
 
 WEIGHTS, MOST_COPIES = (5, 2, 1), 3
 
@@ -59,6 +59,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """The rows of ``docs``, each as often as :func:`mix` takes it, with their columns.
 
     Wordless documents count nothing; they come as often as their source's others."""
+    docs = steady(docs)
     rid, n = fresh(docs, "rid"), fresh(docs, "copies")
     taken = mix(docs, text, doc_id, source).where("copies > 0").select(F.col("rid").alias(rid), F.col("copies").alias(n))
     return (with_row_key(docs, rid).join(taken, rid)
