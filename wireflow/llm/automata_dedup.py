@@ -18,7 +18,7 @@ from wireflow.llm.repeats import Unit, merged, repeated_spans
 LENGTH, K = 35, 12
 
 
-def locate(passages: list[bytes], keys: np.ndarray, unit: Unit) -> list[list[tuple[int, int]]]:
+def locate(passages: list[bytes], unit: Unit) -> list[list[tuple[int, int]]]:
     """The spans of each passage that repeated windows cover.
 
     Windows are confirmed by counting them, word for word. A run of repeated windows is covered

@@ -22,20 +22,22 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Positions in order of the first ``depth`` symbols at least (prefix doubling); symbols past the end are 0."""
     n = len(symbols)
     key = np.zeros(n, np.int64)
-    padded = np.concatenate([symbols, np.zeros(PACK, np.int64)])
+    padded = np.concatenate([symbols, np.zeros(PACK, symbols.dtype)])
     for i in range(PACK):
-        key = (key << 9) | padded[i : i + n]
+        key <<= 9
+        key |= padded[i : i + n]
     done = PACK
     while True:
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]]))
-        if done >= depth or rank[order[-1]] == n:
+        new = np.ones(n, bool)
+        key = key[order]
+        new[1:] = key[1:] != key[:-1]
+        if done >= depth or new.all():
             return order
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - done)] = rank[done:]
-        key = rank * (n + 1) + after
+        key[order] = np.cumsum(new)
+        after = key[done:].copy()
+        key *= n + 1
+        key[: len(after)] += after
         done *= 2
 
 
@@ -73,13 +75,13 @@ def alike(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(cut)
 
 
-def repeated(passages: list[bytes], keys: np.ndarray, unit: Unit) -> list[list[tuple[int, int]]]:
+def repeated(passages: list[bytes], unit: Unit) -> list[list[tuple[int, int]]]:
     """The spans of each passage that windows occurring again, in it or another, cover."""
-    parts = [np.zeros(1, np.int64)]
+    parts = [np.zeros(1, np.int16)]
     starts, at = [], 1
     for p in passages:
         starts.append(at)
-        parts += [np.frombuffer(p, np.uint8).astype(np.int64) + 1, np.zeros(1, np.int64)]
+        parts += [np.frombuffer(p, np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)]
         at += len(p) + 1
     symbols = np.concatenate(parts)
     order = suffix_order(symbols, unit.length)

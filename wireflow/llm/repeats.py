@@ -6,11 +6,11 @@ equal anchors; consecutive windows with one anchor make a group, about two for e
 ``length - k`` tokens. Only groups whose anchor recurs can hold a repeated window:
 
 1. all texts are hashed into groups (no text is shuffled);
-2. anchors are counted; if all groups of a recurring anchor are the same passage, each of
-   their windows recurs, and that is settled;
-3. the other groups' passages are cut from their texts and dealt by anchor; an anchor with
-   many passages is split again and again by the text that half of its windows share, so no
-   task gets an unbounded group;
+2. anchors are counted, and the passages of recurring ones; each window of a passage that
+   occurs twice recurs, and that is settled;
+3. one copy of each different passage is cut from its text and dealt by anchor; an anchor
+   with too many passages is split again and again by the text that half of its windows
+   share, so no task gets an unbounded group;
 4. a solver (an automaton, a Burrows-Wheeler transform) finds the repeated windows of each
    anchor among its passages, token by token.
 """
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from wireflow.llm.common import ship_code, staged
 
-#: An anchor with more passages than this is split; so a solver never holds more of one anchor.
-MOST_PASSAGES = 4096
+#: An anchor with more different passages than this is split; so a solver never holds more of one anchor.
+MOST_PASSAGES = 1 << 15
 #: Bytes of text hashed at a time, bytes of passages solved at a time, and tokens of a long text taken at a time.
 HASH_BYTES, SOLVE_BYTES, STRETCH = 1 << 20, 1 << 20, 1 << 20
 POSITION_BITS = np.uint64(24)
@@ -224,24 +224,15 @@ def halving(unit: Unit) -> Callable:
     return run
 
 
-Solver = Callable[[list[bytes], np.ndarray, Unit], list[list[tuple[int, int]]]]
+Solver = Callable[[list[bytes], Unit], list[list[tuple[int, int]]]]
 
 
 def solving(unit: Unit, solver: Solver) -> Callable:
-    """Solve whole keys, several at a time. Equal passages are solved once; all their windows recur."""
+    """Solve whole keys, several at a time; equal windows have equal keys."""
 
     def solve(rows: list[tuple]) -> pd.DataFrame:
-        places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        for key, rid, i0, passage in rows:
-            places.setdefault((key, passage), []).append((rid, i0))
-        passages = [p for _, p in places]
-        keys = np.array([k for k, _ in places], np.int64)
-        found = solver(passages, keys, unit)
-        out = []
-        for (where, passage), spans in zip(((v, k[1]) for k, v in places.items()), found, strict=True):
-            if len(where) > 1:
-                spans = [(0, len(unit.split(passage)))]
-            out += [(rid, i0 + a, i0 + b) for rid, i0 in where for a, b in spans]
+        found = solver([r[3] for r in rows], unit)
+        out = [(rid, i0 + a, i0 + b) for (_, rid, i0, _), spans in zip(rows, found, strict=True) for a, b in spans]
         return pd.DataFrame(out, columns=["rid", "first", "upto"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,28 +262,39 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
+def settled(rows: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose passage occurs again under the same key, one row of each different passage of the keys that have several).
+
+    All windows of the former recur; copies are summed where they are read, so a hot passage is one row for a task."""
+    others = [c for c in rows.columns if c not in (key, "s")]
+    unlike = staged(rows.groupBy(key, "s").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*others)).alias("one")), f"{label}-unlike")
+    again = rows.join(unlike.where("copies > 1").select(key, "s"), [key, "s"], "left_semi")
+    several = unlike.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(key)
+    return again, unlike.join(several, key, "left_semi").select(key, "s", "one.*")
+
+
 def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, most_passages: int = MOST_PASSAGES) -> DataFrame:
     """(rid, first, upto): token spans of docs (rid, text) that windows occurring elsewhere cover; spans may overlap."""
     ship_code(docs.sparkSession)
     found = staged(docs.select("rid", "text").mapInArrow(hashing(unit), GROUPS), "groups")
     anchors = found.groupBy("a").agg(F.count(F.lit(1)).alias("k"), (F.min("s") != F.max("s")).alias("unlike")).where("k > 1").select("a", "unlike")
     recurring = staged(found.join(anchors, "a"), "recurring")
-    spans = recurring.where(~F.col("unlike")).select("rid", F.col("i0").alias("first"), (F.col("i0") + F.col("n") - 1 + unit.length).alias("upto"))
-    wanted = recurring.where("unlike").groupBy("rid").agg(F.collect_list(F.struct("a", "s", "i0", "n", "am")).alias("wanted"))
+    again, ones = settled(recurring.where("unlike").drop("unlike"), "a", "anchors")
+    span = [F.col("rid"), F.col("i0").alias("first"), (F.col("i0") + F.col("n") - 1 + unit.length).alias("upto")]
+    spans = recurring.where(~F.col("unlike")).select(*span).unionByName(again.select(*span))
+    wanted = ones.groupBy("rid").agg(F.collect_list(F.struct("a", "s", "i0", "n", "am")).alias("wanted"))
     passages = staged(docs.select("rid", "text").join(wanted, "rid").mapInPandas(cutting(unit), PASSAGES), "passages")
     ready, turn = [], 0
     while True:
-        counts = passages.groupBy("key").agg(F.count(F.lit(1)).alias("k"), (F.min("s") != F.max("s")).alias("unlike"))
-        large = staged(counts.where(F.col("k") > most_passages), f"large{turn}")
+        large = staged(passages.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most_passages).select("key"), f"large{turn}")
         if large.isEmpty():
             ready.append(passages)
             break
-        # a hot key without unlike passages is settled; one with them is split
         ready.append(passages.join(large, "key", "left_anti"))
-        hot = staged(passages.join(large, "key"), f"hot{turn}")
-        spans = spans.unionByName(hot.where(~F.col("unlike")).select(
-            "rid", F.col("i0").alias("first"), (F.col("i0") + _windows(unit) - 1 + unit.length).alias("upto")))
-        passages = staged(hot.where("unlike").select(*passages.columns).mapInPandas(halving(unit), PASSAGES), f"halves{turn}")
+        halves = staged(passages.join(large, "key", "left_semi").mapInPandas(halving(unit), PASSAGES), f"halves{turn}")
+        again, ones = settled(halves, "key", f"halves{turn}")
+        spans = spans.unionByName(again.select("rid", F.col("i0").alias("first"), (F.col("i0") + _tokens(unit)).alias("upto")))
+        passages = staged(ones.select(*halves.columns), f"passages{turn}")
         turn += 1
     every = ready[0]
     for r in ready[1:]:
@@ -301,7 +303,6 @@ def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, most_passages: i
     return spans.unionByName(dealt.mapInPandas(solving(unit, solver), SPANS))
 
 
-def _windows(unit: Unit):
-    """Windows of a passage column."""
-    tokens = F.size(F.split(F.col("passage").cast("string"), " ")) if unit.words else F.octet_length("passage")
-    return tokens - unit.length + 1
+def _tokens(unit: Unit):
+    """Tokens of a passage column."""
+    return F.size(F.split(F.col("passage").cast("string"), " ")) if unit.words else F.octet_length("passage")
