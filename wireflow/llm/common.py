@@ -94,7 +94,7 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
 
 def key60(*cols) -> F.Column:
     """A 60-bit key in [0, 2^60) from the md5 of the columns as strings, joined by ':'."""
-    parts = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string") for c in cols]
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
