@@ -15,7 +15,7 @@ from wireflow.operators import decompose, edges, equivalence, gates, layers, wid
 from wireflow.operators import wire_rewrites as rewrites
 from wireflow.plans.build import linked, numbered, qubits, relinked, wires
 from wireflow.schema import CX, GATES, H, T, T_DAG
-from wireflow.sources import adder_text
+from wireflow.sources import adder_text, files
 from wireflow.sources.orders import circuit, events_circuit, table, triples
 
 QUERIES: dict = {}
@@ -337,6 +337,10 @@ query("common_angle", "WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey %
     lambda s, d: rotations(s, d).select("k", common_angle(F.col("angle"), 1e-9).alias("quarter")))
 
 
+_WORD = "CASE type WHEN 8 THEN 'h' WHEN 18 THEN 'cx' WHEN 29 THEN 't' ELSE 'tdg' END"
+query("qasm_lines", OPS + f" SELECT op_id, {_WORD} || ' q[' || q0 || ']' || coalesce(', q[' || q1 || ']', '') || ';' AS line FROM ops")(lambda s, d: files.to_qasm(circuit(s, d)))
+query("qasm_parsed", OPS + " SELECT op_id, type, param, q0, q1 FROM ops")(lambda s, d: (o := files.from_qasm(files.to_qasm(circuit(s, d)))).select("op_id", *big("type"), *real("param"), *flat(o)))
+
 # engine and streaming
 @query("engine_fixpoint")
 def engine_fixpoint(spark, sf_dir):
