@@ -70,4 +70,18 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-SQL = {}
+SQL = {"op9_mix_sources": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, sum(size) AS z, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS p FROM d GROUP BY source),
+w AS (SELECT *, CASE p % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
+r AS (SELECT *, 3 * z / w AS rho, sum(3 * z) OVER f AS capped, sum(w) OVER f AS cw, sum(z) OVER () AS t, sum(w) OVER () AS ws, row_number() OVER f AS i FROM w WINDOW f AS (ORDER BY 3 * z / w, p)),
+l AS (SELECT 0 AS m, any_value(t) / any_value(ws) AS lam, min(rho) AS nxt FROM r UNION ALL SELECT i, (t - capped) / nullif(ws - cw, 0), lead(rho) OVER (ORDER BY i) FROM r),
+b AS (SELECT m, lam FROM l WHERE nxt IS NULL OR lam <= nxt ORDER BY m LIMIT 1),
+g AS (SELECT source, z, CASE WHEN i <= m THEN 3.0 * z ELSE w * lam END AS target FROM r, b),
+q AS (SELECT *, CASE WHEN z > 0 THEN least(floor(target / z), 3) ELSE 0 END AS whole FROM g),
+k AS (SELECT source, key, sum(size) AS bw FROM d GROUP BY 1, 2),
+u AS (SELECT *, sum(bw) OVER (PARTITION BY source ORDER BY key) AS upto FROM k)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(z AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * (whole + CASE WHEN whole < 3 AND (upto <= target - whole * z OR (upto - bw <= target - whole * z AND 2 * (upto - bw) + bw <= 2 * (target - whole * z))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.key = u.key"""}
