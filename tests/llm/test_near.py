@@ -4,9 +4,10 @@ from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
+import pandas as pd
 
 from wireflow.llm.common import table
-from wireflow.llm.near_dedup import FREQUENT, components, near_dedup, op10_near_dedup, samples
+from wireflow.llm.near_dedup import FREQUENT, components, links, near_dedup, op10_near_dedup, samples
 
 
 def classes(texts, size=5, least=0.8):
@@ -115,3 +116,23 @@ def test_odd_tables(spark):
     df = spark.createDataFrame([(None, "a b c d e f", 1), (None, "a b c d e f", 1), (4, "a b c d e f", 2)], "doc_id long, text string, rid int")
     rows = near_dedup(df).collect()
     assert [r.class_id for r in rows] == [4, 4, 4] and sum(r.kept for r in rows) == 1
+
+
+def test_bridge_of_two_closed_clusters(spark):
+    """Two clusters of 110 in the same 12 buckets, joined by one pair alone; neither end of it is like the other cluster."""
+    def jaccard(batches):
+        """Distances of pairs of texts as sets of words."""
+        for b in batches:
+            sets = [(set(p.split()), set(q.split())) for p, q in zip(b["tx"], b["ty"])]
+            yield pd.DataFrame({"x": b["x"], "y": b["y"], "distance": [1 - len(p & q) / len(p | q) for p, q in sets]})
+
+    words = lambda stem, n: [f"{stem}{i}" for i in range(n)]
+    core, left, right = words("c", 100), words("l", 20), words("r", 20)
+    texts = {i: core + left + [f"x{i}"] for i in range(110)} | {i + 200: core + right + [f"y{i}"] for i in range(110)}
+    texts |= {150: core + left[:10], 350: core + right[:10], 400: words("z", 120)}
+    alike = [(i, j) for i in texts for j in texts if i > j and len(set(texts[i]) & set(texts[j])) >= 0.8 * len(set(texts[i]) | set(texts[j]))]
+    assert [(i, j) for i, j in alike if i >= 200 and j < 200] == [(350, 150)]
+    rows = spark.createDataFrame([(i, " ".join(t), [0] * 36) for i, t in texts.items()], "rid long, text string, sketch array<short>")
+    members = spark.createDataFrame([(b, i) for b in range(12) for i in texts], "bucket long, rid long")
+    got = components(links(members, rows.select("rid", "text"), rows.select("rid", "sketch"), jaccard, 0.2 + 1e-9)).collect()
+    assert {r.rid: r.label for r in got} == {i: 0 for i in texts if i != 400}

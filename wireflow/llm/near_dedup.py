@@ -249,11 +249,11 @@ def shingle_weights(d: DataFrame, summary: DataFrame, size: int, frequent: float
 def links(members: DataFrame, texts: DataFrame, sketches: DataFrame, verify: Callable, most: float) -> DataFrame:
     """(x, y): verified links from members (bucket, rid), enough to join all that are similar within a bucket.
 
-    In each bucket the documents that share most buckets with others lead (1, then 8, 64, ... of
-    those still open): the rest is compared with them. A document is closed once its class has
-    a leader of the bucket; a closed one is compared further only if, by the triangle
-    inequality, an open one may be within reach. So no class is lost, and no bucket is expanded
-    into all its pairs.
+    One document of each bucket, the one that shares most buckets with others, leads first; then
+    8, 64, ... lead, those of the smallest classes first. A leader is compared with all members of
+    other classes and leaves the bucket; the bucket ends when its members are of one class. So each
+    pair of a bucket is compared, or of one class when one of them leaves, or out of reach: by
+    the triangle inequality over both distances to the bucket's first leader.
 
     A pair goes to the exact check, which needs both texts, unless its samples agree so seldom
     that a link is as good as excluded: by SLACK less than the similarity asked for (for 36
@@ -261,19 +261,18 @@ def links(members: DataFrame, texts: DataFrame, sketches: DataFrame, verify: Cal
     to SLACK either way, which is how far the triangle inequality trusts it."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
     degree = members.join(sizes, "bucket").groupBy("rid").agg((-F.sum("k")).alias("rank"))
-    now = staged(members.join(degree, "rid").select("bucket", "rid", "rank", F.lit(True).alias("open")), "members")
-    known = led = None
+    now = staged(members.join(degree, "rid").select("bucket", "rid", "rank", F.col("rid").alias("class"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "members")
+    known = None
     turn = 0
-    while True:
-        open_ = now.where("open").select("bucket", F.struct("rank", "rid").alias("own"))
+    while not now.isEmpty():
         if turn == 0:
-            lead = open_.groupBy("bucket").agg(F.min("own").alias("own"))
+            lead = now.groupBy("bucket").agg(F.min(F.struct("rank", "rid", "class", "low", "high")).alias("own")).select("bucket", "own.*")
         else:
-            lead = open_.withColumn("at", F.row_number().over(W.partitionBy("bucket").orderBy("own"))).where(F.col("at") <= 8**turn)
-        lead = staged(lead.select("bucket", F.col("own.rid").alias("y")), f"lead{turn}")
-        if lead.isEmpty():
-            break
-        asked = now.join(lead, "bucket").where("rid <> y").select("bucket", "rid", "rank", "open", "y", F.greatest("rid", "y").alias("a"), F.least("rid", "y").alias("b"))
+            sizes = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("k"))
+            lead = now.join(sizes, ["bucket", "class"]).withColumn("at", F.row_number().over(W.partitionBy("bucket").orderBy("k", "rank", "rid"))).where(F.col("at") <= 8**turn)
+        lead = staged(lead.select("bucket", F.col("rid").alias("y"), F.col("class").alias("yclass"), F.col("low").alias("ylow"), F.col("high").alias("yhigh")), f"lead{turn}")
+        near = (F.col("low") - F.col("yhigh") <= most) & (F.col("ylow") - F.col("high") <= most)
+        asked = now.join(lead, "bucket").where((F.col("class") != F.col("yclass")) & near).select("bucket", "rid", F.greatest("rid", "y").alias("a"), F.least("rid", "y").alias("b"))
         pairs = asked.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
         new = staged(pairs if known is None else pairs.join(known, ["x", "y"], "left_anti"), f"pairs{turn}")
         rough = new.join(sketches.select(F.col("rid").alias("x"), F.col("sketch").alias("sx")), "x").join(sketches.select(F.col("rid").alias("y"), F.col("sketch").alias("sy")), "y")
@@ -284,17 +283,15 @@ def links(members: DataFrame, texts: DataFrame, sketches: DataFrame, verify: Cal
         far_off = rough.where(F.col("about") > most + SLACK).select("x", "y", F.greatest(F.col("about") - SLACK, F.lit(most + 1e-9)).alias("low"), F.least(F.col("about") + SLACK, F.lit(1.0)).alias("high"))
         checked = staged(exact.unionByName(far_off), f"checked{turn}")
         known = checked if known is None else known.unionByName(checked)
-        near = asked.join(known.select(F.col("x").alias("a"), F.col("y").alias("b"), "low", "high"), ["a", "b"]).groupBy("bucket", "rid").agg(
-            F.first("rank").alias("rank"), F.max("open").alias("open"), F.min("low").alias("d"), F.max("high").alias("far"))
         label = components(known.where(F.col("high") <= most)).select(F.col("rid").alias("lrid"), "label")
-        led = lead if led is None else led.unionByName(lead)
-        headed = led.join(label, F.col("y") == F.col("lrid"), "left").select("bucket", F.coalesce("label", "y").alias("class")).distinct().withColumn("closed", F.lit(True))
-        rest = near.join(lead.select("bucket", F.col("y").alias("rid")), ["bucket", "rid"], "left_anti")
-        rest = rest.join(label, F.col("rid") == F.col("lrid"), "left").withColumn("class", F.coalesce("label", "rid")).join(headed, ["bucket", "class"], "left")
-        rest = staged(rest.select("bucket", "rid", "rank", (F.col("open") & F.col("closed").isNull()).alias("open"), "d", "far"), f"rest{turn}")
-        # the nearest that an open document is to any leader bounds what a closed one can still reach
-        reach = rest.where("open").groupBy("bucket").agg(F.min("d").alias("least"))
-        now = staged(rest.join(reach, "bucket").where(F.col("open") | (F.col("far") >= F.col("least") - most)).select("bucket", "rid", "rank", "open"), f"members{turn}")
+        rest = now.join(lead.select("bucket", F.col("y").alias("rid")), ["bucket", "rid"], "left_anti")
+        if turn == 0:
+            first = asked.join(known.select(F.col("x").alias("a"), F.col("y").alias("b"), "low", "high"), ["a", "b"]).select("bucket", "rid", "low", "high")
+            rest = rest.drop("low", "high").join(first, ["bucket", "rid"])
+        rest = rest.join(label, F.col("rid") == F.col("lrid"), "left").withColumn("class", F.coalesce("label", "rid"))
+        rest = staged(rest.select("bucket", "rid", "rank", "class", "low", "high"), f"rest{turn}")
+        mixed_ = rest.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("greatest")).where("least <> greatest").select("bucket")
+        now = staged(rest.join(mixed_, "bucket", "left_semi"), f"members{turn}")
         turn += 1
     if known is None:
         return members.sparkSession.createDataFrame([], "x long, y long")
