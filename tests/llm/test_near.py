@@ -136,3 +136,35 @@ def test_bridge_of_two_closed_clusters(spark):
     members = spark.createDataFrame([(b, i) for b in range(12) for i in texts], "bucket long, rid long")
     got = components(links(members, rows.select("rid", "text"), rows.select("rid", "sketch"), jaccard, 0.2 + 1e-9)).collect()
     assert {r.rid: r.label for r in got} == {i: 0 for i in texts if i != 400}
+
+
+def test_all_shingles_are_weighed_by_their_counts(spark):
+    """A passage in 1 % of the documents weighs less than what is in one: 0.73 here, but 0.82 if both weigh ln 100."""
+    words = lambda stem, n: [f"{stem}{i}" for i in range(n)]
+    passage = words("p", 184)
+    texts = [passage + words(f"own{i}x", 20) for i in range(20)] + [words("q", 200) + ["a"], words("q", 200) + ["b"]]
+    texts += [[f"f{i}"] for i in range(2000 - len(texts))]
+    bags = [Counter(tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))) for t in texts]
+    df = Counter(s for b in bags for s in b)
+    weight = {s: log(2000 / k) for s, k in df.items()}
+    alike = []
+    for i in range(22):
+        for j in range(i):
+            either = set(bags[i]) | set(bags[j])
+            s = sum(weight[x] for x in set(bags[i]) & set(bags[j])) / sum(weight[x] for x in either)
+            alike += [(j, i)] * (s >= 0.8)
+    assert alike == [(20, 21)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {(r.class_id, r.doc_id) for r in near_dedup(docs).collect() if r.class_id != r.doc_id} == set(alike)
+
+
+def test_brute_force_without_clip(spark, monkeypatch):
+    """A share this small makes ``classes`` weigh every shingle by its count."""
+    monkeypatch.setitem(globals(), "FREQUENT", 1e-12)
+    texts = corpus(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, _ = classes(texts)
+    first = {}
+    for i, c in enumerate(want):
+        first.setdefault(c, i)
+    assert {r.doc_id: r.class_id for r in near_dedup(df, bands=40).collect()} == {i: first[c] for i, c in enumerate(want)}

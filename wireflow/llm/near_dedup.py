@@ -24,11 +24,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 #: How far the share of agreeing samples is trusted: more than three and a half deviations of 36 samples at a half.
 SLACK = 0.3
-#: Shingles in more than this share of the documents weigh less, ln(N / df); all rarer ones weigh ln(1 / FREQUENT).
-#: So only frequent shingles need counts, and there are at most (mean shingles of a document) / FREQUENT of them.
+#: The share of documents from which on weights used to follow the counts; all do now, and only tests/llm/test_near.py reads it.
 FREQUENT = 0.01
-#: Counters of a task's Misra-Gries summary, and hashes gathered between two of its merges.
-COUNTERS, GATHER = 1 << 18, 1 << 19
+#: Documents are dealt in blocks of 2^BLOCK_BITS row numbers, shingles in ranges of about RANGE_SHINGLES: both bound a task's memory.
+BLOCK_BITS, RANGE_SHINGLES = 9, 1 << 21
 #: Bytes of text hashed at a time, and rows of an Arrow batch: both bound a task's memory.
 HASH_BYTES, BATCH_ROWS = 1 << 18, 2000
 SHINGLE_BASE = 0x9FB21C651E98DF25
@@ -66,90 +65,74 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.nd
         at = upto
 
 
-class Frequent:
-    """Misra-Gries summary: counts of hashes, each too low by ``error`` at most."""
+def digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, doc_id, digest, words) of each document."""
+    for batch in batches:
+        digest, words = [], []
+        for _, _, data, starts in slices(batch, 2):
+            raw = data.tobytes()
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                split = raw[a:b].split()
+                digest.append(hashlib.blake2b(b" ".join(split), digest_size=16).hexdigest())
+                words.append(len(split))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.string()), pa.array(words, pa.int64())], names=["rid", "doc_id", "digest", "words"])
 
-    def __init__(self):
-        self.keys, self.counts, self.error = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        self.waiting: list[np.ndarray] = []
-        self.held = 0
 
-    def add(self, hashes: np.ndarray) -> None:
-        self.waiting.append(hashes)
-        self.held += len(hashes)
-        if self.held >= GATHER:
-            self.merge()
-
-    def merge(self) -> None:
-        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.waiting]), return_counts=True)
-        self.waiting, self.held = [], 0
-        both, place = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
-        if len(both) > COUNTERS:
-            self.lower(both, total, int(np.partition(total, -COUNTERS - 1)[-COUNTERS - 1]))
-        else:
-            self.keys, self.counts = both, total
-
-    def lower(self, keys: np.ndarray, counts: np.ndarray, by: int) -> None:
-        kept = counts > by
-        self.keys, self.counts, self.error = keys[kept], counts[kept] - by, self.error + by
+def blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values of the parts of an array between cuts."""
+    raw, width = values.tobytes(), values.itemsize
+    return pa.array([raw[a * width : b * width] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
 
 
-def summarising(size: int, frequent: float) -> Callable:
-    """Rows of two kinds: (rid, doc_id, digest) of each document, and (key, count) of the task's summary; key null: its error."""
+def counting(size: int, ranges: int) -> Callable:
+    """(range, block, keys, n): the shingles of each block's documents in a batch, and in how many of them each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, docs = Frequent(), 0
-        names = ["rid", "doc_id", "digest", "key", "n"]
         for batch in batches:
-            docs += len(batch)
-            digest = []
-            for _, _, data, starts in slices(batch, 2):
-                found.add(counted(*shingle_hashes(data, starts, size))[0])
-                raw = data.tobytes()
-                digest += [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).hexdigest() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-            none = pa.nulls(len(batch), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.string()), none, none], names=names)
-        found.merge()
-        found.lower(found.keys, found.counts, int(frequent * docs / 2))
-        keys = pa.array(np.append(found.keys.view(np.int64), 0), mask=np.append(np.zeros(len(found.keys), bool), True))
-        none = pa.nulls(len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.string()), keys, pa.array(np.append(found.counts, found.error))], names=names)
+            block = batch.column(0).to_numpy() >> BLOCK_BITS
+            hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for at, _, data, starts in slices(batch, 1):
+                h, text, _ = counted(*shingle_hashes(data, starts, size))
+                hashes.append(h)
+                owners.append(block[at + text])
+            h, owner, n = counted(np.concatenate(hashes), np.concatenate(owners))
+            part = (mixed(h) % np.uint64(ranges)).astype(np.int64)
+            order = np.lexsort((part, owner))
+            h, owner, n, part = h[order], owner[order], n[order], part[order]
+            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]))) if len(h) else np.zeros(0, np.int64)
+            cuts = np.append(new, len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(part[new]), pa.array(owner[new]), blobs(h, cuts), blobs(n.astype(np.uint16), cuts)], names=["range", "block", "keys", "n"])
 
     return run
 
 
-def counting(size: int, wanted: np.ndarray) -> Callable:
-    """(key, n): in how many of the task's documents each wanted shingle is."""
+def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for _, _, data, starts in slices(batch, 0):
-                h = counted(*shingle_hashes(data, starts, size))[0]
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                total += np.bincount(at[wanted[at] == h], minlength=len(wanted))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], names=["key", "n"])
 
-    return run
+def adding(group: pa.Table) -> pa.Table:
+    """(block, keys, df): each block's shingles of a range that are in more documents than one, with the number of those."""
+    keys, n = joined(group["keys"], np.uint64), joined(group["n"], np.uint16)
+    _, place = np.unique(keys, return_inverse=True)
+    df = np.bincount(place, n).astype(np.uint32)[place]
+    again = df > 1
+    sizes = np.array([len(k) // 8 for k in group["keys"].to_pylist()])
+    cuts = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes), again, len(sizes)).astype(np.int64)))
+    return pa.table({"block": group["block"], "keys": blobs(keys[again], cuts), "df": blobs(df[again], cuts)})
 
 
-class Weights:
-    """ln(N / df) of frequent shingles, ln(1 / FREQUENT) of all others."""
+def shingle_counts(d: DataFrame, words: int, size: int) -> DataFrame:
+    """(block, keys, df) of all shingles in more documents than one, for each block that has them.
+
+    Blocks are counted apart, the counts added up by range of hashes, and the sums dealt back to
+    the blocks; what does not come back is in one document."""
+    ranges = max(1, -(-words // RANGE_SHINGLES))
+    parts = d.select("rid", "text").mapInArrow(counting(size, ranges), "range long, block long, keys binary, n binary")
+    return parts.groupBy("range").applyInArrow(adding, "block long, keys binary, df binary")
 
-    def __init__(self, keys: np.ndarray, df: np.ndarray, docs: int, frequent: float):
-        order = np.argsort(keys)
-        self.keys, self.rare = keys[order], float(np.log(1 / frequent))
-        self.idf = np.clip(np.log(max(docs, 1) / np.maximum(df[order], 1)), 1e-3, self.rare)
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), self.rare)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
-            out[hit] = self.idf[at[hit]]
-        return out
+
+def idf(docs: int, df: np.ndarray) -> np.ndarray:
+    return np.maximum(np.log(docs / df), 1e-3)
 
 
 def gamma2_quantiles(n: int) -> np.ndarray:
@@ -188,30 +171,51 @@ def samples(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int, k
     return out
 
 
-def banding(size: int, weights: Weights, bands: int, rows: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def banding(size: int, docs: int, bands: int, rows: int) -> Callable:
+    """(rid, bands, sketch, df) of a block's documents; df has the counts of a text's shingles in order of their hashes."""
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        keys, known = joined(counts["keys"], np.uint64), joined(counts["df"], np.uint32)
+        order = np.argsort(keys)
+        keys, known = keys[order], known[order]
+        out = []
+        for batch in texts.select(["rid", "text"]).combine_chunks().to_batches():
             for at, upto, data, starts in slices(batch, 1):
                 h, text, tf = counted(*shingle_hashes(data, starts, size))
-                found = samples(h, text, weights(h) * tf, upto - at, bands * rows).reshape(upto - at, bands, rows)
-                keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (upto - at, bands))
+                df = np.ones(len(h), np.uint32)
+                if len(keys):
+                    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    df = np.where(keys[place] == h, known[place], df)
+                found = samples(h, text, idf(docs, df) * tf, upto - at, bands * rows).reshape(upto - at, bands, rows)
+                key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (upto - at, bands))
                 for j in range(rows):
-                    keys = mixed(keys ^ found[:, :, j]) + np.uint64(j)
-                some = np.flatnonzero(np.bincount(text, minlength=upto - at))
+                    key = mixed(key ^ found[:, :, j]) + np.uint64(j)
+                sizes = np.bincount(text, minlength=upto - at)
+                some = np.flatnonzero(sizes)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, (len(some) + 1) * x.shape[1], x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
                 short = found[some].reshape(len(some), bands * rows).astype(np.uint16).view(np.int16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at).take(pa.array(some)), lists(keys[some].view(np.int64)), lists(short)], names=["rid", "bands", "sketch"])
+                out.append(pa.table([batch.column(0).slice(at, upto - at).take(pa.array(some)), lists(key[some].view(np.int64)), lists(short), blobs(df, np.append(0, np.cumsum(sizes[some])))], names=["rid", "bands", "sketch", "df"]))
+        return pa.concat_tables(out) if out else EMPTY
 
     return run
 
 
-def verifying(size: int, weights: Weights) -> Callable:
-    """(x, y, distance) of pairs with both texts: one less the weighted Jaccard similarity."""
+EMPTY = pa.schema([("rid", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int16())), ("df", pa.binary())]).empty_table()
+
+
+def packed() -> F.Column:
+    """The counts of a text's shingles and the text in one binary value, the length of the counts before them."""
+    return F.concat(F.lpad(F.hex(F.length("df")), 8, "0").cast("binary"), F.col("df"), F.col("text").cast("binary"))
 
-    def bag(text: str):
-        data = np.frombuffer((text or "").encode(), np.uint8)
+
+def verifying(size: int, docs: int) -> Callable:
+    """(x, y, distance) of pairs with both texts (see :func:`packed`): one less the weighted Jaccard similarity."""
+
+    def bag(both: bytes):
+        at = 8 + int(both[:8], 16)
+        data = np.frombuffer(both, np.uint8, offset=at)
         h, _, tf = counted(*shingle_hashes(data, np.array([0, len(data)]), size))
-        return h, weights(h) * tf, tf
+        return h, idf(docs, np.frombuffer(both[8:at], np.uint32)) * tf
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, leader = None, None
@@ -220,7 +224,7 @@ def verifying(size: int, weights: Weights) -> Callable:
             for x, y, tx, ty in zip(batch["x"], batch["y"], batch["tx"], batch["ty"], strict=True):
                 if y != last:
                     last, leader = y, bag(ty)
-                (a, wa, _), (b, wb, _) = bag(tx), leader
+                (a, wa), (b, wb) = bag(tx), leader
                 _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
                 both = np.minimum(wa[i], wb[j]).sum()
                 out.append((x, y, 1 - both / max(wa.sum() + wb.sum() - both, 1e-12)))
@@ -229,23 +233,6 @@ def verifying(size: int, weights: Weights) -> Callable:
     return run
 
 
-def shingle_weights(d: DataFrame, summary: DataFrame, size: int, frequent: float) -> Weights:
-    """Exact document counts of all shingles in at least ``frequent`` of the documents.
-
-    The summaries' counts are too low by their errors at most, so what reaches the threshold
-    less all errors includes every frequent shingle; a second scan counts those."""
-    docs = summary.where("rid is not null").count()
-    error = summary.where("rid is null and key is null").agg(F.sum("n")).first()[0] or 0
-    least = max(frequent * docs - error, frequent * docs / 8, 1)
-    sums = summary.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    wanted = np.sort(np.array([r.key for r in sums.select("key").collect()], np.int64).view(np.uint64))
-    if len(wanted):
-        exact = d.select("text").mapInArrow(counting(size, wanted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > frequent * docs).collect()
-    else:
-        exact = []
-    return Weights(np.array([r.key for r in exact], np.int64).view(np.uint64), np.array([r.n for r in exact], np.int64), docs, frequent)
-
-
 def links(members: DataFrame, texts: DataFrame, sketches: DataFrame, verify: Callable, most: float) -> DataFrame:
     """(x, y): verified links from members (bucket, rid), enough to join all that are similar within a bucket.
 
@@ -315,7 +302,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.drop("old")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, frequent: float = FREQUENT) -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: rid, doc_id, class_id, class_size, kept.
 
     Documents with the same words are one class from the start (so are all without words); a
@@ -325,18 +312,18 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     ship_code(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     d = with_row_key(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "rid")
-    summary = staged(d.select("rid", "doc_id", "text").mapInArrow(summarising(size, frequent), "rid long, doc_id long, digest string, key long, n long"), "summary")
-    weights = shingle_weights(d, summary, size, frequent)
-    rows_ = summary.where("rid is not null").select("rid", "doc_id", "digest")
+    rows_ = staged(d.select("rid", "doc_id", "text").mapInArrow(digesting, "rid long, doc_id long, digest string, words long"), "digests")
+    n, words = rows_.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
     first = staged(rows_.groupBy("digest").agg(F.min("rid").alias("rep")), "first")
-    sketched = staged(d.select("rid", "text").mapInArrow(banding(size, weights, bands, rows), "rid long, bands array<long>, sketch array<short>"), "bands")
+    blocks = d.select("rid", "text", F.shiftright("rid", BLOCK_BITS).alias("block")).groupBy("block").cogroup(shingle_counts(d, words, size).groupBy("block"))
+    sketched = staged(blocks.applyInArrow(banding(size, n, bands, rows), "rid long, bands array<long>, sketch array<short>, df binary"), "bands")
     banded = sketched.join(first.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     members = staged(banded.join(shared, "bucket"), "buckets")
     asked = members.select("rid").distinct()
-    texts = staged(d.select("rid", "text").join(asked, "rid", "left_semi"), "texts")
+    texts = staged(d.select("rid", "text").join(asked, "rid", "left_semi").join(sketched.select("rid", "df"), "rid").select("rid", packed().alias("text")), "texts")
     sketches = staged(sketched.select("rid", "sketch").join(asked, "rid", "left_semi"), "sketches")
-    labels = components(links(members, texts, sketches, verifying(size, weights), 1 - similarity + 1e-9))
+    labels = components(links(members, texts, sketches, verifying(size, n), 1 - similarity + 1e-9))
     classed = staged(rows_.join(first, "digest").join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select(
         "rid", "doc_id", F.coalesce("label", "rep").alias("label")), "classed")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
