@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,14 +22,21 @@ KEY_BITS, STEP_BITS = 60, 12
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) a temporary folder is made."""
+    Where that setting is absent, a temporary folder is made if all runs in one process (tests);
+    on a cluster that would scatter the parts over the executors' disks, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-wf-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+#: With this, Spark drops the shuffle files of a query when the query has ended, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
@@ -36,8 +44,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     that Spark broadcasts the table only if it is below its broadcast threshold."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wf-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that :func:`staged` made, once nothing is to be computed from them."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -72,24 +95,19 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-#: Plans whose rows come in the same partitions and order whenever they run, whatever columns are asked for.
-STEADY = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range"}
-
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """Number the rows and write them with their numbers.
 
-def steady(df: DataFrame) -> DataFrame:
-    """``df`` itself if it only scans, else a staged copy: what a shuffle deals out may come in another order next time."""
-    todo = [df._jdf.queryExecution().analyzed()]
-    while todo:
-        node = todo.pop()
-        if node.nodeName().split(" ")[0] not in STEADY:
-            return staged(df, "input")
-        todo += [node.children().apply(i) for i in range(node.children().size())]
-    return df
+    Numbers computed again could differ (files are split by the cores there are, shuffles deal
+    in any order), so joins on them read the ones that were written."""
+    return staged(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
 
 
-def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows. Only a steady input gives the same numbers again, so others are staged first."""
-    return steady(df).withColumn(name, F.monotonically_increasing_id())
+def numbered(docs: DataFrame, row_key: str | None, *columns) -> DataFrame:
+    """``columns`` of the rows of ``docs`` with their numbers as rid, written: those in ``row_key`` if it is given, else new ones."""
+    if row_key:
+        return staged(docs.select(F.col(row_key).alias("rid"), *columns), "rows")
+    return with_row_key(docs.select(*columns), "rid")
 
 
 def key60(*cols) -> F.Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wireflow.llm.common import SPACE, fresh, staged, steady, table, with_row_key
+from wireflow.llm.common import SPACE, fresh, numbered, staged, table, with_row_key
 
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
@@ -18,18 +18,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 MAX_HOST_RATE, BOUND_SDS = 0.5, 2.0
 
 
-def base_metrics(docs: DataFrame, text: str, doc_id: str, host: str) -> DataFrame:
-    """(rid, doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), t.alias("t")), "rid")
+def base_metrics(docs: DataFrame, text: str, doc_id: str, host: str, row_key: str | None = None) -> DataFrame:
+    """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), and the row key if one is given."""
+    own = [F.col(row_key)] if row_key else []
+    d = docs.select(*own, F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     d = d.select(
-        "rid", "doc_id", "host",
+        *own, "doc_id", "host",
         F.length(F.translate("t", BLANKS, "")).cast("bigint").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         F.filter(F.split("t", "\n"), lambda x: F.translate(x, BLANKS, "") != "").alias("lines"),
         F.array_remove(F.split("t", SPACE), "").alias("words"))
     d = d.select(
-        "rid", "doc_id", "host", "word_chars", "n_symbols",
+        *own, "doc_id", "host", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.size("words").cast("bigint").alias("n_words"),
         # the last fields of a window: its four followers come from element access
@@ -44,7 +44,7 @@ def base_metrics(docs: DataFrame, text: str, doc_id: str, host: str) -> DataFram
     # in order of their starts, each repeated window covers five words less those already covered
     covered = F.expr(
         "aggregate(starts, named_struct('n', 0L, 'upto', 0), (a, s) -> named_struct('n', a.n + 5 - greatest(0, a.upto - s), 'upto', s + 5), a -> a.n)")
-    return d.select("rid", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    return d.select(*own, "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"))
 
 
@@ -71,26 +71,31 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
                               (F.col("host_rate") - BOUND_SDS * F.col("sd") > MAX_HOST_RATE).alias("host_rejected")), "verdicts")
 
 
-def host_rules(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
+def host_rules(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", row_key: str | None = None) -> DataFrame:
     """One row per document with its base metrics, ``base_failed``, its host's figures and ``kept``.
 
-    A null or empty text has no words and so fails; a null host is a host of its own; repeated
-    rows are judged each; an empty table gives no rows; other columns are not read."""
-    judged = staged(base_metrics(docs, text, doc_id, host).withColumn("base_failed", base_failed()), "base")
+    A null or empty text has no words and so fails; a long text is judged whole; a null host is a
+    host of its own; a null doc_id stays null; repeated rows are judged each; an empty table gives
+    no rows; other columns, whatever their names, are not read."""
+    judged = staged(base_metrics(docs, text, doc_id, host, row_key).withColumn("base_failed", base_failed()), "base")
     hosts = host_verdicts(judged).withColumnRenamed("host", "vhost")
     return (judged.join(hosts, F.col("host").eqNullSafe(F.col("vhost")), "left").drop("vhost")
             .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")))
 
 
 def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that :func:`host_rules` keeps, with their columns."""
-    docs = steady(docs)
+    """The rows of ``docs`` that :func:`host_rules` keeps, with their columns, whatever these are called.
+
+    Rows without words (null, empty or blank texts) go; rows are judged each, repeated or tied
+    ones alike; an empty table stays empty."""
     rid = fresh(docs, "rid")
-    bad = host_rules(docs, text, doc_id, host).where(~F.col("kept")).select(F.col("rid").alias(rid))
-    return with_row_key(docs, rid).join(bad, rid, "left_anti").drop(rid)
+    docs = with_row_key(docs, rid)
+    bad = host_rules(docs, text, doc_id, host, rid).where(~F.col("kept")).select(rid)
+    return docs.join(bad, rid, "left_anti").drop(rid)
 
 
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`host_rules` of the whole documents table, the source taken as host."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return host_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

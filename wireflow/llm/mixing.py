@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wireflow.llm.common import WORD, fresh, key60, staged, steady, table, weighted_cuts, with_row_key
+from wireflow.llm.common import WORD, fresh, key60, numbered, staged, table, weighted_cuts, with_row_key
 
 WEIGHTS, MOST_COPIES = (5, 2, 1), 3
 
@@ -33,16 +33,17 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> Dat
         now = staged(now.withColumn("target", F.when(over, F.col("source_size") * float(most)).otherwise(F.col("target"))), "sources")
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS, most: int = MOST_COPIES, row_key: str | None = None) -> DataFrame:
     """One row per document: rid, doc_id, source, size, source_size, target, copies, taken.
 
     Every document of a source is taken ``floor(target / source_size)`` times, and those whose
     hash lies under the source's threshold once more, so that the words taken come as near to
     the target as whole documents allow. The hash is of doc_id and text: reruns agree whatever
     the layout of the files. Rows equal in both go together. A null or wordless text has size
-    0; a null source is a source of its own; an empty table gives no rows."""
-    d = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), F.col(source).cast("string").alias("source")), "rid")
-    sized = staged(d.select("rid", "doc_id", "source", F.coalesce(F.regexp_count("t", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), key60("doc_id", "t").alias("key")), "sized")
+    0; a long text is counted whole; a null source is a source of its own; an empty table gives
+    no rows; other columns, whatever their names, are not read."""
+    sized = numbered(docs, row_key, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
+                     F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), key60(doc_id, text).alias("key"))
     goals = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
                    .withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("bigint"))
                    .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "goals")
@@ -56,17 +57,19 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix` takes it, with their columns.
+    """The rows of ``docs``, each as often as :func:`mix` takes it, with their columns, whatever these are called.
 
-    Wordless documents count nothing; they come as often as their source's others."""
-    docs = steady(docs)
-    rid, n = fresh(docs, "rid"), fresh(docs, "copies")
-    taken = mix(docs, text, doc_id, source).where("copies > 0").select(F.col("rid").alias(rid), F.col("copies").alias(n))
-    return (with_row_key(docs, rid).join(taken, rid)
-            .withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    Wordless documents (null, empty or blank texts) count nothing; they come as often as their
+    source's others. Rows equal in doc_id and text are taken together; an empty table stays empty."""
+    columns, rid, n = docs.columns, fresh(docs, "rid"), fresh(docs, "copies")
+    docs = with_row_key(docs, rid)
+    taken = mix(docs, text, doc_id, source, row_key=rid).where("copies > 0").select(F.col("rid").alias(rid), F.col("copies").alias(n))
+    return (docs.join(taken, rid)
+            .withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in columns]))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`mix` of the whole documents table."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

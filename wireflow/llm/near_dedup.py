@@ -1,36 +1,41 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Each document is a weighted set of word shingles. Consistent weighted samples agree with
-probability equal to the weighted Jaccard similarity; bands of them propose pairs, and every
-link is verified by the exact weighted Jaccard similarity of the whole texts."""
+probability equal to the weighted Jaccard similarity; bands of them propose pairs, further
+samples sift the pairs, and every link is verified by the exact weighted Jaccard similarity of
+the whole texts."""
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wireflow.llm.common import fresh, ship_code, staged, steady, table, with_row_key
+from wireflow.llm.common import fresh, ship_code, staged, table, unstage, with_row_key
 from wireflow.llm.repeats import Sums, mixed, token_codes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^3)^12 = 0.9998.
 BANDS, ROWS = 12, 3
-#: How far the share of agreeing samples is trusted: more than three and a half deviations of 36 samples at a half.
-SLACK = 0.3
-#: The share of documents from which on weights used to follow the counts; all do now, and only tests/llm/test_near.py reads it.
-FREQUENT = 0.01
-#: Documents are dealt in blocks of 2^BLOCK_BITS row numbers, shingles in ranges of about RANGE_SHINGLES: both bound a task's memory.
+#: Documents that share a bucket get so many further samples. Pairs that agree at fewer than similarity less SIFT of them
+#: are not checked: at 0.8 that is fewer than 86 of 128, with probability 0.0004. SIFT = 1 checks all pairs of a bucket.
+EXTRA, SIFT = 128, 0.13
+#: Members of a bucket compared in one task, and pairs compared at a time.
+BLOCK, PAIRS = 1024, 1 << 16
+#: Documents are counted in blocks of 2^BLOCK_BITS row numbers, shingles in ranges of about RANGE_SHINGLES: both bound a task's memory.
 BLOCK_BITS, RANGE_SHINGLES = 9, 1 << 21
-#: Bytes of text hashed at a time, and rows of an Arrow batch: both bound a task's memory.
-HASH_BYTES, BATCH_ROWS = 1 << 18, 2000
+#: A shingle is told from others of its range by this many bits of its hash: one in 500,000 is taken for another, at any size.
+KEY_BITS = 40
+#: Bytes of text hashed at a time.
+HASH_BYTES = 1 << 18
 SHINGLE_BASE = 0x9FB21C651E98DF25
+BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
 def shingle_hashes(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,17 +70,10 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.nd
         at = upto
 
 
-def digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, doc_id, digest, words) of each document."""
-    for batch in batches:
-        digest, words = [], []
-        for _, _, data, starts in slices(batch, 2):
-            raw = data.tobytes()
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                split = raw[a:b].split()
-                digest.append(hashlib.blake2b(b" ".join(split), digest_size=16).hexdigest())
-                words.append(len(split))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digest, pa.string()), pa.array(words, pa.int64())], names=["rid", "doc_id", "digest", "words"])
+def digest(text: bytes) -> bytes:
+    """128 bits of a text's words joined by one blank."""
+    text = text.translate(BLANKS).strip()
+    return hashlib.blake2b(b" ".join(text.split()) if b"  " in text else text, digest_size=16).digest()
 
 
 def blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -84,24 +82,46 @@ def blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.array([raw[a * width : b * width] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
 
 
+def range_keys(h: np.ndarray, ranges: int) -> np.ndarray:
+    """range * 2^KEY_BITS + key of each hash."""
+    h = mixed(h)
+    return (((h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)) << np.uint64(KEY_BITS)) | (h & np.uint64((1 << KEY_BITS) - 1))
+
+
+def five_bytes(keys: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(keys.astype("<u8").view("V8")).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+
+
+def from_five_bytes(column: pa.ChunkedArray, part: np.ndarray) -> np.ndarray:
+    """range * 2^KEY_BITS + key from rows of keys, whose ranges are given."""
+    raw = joined(column, np.uint8).reshape(-1, KEY_BITS // 8)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : KEY_BITS // 8] = raw
+    return out.view("<u8").reshape(-1).astype(np.uint64) | (part.astype(np.uint64) << np.uint64(KEY_BITS))
+
+
+def parts(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values of the rows of a byte matrix between cuts."""
+    raw, width = values.tobytes(), values.shape[1]
+    return pa.array([raw[a * width : b * width] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+
+
 def counting(size: int, ranges: int) -> Callable:
     """(range, block, keys, n): the shingles of each block's documents in a batch, and in how many of them each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = batch.column(0).to_numpy() >> BLOCK_BITS
-            hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for at, _, data, starts in slices(batch, 1):
                 h, text, _ = counted(*shingle_hashes(data, starts, size))
-                hashes.append(h)
+                keys.append(range_keys(h, ranges))
                 owners.append(block[at + text])
-            h, owner, n = counted(np.concatenate(hashes), np.concatenate(owners))
-            part = (mixed(h) % np.uint64(ranges)).astype(np.int64)
-            order = np.lexsort((part, owner))
-            h, owner, n, part = h[order], owner[order], n[order], part[order]
-            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]))) if len(h) else np.zeros(0, np.int64)
-            cuts = np.append(new, len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(part[new]), pa.array(owner[new]), blobs(h, cuts), blobs(n.astype(np.uint16), cuts)], names=["range", "block", "keys", "n"])
+            key, owner, n = counted(np.concatenate(keys), np.concatenate(owners))
+            part = (key >> np.uint64(KEY_BITS)).astype(np.int64)
+            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]))) if len(key) else np.zeros(0, np.int64)
+            cuts = np.append(new, len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(part[new]), pa.array(owner[new]), parts(five_bytes(key), cuts), blobs(n.astype(np.uint16), cuts)], names=["range", "block", "keys", "n"])
 
     return run
 
@@ -111,28 +131,28 @@ def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 
 def adding(group: pa.Table) -> pa.Table:
-    """(block, keys, df): each block's shingles of a range that are in more documents than one, with the number of those."""
-    keys, n = joined(group["keys"], np.uint64), joined(group["n"], np.uint16)
+    """(block, range, keys, df): each block's shingles of a range that are in more documents than one, with the number of those."""
+    sizes = np.array([len(k) // (KEY_BITS // 8) for k in group["keys"].to_pylist()])
+    keys, n = from_five_bytes(group["keys"], np.zeros(1, np.int64)), joined(group["n"], np.uint16)
     _, place = np.unique(keys, return_inverse=True)
     df = np.bincount(place, n).astype(np.uint32)[place]
     again = df > 1
-    sizes = np.array([len(k) // 8 for k in group["keys"].to_pylist()])
     cuts = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes), again, len(sizes)).astype(np.int64)))
-    return pa.table({"block": group["block"], "keys": blobs(keys[again], cuts), "df": blobs(df[again], cuts)})
+    return pa.table({"block": group["block"], "range": group["range"], "keys": parts(five_bytes(keys[again]), cuts), "df": blobs(df[again], cuts)})
 
 
-def shingle_counts(d: DataFrame, words: int, size: int) -> DataFrame:
-    """(block, keys, df) of all shingles in more documents than one, for each block that has them.
+def shingle_counts(d: DataFrame, ranges: int, size: int) -> DataFrame:
+    """(block, range, keys, df) of all shingles in more documents than one, for each block that has them.
 
     Blocks are counted apart, the counts added up by range of hashes, and the sums dealt back to
     the blocks; what does not come back is in one document."""
-    ranges = max(1, -(-words // RANGE_SHINGLES))
-    parts = d.select("rid", "text").mapInArrow(counting(size, ranges), "range long, block long, keys binary, n binary")
-    return parts.groupBy("range").applyInArrow(adding, "block long, keys binary, df binary")
+    counts = d.select("rid", "text").mapInArrow(counting(size, ranges), "range long, block long, keys binary, n binary")
+    return counts.groupBy("range").applyInArrow(adding, "block long, range long, keys binary, df binary")
 
 
 def idf(docs: int, df: np.ndarray) -> np.ndarray:
-    return np.maximum(np.log(docs / df), 1e-3)
+    """The smoothed inverse document frequency: ln((1 + N) / (1 + df)) + 1, which is at least 1."""
+    return np.log((1 + docs) / (1 + df.astype(np.float64))) + 1
 
 
 def gamma2_quantiles(n: int) -> np.ndarray:
@@ -146,8 +166,8 @@ GAMMA = gamma2_quantiles(LEVELS)
 R, LOG_C, BETA = GAMMA.astype(np.float32), np.log(GAMMA).astype(np.float32), ((np.arange(LEVELS) + 0.5) / LEVELS).astype(np.float32)
 
 
-def samples(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int, k: int) -> np.ndarray:
-    """k consistent weighted samples (fingerprints) of each text: an array of n_texts by k, 0 for texts without shingles.
+def samples(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int, k: int, from_: int = 0) -> np.ndarray:
+    """k consistent weighted samples (fingerprints) of each text, numbered from ``from_``: an array of n_texts by k, 0 for texts without shingles.
 
     For element i with weight S, gamma(2, 1) variables r and c and a uniform b depend on i and
     the sample's number alone; with t = floor(ln S / r + b) the sample is the (i, t) with the
@@ -159,7 +179,7 @@ def samples(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int, k
     sizes = np.diff(np.append(first, len(h)))
     log_s = np.log(weight).astype(np.float32)
     low = np.uint64(LEVELS - 1)
-    for j in range(k):
+    for j in range(from_, from_ + k):
         u = mixed(h + np.uint64((0x9E3779B97F4A7C15 * (j + 1)) & (2**64 - 1)))
         r, b = R[(u & low).astype(np.intp)], BETA[((u >> np.uint64(16)) & low).astype(np.intp)]
         t = np.floor(log_s / r + b)
@@ -167,55 +187,74 @@ def samples(h: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts: int, k
         hits = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, first), sizes))
         own = text[hits]
         least = hits[np.append(True, own[1:] != own[:-1])]
-        out[text[first], j] = mixed(h[least] ^ mixed(t[least].astype(np.int64).view(np.uint64) + np.uint64(j + 1)))
+        out[text[first], j - from_] = mixed(h[least] ^ mixed(t[least].astype(np.int64).view(np.uint64) + np.uint64(j + 1)))
     return out
 
 
-def banding(size: int, docs: int, bands: int, rows: int) -> Callable:
-    """(rid, bands, sketch, df) of a block's documents; df has the counts of a text's shingles in order of their hashes."""
+BANDED = "rid long, doc_id long, digest binary, bands array<long>, df binary"
+
+
+def banding(size: int, docs: int, ranges: int, bands: int, rows: int) -> Callable:
+    """A block's documents as BANDED; df has the counts of a text's shingles in order of their hashes, packed; a text without words has no bands."""
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        keys, known = joined(counts["keys"], np.uint64), joined(counts["df"], np.uint32)
+        keys, known = from_five_bytes(counts["keys"], np.repeat(counts["range"].to_numpy(), [len(k) // (KEY_BITS // 8) for k in counts["keys"].to_pylist()])), joined(counts["df"], np.uint32)
         order = np.argsort(keys)
         keys, known = keys[order], known[order]
-        out = []
-        for batch in texts.select(["rid", "text"]).combine_chunks().to_batches():
+        out = [EMPTY]
+        for batch in texts.select(["rid", "text", "doc_id"]).combine_chunks().to_batches():
             for at, upto, data, starts in slices(batch, 1):
                 h, text, tf = counted(*shingle_hashes(data, starts, size))
                 df = np.ones(len(h), np.uint32)
                 if len(keys):
-                    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    df = np.where(keys[place] == h, known[place], df)
+                    own = range_keys(h, ranges)
+                    place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    df = np.where(keys[place] == own, known[place], df)
                 found = samples(h, text, idf(docs, df) * tf, upto - at, bands * rows).reshape(upto - at, bands, rows)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (upto - at, bands))
                 for j in range(rows):
                     key = mixed(key ^ found[:, :, j]) + np.uint64(j)
                 sizes = np.bincount(text, minlength=upto - at)
-                some = np.flatnonzero(sizes)
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, (len(some) + 1) * x.shape[1], x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
-                short = found[some].reshape(len(some), bands * rows).astype(np.uint16).view(np.int16)
-                out.append(pa.table([batch.column(0).slice(at, upto - at).take(pa.array(some)), lists(key[some].view(np.int64)), lists(short), blobs(df, np.append(0, np.cumsum(sizes[some])))], names=["rid", "bands", "sketch", "df"]))
-        return pa.concat_tables(out) if out else EMPTY
+                raw, cuts, ends = data.tobytes(), starts.tolist(), np.append(0, np.cumsum(sizes)).tolist()
+                banded = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((sizes > 0) * bands)).astype(np.int32)), pa.array(key[sizes > 0].reshape(-1).view(np.int64)))
+                out.append(pa.Table.from_arrays([
+                    batch.column(0).slice(at, upto - at), batch.column(2).slice(at, upto - at), pa.array([digest(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                    banded, pa.array([zlib.compress(df[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], schema=EMPTY.schema))
+        return pa.concat_tables(out)
 
     return run
 
 
-EMPTY = pa.schema([("rid", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int16())), ("df", pa.binary())]).empty_table()
+EMPTY = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("df", pa.binary())]).empty_table()
+
 
+def sampling(size: int, docs: int, first: int, extra: int) -> Callable:
+    """(rid, sketch, bag) of (rid, text, df): a byte of each further sample, and the packed text with its counts for the exact check."""
 
-def packed() -> F.Column:
-    """The counts of a text's shingles and the text in one binary value, the length of the counts before them."""
-    return F.concat(F.lpad(F.hex(F.length("df")), 8, "0").cast("binary"), F.col("df"), F.col("text").cast("binary"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column(2).to_pylist()
+            for at, upto, data, starts in slices(batch, 1):
+                h, text, tf = counted(*shingle_hashes(data, starts, size))
+                counts = [zlib.decompress(x) for x in packed[at:upto]]
+                df = np.frombuffer(b"".join(counts), np.uint32)
+                found = samples(h, text, idf(docs, df) * tf, upto - at, extra, first).astype(np.uint8).tobytes()
+                raw, cuts = data.tobytes(), starts.tolist()
+                bags = [len(c).to_bytes(8, "little") + zlib.compress(c + raw[a:b], 1) for c, a, b in zip(counts, cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(at, upto - at), pa.array([found[i * extra : (i + 1) * extra] for i in range(upto - at)], pa.binary()), pa.array(bags, pa.binary())], names=["rid", "sketch", "bag"])
+
+    return run
 
 
 def verifying(size: int, docs: int) -> Callable:
-    """(x, y, distance) of pairs with both texts (see :func:`packed`): one less the weighted Jaccard similarity."""
+    """(x, y, distance) of pairs with both packed texts (see :func:`sampling`): one less the weighted Jaccard similarity."""
 
-    def bag(both: bytes):
-        at = 8 + int(both[:8], 16)
+    def bag(packed: bytes):
+        both, at = zlib.decompress(packed[8:]), int.from_bytes(packed[:8], "little")
         data = np.frombuffer(both, np.uint8, offset=at)
         h, _, tf = counted(*shingle_hashes(data, np.array([0, len(data)]), size))
-        return h, idf(docs, np.frombuffer(both[8:at], np.uint32)) * tf
+        return h, idf(docs, np.frombuffer(both[:at], np.uint32)) * tf
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, leader = None, None
@@ -233,56 +272,102 @@ def verifying(size: int, docs: int) -> Callable:
     return run
 
 
-def links(members: DataFrame, texts: DataFrame, sketches: DataFrame, verify: Callable, most: float) -> DataFrame:
-    """(x, y): verified links from members (bucket, rid), enough to join all that are similar within a bucket.
+def filtering(least: int) -> Callable:
+    """(x, y) of the rows (x, y, sx, sy) whose samples agree at ``least`` places or more; x is the larger row number."""
 
-    One document of each bucket, the one that shares most buckets with others, leads first; then
-    8, 64, ... lead, those of the smallest classes first. A leader is compared with all members of
-    other classes and leaves the bucket; the bucket ends when its members are of one class. So each
-    pair of a bucket is compared, or of one class when one of them leaves, or out of reach: by
-    the triangle inequality over both distances to the bucket's first leader.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sx, sy = sketch_rows(batch.column(2)), sketch_rows(batch.column(3))
+            good = (sx == sy).sum(1) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)[good]), pa.array(np.minimum(x, y)[good])], names=["x", "y"])
 
-    A pair goes to the exact check, which needs both texts, unless its samples agree so seldom
-    that a link is as good as excluded: by SLACK less than the similarity asked for (for 36
-    samples of a pair at 0.8 that has a chance of about 0.00001). Its distance is then known up
-    to SLACK either way, which is how far the triangle inequality trusts it."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
-    degree = members.join(sizes, "bucket").groupBy("rid").agg((-F.sum("k")).alias("rank"))
-    now = staged(members.join(degree, "rid").select("bucket", "rid", "rank", F.col("rid").alias("class"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "members")
-    known = None
-    turn = 0
-    while not now.isEmpty():
-        if turn == 0:
-            lead = now.groupBy("bucket").agg(F.min(F.struct("rank", "rid", "class", "low", "high")).alias("own")).select("bucket", "own.*")
-        else:
-            sizes = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("k"))
-            lead = now.join(sizes, ["bucket", "class"]).withColumn("at", F.row_number().over(W.partitionBy("bucket").orderBy("k", "rank", "rid"))).where(F.col("at") <= 8**turn)
-        lead = staged(lead.select("bucket", F.col("rid").alias("y"), F.col("class").alias("yclass"), F.col("low").alias("ylow"), F.col("high").alias("yhigh")), f"lead{turn}")
-        near = (F.col("low") - F.col("yhigh") <= most) & (F.col("ylow") - F.col("high") <= most)
-        asked = now.join(lead, "bucket").where((F.col("class") != F.col("yclass")) & near).select("bucket", "rid", F.greatest("rid", "y").alias("a"), F.least("rid", "y").alias("b"))
-        pairs = asked.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-        new = staged(pairs if known is None else pairs.join(known, ["x", "y"], "left_anti"), f"pairs{turn}")
-        rough = new.join(sketches.select(F.col("rid").alias("x"), F.col("sketch").alias("sx")), "x").join(sketches.select(F.col("rid").alias("y"), F.col("sketch").alias("sy")), "y")
-        rough = staged(rough.select("x", "y", F.expr("1 - size(filter(zip_with(sx, sy, (p, q) -> p = q), e -> e)) / size(sx)").alias("about")), f"rough{turn}")
-        likely = rough.where(F.col("about") <= most + SLACK).select("x", "y")
-        both = likely.join(texts.select(F.col("rid").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("rid").alias("y"), F.col("text").alias("ty")), "y")
-        exact = both.select("x", "y", "tx", "ty").mapInPandas(verify, "x long, y long, distance double").select("x", "y", F.col("distance").alias("low"), F.col("distance").alias("high"))
-        far_off = rough.where(F.col("about") > most + SLACK).select("x", "y", F.greatest(F.col("about") - SLACK, F.lit(most + 1e-9)).alias("low"), F.least(F.col("about") + SLACK, F.lit(1.0)).alias("high"))
-        checked = staged(exact.unionByName(far_off), f"checked{turn}")
-        known = checked if known is None else known.unionByName(checked)
-        label = components(known.where(F.col("high") <= most)).select(F.col("rid").alias("lrid"), "label")
-        rest = now.join(lead.select("bucket", F.col("y").alias("rid")), ["bucket", "rid"], "left_anti")
-        if turn == 0:
-            first = asked.join(known.select(F.col("x").alias("a"), F.col("y").alias("b"), "low", "high"), ["a", "b"]).select("bucket", "rid", "low", "high")
-            rest = rest.drop("low", "high").join(first, ["bucket", "rid"])
-        rest = rest.join(label, F.col("rid") == F.col("lrid"), "left").withColumn("class", F.coalesce("label", "rid"))
-        rest = staged(rest.select("bucket", "rid", "rank", "class", "low", "high"), f"rest{turn}")
-        mixed_ = rest.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("greatest")).where("least <> greatest").select("bucket")
-        now = staged(rest.join(mixed_, "bucket", "left_semi"), f"members{turn}")
-        turn += 1
-    if known is None:
-        return members.sparkSession.createDataFrame([], "x long, y long")
-    return known.where(F.col("high") <= most).select("x", "y")
+    return run
+
+
+def sketch_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def pairing(least: int) -> Callable:
+    """(x, y): pairs of different classes from rows in order of (bucket, lo, hi), each pair in the first bucket that it shares alone.
+
+    Of a bucket cut into blocks, rows meet the rows of the other block, or all of their own where lo = hi."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        bucket, lo, hi, part, rid, group = (t.column(c).to_numpy() for c in ("bucket", "lo", "hi", "part", "rid", "class"))
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        sketch = sketch_rows(t.column("sketch").combine_chunks())
+        new = np.ones(len(t), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        upto = np.append(np.flatnonzero(new)[1:], len(t))[np.cumsum(new) - 1]
+        ends = np.append(0, np.cumsum(upto - np.arange(len(t)) - 1))
+        found, at = [], 0
+        while at < len(t):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + PAIRS, side="right")) - 1)
+            n = ends[at + 1 : to + 1] - ends[at:to]
+            a = np.repeat(np.arange(at, to), n)
+            b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a + 1
+            ask = (group[a] != group[b]) & ((lo[a] == hi[a]) | (part[a] != part[b]))
+            a, b = a[ask], b[ask]
+            alike = (sketch[a] == sketch[b]).sum(1) >= least
+            a, b = a[alike], b[alike]
+            shared = bands[a] == bands[b]
+            first = bands[a, shared.argmax(1)] == bucket[a]
+            found.append(np.stack([np.maximum(rid[a], rid[b])[first], np.minimum(rid[a], rid[b])[first]]))
+            at = to
+        x, y = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            keys = [t.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
+            last = np.flatnonzero(np.logical_and.reduce([k == k[-1] for k in keys]))[0]  # the last key may go on in the next batch
+            if last:
+                yield pairs(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
+def verified(pairs: DataFrame, bags: DataFrame, verify: Callable, most: float, label: str) -> DataFrame:
+    """(x, y, alike) of all pairs (x, y), by the exact similarity of the whole texts."""
+    both = pairs.join(bags.select(F.col("rid").alias("x"), F.col("bag").alias("tx")), "x").join(bags.select(F.col("rid").alias("y"), F.col("bag").alias("ty")), "y")
+    exact = both.select("x", "y", "tx", "ty").mapInPandas(verify, "x long, y long, distance double")
+    return staged(exact.select("x", "y", (F.col("distance") <= most).alias("alike")), label)
+
+
+def links(members: DataFrame, bags: DataFrame, verify: Callable, most: float, least: int, block: int = BLOCK) -> DataFrame:
+    """(x, y): verified links of members (bucket, rid, bands, sketch), enough to join all that are linked.
+
+    A pair is asked for if it shares a bucket and agrees at ``least`` of its further samples. First
+    every member is held against one of its bucket, a linear number of pairs that joins copies into
+    classes. Then each bucket that still has several classes compares the members of different
+    classes, all of them: samples meet samples within a task, block by block, and only the pairs
+    that agree leave it for the exact check. So every pair asked for is checked, or of one class."""
+    lead = members.groupBy("bucket").agg(F.min_by("rid", F.xxhash64("rid", "bucket")).alias("y"), F.count(F.lit(1)).alias("k"))
+    lead = staged(lead.join(members.select("rid", "sketch").dropDuplicates(["rid"]).select(F.col("rid").alias("y"), F.col("sketch").alias("sy")), "y"), "lead")
+    near = members.join(lead, "bucket").where("rid <> y").select(F.col("rid").alias("x"), "y", F.col("sketch").alias("sx"), "sy")
+    first = verified(near.mapInArrow(filtering(least), "x long, y long").distinct(), bags, verify, most, "first")
+    label = components(first.where("alike")).select(F.col("rid").alias("lrid"), "label")
+    classed = members.join(label, F.col("rid") == F.col("lrid"), "left").withColumn("class", F.coalesce("label", "rid")).drop("lrid", "label")
+    classed = staged(classed, "classed")
+    several = classed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("greatest"), F.count(F.lit(1)).alias("k")).where("least <> greatest")
+    several = several.select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    rest = classed.join(several, "bucket").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rid", "class", "bands", "sketch")
+    dealt = rest.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    asked = dealt.mapInArrow(pairing(least), "x long, y long").join(first.select("x", "y"), ["x", "y"], "left_anti")
+    second = verified(staged(asked, "asked"), bags, verify, most, "second")
+    return first.unionByName(second).where("alike").select("x", "y")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,45 +387,63 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.drop("old")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: rid, doc_id, class_id, class_size, kept.
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, extra: int = EXTRA, sift: float = SIFT) -> DataFrame:
+    """One row per document: rid, doc_id, class_id, class_size, n_links, kept.
 
-    Documents with the same words are one class from the start (so are all without words); a
-    text shorter than a shingle is one shingle. class_id is the smallest doc_id of the class;
-    the row with it stays (a null doc_id ranks last; of equals the first read). Repeated rows
-    are copies; an empty table gives no rows; other columns are not read."""
-    ship_code(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    A class is what verified links join; n_links counts the links that were found at a document's
+    text (enough to join the class, not all pairs). Documents with the same words are one class
+    from the start (so are all without words: null, empty or blank texts); a text shorter than a
+    shingle is one shingle; a long text is read whole. class_id is the smallest doc_id of the
+    class; the row with it stays (a null doc_id ranks last; of equals the first read). Repeated
+    rows are copies; an empty table gives no rows; other columns, whatever their names, are not read."""
     d = with_row_key(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "rid")
-    rows_ = staged(d.select("rid", "doc_id", "text").mapInArrow(digesting, "rid long, doc_id long, digest string, words long"), "digests")
-    n, words = rows_.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    first = staged(rows_.groupBy("digest").agg(F.min("rid").alias("rep")), "first")
-    blocks = d.select("rid", "text", F.shiftright("rid", BLOCK_BITS).alias("block")).groupBy("block").cogroup(shingle_counts(d, words, size).groupBy("block"))
-    sketched = staged(blocks.applyInArrow(banding(size, n, bands, rows), "rid long, bands array<long>, sketch array<short>, df binary"), "bands")
-    banded = sketched.join(first.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", F.explode("bands").alias("bucket"))
+    out = classes(d, similarity, size, bands, rows, extra, sift)
+    unstage(d)
+    return out
+
+
+def classes(d: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, extra: int = EXTRA, sift: float = SIFT) -> DataFrame:
+    """The rows of :func:`near_dedup` for written documents (rid, doc_id, text)."""
+    ship_code(d.sparkSession)
+    n, held = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = max(1, -(-held // (6 * RANGE_SHINGLES)))  # a word and a blank take about six bytes
+    blocks = d.withColumn("block", F.shiftright("rid", BLOCK_BITS)).groupBy("block").cogroup(shingle_counts(d, ranges, size).groupBy("block"))
+    sketched = staged(blocks.applyInArrow(banding(size, n, ranges, bands, rows), BANDED), "bands")
+    first = sketched.groupBy("digest").agg(F.min("rid").alias("rep"))
+    rows_ = staged(sketched.select("rid", "doc_id", "digest").join(first, "digest").select("rid", "doc_id", "rep"), "rows")
+    banded = sketched.join(rows_.where("rid = rep").select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    members = staged(banded.join(shared, "bucket"), "buckets")
-    asked = members.select("rid").distinct()
-    texts = staged(d.select("rid", "text").join(asked, "rid", "left_semi").join(sketched.select("rid", "df"), "rid").select("rid", packed().alias("text")), "texts")
-    sketches = staged(sketched.select("rid", "sketch").join(asked, "rid", "left_semi"), "sketches")
-    labels = components(links(members, texts, sketches, verifying(size, n), 1 - similarity + 1e-9))
-    classed = staged(rows_.join(first, "digest").join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select(
-        "rid", "doc_id", F.coalesce("label", "rep").alias("label")), "classed")
+    asked = staged(banded.join(shared, "bucket"), "asked")
+    mine = sketched.join(asked.select("rid").distinct(), "rid", "left_semi").select("rid", "bands", "df")
+    wide = d.select("rid", "text").join(mine.select("rid", "df"), "rid")
+    bags = staged(wide.select("rid", "text", "df").mapInArrow(sampling(size, n, bands * rows, extra), "rid long, sketch binary, bag binary"), "bags")
+    members = staged(asked.join(mine.select("rid", "bands").join(bags.select("rid", "sketch"), "rid"), "rid").select("bucket", "rid", "bands", "sketch"), "members")
+    found = staged(links(members, bags, verifying(size, n), 1 - similarity + 1e-9, int(np.ceil(extra * max(0.0, similarity - sift)))), "links")
+    unstage(members, bags, asked, sketched)
+    ends = found.select(F.explode(F.array("x", "y")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    labels = components(found).select(F.col("rid").alias("rep"), "label")
+    classed = rows_.join(labels, "rep", "left").join(ends, "rep", "left").select("rid", "doc_id", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    classed = staged(classed, "classes")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     best = classed.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(best, "label").select("rid", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("best.rid")).alias("kept"))
+    return classed.join(best, "label").select("rid", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", "n_links", (F.col("rid") == F.col("best.rid")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that :func:`near_dedup` keeps, with their columns."""
-    docs = steady(docs)
+    """The rows of ``docs`` that :func:`near_dedup` keeps, with their columns, whatever these are called.
+
+    Rows without words (null, empty or blank texts) are copies of each other, and one stays; of
+    tied rows the first read; an empty table stays empty."""
     rid = fresh(docs, "rid")
-    gone = near_dedup(docs, text, doc_id).where(~F.col("kept")).select(F.col("rid").alias(rid))
-    return with_row_key(docs, rid).join(gone, rid, "left_anti").drop(rid)
+    docs = with_row_key(docs, rid)
+    d = docs.select(F.col(rid).alias("rid"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    gone = classes(d).where(~F.col("kept")).select(F.col("rid").alias(rid))
+    return docs.join(gone, rid, "left_anti").drop(rid)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    """:func:`near_dedup` of the whole documents table: doc_id, class_id, class_size, n_links, kept."""
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
 
 
 SQL: dict[str, str] = {}

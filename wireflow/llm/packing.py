@@ -33,17 +33,19 @@ class Encoder:
 
     A blank before a character that is no white space always starts a new word for this kind
     of tokenizer, so a text is the sum of its chunks there. New chunks are encoded together and
-    told apart by the bytes that each id stands for; chunks seen before are looked up."""
+    told apart by the bytes that each id stands for; chunks seen before are looked up. A special
+    token written out in a text has its id there, as in a plain call of the library; the blanks
+    around it are cut otherwise, so a text that holds one is encoded by such a call."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.width[list(vocabulary.values())] = [len(x) for x in vocabulary]  # one character stands for one byte
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.odd = re.compile(r" (?:\s|$)").search
 
@@ -80,8 +82,9 @@ class Encoder:
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.chunks(t) for t in texts]
-        starts = [self.tokenizer.encode(s[0], add_special_tokens=False).ids if s[0] else [] for s in split]
+        plain = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        split = [[""] if i in plain else self.chunks(t) for i, t in enumerate(texts)]
+        starts = [self.tokenizer.encode(s[0], add_special_tokens=False).ids if s[0] else plain.get(i, []) for i, s in enumerate(split)]
         used = set().union(*[s[1:] for s in split]) if split else set()
         new = used - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
@@ -197,9 +200,10 @@ def packer(path: str, length: int, piece: int, block_windows: int):
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, length: int = LENGTH, piece: int = PIECE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Every document ends with id 0, so a null or empty text has one token. Rows that repeat are
-    packed each; a null doc_id stays null; an empty table gives no rows; other columns are not
-    read. ``tokenizer`` is the path of a tokenizers file."""
+    Every document ends with id 0, so a null or empty text has one token; a long text becomes
+    whole windows and a rest. Rows that repeat or tie are packed each; a null doc_id stays null; an
+    empty table gives no rows; other columns, whatever their names, are not read. ``tokenizer``
+    is the path of a tokenizers file."""
     if tokenizer is None:
         import public_tokenizers
 
@@ -210,6 +214,7 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def op4_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`pack_documents` of the whole documents table."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 

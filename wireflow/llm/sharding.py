@@ -61,16 +61,16 @@ def slots(rows: DataFrame, shard: str, tie: str) -> DataFrame:
 
 
 def kd_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", lang: str = "lang", n_shards: int = N_SHARDS) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null).
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null), for texts of any length.
 
     Law ``bytes``: sizes are near equal as far as whole groups of equal texts allow; a group
     goes to one shard. The dimensions are the logarithm of the size and the places of the
     group's smallest source and lang. A null text has size 1; a null source or lang has place
     0; an empty table gives no rows; other columns are not read."""
     t = F.coalesce(F.col(text), F.lit(""))
-    meta = staged(with_row_key(docs.select(
+    meta = with_row_key(docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("bigint").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
-        F.sha2(t, 256).alias("digest"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang")), "rid"), "meta")
+        F.sha2(t, 256).alias("digest"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang")), "rid")
     groups = staged(meta.groupBy("digest").agg(F.sum("size").alias("bytes"), F.max("size").alias("one"), F.min("source").alias("source"), F.min("lang").alias("lang")).select(
         "digest", F.conv(F.substring("digest", 1, 10), 16, 10).cast("bigint").alias("key_low"), "bytes",
         (F.log2("one") / 40).alias("x_size"), _unit(F.col("source")).alias("x_source"), _unit(F.col("lang")).alias("x_lang")), "groups")
@@ -80,6 +80,7 @@ def kd_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
 
 
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`kd_shards` of the whole documents table."""
     return kd_shards(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
 
 
