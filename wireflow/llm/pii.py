@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four base patterns give seed entities. The words around them, with the seed's shape, are
-lexical patterns; a graph of patterns and the instances they find is scored in turns, and
-instances that only confident patterns support are added to the base spans."""
+Four base patterns give seed entities. The words around them are lexical patterns; a graph of
+patterns and the identifier-like strings that they extract is scored in turns: strings that
+confident patterns support are accepted, and accepted strings induce patterns in the next turn."""
 
 from __future__ import annotations
 
@@ -24,10 +24,13 @@ KINDS = {
 }
 #: A cheap test that must hold for any match of the kind.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
-#: Tokens with a digit or an at sign, and the least length of one that may be an identifier.
-TOKEN, MIN_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+", 8
-#: Patterns need so many different seeds; instances so high a score; so many turns.
-MIN_SEEDS, MIN_SCORE, TURNS = 5, 0.9, 3
+#: Words with a digit or an at sign, one blank apart, make a unit; one of such a length may be an identifier.
+_WORD = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+UNIT, LENGTHS = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:\x20{_WORD})*+", (8, 64)
+#: Not part of an identifier at its start or end.
+EDGE = r"[\"'.,;:!?()\[\]{}<>]"
+#: A pattern needs so many accepted strings, a string so high a score; a shape counts less than a context; so many turns at most.
+MIN_SUPPORT, MIN_SCORE, SHAPE_WEIGHT, TURNS = 3, 0.8, 0.5, 6
 
 
 def _found(docs: DataFrame, kind: str, pattern: str, needs: str) -> DataFrame:
@@ -38,59 +41,74 @@ def _found(docs: DataFrame, kind: str, pattern: str, needs: str) -> DataFrame:
     return each.select("rid", F.lit(kind).alias("kind"), (upto - F.length("found")).cast("bigint").alias("start"), upto.cast("bigint").alias("end"), "found", "before", "after")
 
 
-def _passes(kind: str) -> F.Column:
-    n = F.length(F.regexp_replace("found", "[^0-9]", ""))
+def _passes(kind: str, found: F.Column) -> F.Column:
+    n = F.length(F.regexp_replace(found, "[^0-9]", ""))
     if kind == "ip":
-        return F.expr("forall(split(found, '[.]'), p -> length(ltrim('0', p)) <= 3 and coalesce(try_cast(ltrim('0', p) as int), 0) <= 255)")
+        value = lambda p: F.ltrim(p, F.lit("0"))
+        return F.forall(F.split(found, "[.]"), lambda p: (F.length(value(p)) <= 3) & (F.coalesce(value(p).try_cast("int"), F.lit(0)) <= 255))
     if kind == "phone":
         return (n >= 9) & (n <= 15)
     if kind == "card":
-        digits = "reverse(regexp_replace(found, '[^0-9]', ''))"
-        luhn = F.expr(f"aggregate(split({digits}, ''), named_struct('i', 0, 's', 0L), (a, c) -> named_struct('i', a.i + 1, 's', a.s + "
-                      "if(a.i % 2 = 0, coalesce(try_cast(c as int), 0), (2 * coalesce(try_cast(c as int), 0)) % 10 + (2 * coalesce(try_cast(c as int), 0)) div 10)), a -> a.s % 10 = 0)")
-        return F.when((n >= 12) & (n <= 19), luhn).otherwise(False)
+        doubled = lambda c: (2 * c) % 10 + F.floor(2 * c / 10)
+        digit = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
+        digits = F.split(F.reverse(F.regexp_replace(found, "[^0-9]", "")), "")
+        weighed = F.transform(digits, lambda c, i: F.when(i % 2 == 0, digit(c)).otherwise(doubled(digit(c))).cast("bigint"))
+        return (n >= 12) & (n <= 19) & (F.aggregate(weighed, F.lit(0).cast("bigint"), lambda a, c: a + c) % 10 == 0)
     return F.lit(True)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """(rid, kind, start, end, found) of docs (rid, t); failing matches are dropped without a second try."""
-    parts = [_found(docs, k, p, NEEDS[k]).where(_passes(k)).select("rid", "kind", "start", "end", "found") for k, p in KINDS.items()]
+    parts = [_found(docs, k, p, NEEDS[k]).where(_passes(k, F.col("found"))).select("rid", "kind", "start", "end", "found") for k, p in KINDS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _occurrences(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(rid, start, end, found, pattern, kind): identifier-like tokens in context; kind is a seed's, else null."""
+def units(docs: DataFrame) -> DataFrame:
+    """(rid, start, end, found, kind, patterns): units without what is at their edges; kind is that of a base match inside, else null.
+
+    The patterns are the two words before, the word before, the word after (none of them beyond
+    another unit) and the unit's shape."""
     words = lambda c: F.array_remove(F.split(F.lower(c), r"[\x20\x09-\x0D]+"), "")
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("found", r"[\p{L}]+", "a"), "[0-9]+", "9"), r"[^a9@.:/+-]+", "_")
-    tokens = _found(docs, "", TOKEN, "[0-9@]").where(F.length("found") >= MIN_TOKEN).withColumn("left", words(F.col("before"))).withColumn("right", words(F.col("after")))
-    tokens = tokens.select("rid", "start", "end", "found", F.concat_ws(" ", F.slice(F.reverse("left"), 1, 2), F.lit("|"), shape, F.lit("|"), F.slice("right", 1, 1)).alias("pattern"))
-    spans = base.select(F.col("rid").alias("brid"), F.col("kind"), F.col("start").alias("bs"), F.col("end").alias("be"))
-    near = tokens.join(spans, (F.col("rid") == F.col("brid")) & (F.col("start") < F.col("be")) & (F.col("bs") < F.col("end")), "left")
-    return near.groupBy("rid", "start", "end", "found", "pattern").agg(F.min("kind").alias("kind"))
-
-
-def learned_spans(occurrences: DataFrame) -> DataFrame:
-    """(rid, kind, start, end) of unseen instances that confident patterns support.
-
-    A pattern's confidence is the mean score of its instances, less for few; an instance's score
-    is one less the product of its patterns' doubts. Seeds keep score 1. Edges are distinct
-    (pattern, instance) pairs, so a frequent context costs as many rows as it has instances."""
-    edges = staged(occurrences.groupBy("pattern", "found").agg(F.min("kind").alias("kind")), "edges")
-    seeds = edges.where("kind is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"), F.min("kind").alias("pkind")).where(F.col("seeds") >= MIN_SEEDS)
-    graph = staged(edges.join(seeds, "pattern"), "graph")
-    scores = graph.groupBy("found").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("score"))
-    for turn in range(TURNS):
-        conf = graph.join(scores, "found").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("conf"))
-        doubt = F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-9))))
-        scores = staged(graph.join(conf, "pattern").groupBy("found").agg(
-            F.when(F.max(F.col("kind").isNotNull()), 1.0).otherwise(1 - F.exp(doubt)).alias("score"), F.min("pkind").alias("pkind"), F.max(F.col("kind").isNotNull()).alias("seed")), f"scores{turn}")
-    new = scores.where(~F.col("seed") & (F.col("score") >= MIN_SCORE)).select("found", "pkind")
-    patterns = graph.select("pattern").distinct()
-    return (occurrences.where("kind is null").join(patterns, "pattern", "left_semi").join(new, "found")
-            .select("rid", F.col("pkind").alias("kind"), "start", "end"))
+    holds = lambda kind, pattern: F.exists(F.regexp_extract_all("found", F.lit(pattern), F.lit(0)), lambda x: _passes(kind, x))
+    kind = F.coalesce(*[F.when(holds(k, p), F.lit(k)) for k, p in KINDS.items()])
+    shape = F.regexp_replace(F.regexp_replace("found", r"[\p{L}]+", "a"), "[0-9]+", "9")
+    at = _found(docs, "", UNIT, "[0-9@]").withColumn("core", F.regexp_replace("found", f"^{EDGE}+|{EDGE}+$", ""))
+    at = at.withColumn("lead", F.length("found") - F.length(F.regexp_replace("found", f"^{EDGE}+", ""))).where(F.length("core").between(*LENGTHS))
+    at = at.select("rid", (F.col("start") + F.col("lead")).alias("start"), (F.col("start") + F.col("lead") + F.length("core")).alias("end"), F.col("core").alias("found"),
+                   F.reverse(F.slice(F.reverse(words(F.col("before"))), 1, 2)).alias("left"), F.element_at(F.concat(words(F.col("after")), F.array(F.lit(None).cast("string"))), 1).alias("right"))
+    patterns = F.array(
+        F.when(F.size("left") == 2, F.concat(F.lit("2 "), F.array_join("left", " "))),
+        F.when(F.size("left") > 0, F.concat(F.lit("1 "), F.element_at("left", -1))),
+        F.concat(F.lit("> "), F.col("right")), F.concat(F.lit("# "), shape))
+    return at.select("rid", "start", "end", "found", kind.alias("kind"), F.array_compact(patterns).alias("patterns"))
+
+
+def learned_strings(seen: DataFrame) -> DataFrame:
+    """(found, kind) of the strings that are accepted without being seeds, from :func:`units`.
+
+    A pattern's confidence for a kind is the share of its strings that are accepted as that kind,
+    counted with one more that is not, so a context that goes with any kind is a weak pattern for
+    each. A string's score for a kind is one less the product of its patterns' doubts; it takes
+    the kind of its highest score. Edges are distinct (pattern, string) pairs, so a frequent
+    context costs as many rows as it has strings."""
+    edges = staged(seen.select("found", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "found").agg(F.min("kind").alias("kind")), "edges")
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeds")).where((F.col("n") >= MIN_SUPPORT) & (F.col("n") > F.col("seeds")))
+    graph = staged(edges.join(sizes.select("pattern", "n"), "pattern"), "graph")
+    known = staged(edges.where("kind is not null").groupBy("found").agg(F.min("kind").alias("kind")).withColumn("turn", F.lit(0)), "known")
+    for turn in range(1, TURNS + 1):
+        weight = F.when(F.col("pattern").startswith("#"), SHAPE_WEIGHT).otherwise(1.0)
+        support = graph.drop("kind").join(known.select("found", "kind"), "found").groupBy("pattern", "n", "kind").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MIN_SUPPORT)
+        patterns = staged(support.select("pattern", F.col("kind").alias("pkind"), (weight * F.col("k") / (F.col("n") + 1)).alias("conf")), f"patterns{turn}")
+        scored = graph.where("kind is null").select("pattern", "found").join(patterns, "pattern").groupBy("found", "pkind").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.col("conf")))), 9).alias("score"))
+        best = scored.where(F.col("score") >= MIN_SCORE).groupBy("found").agg(F.max(F.struct("score", F.col("pkind").alias("kind"))).alias("best"))
+        new = staged(best.select("found", "best.kind", F.lit(turn).alias("turn")).join(known.select("found"), "found", "left_anti"), f"new{turn}")
+        if new.isEmpty():
+            break
+        known = staged(known.unionByName(new), f"known{turn}")
+    return known.where("turn > 0").select("found", "kind")
 
 
 def _written(spans: DataFrame, name: str) -> DataFrame:
@@ -105,12 +123,14 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     The counts and base_sha256 are of the base spans; ``spans`` has the learned ones too, of the
-    kind whose contexts gave them. Offsets are code points. A null or empty text has no spans;
-    repeated rows are judged each; an empty table gives no rows; other columns are not read."""
+    kind whose contexts gave them. Offsets are code points. A null or empty text has no spans; a
+    long text is searched whole; repeated rows are judged each, though copies of a text count
+    once as evidence; an empty table gives no rows; a null doc_id stays null; other columns,
+    whatever their names, are not read."""
     d = with_row_key(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")), "rid")
     base = staged(base_spans(d), "spans")
-    seen = staged(_occurrences(d, base), "occurrences")
-    learned = learned_spans(seen)
+    seen = staged(units(d), "units")
+    learned = seen.where("kind is null").select("rid", "start", "end", "found").join(learned_strings(seen), "found").select("rid", "kind", "start", "end")
     own = _written(base, "base")
     every = _written(base.select("rid", "kind", "start", "end").unionByName(learned), "spans").select("rid", "spans")
     zero = [F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in KINDS]
@@ -119,6 +139,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`personal_data` of the whole documents table."""
     return personal_data(table(spark, sf_dir, "documents"))
 
 
