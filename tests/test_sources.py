@@ -1,7 +1,7 @@
 """Generators, text circuits and files."""
 
 from wireflow import queries as q
-from wireflow.operators import decompose, edges, gates
+from wireflow.operators import decompose, edges, gates, layers
 from wireflow.plans.build import linked
 from wireflow.sources import adder_text, files, generators
 
@@ -11,12 +11,16 @@ def listed(ops):
 
 
 def test_generators(spark):
-    a = listed(generators.random_templates(spark, 50, 6, seed=3))
-    assert a == listed(generators.random_templates(spark.newSession(), 50, 6, seed=3)) and a != listed(generators.random_templates(spark, 50, 6, seed=4))
+    numbers = lambda n: spark.range(n).withColumnRenamed("id", "i")
+    a = listed(generators.random_templates(numbers(80), 6, seed=3))
+    assert a == listed(generators.random_templates(numbers(80).repartition(3), 6, seed=3)) and a != listed(generators.random_templates(numbers(80), 6, seed=4))
+    assert any(c == 23 for c, _, _ in a) and not any(c == 23 for c, _, _ in listed(generators.random_templates(numbers(80), 2)))
     assert all(len(set(x)) == len(x) and all(0 <= y < 6 for y in x) for _, _, x in a)
-    plain, turned = listed(generators.random_cx(spark, 40, 5)), listed(generators.random_cx(spark, 40, 5, turned_pct=100))
+    plain, turned = listed(generators.random_cx(numbers(40), 5)), listed(generators.random_cx(numbers(40), 5, turned_pct=100))
     assert len(plain) == 40 and [x for _, _, x in plain] == [x[::-1] for c, _, x in turned if c == 18] and len(turned) == 200
-    bv = listed(generators.bernstein_vazirani(spark, "101"))
+    phased = listed(generators.random_cx(numbers(40), 5, turned_pct=100, phased=True))
+    assert [c for c, _, _ in phased[:9]] == [27, 27, 8, 8, 18, 8, 8, 27, 27] and len(phased) == 360
+    bv = listed(generators.bernstein_vazirani(spark.createDataFrame([(5, True), (7, False), (9, True)], "i long, one boolean")))
     assert bv == [(8, 1.0, [0]), (8, 1.0, [1]), (8, 1.0, [2]), (9, 0.0, [3]), (8, 1.0, [3]), (18, 1.0, [0, 3]), (18, 1.0, [2, 3]), (8, 1.0, [0]), (8, 1.0, [1]), (8, 1.0, [2])]
 
 
@@ -27,13 +31,21 @@ def test_text_circuit(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    ops = generators.random_templates(spark, 20, 4)
+    ops = generators.random_templates(spark.range(20).withColumnRenamed("id", "i"), 2)
     table = q.staged(linked(ops))
     files.write_gates(table, f"{tmp_path}/gates")
     back = files.read_gates(spark, f"{tmp_path}/gates")
     assert back.count() == table.count() and gates.dangling(back).count() == 0
     assert listed(files.from_qasm(files.to_qasm(ops))) == listed(ops)
     files.write_graph(table.selectExpr("id as node", "id as widget", "'H' as readable", "param"), edges.edge_list(table), f"{tmp_path}/graph")
-    assert spark.read.json(f"{tmp_path}/graph/links").count() == edges.edge_list(table).count()
+    drawn = {r.id for r in spark.read.json(f"{tmp_path}/graph/nodes").collect()}
+    arcs = spark.read.json(f"{tmp_path}/graph/links").collect()
+    assert len(arcs) == edges.edge_list(table).where("source >= 0 and target >= 0").count() and {x for r in arcs for x in (r.source, r.target)} == drawn
+    placed = layers.layer_rows(layers.layered(ops, q.staged))
+    files.write_layers(placed, f"{tmp_path}/layers")
+    assert sorted(map(repr, files.read_layers(spark, f"{tmp_path}/layers").collect())) == sorted(map(repr, placed.collect()))
+    for n in (1, 2):
+        files.append_stats(gates.stats(table).selectExpr(f"{n} as id", "*"), f"{tmp_path}/log")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/log").count() == 2
     files.write_stats(gates.stats(table).selectExpr("1 as id", "*"), f"{tmp_path}/stats")
     assert spark.read.option("header", True).csv(f"{tmp_path}/stats").first()["h_count"] is not None

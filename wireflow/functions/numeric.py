@@ -19,11 +19,6 @@ def twos_complement(x: Column, bits: int) -> Column:
     return F.right(F.lpad(F.bin(x.cast("bigint")), 64, "0"), F.lit(bits))
 
 
-def wrapped(angle: Column) -> Column:
-    """An angle (multiples of pi) in [-1, 1)."""
-    return F.pmod(angle + 1, F.lit(2.0)) - 1
-
-
 def common_angle(angle: Column, tolerance: float) -> Column:
     """k in 0..7 if the angle is k / 4 (multiples of pi, modulo 2) within a tolerance, else null."""
     turn = F.pmod(angle, F.lit(2.0)) * 4

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wireflow.functions.codec import link, link_id, link_port, link_type
+from wireflow.plans.running import global_rank
+
+SIDES = [f"{s}_q{p}" for s in ("prev", "next") for p in (1, 2, 3)]
+
 #: The sequences in time order; letters are the operation's qubits.
 TOFFOLI = "H c,CX bc,t c,CX ac,T c,CX bc,t c,CX ac,CX ab,t b,CX ab,T a,T b,T c,H c"
 TOFFOLI_REVERSED = "H c,T c,T b,T a,CX ab,t b,CX ab,CX ac,t c,CX bc,T c,CX ac,t c,CX bc,H c"
@@ -92,3 +97,85 @@ def lowered_controls(rows: DataFrame) -> DataFrame:
     core = F.array(F.struct(F.when(n == 0, 9).when(n == 1, 18).when(n == 2, 23).otherwise(F.raise_error(F.lit("more than two controls"))).cast("short").alias("type"),
                             F.concat(F.transform("controls", lambda c: c["qubit"]), F.array("target")).alias("qubits")))
     return rows.select("line", F.posexplode(F.concat(flips, core, flips)).alias("sub", "op")).select("line", F.col("sub").cast("bigint").alias("sub"), "op.*")
+
+
+#: Gates of the base set, which nothing decomposes further (In, Out, measurements and rotations by odd angles stay too).
+SWAP, CZ_BY_CX = "CX ab,CX ba,CX ab", "H b,CX ab,H b"
+
+
+def _in_place(text: str) -> F.Column:
+    """The steps of a sequence on an operation's own qubits."""
+    at = {name: F.try_element_at("qubits", F.lit(i + 1)) for i, name in enumerate("abc")}
+    return F.array(*[F.struct(F.lit(c).cast("short").alias("type"), F.lit(p).cast("float").alias("param"), F.array(*[at[q] for q in qs]).alias("qubits")) for c, p, qs in sequence(text, AS_TYPES)])
+
+
+def to_base(ops: DataFrame, staged, most: int = 16) -> DataFrame:
+    """(op_id, path, type, param, qubits): operations decomposed again and again until all are of the base set.
+
+    ``path`` has the place in each round's sequence; (op_id, path) is the order in time. Doubly
+    controlled NOTs, controlled swaps, swaps, controlled Z's and rotations or powers by quarters
+    of a turn become H, CX, X and the types of S and T; other gates and angles stay as they are."""
+    kind, quarter = F.col("type"), F.col("param").cast("double") * 4
+    is_quarter = F.abs(quarter - F.round(quarter)) <= 1e-9
+    turns = lambda word: F.element_at(F.array(*[_in_place(word(x)) if word(x) else F.expr("cast(array() as array<struct<type:smallint,param:float,qubits:array<bigint>>>)") for x in QUARTERS]), F.pmod(F.round(quarter).cast("int"), F.lit(8)) + 1)
+    around = lambda x, before, after: ",".join(f"{y} a" for y in [*before, *[z for z in x.split(",") if z], *after])
+    z, x, y = turns(lambda w: around(w, "", "")), turns(lambda w: around(w, "H", "H")), turns(lambda w: around(w, "sH", "HS"))
+    steps = (F.when(kind.isin(21, 23), _in_place(TOFFOLI)).when(kind == 24, _in_place(FREDKIN)).when(kind == 31, _in_place(SWAP)).when(kind == 16, _in_place(CZ_BY_CX))
+             .when(kind.isin(4, 7) & is_quarter, z).when(kind.isin(2, 5) & is_quarter, x).when(kind.isin(3, 6) & is_quarter, y))
+    now = staged(ops.select("op_id", F.expr("cast(array() as array<int>)").alias("path"), "type", F.col("param").cast("float").alias("param"), "qubits"))
+    for _ in range(most):
+        marked = now.withColumn("steps", steps)
+        if marked.where("steps is not null").isEmpty():
+            return now
+        same = F.array(F.struct("type", "param", "qubits"))
+        now = staged(marked.select("op_id", "path", F.posexplode(F.coalesce("steps", same)).alias("at", "op")).select("op_id", F.concat("path", F.array("at")).alias("path"), "op.*"))
+    raise ValueError(f"operations are composite after {most} rounds")
+
+
+def toffolis_in_place(gates: DataFrame, staged, text: str = TOFFOLI, code: int = 23) -> DataFrame:
+    """A linked table with every gate of a type with three ports replaced by a sequence of gates, links and all.
+
+    New gates get ids after the largest one: those of the n-th replaced gate (by id) follow each
+    other. Each port of a replaced gate has an entry and an exit among the new ones; links that
+    led to the port lead there, also from one replaced gate to the next."""
+    steps = sequence(text, AS_TYPES)
+    size, columns = len(steps), gates.columns
+    top = gates.agg((F.max("id") + 1).alias("top"))
+    own = staged(global_rank(gates.where(F.col("type") == code), "id", name="n").join(F.broadcast(top)).withColumn("base", F.col("top") + size * F.col("n")))
+    where = {q: [(i, qs.index(q)) for i, (_, _, qs) in enumerate(steps) if q in qs] for q in "abc"}
+    ends = {q: (where[q][0], where[q][-1]) for q in "abc"}
+    to = lambda base, at: link(base + at[0], F.lit(at[1]), F.lit(steps[at[0]][0]))
+    entry = F.array(*[to(F.col("base"), ends[q][0]) for q in "abc"])
+    leave = F.array(*[to(F.col("base"), ends[q][1]) for q in "abc"])
+    doors = own.select(F.col("id").alias("door"), entry.alias("entry"), leave.alias("leave"))
+
+    def moved(rows: DataFrame, column: str) -> DataFrame:
+        """Links to ports of replaced gates lead to the new gates instead."""
+        side = "leave" if column.startswith("prev") else "entry"
+        met = rows.withColumn("__to", F.when(link_type(column) == code, link_id(column)))
+        met = met.join(doors.select(F.col("door").alias("__to"), F.col(side).alias("__ends")), "__to", "left")
+        return met.withColumn(column, F.coalesce(F.try_element_at("__ends", (link_port(column) + 1).cast("int")), F.col(column))).drop("__to", "__ends")
+
+    rest = gates.where(F.col("type") != code)
+    outer = own.select("base", *SIDES)
+    for c in SIDES:
+        rest = moved(rest, c)
+        outer = moved(outer, c)
+    outer = staged(outer)
+    rows = []
+    for i, (kind, param, qs) in enumerate(steps):
+        links = {}
+        for port in range(3):
+            q = qs[port] if port < len(qs) else None
+            at = where[q].index((i, port)) if q else None
+            wire = "abc".index(q) + 1 if q else None
+            links[f"prev_q{port + 1}"] = F.lit(None) if q is None else F.col(f"prev_q{wire}") if at == 0 else to(F.col("base"), where[q][at - 1])
+            links[f"next_q{port + 1}"] = F.lit(None) if q is None else F.col(f"next_q{wire}") if at == len(where[q]) - 1 else to(F.col("base"), where[q][at + 1])
+        rows.append(F.struct((F.col("base") + i).alias("id"), F.lit(kind).cast("short").alias("type"), F.lit(param).cast("float").alias("param"), *[v.cast("bigint").alias(k) for k, v in links.items()]))
+    new = outer.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+    kinds = dict(gates.dtypes)
+    fixed = {"global_shift": 0.0, "switch": False, "visited": -1}
+    for c in columns:
+        if c not in new.columns:
+            new = new.withColumn(c, F.lit(fixed.get(c)).cast(kinds[c]))
+    return rest.select(*columns).unionByName(new.select(*columns))

@@ -40,11 +40,18 @@ def batch_nodes(batches: DataFrame) -> DataFrame:
     return batches.select("batch", F.explode(F.array("source", "target")).alias("node")).where("node >= 0").distinct()
 
 
+def d3_name(prefix: str = "") -> F.Column:
+    """The name of a gate in a drawing: its readable name, parameter and id."""
+    return F.concat(F.col(f"{prefix}readable"), F.lit("*"), F.col(f"{prefix}param").cast("string"), F.lit("("), F.col(f"{prefix}node").cast("string"), F.lit(")"))
+
+
 def d3_nodes(members: DataFrame) -> DataFrame:
     """A JSON object for every gate of (node, widget, readable, param)."""
-    name = F.concat(F.col("readable"), F.lit("*"), F.col("param").cast("string"), F.lit("("), F.col("node").cast("string"), F.lit(")"))
-    return members.select(F.to_json(F.struct(name.alias("id"), F.col("widget").alias("group"))).alias("json"))
+    return members.select(F.to_json(F.struct(d3_name().alias("id"), F.col("widget").alias("group"))).alias("json"))
 
 
-def d3_links(edges: DataFrame) -> DataFrame:
-    return edges.select(F.to_json(F.struct("source", "target", F.lit(1).alias("value"))).alias("json"))
+def d3_links(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """A JSON object for every edge (source, target), its ends named as the nodes (node, readable, param) are; none for the global gates."""
+    ends = names.select("node", d3_name().alias("name"))
+    both = edges.where("source >= 0 and target >= 0").join(ends.select(F.col("node").alias("source"), F.col("name").alias("s")), "source").join(ends.select(F.col("node").alias("target"), F.col("name").alias("t")), "target")
+    return both.select(F.to_json(F.struct(F.col("s").alias("source"), F.col("t").alias("target"), F.lit(1).alias("value"))).alias("json"))

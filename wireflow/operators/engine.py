@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wireflow.functions.codec import link, link_id, link_port, link_type
+from wireflow.operators.gates import stats
 from wireflow.schema import CONTROLLED, CX, H, S, S_DAG, T, T_DAG
 
 SIDES = [f"{s}_q{p}" for s in ("prev", "next") for p in (1, 2, 3)]
@@ -167,10 +168,34 @@ def to_fixpoint(gates: DataFrame, rule: Rule, staged: Callable[[DataFrame], Data
     return gates, done
 
 
-def optimise(gates: DataFrame, rules, staged: Callable[[DataFrame], DataFrame], passes: int = 1) -> DataFrame:
-    """The rules in order, each to its fixpoint, for so many passes."""
-    gates = staged(gates)
-    for _ in range(passes):
+def optimise(gates: DataFrame, rules, staged: Callable[[DataFrame], DataFrame], passes: int | None = None) -> DataFrame:
+    """The rules in order, each to its fixpoint, pass after pass until one rewrites nothing (or for so many passes).
+
+    What a rule removes may bring others' patterns together, so one pass is not enough. Rules
+    that undo each other need ``passes``."""
+    gates, turn, done = staged(gates), 0, 1
+    while done and (passes is None or turn < passes):
+        done = 0
         for rule in rules:
-            gates, _ = to_fixpoint(gates, rule, staged)
+            gates, n = to_fixpoint(gates, rule, staged)
+            done += n
+        turn += 1
     return gates
+
+
+def series(gates: DataFrame, rules, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(step, pass, rule, rewrites, counts...): the counts at the start (step 0) and after every rule of :func:`optimise`, until a pass rewrites nothing."""
+    spark = gates.sparkSession
+    gates = staged(gates)
+    log, rows, turn, step, done = [], stats(gates).withColumn("step", F.lit(0)), 0, 0, 1
+    log.append((0, None, "start", 0))
+    while done:
+        done = 0
+        for rule in rules:
+            gates, n = to_fixpoint(gates, rule, staged)
+            step, done = step + 1, done + n
+            log.append((step, turn, rule.name, n))
+            rows = rows.unionByName(stats(gates).withColumn("step", F.lit(step)))
+        turn += 1
+    names = spark.createDataFrame(log, "step int, pass int, rule string, rewrites long")
+    return names.join(rows, "step")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from math import floor, log2
 
 import numpy as np
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from wireflow.functions.codec import link_id, link_port
 from wireflow.schema import CCX, IN, T, T_DAG, ZPOW
 
-#: Operations of one chunk; a chunk's effect on the qubits it touches is one short table.
-CHUNK = 1 << 14
+#: Qubits up to which a chunk's longest paths are a matrix over all qubits, and operations of a chunk beyond; both bound a task's memory.
+DENSE_QUBITS, SMALL_CHUNK, CHUNKS = 2048, 1 << 10, (1 << 14, 1 << 20)
 #: Fixed values of the cost model: T gates of a rotation to precision e are 3.02 log2(1/e) + 0.77.
 T_SLOPE, T_OFFSET, CCX_COST = 3.02, 0.77, 7
 
@@ -23,31 +23,37 @@ def _summary(batch: pd.DataFrame) -> pd.DataFrame:
     """The longest paths through a chunk, from each touched qubit to each: (chunk, source, target, length)."""
     rows = batch.sort_values("op_id")
     names, places = np.unique(np.concatenate([np.asarray(q) for q in rows["qubits"]]), return_inverse=True)
-    far = np.full((len(names), len(names)), -np.inf)
+    far = np.full((len(names), len(names)), -1, np.int32)
     np.fill_diagonal(far, 0)
     at = 0
     for q in rows["qubits"]:
         own = places[at : at + len(q)]
         at += len(q)
-        far[own] = far[own].max(axis=0) + 1
-    target, source = np.nonzero(np.isfinite(far))
+        most = far[own].max(axis=0)
+        far[own] = np.where(most < 0, -1, most + 1)
+    target, source = np.nonzero(far >= 0)
     return pd.DataFrame({"chunk": int(rows["chunk"].iloc[0]), "source": names[source], "target": names[target], "length": far[target, source].astype(np.int64)})
 
 
-def _carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The layer that each touched qubit has when a chunk begins: one pass over the summaries, a number a qubit in memory."""
-    layer: dict[int, int] = {}
-    now, new = None, {}
-    for batch in batches:
-        starts = []
-        for chunk, source, target, length in batch[["chunk", "source", "target", "length"]].itertuples(index=False):
-            if chunk != now:
-                layer.update(new)
-                now, new = chunk, {}
-            if source == target:
-                starts.append((chunk, source, layer.get(source, 0)))
-            new[target] = max(new.get(target, 0), layer.get(source, 0) + length)
-        yield pd.DataFrame(starts, columns=["chunk", "qubit", "layer"])
+def _joined(paths: DataFrame) -> DataFrame:
+    """Paths through pairs of neighbouring chunks (2k, 2k + 1): the longest by way of any qubit; what the second leaves alone stays."""
+    pair = F.floor(F.col("chunk") / 2).cast("bigint").alias("pair")
+    first = paths.where("chunk % 2 = 0").select(pair, F.col("source").alias("from"), F.col("target").alias("mid"), F.col("length").alias("before"))
+    second = paths.where("chunk % 2 = 1").select(pair, F.col("source").alias("mid"), "target", "length")
+    through = second.join(first, ["pair", "mid"], "left").select("pair", F.coalesce("from", "mid").alias("source"), "target", (F.col("length") + F.coalesce("before", F.lit(0))).alias("length"))
+    touched = second.select("pair", F.col("target").alias("mid")).distinct()
+    rest = first.join(touched, ["pair", "mid"], "left_anti").select("pair", F.col("from").alias("source"), F.col("mid").alias("target"), F.col("before").alias("length"))
+    return through.unionByName(rest).groupBy("pair", "source", "target").agg(F.max("length").alias("length")).withColumnRenamed("pair", "chunk")
+
+
+def _halved(starts: DataFrame, paths: DataFrame) -> DataFrame:
+    """(chunk, qubit, layer) at the start of every chunk from those (chunk, qubit, layer) at the start of its pair."""
+    pair = F.floor(F.col("chunk") / 2).cast("bigint").alias("pair")
+    start = starts.withColumnRenamed("chunk", "pair")
+    moved = paths.where("chunk % 2 = 0").select(pair, F.col("source").alias("qubit"), "target", "length").join(start, ["pair", "qubit"]).groupBy("pair", "target").agg(F.max(F.col("layer") + F.col("length")).alias("later"))
+    after = start.join(moved.withColumnRenamed("target", "qubit"), ["pair", "qubit"], "left").select((F.col("pair") * 2 + 1).alias("chunk"), "qubit", F.coalesce("later", "layer").alias("layer"))
+    both = start.select((F.col("pair") * 2).alias("chunk"), "qubit", "layer").unionByName(after)
+    return both.join(paths.select("chunk", F.col("target").alias("qubit")).distinct(), ["chunk", "qubit"], "left_semi")
 
 
 def _placed(key, ops: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
@@ -62,15 +68,25 @@ def _placed(key, ops: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
     return rows.drop(columns="chunk").assign(layer=out)
 
 
-def layered(ops: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def layered(ops: DataFrame, staged: Callable[[DataFrame], DataFrame], chunk: int | None = None) -> DataFrame:
     """ops(op_id, type, param, qubits) with ``layer``: one more than the last layer of its qubits (inputs are layer 0).
 
-    Chunks are summarised apart as longest paths between their qubits, the qubits' layers are
-    carried through the summaries, and the chunks are then scanned apart, each from its start."""
-    rows = ops.select("op_id", "type", F.col("param").cast("double").alias("param"), "qubits").withColumn("chunk", F.floor(F.col("op_id") / chunk).cast("bigint"))
-    sums = rows.groupBy("chunk").applyInPandas(_summary, "chunk long, source long, target long, length long")
-    # a self-path comes first for its qubit; a chunk's rows have at most its qubits squared
-    starts = sums.repartition(1).sortWithinPartitions("chunk", "source", "target").mapInPandas(_carry, "chunk long, qubit long, layer long")
+    Chunks are summarised apart as longest paths between their qubits. A tree of joins adds up
+    the paths of neighbouring chunks, as many rounds as the number of chunks has binary digits;
+    down the same tree the layers at the start of each chunk are handed on, and the chunks are
+    scanned apart, each from its start. No task sees more than its chunk."""
+    rows = ops.select("op_id", "type", F.col("param").cast("double").alias("param"), "qubits")
+    if chunk is None:
+        n = rows.select(F.explode("qubits").alias("q")).distinct().count()
+        chunk = min(max(CHUNKS[0], n * n // 4), CHUNKS[1]) if n <= DENSE_QUBITS else SMALL_CHUNK
+    rows = rows.withColumn("chunk", F.floor(F.col("op_id") / chunk).cast("bigint"))
+    last = rows.agg(F.max("chunk")).first()[0]
+    tree = [staged(rows.groupBy("chunk").applyInPandas(_summary, "chunk long, source long, target long, length long"))]
+    while (last or 0) >> (len(tree) - 1):
+        tree.append(staged(_joined(tree[-1])))
+    starts = tree[-1].select("chunk", F.col("target").alias("qubit")).distinct().withColumn("layer", F.lit(0).cast("bigint"))
+    for paths in tree[-2::-1]:
+        starts = staged(_halved(starts, paths))
     return rows.groupBy("chunk").cogroup(starts.groupBy("chunk")).applyInPandas(_placed, "op_id long, type short, param double, qubits array<long>, layer long")
 
 

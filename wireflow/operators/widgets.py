@@ -78,3 +78,16 @@ def widget_stats(members: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Number of widgets, their mean depth and T count, and how many have the full depth."""
     own = members.groupBy("batch", "widget").agg(F.first("t").alias("t"), F.first("depth").alias("depth"))
     return own.agg(F.count(F.lit(1)).alias("widgets"), F.avg("depth").alias("mean_depth"), F.avg("t").alias("mean_t"), F.count_if(F.col("depth") == max_depth).cast("bigint").alias("full"))
+
+
+def widget_gates(members: DataFrame, gates: DataFrame) -> DataFrame:
+    """The gates of every widget: (batch, widget) and the columns of the gate table."""
+    return members.select("batch", "widget", F.col("node").alias("id")).join(gates, "id")
+
+
+def widget_inputs(members: DataFrame, batches: DataFrame) -> DataFrame:
+    """(batch, widget, source, target): edges that enter a widget from outside it (another widget, another batch or a global gate)."""
+    own = members.select("batch", "widget", F.col("node").alias("target"))
+    other = members.select("batch", F.col("widget").alias("from"), F.col("node").alias("source"))
+    into = batches.join(own, ["batch", "target"]).join(other, ["batch", "source"], "left")
+    return into.where(F.col("from").isNull() | (F.col("from") != F.col("widget"))).select("batch", "widget", "source", "target")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wireflow.plans.build import wires
@@ -47,8 +46,47 @@ def commute_through_controls(ops: DataFrame, code: int = T) -> DataFrame:
     """(qubit, island, place, op_id): within a run of rotations and controls, controls come first and rotations last, each in their order."""
     control = F.col("type").isin(*CONTROLLED) & (F.col("port") == 0)
     own = islands(wires(ops), control | (F.col("type") == code))
-    at = F.row_number().over(W.partitionBy("qubit", "island").orderBy(F.col("type") == code, "op_id")) - 1
-    return own.select("qubit", "island", at.cast("bigint").alias("place"), "op_id")
+    moving = F.col("type") == code
+    run = running_sum(own.withColumn("moving", moving.cast("bigint")), ["qubit", "island"], "op_id", F.col("moving"), "moved")
+    run = running_sum(run, ["qubit", "island"], "op_id", 1 - F.col("moving"), "stayed")
+    controls = run.groupBy(F.col("qubit").alias("cq"), F.col("island").alias("ci")).agg(F.max("stayed").alias("controls"))
+    rows = run.join(controls, (F.col("qubit") == F.col("cq")) & (F.col("island") == F.col("ci")))
+    return rows.select("qubit", "island", (F.when(F.col("moving") == 1, F.col("controls") + F.col("moved")).otherwise(F.col("stayed")) - 1).alias("place"), "op_id")
+
+
+def without_pairs(ops: DataFrame, code: int = H, param: float = 1.0) -> DataFrame:
+    """The circuit after cancelling runs of equal self-inverse gates: of an odd run the last one stays."""
+    own = islands(wires(ops), (F.col("type") == code) & (F.col("param") == F.lit(param).cast("float")))
+    runs = own.groupBy("qubit", "island").agg(F.count(F.lit(1)).alias("n"), F.max("op_id").alias("last"))
+    gone = own.select("qubit", "island", "op_id").join(runs, ["qubit", "island"]).where((F.col("n") % 2 == 0) | (F.col("op_id") < F.col("last")))
+    return ops.join(gone.select("op_id"), "op_id", "left_anti")
+
+
+def without_brackets(ops: DataFrame, first: int = T, second: int = T_DAG) -> DataFrame:
+    """The circuit after cancelling pairs (first, second) in runs of both: of a run the unmatched gates stay.
+
+    Unmatched are the gates second that bring the running height (first counts 1, second -1) to a
+    new least, and the gates first after which the height never falls below theirs again."""
+    own = islands(wires(ops), F.col("type").isin(first, second))
+    step = F.when(F.col("type") == first, 1).otherwise(-1).cast("bigint")
+    sums = running_sum(own, ["qubit", "island"], "op_id", step, "height")
+    # of each height, the first gate that falls to it and the last that rises to it
+    ends = sums.groupBy("qubit", "island", "height").agg(F.min(F.when(F.col("type") == second, F.col("op_id"))).alias("fall"), F.max(F.when(F.col("type") == first, F.col("op_id"))).alias("rise"))
+    total = sums.groupBy("qubit", "island").agg(F.least(F.min("height"), F.lit(0)).alias("least"), F.sum(step).alias("total"))
+    kept = ends.join(total, ["qubit", "island"]).select(F.explode(F.array_compact(F.array(
+        F.when(F.col("height") < 0, F.col("fall")), F.when((F.col("height") > F.col("least")) & (F.col("height") <= F.col("total")), F.col("rise"))))).alias("op_id"))
+    return ops.join(own.select("op_id").join(kept, "op_id", "left_anti"), "op_id", "left_anti")
+
+
+def with_pairs_fused(ops: DataFrame, code: int = T, fused: int = S) -> DataFrame:
+    """The circuit after fusing pairs of equal gates from the left of each run: the first of a pair becomes ``fused``, the second goes."""
+    own = islands(wires(ops), F.col("type") == code)
+    run = running_sum(own, ["qubit", "island"], "op_id", F.lit(1).cast("bigint"), "at")
+    size = run.groupBy(F.col("qubit").alias("sq"), F.col("island").alias("si")).agg(F.count(F.lit(1)).alias("n"))
+    run = run.join(size, (F.col("qubit") == F.col("sq")) & (F.col("island") == F.col("si")))
+    marks = run.select("op_id", (F.col("at") % 2 == 0).alias("gone"), ((F.col("at") % 2 == 1) & (F.col("at") < F.col("n"))).alias("fuses"))
+    rest = ops.join(marks, "op_id", "left").where(~F.coalesce("gone", F.lit(False)))
+    return rest.withColumn("type", F.when(F.col("fuses"), F.lit(fused)).otherwise(F.col("type")).cast("short")).drop("gone", "fuses")
 
 
 def _links_of_two(ops: DataFrame) -> DataFrame:
@@ -76,9 +114,8 @@ def cancel_two_qubit(ops: DataFrame, code: int = CX, staged=None) -> DataFrame:
         heads = F.col("prev").isNull()
         members = chained.join(follow.select(F.col("to").alias("op_id"), F.col("op_id").alias("prev")), "op_id", "left").join(ops.select("op_id", F.element_at("qubits", 1).alias("qubit")), "op_id")
         runs = running_sum(members.withColumn("head", heads), ["qubit"], "op_id", F.col("head").cast("bigint"), "run")
-        place = F.row_number().over(W.partitionBy("qubit", "run").orderBy("op_id"))
-        size = F.count(F.lit(1)).over(W.partitionBy("qubit", "run"))
-        gone = runs.select("op_id", place.alias("at"), size.alias("n")).where((F.col("n") % 2 == 0) | (F.col("at") < F.col("n"))).select("op_id")
+        ends = runs.groupBy(F.col("qubit").alias("eq"), F.col("run").alias("er")).agg(F.count(F.lit(1)).alias("n"), F.max("op_id").alias("last"))
+        gone = runs.join(ends, (F.col("qubit") == F.col("eq")) & (F.col("run") == F.col("er"))).where((F.col("n") % 2 == 0) | (F.col("op_id") < F.col("last"))).select("op_id")
         now = staged(now.join(gone, "op_id", "left_anti"))
 
 
@@ -113,5 +150,3 @@ def expand_cx(ops: DataFrame) -> DataFrame:
     same = F.array(F.struct("type", "param", "qubits"))
     return ops.select("op_id", F.posexplode(F.when(F.col("type").isin(15, CX), five).otherwise(same)).alias("sub", "op")).select("op_id", F.col("sub").cast("bigint").alias("sub"), "op.*")
 
-
-FUSED = S

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wireflow.functions.codec import link
-from wireflow.plans.running import neighbours, running_sum
+from wireflow.plans.running import global_rank, neighbours, running_sum
 from wireflow.schema import IN, OUT
 
 
@@ -17,14 +16,14 @@ def wires(ops: DataFrame) -> DataFrame:
 
 
 def qubits(ops: DataFrame) -> DataFrame:
-    """(qubit, first_op, rank): in the order of first touch; one row a qubit, so one window may hold them."""
+    """(qubit, first_op, rank): in the order of first touch."""
     first = wires(ops).groupBy("qubit").agg(F.min(F.struct("op_id", "port")).alias("f"))
-    return first.select("qubit", F.col("f.op_id").alias("first_op"), (F.row_number().over(W.orderBy("f")) - 1).cast("bigint").alias("rank"))
+    return global_rank(first.select("qubit", F.col("f.op_id").alias("first_op"), F.col("f.port").alias("port")), "first_op", "port").drop("port")
 
 
-def numbered(ops: DataFrame) -> DataFrame:
-    """Add ``id``: the place of an operation once every qubit has an In gate just before its first operation."""
-    new = qubits(ops).groupBy("first_op").agg(F.count(F.lit(1)).alias("new"))
+def numbered(ops: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Add ``id``: the place of an operation once every qubit (see :func:`qubits`) has an In gate just before its first operation."""
+    new = (qubits(ops) if places is None else places).groupBy("first_op").agg(F.count(F.lit(1)).alias("new"))
     counted = ops.join(new, F.col("op_id") == F.col("first_op"), "left").drop("first_op")
     return running_sum(counted, [], "op_id", F.coalesce("new", F.lit(0)).cast("bigint"), "touched").withColumn("id", F.col("op_id") + F.col("touched")).drop("new", "touched")
 
@@ -37,9 +36,10 @@ def linked(ops: DataFrame, staged=lambda df: df) -> DataFrame:
     for name, kind in (("label", "string"), ("cl_ctrl", "boolean"), ("meas_key", "short")):
         if name not in ops.columns:
             ops = ops.withColumn(name, F.lit(None).cast(kind))
-    own = staged(numbered(ops))
-    n_ops = ops.agg(F.count(F.lit(1)).alias("n_ops"))
-    places = qubits(ops).join(F.broadcast(n_ops)).withColumn("n_qubits", F.count(F.lit(1)).over(W.partitionBy()))
+    places = staged(qubits(ops))
+    own = staged(numbered(ops, places))
+    totals = ops.agg(F.count(F.lit(1)).alias("n_ops")).join(places.agg(F.count(F.lit(1)).alias("n_qubits")))
+    places = places.join(F.broadcast(totals))
     here = own.select("id", "type", F.posexplode("qubits").alias("port", "qubit"))
     ends = places.select("qubit", (F.col("first_op") + F.col("rank")).alias("in_id"), (F.col("n_ops") + F.col("n_qubits") + F.col("rank")).alias("out_id"))
     rows = staged(neighbours(here, ["qubit"], "id", F.struct("id", "port", "type"), "before", "after").join(ends.withColumnRenamed("qubit", "q"), F.col("qubit") == F.col("q")))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wireflow.plans.staging import staged
+
 CHUNK = 1 << 16
 
 
@@ -46,9 +48,11 @@ def neighbours(df: DataFrame, by: list[str], order: str, value: Column, before:
 
 
 def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """Number all rows from 0 in the order of columns: ranges are sorted apart and offset by the counts before them."""
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    """Number all rows from 0 in the order of columns: ranges are sorted apart and offset by the counts before them.
+
+    The ranges are written with their numbers first, so that the counts and the rows see the same ones."""
+    parts = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select(F.col("__part").alias("p"), (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__start"))
     inside = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
-    return parts.withColumn("__in", inside).join(F.broadcast(starts), F.col("__part") == F.col("p")).withColumn(name, F.col("__start") + F.col("__in")).drop("__part", "__in", "p", "__start")
+    return parts.withColumn("__in", inside).join(F.broadcast(starts), F.col("__part") == F.col("p")).withColumn(name, (F.col("__start") + F.col("__in")).cast("bigint")).drop("__part", "__in", "p", "__start")

@@ -5,20 +5,22 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wireflow.functions import codec
 from wireflow.functions.codec import link_id, link_port, link_type, strip_type
 from wireflow.functions.numeric import common_angle, readable, twos_complement
-from wireflow.operators import decompose, edges, equivalence, gates, layers, widgets
+from wireflow.operators import decompose, edges, engine, equivalence, gates, layers, widgets
 from wireflow.operators import wire_rewrites as rewrites
 from wireflow.plans.build import linked, numbered, qubits, relinked, wires
-from wireflow.schema import CX, GATES, H, T, T_DAG
-from wireflow.sources import adder_text, files
+from wireflow.plans.running import global_rank
+from wireflow.plans.staging import once, shared_dir, staged
+from wireflow.schema import CCX, CX, GATES, H, T, T_DAG
+from wireflow.sources import adder_text, files, generators
 from wireflow.sources.orders import circuit, events_circuit, table, triples
 
 QUERIES: dict = {}
+_LABELLED: set[str] = set()
 SQL: dict[str, str] = {}
 
 _ROWS = ", ".join(f"({p}, {s}, {j}, {c}, {w}, '{q}')" for p, s, seq in (
@@ -39,7 +41,7 @@ ids AS (SELECT op_id, CAST(op_id + sum(coalesce(c, 0)) OVER (ORDER BY op_id) AS
 ww AS (SELECT wires.*, id, lag(id * 1000 + port * 100 + type) OVER w AS lg, lead(id * 1000 + port * 100 + type) OVER w AS ld
        FROM wires JOIN ids USING (op_id) WINDOW w AS (PARTITION BY qubit ORDER BY op_id)),
 wl AS (SELECT ww.*, f + r AS in_id, n_ops + n_q + r AS out_id, coalesce(lg, (f + r) * 1000) AS pv, coalesce(ld, (n_ops + n_q + r) * 1000 + 1) AS nx FROM ww JOIN qb USING (qubit), n),
-gates AS (SELECT any_value(wl.id) AS id, max(CASE WHEN port = 0 THEN pv END) AS prev_q1, max(CASE WHEN port = 1 THEN pv END) AS prev_q2, any_value(o.type) AS type, any_value(o.param) AS param,
+gates AS MATERIALIZED (SELECT any_value(wl.id) AS id, max(CASE WHEN port = 0 THEN pv END) AS prev_q1, max(CASE WHEN port = 1 THEN pv END) AS prev_q2, any_value(o.type) AS type, any_value(o.param) AS param,
                  coalesce(any_value(q0 < q1), false) AS switch, max(CASE WHEN port = 0 THEN nx END) AS next_q1, max(CASE WHEN port = 1 THEN nx END) AS next_q2, any_value(label) AS label
           FROM wl JOIN ops o USING (op_id) GROUP BY op_id
           UNION ALL SELECT in_id, NULL, NULL, 0, 0.0, false, id * 1000 + port * 100 + type, NULL, NULL FROM wl WHERE lg IS NULL
@@ -72,6 +74,25 @@ def built(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(staged(circuit(spark, sf_dir)), staged)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate table of the orders' circuit, linked once for a folder and then read."""
+    return once(spark, "gates", sf_dir, lambda: built(spark, sf_dir))
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circuit's operations with their layers, computed once for a folder."""
+    return once(spark, "layers", sf_dir, lambda: layers.layered(staged(circuit(spark, sf_dir)), staged))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored circuit in a folder for every label: a scan by label reads only its files."""
+    path = once(spark, "labels", sf_dir, lambda: spark.createDataFrame([(f"{shared_dir(spark)}/wf-labelled-{uuid.uuid4().hex}",)], "path string")).first().path
+    if path not in _LABELLED:
+        files.write_gates(stored(spark, sf_dir), path)
+        _LABELLED.add(path)
+    return files.read_gates(spark, path)
+
+
 def flat(ops: DataFrame) -> list:
     """q0 and q1 of the qubits."""
     return [F.element_at("qubits", 1).alias("q0"), F.try_element_at("qubits", F.lit(2)).alias("q1")]
@@ -79,24 +100,24 @@ def flat(ops: DataFrame) -> list:
 
 # scans and filters
 query("scan_gates", GATE + " SELECT id, prev_q1, prev_q2, type, param, switch, next_q1, next_q2 FROM gates")(
-    lambda s, d: built(s, d).select(*big("id", "prev_q1", "prev_q2", "type"), *real("param"), "switch", *big("next_q1", "next_q2")))
-query("scan_by_label", GATE + " SELECT id, type FROM gates WHERE label = '3'")(lambda s, d: gates.by_label(built(s, d), "3").select(*big("id", "type")))
+    lambda s, d: stored(s, d).select(*big("id", "prev_q1", "prev_q2", "type"), *real("param"), "switch", *big("next_q1", "next_q2")))
+query("scan_by_label", GATE + " SELECT id, type FROM gates WHERE label = '3'")(lambda s, d: gates.by_label(labelled(s, d), "3").select(*big("id", "type")))
 query("scan_by_ids", GATE + " SELECT id, type FROM gates WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0)")(
-    lambda s, d: gates.by_ids(built(s, d), table(s, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("id"))).select(*big("id", "type")))
-query("batch_sizes", GATE + " SELECT id // 1000 AS batch, count(*) AS n FROM gates GROUP BY 1")(lambda s, d: gates.batches(built(s, d)))
+    lambda s, d: gates.by_ids(stored(s, d), table(s, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("id"))).select(*big("id", "type")))
+query("batch_sizes", GATE + " SELECT id // 1000 AS batch, count(*) AS n FROM gates GROUP BY 1")(lambda s, d: gates.batches(stored(s, d)))
 query("filter_type_param", GATE + " SELECT id FROM gates WHERE type = 8 AND param = 1.0")(
-    lambda s, d: built(s, d).where((F.col("type") == H) & (F.col("param") == F.lit(1.0).cast("float"))).select("id"))
-query("filter_type_in", GATE + " SELECT id, type FROM gates WHERE type IN (29, 30)")(lambda s, d: built(s, d).where(F.col("type").isin(T, T_DAG)).select(*big("id", "type")))
-query("pattern_prefilter", GATE + " SELECT id FROM gates WHERE type = 8 AND next_q1 % 100 = 8")(lambda s, d: built(s, d).where((F.col("type") == H) & (link_type("next_q1") == H)).select("id"))
-query("parallel_wires", GATE + " SELECT id FROM gates WHERE next_q1 // 1000 = next_q2 // 1000")(lambda s, d: built(s, d).where(link_id("next_q1") == link_id("next_q2")).select("id"))
+    lambda s, d: stored(s, d).where((F.col("type") == H) & (F.col("param") == F.lit(1.0).cast("float"))).select("id"))
+query("filter_type_in", GATE + " SELECT id, type FROM gates WHERE type IN (29, 30)")(lambda s, d: stored(s, d).where(F.col("type").isin(T, T_DAG)).select(*big("id", "type")))
+query("pattern_prefilter", GATE + " SELECT id FROM gates WHERE type = 8 AND next_q1 % 100 = 8")(lambda s, d: stored(s, d).where((F.col("type") == H) & (link_type("next_q1") == H)).select("id"))
+query("parallel_wires", GATE + " SELECT id FROM gates WHERE next_q1 // 1000 = next_q2 // 1000")(lambda s, d: stored(s, d).where(link_id("next_q1") == link_id("next_q2")).select("id"))
 query("arity_by_links", GATE + " SELECT CASE WHEN next_q2 IS NOT NULL THEN 2 WHEN next_q1 IS NOT NULL THEN 1 ELSE 0 END AS arity, count(*) AS n FROM gates GROUP BY 1")(
-    lambda s, d: built(s, d).groupBy(F.when(F.col("next_q3").isNotNull(), 3).when(F.col("next_q2").isNotNull(), 2).when(F.col("next_q1").isNotNull(), 1).otherwise(0).alias("arity")).agg(F.count(F.lit(1)).alias("n")))
+    lambda s, d: stored(s, d).groupBy(F.when(F.col("next_q3").isNotNull(), 3).when(F.col("next_q2").isNotNull(), 2).when(F.col("next_q1").isNotNull(), 1).otherwise(0).alias("arity")).agg(F.count(F.lit(1)).alias("n")))
 query("unsupported_gates", GATE + " SELECT type, count(*) AS n FROM gates WHERE type NOT IN (0, 1, 8, 29, 30) GROUP BY type")(
-    lambda s, d: built(s, d).join(F.broadcast(s.createDataFrame([(c,) for c in (0, 1, H, T, T_DAG)], "type short")), "type", "left_anti").groupBy(*big("type")).agg(F.count(F.lit(1)).alias("n")))
+    lambda s, d: stored(s, d).join(F.broadcast(s.createDataFrame([(c,) for c in (0, 1, H, T, T_DAG)], "type short")), "type", "left_anti").groupBy(*big("type")).agg(F.count(F.lit(1)).alias("n")))
 _IO = " ".join(f"CASE WHEN {c}_q{p} % 100 NOT IN (0, 1) THEN {c}_q{p} // 1000 END AS {c}_{p}," for c in ("prev", "next") for p in (1, 2))
-query("strip_io", GATE + f" SELECT {_IO} id FROM gates WHERE type NOT IN (0, 1)")(lambda s, d: gates.without_io(built(s, d)))
+query("strip_io", GATE + f" SELECT {_IO} id FROM gates WHERE type NOT IN (0, 1)")(lambda s, d: gates.without_io(stored(s, d)))
 query("count_non_io", GATE + " SELECT label, count(*) AS n FROM gates WHERE type NOT IN (0, 1) GROUP BY ROLLUP (label)")(
-    lambda s, d: built(s, d).where(gates.not_io()).rollup("label").agg(F.count(F.lit(1)).alias("n")))
+    lambda s, d: stored(s, d).where(gates.not_io()).rollup("label").agg(F.count(F.lit(1)).alias("n")))
 query("strip_measurements", EVENTS + " SELECT op_id, 0 AS port, qubit, lag(op_id) OVER w AS prev_op, lead(op_id) OVER w AS next_op FROM ev WHERE type NOT IN (13, 14) WINDOW w AS (PARTITION BY qubit ORDER BY op_id)")(
     lambda s, d: relinked((o := events_circuit(s, d)), gates.without_measurements(o)))
 
@@ -105,50 +126,51 @@ query("ops_source", OPS + " SELECT op_id, type, param, q0, q1, label, k, j FROM
 query("build_links", GATE + " SELECT id, prev_q1, prev_q2, next_q1, next_q2 FROM gates")(lambda s, d: built(s, d).select("id", "prev_q1", "prev_q2", "next_q1", "next_q2"))
 query("gate_ids", GATE + " SELECT op_id, id FROM ids")(lambda s, d: numbered(circuit(s, d)).select("op_id", "id"))
 query("meas_keys", EVENTS + ", ky AS (SELECT meas_key, min(op_id) AS f FROM ev WHERE meas_key IS NOT NULL GROUP BY 1) SELECT meas_key, row_number() OVER (ORDER BY f) - 1 AS place FROM ky")(
-    lambda s, d: events_circuit(s, d).where("meas_key is not null").groupBy("meas_key").agg(F.min("op_id").alias("f")).select("meas_key", (F.row_number().over(W.orderBy("f")) - 1).cast("bigint").alias("place")))
+    lambda s, d: events_circuit(s, d).where("meas_key is not null").groupBy("meas_key").agg(F.min("op_id").alias("f")).transform(lambda df: global_rank(df, "f", name="place")).select("meas_key", "place"))
 query("shard_ranges", "WITH n AS (SELECT count(*) AS n FROM orders), o AS (SELECT i AS shard, n * i // 5 AS lo, n * (i + 1) // 5 AS hi FROM n, range(5) t(i)) SELECT shard, j AS part, lo + (hi - lo) * j // 3 AS first, lo + (hi - lo) * (j + 1) // 3 AS upto FROM o, range(3) u(j)")(
     lambda s, d: gates.shard_ranges(table(s, d, "orders").agg(F.count(F.lit(1)).alias("n")), 5, 3))
 query("qubit_index", GATE + " SELECT in_id AS id, row_number() OVER (ORDER BY in_id) - 1 AS place FROM wl WHERE lg IS NULL")(
-    lambda s, d: built(s, d).where("type = 0").select("id", (F.row_number().over(W.orderBy("id")) - 1).cast("bigint").alias("place")))
+    lambda s, d: global_rank(stored(s, d).where("type = 0").select("id"), "id", name="place"))
 query("link_codec", GATE + " SELECT id, next_q1 // 1000 AS to_id, next_q1 // 100 % 10 AS to_port, next_q1 % 100 AS to_type, next_q1 // 100 AS stripped, next_q1 AS again FROM gates WHERE next_q1 IS NOT NULL")(
-    lambda s, d: built(s, d).where("next_q1 is not null").select("id", link_id("next_q1").alias("to_id"), link_port("next_q1").alias("to_port"), link_type("next_q1").alias("to_type"), strip_type("next_q1").alias("stripped"),
+    lambda s, d: stored(s, d).where("next_q1 is not null").select("id", link_id("next_q1").alias("to_id"), link_port("next_q1").alias("to_port"), link_type("next_q1").alias("to_type"), strip_type("next_q1").alias("stripped"),
                                                                    codec.link(link_id("next_q1"), link_port("next_q1"), link_type("next_q1")).alias("again")))
 
 
 @query("link_functions", GATE + " SELECT id, next_q1 // 1000 AS to_id, next_q1 // 100 AS stripped FROM gates WHERE next_q1 IS NOT NULL")
 def link_functions(spark, sf_dir):
     codec.register(spark)
-    return built(spark, sf_dir).where("next_q1 is not null").selectExpr("id", "get_id_from_link(next_q1) as to_id", "strip_link(next_q1) as stripped")
+    return stored(spark, sf_dir).where("next_q1 is not null").selectExpr("id", "get_id_from_link(next_q1) as to_id", "strip_link(next_q1) as stripped")
 
 
-query("switch_flag", GATE + " SELECT id, switch FROM gates WHERE prev_q2 IS NOT NULL")(lambda s, d: built(s, d).where("prev_q2 is not null").select("id", "switch"))
+query("switch_flag", GATE + " SELECT id, switch FROM gates WHERE prev_q2 IS NOT NULL")(lambda s, d: stored(s, d).where("prev_q2 is not null").select("id", "switch"))
 query("angle_norm", "SELECT o_orderkey AS k, o_totalprice / 1000 / pi() AS multiple, (o_totalprice / 1000) * pi() AS radians FROM orders")(
     lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 1000 / F.pi()).alias("multiple"), (F.col("o_totalprice") / 1000 * F.pi()).alias("radians")))
 _NAMES = ", ".join(f"({c}, '{r}')" for c, _, _, _, r in GATES)
-query("readable", GATE + f", nm(code, readable) AS (VALUES {_NAMES}) SELECT id, readable FROM gates JOIN nm ON code = type")(lambda s, d: built(s, d).select("id", readable("type").alias("readable")))
+query("readable", GATE + f", nm(code, readable) AS (VALUES {_NAMES}) SELECT id, readable FROM gates JOIN nm ON code = type")(lambda s, d: stored(s, d).select("id", readable("type").alias("readable")))
 query("relink", OPS + " SELECT op_id, CAST(port AS BIGINT) AS port, qubit, lag(op_id) OVER w AS prev_op, lead(op_id) OVER w AS next_op FROM wires WHERE type NOT IN (29, 30) WINDOW w AS (PARTITION BY qubit ORDER BY op_id)")(
     lambda s, d: relinked(circuit(s, d), ~F.col("type").isin(T, T_DAG)))
 query("wire_rows", OPS + " SELECT op_id, CAST(port AS BIGINT) AS port, qubit, type FROM wires")(lambda s, d: wires(circuit(s, d)).select("op_id", *big("port"), "qubit", *big("type")))
 
 # joins
 query("join_next", GATE + " SELECT g.id, g.type, h.id AS other, h.type AS other_type FROM gates g JOIN gates h ON g.next_q1 // 1000 = h.id")(
-    lambda s, d: gates.next_gates(built(s, d)).select(*big("id", "type", "other", "other_type")))
+    lambda s, d: gates.next_gates(stored(s, d)).select(*big("id", "type", "other", "other_type")))
 query("join_prev", GATE + " SELECT g.id, g.type, h.id AS other, h.type AS other_type FROM gates g JOIN gates h ON g.prev_q1 // 1000 = h.id")(
-    lambda s, d: gates.next_gates(built(s, d), "prev").select(*big("id", "type", "other", "other_type")))
+    lambda s, d: gates.next_gates(stored(s, d), "prev").select(*big("id", "type", "other", "other_type")))
 query("join_two_wire", GATE + " SELECT g.id AS first, h.id AS second FROM gates g JOIN gates h ON g.next_q1 // 1000 = h.id AND g.next_q2 // 1000 = h.id WHERE g.next_q1 // 100 % 10 = 0 AND g.next_q2 // 100 % 10 = 1")(
-    lambda s, d: gates.two_wire_pairs(built(s, d)))
+    lambda s, d: gates.two_wire_pairs(stored(s, d)))
 _HH = OPS + """, nb AS (SELECT *, lag(struct_pack(o := op_id, t := type)) OVER w AS b, lead(struct_pack(o := op_id, t := type)) OVER w AS a FROM wires WINDOW w AS (PARTITION BY qubit ORDER BY op_id)),
 hh AS (SELECT op_id AS cx, max(CASE WHEN port = 0 THEN qubit END) AS q0, max(CASE WHEN port = 1 THEN qubit END) AS q1, max(CASE WHEN port = 0 THEN b.o END) AS l0, max(CASE WHEN port = 1 THEN b.o END) AS l1,
        max(CASE WHEN port = 0 THEN a.o END) AS r0, max(CASE WHEN port = 1 THEN a.o END) AS r1 FROM nb WHERE type = 18 AND b.t = 8 AND a.t = 8 GROUP BY op_id HAVING count(*) = 2)"""
 query("match_hhcxhh", _HH + " SELECT * FROM hh")(lambda s, d: rewrites.match_hhcxhh(circuit(s, d)))
 query("cx_neighbours", GATE + ", lk AS (SELECT id, unnest([prev_q1, prev_q2, next_q1, next_q2]) AS l FROM gates WHERE type IN (15, 16, 17, 18)) SELECT id, count(DISTINCT l // 1000) AS n_neighbours, count(*) FILTER (WHERE l % 100 = 8) AS n_h FROM lk GROUP BY id")(
-    lambda s, d: gates.cx_neighbours(built(s, d)))
-query("dangling_links", "SELECT CAST(0 AS BIGINT) AS n")(lambda s, d: gates.dangling(built(s, d)).agg(F.count(F.lit(1)).alias("n")))
+    lambda s, d: gates.cx_neighbours(stored(s, d)))
+_LINKS = GATE + """, lk AS MATERIALIZED (SELECT id, type, s, p, l FROM (SELECT id, type, unnest(['prev', 'prev', 'next', 'next']) AS s, unnest([0, 1, 0, 1]) AS p, unnest([prev_q1, prev_q2, next_q1, next_q2]) AS l FROM gates) WHERE l IS NOT NULL)"""
+query("dangling_links", _LINKS + """ SELECT count(*) AS n FROM lk a WHERE NOT EXISTS (SELECT 1 FROM lk b WHERE b.id = a.l // 1000 AND b.type = a.l % 100 AND b.p = a.l // 100 % 10 AND b.s <> a.s AND b.l = a.id * 1000 + a.p * 100 + a.type)""")(lambda s, d: gates.dangling(stored(s, d)).agg(F.count(F.lit(1)).alias("n")))
 
 # aggregates
-query("gate_histogram", GATE + f", nm(code, name) AS (VALUES {', '.join(f'({c}, {n!r})' for c, n, *_ in GATES)}) SELECT name, count(*) AS n FROM gates JOIN nm ON code = type GROUP BY name")(lambda s, d: gates.histogram(built(s, d)))
+query("gate_histogram", GATE + f", nm(code, name) AS (VALUES {', '.join(f'({c}, {n!r})' for c, n, *_ in GATES)}) SELECT name, count(*) AS n FROM gates JOIN nm ON code = type GROUP BY name")(lambda s, d: gates.histogram(stored(s, d)))
 _STATS = "count(*) FILTER (WHERE type NOT IN (0, 1)) AS total_count, count(*) FILTER (WHERE type IN (29, 30)) AS t_count, count(*) FILTER (WHERE type IN (27, 28)) AS s_count, count(*) FILTER (WHERE type = 8) AS h_count, count(*) FILTER (WHERE type IN (15, 18)) AS cx_count, count(*) FILTER (WHERE type IN (5, 9)) AS x_count"
-query("opt_stats", GATE + f" SELECT {_STATS} FROM gates")(lambda s, d: gates.stats(built(s, d)))
+query("opt_stats", GATE + f" SELECT {_STATS} FROM gates")(lambda s, d: gates.stats(stored(s, d)))
 query("h_count", OPS + " SELECT count(*) AS n FROM ops WHERE type = 8")(lambda s, d: circuit(s, d).agg(F.count_if(F.col("type") == H).cast("bigint").alias("n")))
 query("t_count", OPS + " SELECT count(*) AS n FROM ops WHERE type IN (29, 30)")(lambda s, d: circuit(s, d).agg(F.count_if(gates.is_t_like()).cast("bigint").alias("n")))
 query("t_count_tol", "WITH e AS (SELECT o_totalprice / 4 AS x FROM orders), m AS (SELECT x - floor(x) AS y FROM e) SELECT count(*) FILTER (WHERE abs(y - 0.25) <= 1e-2 OR abs(y - 0.75) <= 1e-2) AS t_count FROM m")(
@@ -157,7 +179,7 @@ query("n_qubits", OPS + " SELECT count(DISTINCT qubit) AS n FROM wires")(lambda
 query("rotation_count", "WITH e AS (SELECT o_totalprice / 4 AS x FROM orders), m AS (SELECT x * 2 - floor(x * 2) AS y FROM e) SELECT count(*) FILTER (WHERE y / 2 > 1e-8 AND y / 2 < 0.5 - 1e-8) AS rotations, count(*) AS n FROM m")(
     lambda s, d: gates.rotation_count(table(s, d, "orders").select((F.col("o_totalprice") / 4).alias("angle"))))
 query("distinct_neighbours", GATE + ", lk AS (SELECT id, unnest([prev_q1, prev_q2, next_q1, next_q2]) AS l FROM gates) SELECT id, count(DISTINCT l // 1000) AS n FROM lk WHERE l IS NOT NULL GROUP BY id")(
-    lambda s, d: built(s, d).select("id", F.size(F.array_distinct(F.array_compact(F.array(*[link_id(c) for c in ("prev_q1", "prev_q2", "prev_q3", "next_q1", "next_q2", "next_q3")])))).cast("bigint").alias("n")))
+    lambda s, d: stored(s, d).select("id", F.size(F.array_distinct(F.array_compact(F.array(*[link_id(c) for c in ("prev_q1", "prev_q2", "prev_q3", "next_q1", "next_q2", "next_q3")])))).cast("bigint").alias("n")))
 _ISLAND = ", mk AS (SELECT *, {m} AS mem, lag({m}) OVER (PARTITION BY qubit ORDER BY op_id) AS pm FROM wires), rn AS (SELECT *, sum(CASE WHEN mem AND NOT coalesce(pm, false) THEN 1 ELSE 0 END) OVER (PARTITION BY qubit ORDER BY op_id) AS run FROM mk), isl AS (SELECT *, min(op_id) OVER (PARTITION BY qubit, run) AS island FROM rn WHERE mem)"
 _TT = OPS + _ISLAND.format(m="type IN (29, 30)") + ", ht AS (SELECT *, sum(CASE WHEN type = 29 THEN 1 ELSE -1 END) OVER (PARTITION BY qubit, run ORDER BY op_id) AS h FROM isl), bal AS (SELECT qubit, island, CAST(greatest(-min(h), 0) AS BIGINT) AS left_second, CAST(sum(CASE WHEN type = 29 THEN 1 ELSE -1 END) + greatest(-min(h), 0) AS BIGINT) AS left_first FROM ht GROUP BY qubit, island)"
 
@@ -178,6 +200,15 @@ query("commute_t", OPS + _ISLAND.format(m="(type = 29 OR (type IN (15, 16, 17, 1
     lambda s, d: rewrites.commute_through_controls(circuit(s, d)))
 
 
+query("hh_circuit", OPS + _ISLAND.format(m="(type = 8 AND param = 1.0)") + ", rr AS (SELECT op_id, count(*) OVER g AS n, max(op_id) OVER g AS z FROM isl WINDOW g AS (PARTITION BY qubit, run)) SELECT op_id, type, q0, q1 FROM ops WHERE op_id NOT IN (SELECT op_id FROM rr WHERE n % 2 = 0 OR op_id < z)")(
+    lambda s, d: (o := rewrites.without_pairs(circuit(s, d))).select("op_id", *big("type"), *flat(o)))
+query("ttdg_circuit", _TT + """, hb AS (SELECT *, least(coalesce(min(h) OVER (PARTITION BY qubit, run ORDER BY op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS low, min(h) OVER (PARTITION BY qubit, run ORDER BY op_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM ht)
+SELECT op_id, type, q0, q1 FROM ops WHERE op_id NOT IN (SELECT op_id FROM hb WHERE CASE WHEN type = 30 THEN h >= low ELSE later < h END)""")(
+    lambda s, d: (o := rewrites.without_brackets(circuit(s, d))).select("op_id", *big("type"), *flat(o)))
+query("fused_circuit", OPS + _ISLAND.format(m="type = 29") + ", rr AS (SELECT op_id, row_number() OVER (PARTITION BY qubit, run ORDER BY op_id) AS i, count(*) OVER (PARTITION BY qubit, run) AS n FROM isl) SELECT ops.op_id, CASE WHEN i < n THEN 27 ELSE type END AS type, q0, q1 FROM ops LEFT JOIN rr ON rr.op_id = ops.op_id WHERE coalesce(i, 1) % 2 = 1")(
+    lambda s, d: (o := rewrites.with_pairs_fused(circuit(s, d))).select("op_id", *big("type"), *flat(o)))
+
+
 def _cx_round(src: str, out: str) -> str:
     """One round of cancelling chains of equal CX, as common table expressions."""
     return f""", {out}w AS (SELECT op_id, 0 AS port, q0 AS qubit FROM {src} UNION ALL SELECT op_id, 1, q1 FROM {src} WHERE q1 IS NOT NULL),
@@ -240,35 +271,71 @@ SELECT k, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS sub, CAST(type
 # graph
 _EDGES = GATE + ", ed AS (SELECT -1 AS source, id AS target FROM gates WHERE type = 0 UNION ALL SELECT id, -2 FROM gates WHERE type = 1 UNION ALL SELECT id, next_q1 // 1000 FROM gates WHERE next_q1 IS NOT NULL UNION ALL SELECT id, next_q2 // 1000 FROM gates WHERE next_q2 IS NOT NULL)"
 _BATCH = _EDGES + ", bt AS (SELECT (row_number() OVER (ORDER BY source, target) - 1) // 500 AS batch, source, target FROM ed)"
-query("edge_list", _EDGES + " SELECT source, target FROM ed")(lambda s, d: edges.edge_list(built(s, d)))
-query("edges_sorted", _EDGES + " SELECT source, target FROM ed ORDER BY 1, 2")(lambda s, d: edges.edge_list(built(s, d)).orderBy("source", "target"))
+query("edge_list", _EDGES + " SELECT source, target FROM ed")(lambda s, d: edges.edge_list(stored(s, d)))
+query("edges_sorted", _EDGES + " SELECT source, target FROM ed ORDER BY 1, 2")(lambda s, d: edges.edge_list(stored(s, d)).orderBy("source", "target"))
 
 
 def batched(spark, sf_dir) -> DataFrame:
-    return edges.edge_batches(edges.edge_list(built(spark, sf_dir)), 500)
+    return edges.edge_batches(edges.edge_list(stored(spark, sf_dir)), 500)
 
 
 query("edge_batches", _BATCH + " SELECT * FROM bt")(batched)
 query("add_inputs", _BATCH + " SELECT * FROM bt UNION ALL SELECT batch, -1, source FROM bt b WHERE NOT EXISTS (SELECT 1 FROM bt c WHERE c.batch = b.batch AND c.target = b.source)")(lambda s, d: edges.with_inputs(batched(s, d)))
 query("batch_nodes", _BATCH + " SELECT batch, source AS node FROM bt WHERE source >= 0 UNION SELECT batch, target FROM bt WHERE target >= 0")(lambda s, d: edges.batch_nodes(batched(s, d)))
-query("topo_layers")(lambda s, d: layers.layered(circuit(s, d)).select("op_id", "layer"))
-query("layered")(lambda s, d: layers.layer_rows(layers.layered(circuit(s, d))))
-query("layered_order")(lambda s, d: layers.layer_rows(layers.layered(circuit(s, d))).orderBy("layer", "id"))
-query("layers_to_moments")(lambda s, d: layers.moments(layers.layered(circuit(s, d))))
-query("layer_sizes")(lambda s, d: layers.layered(circuit(s, d)).groupBy("layer").agg(F.count(F.lit(1)).alias("n")))
-query("circuit_width")(lambda s, d: layers.layered(circuit(s, d)).agg(F.max("layer").alias("depth"), F.max(F.array_max("qubits")).alias("width")))
-query("approx_t_depth")(lambda s, d: layers.approximate_t_depth(layers.layered(circuit(s, d)), 1e-10))
+_LAY = OPS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+pr AS MATERIALIZED (SELECT op_id, lag(op_id) OVER w AS before FROM wires WINDOW w AS (PARTITION BY qubit ORDER BY op_id)),
+nd AS MATERIALIZED (SELECT op_id, min(before) AS p0, max(before) AS p1, count(before) AS n FROM pr GROUP BY op_id),
+ed AS MATERIALIZED (SELECT DISTINCT before AS op_id, op_id AS to_id FROM pr WHERE before IS NOT NULL),
+lay(op_id, layer) USING KEY (op_id) AS (
+  SELECT op_id, CAST(1 AS BIGINT) FROM nd WHERE n = 0
+  UNION SELECT nd.op_id, any_value(l.layer) + 1 FROM lay l JOIN ed ON ed.op_id = l.op_id JOIN nd ON nd.op_id = ed.to_id
+    JOIN recurring.lay a ON a.op_id = nd.p0 JOIN recurring.lay b ON b.op_id = nd.p1 GROUP BY nd.op_id),
+ly AS MATERIALIZED (SELECT o.op_id, type, param, q0, q1, layer FROM lay JOIN ops o ON o.op_id = lay.op_id)"""
+_LAYER_ROWS = " SELECT op_id AS id, q0 AS control_q, q1 AS target_q, type, param, layer FROM ly"
+query("topo_layers", _LAY + " SELECT op_id, layer FROM ly")(lambda s, d: layers.layered(staged(circuit(s, d)), staged).select("op_id", "layer"))
+query("layered", _LAY + _LAYER_ROWS)(lambda s, d: layers.layer_rows(placed(s, d)))
+query("layered_order", _LAY + _LAYER_ROWS + " ORDER BY layer, id")(lambda s, d: layers.layer_rows(placed(s, d)).orderBy("layer", "id"))
+query("layers_to_moments", _LAY + " SELECT layer, string_agg(op_id || ':' || type || ':' || q0 || coalesce('-' || q1, ''), ',' ORDER BY op_id) AS ops FROM ly GROUP BY layer")(
+    lambda s, d: layers.moments(placed(s, d)).select("layer", F.array_join(F.transform("ops", lambda o: F.concat_ws(":", o["op_id"], o["type"], F.array_join(o["qubits"].cast("array<string>"), "-"))), ",").alias("ops")))
+query("layer_sizes", _LAY + " SELECT layer, count(*) AS n FROM ly GROUP BY layer")(lambda s, d: placed(s, d).groupBy("layer").agg(F.count(F.lit(1)).alias("n")))
+query("circuit_width", _LAY + " SELECT max(layer) AS depth, max(greatest(q0, coalesce(q1, q0))) AS width FROM ly")(lambda s, d: placed(s, d).agg(F.max("layer").alias("depth"), F.max(F.array_max("qubits")).alias("width")))
+query("approx_t_depth", _LAY + ", c AS (SELECT layer, max(CASE WHEN type IN (29, 30) THEN 1 ELSE 0 END) AS cost FROM ly GROUP BY layer) SELECT CAST(sum(cost) AS BIGINT) AS t_depth FROM c")(lambda s, d: layers.approximate_t_depth(placed(s, d), 1e-10))
+
+
+@query("scan_layered", _LAY + _LAYER_ROWS + " WHERE layer BETWEEN 11 AND 40")
+def scan_layered(spark, sf_dir):
+    """A range of layers from a written layer table."""
+    path = f"{shared_dir(spark)}/wf-layered-{uuid.uuid4().hex}"
+    files.write_layers(layers.layer_rows(placed(spark, sf_dir)), path)
+    return files.read_layers(spark, path).where("layer between 11 and 40")
+
+
 query("wire_resolve", GATE + " SELECT id, max(CASE WHEN port = 0 THEN in_id END) AS w1, max(CASE WHEN port = 1 THEN in_id END) AS w2 FROM wl GROUP BY id UNION ALL SELECT out_id, in_id, NULL FROM wl WHERE ld IS NULL")(
-    lambda s, d: layers.resolve_wires(staged(built(s, d)), staged).groupBy("id").agg(F.max(F.when(F.col("port") == 0, F.col("wire"))).alias("w1"), F.max(F.when(F.col("port") == 1, F.col("wire"))).alias("w2")))
+    lambda s, d: layers.resolve_wires(staged(stored(s, d)), staged).groupBy("id").agg(F.max(F.when(F.col("port") == 0, F.col("wire"))).alias("w1"), F.max(F.when(F.col("port") == 1, F.col("wire"))).alias("w2")))
 query("export_ops", OPS + " SELECT op_id, q0, q1, type, param FROM ops ORDER BY op_id")(lambda s, d: (o := circuit(s, d)).select("op_id", *flat(o), *big("type"), *real("param")).orderBy("op_id"))
 
 # partition
-query("widgets")(lambda s, d: widgets.widgets(batched(s, d), built(s, d)).select("batch", "node", "widget"))
-query("widget_members")(lambda s, d: widgets.widgets(batched(s, d), built(s, d)).groupBy("batch", "widget").agg(F.array_sort(F.collect_list("node")).alias("members")))
-query("widget_stats")(lambda s, d: widgets.widget_stats(widgets.widgets(batched(s, d), built(s, d))))
-query("uf_codes")(lambda s, d: widgets.union_codes(batched(s, d), built(s, d)))
-query("d3_nodes")(lambda s, d: edges.d3_nodes(widgets.widgets(batched(s, d), built(s, d)).join(built(s, d).select(F.col("id").alias("node"), readable("type").alias("readable"), "param"), "node")))
-query("d3_links", _EDGES + " SELECT '{\"source\":' || source || ',\"target\":' || target || ',\"value\":1}' AS json FROM ed")(lambda s, d: edges.d3_links(edges.edge_list(built(s, d))))
+def members(spark, sf_dir) -> DataFrame:
+    """(batch, node, widget, t, depth), computed once for a folder."""
+    return once(spark, "widgets", sf_dir, lambda: widgets.widgets(staged(batched(spark, sf_dir)), stored(spark, sf_dir)))
+
+
+query("widgets")(lambda s, d: members(s, d).select("batch", "node", "widget"))
+query("widget_members")(lambda s, d: members(s, d).groupBy("batch", "widget").agg(F.array_sort(F.collect_list("node")).alias("members")))
+query("widget_stats")(lambda s, d: widgets.widget_stats(members(s, d)))
+query("widget_gates")(lambda s, d: widgets.widget_gates(members(s, d), stored(s, d)).select("batch", "widget", *big("id", "prev_q1", "prev_q2", "type", "next_q1", "next_q2"), *real("param")))
+query("widget_inputs")(lambda s, d: widgets.widget_inputs(members(s, d), batched(s, d)))
+query("uf_codes")(lambda s, d: widgets.union_codes(batched(s, d), stored(s, d)))
+_NAMED = f", nm(code, readable) AS (VALUES {_NAMES}), nn AS (SELECT id, readable || '*' || CAST(CAST(param AS DOUBLE) AS VARCHAR) || '(' || id || ')' AS name FROM gates JOIN nm ON code = type)"
+
+
+def named(spark, sf_dir) -> DataFrame:
+    return stored(spark, sf_dir).select(F.col("id").alias("node"), readable("type").alias("readable"), "param")
+
+
+query("d3_nodes")(lambda s, d: edges.d3_nodes(members(s, d).join(named(s, d), "node")))
+query("d3_links", _EDGES + _NAMED + " SELECT '{\"source\":\"' || a.name || '\",\"target\":\"' || b.name || '\",\"value\":1}' AS json FROM ed JOIN nn a ON a.id = source JOIN nn b ON b.id = target")(
+    lambda s, d: edges.d3_links(edges.edge_list(stored(s, d)), named(s, d)))
 
 # equivalence
 query("compose_inverse", OPS + ", m AS (SELECT count(*) AS n FROM ops) SELECT op_id, type, q0, q1 FROM ops UNION ALL SELECT 2 * n - 1 - op_id, CASE type WHEN 29 THEN 30 WHEN 30 THEN 29 WHEN 27 THEN 28 WHEN 28 THEN 27 ELSE type END, q0, q1 FROM ops, m")(
@@ -285,7 +352,12 @@ _CXR = "".join(_cx_round("cxo" if i == 0 else f"e{i - 1}", f"e{i}") for i in ran
 query("equiv_reduce", OPS + ", cxo AS (SELECT * FROM ops WHERE type = 18)" + _CXR + " SELECT op_id, q0, q1 FROM e5")(lambda s, d: (o := rewrites.cancel_two_qubit(cx_only(s, d), staged=staged)).select("op_id", *flat(o)))
 
 
-@query("equiv_check", "SELECT * FROM (VALUES ('copy', true), ('mutant', false)) v(other, equivalent)")
+_MUTANT_CX = ", mtx AS (SELECT * FROM cxo WHERE op_id NOT IN (SELECT op_id FROM cxo ORDER BY md5(CAST(op_id AS VARCHAR)), op_id LIMIT 1))"
+_CXM = "".join(_cx_round("mtx" if i == 0 else f"f{i - 1}", f"f{i}") for i in range(6))
+_WORDS = "(SELECT qubit, string_agg(q0 || '-' || q1, ',' ORDER BY op_id) AS w FROM (SELECT op_id, q0, q1, unnest([q0, q1]) AS qubit FROM {0}) GROUP BY qubit)"
+
+
+@query("equiv_check", OPS + ", cxo AS (SELECT * FROM ops WHERE type = 18)" + _MUTANT_CX + _CXR + _CXM + f" SELECT 'copy' AS other, NOT EXISTS (SELECT 1 FROM {_WORDS.format('e5')} a FULL JOIN {_WORDS.format('e5')} b USING (qubit) WHERE a.w IS DISTINCT FROM b.w) AS equivalent UNION ALL SELECT 'mutant', NOT EXISTS (SELECT 1 FROM {_WORDS.format('e5')} a FULL JOIN {_WORDS.format('f5')} b USING (qubit) WHERE a.w IS DISTINCT FROM b.w)")
 def equiv_check(spark, sf_dir):
     own = cx_only(spark, sf_dir)
     same = equivalence.equivalent(own, own, staged).select(F.lit("copy").alias("other"), "equivalent")
@@ -344,31 +416,91 @@ query("qasm_parsed", OPS + " SELECT op_id, type, param, q0, q1 FROM ops")(lambda
 # engine and streaming
 @query("engine_fixpoint")
 def engine_fixpoint(spark, sf_dir):
-    from wireflow.operators import engine
+    return gates.stats(engine.optimise(stored(spark, sf_dir), engine.STANDARD_RULES, staged))
 
-    return gates.stats(engine.optimise(built(spark, sf_dir), engine.STANDARD_RULES, staged))
 
+@query("engine_circuit")
+def engine_circuit(spark, sf_dir):
+    """The linked table that is left when no standard rule matches any more."""
+    return engine.optimise(stored(spark, sf_dir), engine.STANDARD_RULES, staged).select(*big("id", "prev_q1", "prev_q2", "type"), *real("param"), *big("next_q1", "next_q2"))
 
-@query("stream_links", "WITH ev AS (SELECT event_id AS op_id, user_id % 64 AS qubit FROM events) SELECT qubit, op_id, lag(op_id) OVER (PARTITION BY qubit ORDER BY op_id) AS prev_op FROM ev")
-def stream_links(spark, sf_dir):
-    from wireflow.streaming.builder import run_links
 
-    return run_links(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events").schema, shared_dir(spark))
+@query("engine_series")
+def engine_series(spark, sf_dir):
+    """(pass, step, rule, rewrites, counts...): the counts after every rule of every pass."""
+    return engine.series(stored(spark, sf_dir), engine.STANDARD_RULES, staged)
+
+
+_RULES = {"cancel 8 8": engine.STANDARD_RULES[0], "cancel 29 30": engine.STANDARD_RULES[1], "cancel 18 18": engine.cancel_two(CX, 1.0)}
+
+
+@query("engine_rules", _TT + _ISLAND.format(m="(type = 8 AND param = 1.0)").replace("mk AS", "mk2 AS").replace("FROM mk)", "FROM mk2)").replace("rn AS", "rn2 AS").replace("FROM rn ", "FROM rn2 ").replace("isl AS", "isl2 AS") + _ROUNDS + """,
+al AS (SELECT count(*) AS n, count(*) FILTER (WHERE type = 8) AS h, count(*) FILTER (WHERE type IN (29, 30)) AS t, count(*) FILTER (WHERE type = 18) AS c FROM ops),
+hc AS (SELECT CAST(sum(k % 2) AS BIGINT) AS x FROM (SELECT count(*) AS k FROM isl2 GROUP BY qubit, island)), tc AS (SELECT CAST(sum(left_first + left_second) AS BIGINT) AS x FROM bal), cc AS (SELECT count(*) FILTER (WHERE type = 18) AS x FROM c3)
+SELECT 'cancel 8 8' AS rule, n - h + x AS total_count, t AS t_count, x AS h_count, c AS cx_count FROM al, hc UNION ALL SELECT 'cancel 29 30', n - t + x, x, h, c FROM al, tc UNION ALL SELECT 'cancel 18 18', n - c + x, t, h, x FROM al, cc""")
+def engine_rules(spark, sf_dir):
+    """The counts after each of three rules alone is applied to the linked table until it matches nothing."""
+    parts = [gates.stats(engine.to_fixpoint(stored(spark, sf_dir), rule, staged)[0]).select(F.lit(name).alias("rule"), "total_count", "t_count", "h_count", "cx_count") for name, rule in _RULES.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("toffoli_linked")
+def toffoli_linked(spark, sf_dir):
+    """A linked table of doubly controlled NOTs with each of them replaced by its sequence, in place."""
+    ops = triples(spark, sf_dir).select(F.col("k").alias("op_id"), F.lit(CCX).cast("short").alias("type"), F.lit(1.0).cast("float").alias("param"), F.array("a", "b", "c").alias("qubits"))
+    table_ = once(spark, "ccx", sf_dir, lambda: linked(staged(ops), staged))
+    return decompose.toffolis_in_place(table_, staged).select(*big("id", "prev_q1", "prev_q2", "prev_q3", "type"), *real("param"), *big("next_q1", "next_q2", "next_q3"))
+
+
+_DEC = [(i, c, p, q) for i, (c, p, q) in enumerate(decompose.sequence(decompose.TOFFOLI, decompose.AS_TYPES))]
+_DEC_SQL = _PARSED + """, cr AS (SELECT line, 1 AS pos, CASE WHEN m = 0 THEN 9 WHEN m = 1 THEN 18 ELSE 23 END AS type, CASE WHEN m = 0 THEN [target] WHEN m = 1 THEN [b, target] ELSE [b, c, target] END AS q FROM pr
+UNION ALL SELECT line, x.pos, 9, [b] FROM pr, (VALUES (0), (2)) x(pos) WHERE m > 0 AND NOT filled),
+tf(j, type, w) AS (VALUES """ + ", ".join(f"({j}, {c}, {[' abc'.index(x) for x in q]})" for j, c, _, q in _DEC) + """),
+base AS (SELECT line, pos, 0 AS j, type, q FROM cr WHERE type <> 23 UNION ALL SELECT line, pos, j, tf.type, list_transform(w, lambda i: q[i]) FROM cr, tf WHERE cr.type = 23)"""
+query("decompose_adder", _DEC_SQL + " SELECT line, row_number() OVER (PARTITION BY line ORDER BY pos, j) - 1 AS sub, CAST(type AS BIGINT) AS type, q[1] AS q0, q[2] AS q1 FROM base")(lambda s, d: base_gates(s, d).select("line", "sub", *big("type"), "q0", "q1"))
+query("decompose_windows", _DEC_SQL + " SELECT line // 1000 AS win, CAST(type AS BIGINT) AS type, count(*) AS n FROM base GROUP BY 1, 2")(
+    lambda s, d: base_gates(s, d).groupBy(F.floor(F.col("line") / 1000).cast("bigint").alias("win"), *big("type")).agg(F.count(F.lit(1)).alias("n")))
+
 
+def base_gates(spark, sf_dir) -> DataFrame:
+    """The adder lines as gates of the base set: (line, sub, type, q0, q1)."""
+    ops = decompose.lowered_controls(adder_text.parse(adder_lines(spark, sf_dir))).select(F.struct("line", "sub").alias("op_id"), "type", F.lit(0.0).cast("float").alias("param"), "qubits")
+    flat_ = decompose.to_base(ops, staged).select(F.col("op_id.line").alias("line"), F.struct("op_id.sub", "path").alias("at"), "type", *flat(ops))
+    return flat_.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("at", "type", "q0", "q1"))).alias("g")).select("line", F.posexplode("g").alias("sub", "x")).select("line", F.col("sub").cast("bigint").alias("sub"), "x.type", "x.q0", "x.q1")
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a temporary one where that is unset."""
-    import tempfile
 
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-wf-"))
-    return spark.sparkContext.getCheckpointDir()
+# circuits by rule, from the orders' keys
+def keys(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"))
+
+
+query("random_templates")(lambda s, d: (o := generators.random_templates(keys(s, d), 64)).select("op_id", *big("type"), *real("param"), *flat(o), F.try_element_at("qubits", F.lit(3)).alias("q2")))
+query("random_cx")(lambda s, d: (o := generators.random_cx(keys(s, d), 64, 10.0)).select("op_id", *big("type"), *flat(o)))
+query("bernstein_vazirani", """WITH b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderstatus = 'F' AS one FROM orders), n AS (SELECT count(*) AS n, count(*) FILTER (WHERE one) AS k FROM b)
+SELECT i AS op_id, 8 AS type, i AS q0, NULL::BIGINT AS q1 FROM b UNION ALL SELECT n, 9, n, NULL FROM n UNION ALL SELECT n + 1, 8, n, NULL FROM n
+UNION ALL SELECT n + 1 + row_number() OVER (ORDER BY i), 18, i, n FROM b, n WHERE one UNION ALL SELECT n + 2 + k + i, 8, i, NULL FROM b, n""")(
+    lambda s, d: (o := generators.bernstein_vazirani(table(s, d, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderstatus") == "F").alias("one")))).select("op_id", *big("type"), *flat(o)))
+
+
+# streaming
+def event_stream(spark, sf_dir) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/event[s].parquet")
+
+
+@query("stream_links", "WITH ev AS (SELECT event_id AS op_id, user_id % 64 AS qubit FROM events) SELECT qubit, op_id, lag(op_id) OVER (PARTITION BY qubit ORDER BY op_id) AS prev_op FROM ev")
+def stream_links(spark, sf_dir):
+    from wireflow.streaming.builder import run_links
 
+    return run_links(event_stream(spark, sf_dir).select((F.col("user_id") % 64).alias("qubit"), F.col("event_id").alias("op_id")))
 
-def staged(df: DataFrame) -> DataFrame:
-    """A Parquet copy in the shared folder: it cuts the lineage and has a known size."""
-    path = f"{shared_dir(df.sparkSession)}/wf-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+@query("stream_gates", EVENTS + """, fq AS (SELECT qubit, min(op_id) AS f, row_number() OVER (ORDER BY min(op_id)) - 1 AS r FROM ev GROUP BY qubit), n AS (SELECT (SELECT count(*) FROM ev) AS n_ops, (SELECT count(*) FROM fq) AS n_q),
+nf AS (SELECT f, count(*) AS c FROM fq GROUP BY f), di AS (SELECT op_id, CAST(op_id + sum(coalesce(c, 0)) OVER (ORDER BY op_id) AS BIGINT) AS id FROM ev LEFT JOIN nf ON f = op_id),
+lk AS (SELECT id, type, qubit, lag(id * 1000 + type) OVER w AS lg, lead(id * 1000 + type) OVER w AS ld FROM ev JOIN di USING (op_id) WINDOW w AS (PARTITION BY qubit ORDER BY id))
+SELECT id, coalesce(lg, (f + r) * 1000) AS prev_q1, CAST(type AS BIGINT) AS type, coalesce(ld, (n_ops + n_q + r) * 1000 + 1) AS next_q1 FROM lk JOIN fq USING (qubit), n
+UNION ALL SELECT f + r, NULL, 0, id * 1000 + type FROM lk JOIN fq USING (qubit) WHERE lg IS NULL UNION ALL SELECT n_ops + n_q + r, id * 1000 + type, 1, NULL FROM lk JOIN fq USING (qubit), n WHERE ld IS NULL""")
+def stream_gates(spark, sf_dir):
+    from wireflow.sources.orders import event_ops
+    from wireflow.streaming.builder import run_builder
 
+    return run_builder(event_ops(event_stream(spark, sf_dir))).select(*big("id", "prev_q1", "type", "next_q1"))

@@ -30,9 +30,7 @@ GATE_SCHEMA = StructType([
     StructField("next_q1", LongType()), StructField("next_q2", LongType()), StructField("next_q3", LongType()),
     StructField("visited", IntegerType()), StructField("label", StringType()), StructField("cl_ctrl", BooleanType()), StructField("meas_key", ShortType()),
 ])
-EDGE_SCHEMA = "source long, target long"
-LAYER_SCHEMA = "id long, control_q long, target_q long, type short, param float, layer long"
-STATS_SCHEMA = "id int, logger_id int, total_count int, t_count int, s_count int, h_count int, cx_count int, x_count int"
+LAYER_SCHEMA = "id long, control_q long, target_q long, type long, param double, layer long"
 
 
 def gate_types(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireflow.operators.edges import d3_links, d3_nodes
-from wireflow.schema import CX, GATE_SCHEMA, H, S, S_DAG, T, T_DAG, X
+from wireflow.schema import CX, GATE_SCHEMA, H, LAYER_SCHEMA, S, S_DAG, T, T_DAG, X
 
 #: Names of gates without parameters.
 QASM = {"h": (H, 1.0), "cx": (CX, 1.0), "t": (T, 0.0), "tdg": (T_DAG, 0.0), "s": (S, 0.0), "sdg": (S_DAG, 0.0), "x": (X, 0.0)}
@@ -21,6 +21,20 @@ def read_gates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GATE_SCHEMA).parquet(path)
 
 
+def write_layers(placed: DataFrame, path: str) -> None:
+    """Append rows (id, control_q, target_q, type, param, layer) to a Parquet table, in ranges of layers, so that a range of layers reads few files."""
+    placed.repartitionByRange("layer").sortWithinPartitions("layer", "id").write.mode("append").parquet(path)
+
+
+def read_layers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LAYER_SCHEMA).parquet(path)
+
+
+def append_stats(rows: DataFrame, path: str) -> None:
+    """Add rows to a folder of CSV files with headers: a file for every call, so that runs can append side by side."""
+    rows.coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
 def write_stats(series: DataFrame, path: str, order: str = "id") -> None:
     """A CSV file with a header, in order; one short row for each step, so one file."""
     series.orderBy(order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -29,7 +43,7 @@ def write_stats(series: DataFrame, path: str, order: str = "id") -> None:
 def write_graph(members: DataFrame, edges: DataFrame, path: str) -> None:
     """JSON lines of nodes and links for a drawing."""
     d3_nodes(members).write.mode("overwrite").text(f"{path}/nodes")
-    d3_links(edges).write.mode("overwrite").text(f"{path}/links")
+    d3_links(edges, members).write.mode("overwrite").text(f"{path}/links")
 
 
 def to_qasm(ops: DataFrame) -> DataFrame:
