@@ -24,16 +24,18 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^3)^12 = 0.9998.
 BANDS, ROWS = 12, 3
 #: Documents that share a bucket get so many further samples. Pairs that agree at fewer than similarity less SIFT of them
-#: are not checked: at 0.8 that is fewer than 86 of 128, with probability 0.0004. SIFT = 1 checks all pairs of a bucket.
-EXTRA, SIFT = 128, 0.13
+#: are not checked: at 0.8 that is fewer than 182 of 256, with probability 0.0002. SIFT = 1 checks all pairs of a bucket.
+EXTRA, SIFT = 256, 0.09
 #: Members of a bucket compared in one task, and pairs compared at a time.
 BLOCK, PAIRS = 1024, 1 << 16
+#: Partners that a member is held against first.
+NEAREST = 4
 #: Documents are counted in blocks of 2^BLOCK_BITS row numbers, shingles in ranges of about RANGE_SHINGLES: both bound a task's memory.
 BLOCK_BITS, RANGE_SHINGLES = 9, 1 << 21
 #: A shingle is told from others of its range by this many bits of its hash: one in 500,000 is taken for another, at any size.
 KEY_BITS = 40
-#: Bytes of text hashed at a time.
-HASH_BYTES = 1 << 18
+#: Bytes of text hashed at a time, and shingles held by a task before their counts go out.
+HASH_BYTES, HELD_SHINGLES = 1 << 18, 1 << 19
 SHINGLE_BASE = 0x9FB21C651E98DF25
 BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
@@ -109,19 +111,26 @@ def parts(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
 def counting(size: int, ranges: int) -> Callable:
     """(range, block, keys, n): the shingles of each block's documents in a batch, and in how many of them each is."""
 
+    def pieces(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        key, owner, n = counted(np.concatenate(keys), np.concatenate(owners))
+        part = (key >> np.uint64(KEY_BITS)).astype(np.int64)
+        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])))
+        cuts = np.append(new, len(key))
+        return pa.RecordBatch.from_arrays([pa.array(part[new]), pa.array(owner[new]), parts(five_bytes(key), cuts), blobs(n.astype(np.uint16), cuts)], names=["range", "block", "keys", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block = batch.column(0).to_numpy() >> BLOCK_BITS
-            keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            block, keys, owners, held = batch.column(0).to_numpy() >> BLOCK_BITS, [], [], 0
             for at, _, data, starts in slices(batch, 1):
                 h, text, _ = counted(*shingle_hashes(data, starts, size))
                 keys.append(range_keys(h, ranges))
                 owners.append(block[at + text])
-            key, owner, n = counted(np.concatenate(keys), np.concatenate(owners))
-            part = (key >> np.uint64(KEY_BITS)).astype(np.int64)
-            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]))) if len(key) else np.zeros(0, np.int64)
-            cuts = np.append(new, len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(part[new]), pa.array(owner[new]), parts(five_bytes(key), cuts), blobs(n.astype(np.uint16), cuts)], names=["range", "block", "keys", "n"])
+                held += len(h)
+                if held > HELD_SHINGLES:
+                    yield pieces(keys, owners)
+                    keys, owners, held = [], [], 0
+            if held:
+                yield pieces(keys, owners)
 
     return run
 
@@ -289,10 +298,20 @@ def sketch_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def pairing(least: int) -> Callable:
+def pairing(least: int, best: int | None = None) -> Callable:
     """(x, y): pairs of different classes from rows in order of (bucket, lo, hi), each pair in the first bucket that it shares alone.
 
-    Of a bucket cut into blocks, rows meet the rows of the other block, or all of their own where lo = hi."""
+    Of a bucket cut into blocks, rows meet the rows of the other block, or all of their own where
+    lo = hi. With ``best``, only the pairs that are among the ``best`` of one of their rows by agreement."""
+
+    def foremost(row: np.ndarray, agreed: np.ndarray) -> np.ndarray:
+        order = np.lexsort((-agreed, row))
+        new = np.ones(len(order), bool)
+        new[1:] = row[order][1:] != row[order][:-1]
+        at = np.flatnonzero(new)
+        out = np.zeros(len(order), bool)
+        out[order] = np.arange(len(order)) - np.repeat(at, np.diff(np.append(at, len(order)))) < best
+        return out
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         bucket, lo, hi, part, rid, group = (t.column(c).to_numpy() for c in ("bucket", "lo", "hi", "part", "rid", "class"))
@@ -310,13 +329,17 @@ def pairing(least: int) -> Callable:
             b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a + 1
             ask = (group[a] != group[b]) & ((lo[a] == hi[a]) | (part[a] != part[b]))
             a, b = a[ask], b[ask]
-            alike = (sketch[a] == sketch[b]).sum(1) >= least
-            a, b = a[alike], b[alike]
-            shared = bands[a] == bands[b]
-            first = bands[a, shared.argmax(1)] == bucket[a]
-            found.append(np.stack([np.maximum(rid[a], rid[b])[first], np.minimum(rid[a], rid[b])[first]]))
+            agreed = (sketch[a] == sketch[b]).sum(1)
+            alike = agreed >= least
+            a, b, agreed = a[alike], b[alike], agreed[alike]
+            first = bands[a, (bands[a] == bands[b]).argmax(1)] == bucket[a]
+            found.append(np.stack([a[first], b[first], agreed[first]]))
             at = to
-        x, y = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        a, b, agreed = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        if best:
+            near = foremost(a, agreed) | foremost(b, agreed)
+            a, b = a[near], b[near]
+        x, y = np.maximum(rid[a], rid[b]), np.minimum(rid[a], rid[b])
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,15 +371,24 @@ def links(members: DataFrame, bags: DataFrame, verify: Callable, most: float, le
     """(x, y): verified links of members (bucket, rid, bands, sketch), enough to join all that are linked.
 
     A pair is asked for if it shares a bucket and agrees at ``least`` of its further samples. First
-    every member is held against one of its bucket, a linear number of pairs that joins copies into
-    classes. Then each bucket that still has several classes compares the members of different
-    classes, all of them: samples meet samples within a task, block by block, and only the pairs
-    that agree leave it for the exact check. So every pair asked for is checked, or of one class."""
-    lead = members.groupBy("bucket").agg(F.min_by("rid", F.xxhash64("rid", "bucket")).alias("y"), F.count(F.lit(1)).alias("k"))
+    every member is held against one of its bucket, then against the NEAREST by samples of other
+    classes: a linear number of pairs that joins most of a class. Last, each bucket that still has
+    several classes compares the members of different classes, all of them: samples meet samples
+    within a task, block by block, and only the pairs that agree leave it for the exact check. So
+    every pair asked for is checked, or of one class."""
+    lead = members.groupBy("bucket").agg(F.min_by("rid", F.xxhash64("rid", "bucket")).alias("y"))
     lead = staged(lead.join(members.select("rid", "sketch").dropDuplicates(["rid"]).select(F.col("rid").alias("y"), F.col("sketch").alias("sy")), "y"), "lead")
     near = members.join(lead, "bucket").where("rid <> y").select(F.col("rid").alias("x"), "y", F.col("sketch").alias("sx"), "sy")
-    first = verified(near.mapInArrow(filtering(least), "x long, y long").distinct(), bags, verify, most, "first")
-    label = components(first.where("alike")).select(F.col("rid").alias("lrid"), "label")
+    known = verified(near.mapInArrow(filtering(least), "x long, y long").distinct(), bags, verify, most, "stars")
+    for best, label in ((NEAREST, "nearest"), (None, "rest")):
+        pairs = staged(candidates(members, known, least, best, block), "pairs")
+        known = staged(known.unionByName(verified(pairs, bags, verify, most, label)), "known")
+    return known.where("alike").select("x", "y")
+
+
+def candidates(members: DataFrame, known: DataFrame, least: int, best: int | None, block: int) -> DataFrame:
+    """(x, y) that are not known, of members of a bucket in different classes by the known links; see :func:`pairing`."""
+    label = components(known.where("alike")).select(F.col("rid").alias("lrid"), "label")
     classed = members.join(label, F.col("rid") == F.col("lrid"), "left").withColumn("class", F.coalesce("label", "rid")).drop("lrid", "label")
     classed = staged(classed, "classed")
     several = classed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("greatest"), F.count(F.lit(1)).alias("k")).where("least <> greatest")
@@ -365,9 +397,7 @@ def links(members: DataFrame, bags: DataFrame, verify: Callable, most: float, le
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rid", "class", "bands", "sketch")
     dealt = rest.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    asked = dealt.mapInArrow(pairing(least), "x long, y long").join(first.select("x", "y"), ["x", "y"], "left_anti")
-    second = verified(staged(asked, "asked"), bags, verify, most, "second")
-    return first.unionByName(second).where("alike").select("x", "y")
+    return dealt.mapInArrow(pairing(least, best), "x long, y long").join(known.select("x", "y"), ["x", "y"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -407,8 +437,10 @@ def classes(d: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, b
     ship_code(d.sparkSession)
     n, held = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     ranges = max(1, -(-held // (6 * RANGE_SHINGLES)))  # a word and a blank take about six bytes
-    blocks = d.withColumn("block", F.shiftright("rid", BLOCK_BITS)).groupBy("block").cogroup(shingle_counts(d, ranges, size).groupBy("block"))
+    counts = staged(shingle_counts(d, ranges, size), "counts")
+    blocks = d.withColumn("block", F.shiftright("rid", BLOCK_BITS)).groupBy("block").cogroup(counts.groupBy("block"))
     sketched = staged(blocks.applyInArrow(banding(size, n, ranges, bands, rows), BANDED), "bands")
+    unstage(counts)
     first = sketched.groupBy("digest").agg(F.min("rid").alias("rep"))
     rows_ = staged(sketched.select("rid", "doc_id", "digest").join(first, "digest").select("rid", "doc_id", "rep"), "rows")
     banded = sketched.join(rows_.where("rid = rep").select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("bucket"))
