@@ -3,12 +3,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wireflow.llm.automata_dedup import drop_repeated_phrases, op3_automata_dedup
 from wireflow.llm.bwt_dedup import drop_repeated_bytes, op6_bwt_dedup
 from wireflow.llm.common import table
-from wireflow.llm.repeats import SPANS, Unit, repeated_spans
+from wireflow.llm.repeats import SPANS, Unit, repeated_spans, stretches
 
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -81,7 +83,7 @@ def test_bytes_brute(spark, seed):
 @pytest.mark.parametrize("words", [True, False])
 def test_hot_anchor_is_split(spark, words):
     """One passage in every text, between texts of its own: its anchors have as many passages as there are texts."""
-    from wireflow.llm.automata_dedup import locate
+    from wireflow.llm.automata_dedup import phrase_spans
     from wireflow.llm.bwt_dedup import repeated
 
     r = random.Random(5)
@@ -90,7 +92,11 @@ def test_hot_anchor_is_split(spark, words):
     texts = [" ".join([*(word() for _ in range(r.randrange(30))), phrase, *(word() for _ in range(r.randrange(30)))]) for _ in range(80)]
     df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
     length = 15 if words else 80
-    spans = repeated_spans(df, Unit(words, length, length // 3), locate if words else repeated, most_passages=7).collect()
+    unit = Unit(words, length, length // 3)
+    if words:
+        spans = phrase_spans(df, unit, most_passages=7, shard_occurrences=5, shard_phrases=3).select("rid", F.explode("spans").alias("x")).select("rid", "x.*").collect()
+    else:
+        spans = repeated_spans(df, unit, repeated, most_passages=7).collect()
     got = [set() for _ in texts]
     for s in spans:
         got[s.rid].update(range(s.first, s.upto))
@@ -106,6 +112,34 @@ def test_empty_and_clashing_columns(spark):
     assert SPANS
 
 
+def test_stretches_name_the_same_anchors():
+    r = np.random.default_rng(6)
+    codes, unit = r.integers(1, 2**60, 1000).astype(np.uint64), Unit(False, 40, 12)
+    codes[300:500] = codes[700:900]
+
+    def windows(groups):
+        return {int(w): (int(a), int(i0 + am)) for _, aa, _, ii, nn, mm in groups for a, i0, n, am in zip(aa, ii, nn, mm) for w in range(i0, i0 + n)}
+
+    whole = windows(stretches(codes, np.array([0, 1000]), unit))
+    assert len(whole) == 961 and windows(stretches(codes, np.array([0, 1000]), unit, 64)) == whole
+
+
+def test_very_long_texts(spark):
+    """Texts of several stretches, with one passage over the border of two and again near the end."""
+    r = np.random.default_rng(7)
+    letters = r.integers(97, 123, 2_300_000).astype(np.uint8)
+    at, size, border = 2_200_000, 300, 1 << 20
+    letters[at : at + size] = letters[border - 150 : border - 150 + size]
+    letters[[at - 1, at + size]] = ord("0")
+    df = spark.createDataFrame([(1, letters.tobytes().decode()), (2, "short")], "doc_id long, text string")
+    assert [(x.n_bytes, x.n_removed, x.n_spans) for x in drop_repeated_bytes(df, with_bytes=False).orderBy("doc_id").collect()] == [(2_300_000, 2 * size, 2), (5, 0, 0)]
+    words = r.integers(0, 50_000, 2_300_000)
+    words[at : at + 60] = words[border - 30 : border + 30]
+    words[[at - 1, at + 60]] = 60_000
+    df = spark.createDataFrame([(1, " ".join(map(str, words.tolist())))], "doc_id long, text string")
+    assert [(x.n_words, x.n_removed) for x in drop_repeated_phrases(df, with_text=False).collect()] == [(2_300_000, 120)]
+
+
 def test_whole_table(spark, sf):
     docs = table(spark, sf, "documents").collect()
     texts = [r.text for r in docs]

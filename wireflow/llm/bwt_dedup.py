@@ -126,8 +126,9 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_
 
     A byte goes if a string of ``length`` bytes that also starts elsewhere covers it, in the
     same document or another; all copies go. A null text counts as empty and, like a short one,
-    loses nothing; rows that repeat lose what they share; an empty table gives no rows; a null
-    doc_id stays null; other columns are not read."""
+    loses nothing; a long text is taken whole, a stretch at a time; rows that repeat or tie lose
+    what they share; an empty table gives no rows; a null doc_id stays null; other columns,
+    whatever their names, are not read."""
     ship_code(docs.sparkSession)
     d = with_row_key(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "rid")
     spans = repeated_spans(d, Unit(False, length, k), repeated)
@@ -137,6 +138,7 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_
 
 
 def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`drop_repeated_bytes` of the whole documents table, without the texts."""
     return drop_repeated_bytes(table(spark, sf_dir, "documents"), with_bytes=False)
 
 

@@ -457,7 +457,7 @@ def classes(d: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, b
     classed = rows_.join(labels, "rep", "left").join(ends, "rep", "left").select("rid", "doc_id", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     classed = staged(classed, "classes")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    best = classed.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("class_size"))
+    best = staged(classed.groupBy("label").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("class_size")), "best")
     return classed.join(best, "label").select("rid", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", "n_links", (F.col("rid") == F.col("best.rid")).alias("kept"))
 
 

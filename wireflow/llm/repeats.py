@@ -6,13 +6,17 @@ equal anchors; consecutive windows with one anchor make a group, about two for e
 ``length - k`` tokens. Only groups whose anchor recurs can hold a repeated window:
 
 1. all texts are hashed into groups (no text is shuffled);
-2. anchors are counted, and the passages of recurring ones; each window of a passage that
-   occurs twice recurs, and that is settled;
+2. anchors are counted, and the passages of recurring ones. Passages are told apart by a hash
+   of 64 bits among those of one anchor, so one is taken for another with a chance of the
+   anchor's different passages in 2^64;
 3. one copy of each different passage is cut from its text and dealt by anchor; an anchor
    with too many passages is split again and again by the text that half of its windows
    share, so no task gets an unbounded group;
-4. a solver (an automaton, a Burrows-Wheeler transform) finds the repeated windows of each
-   anchor among its passages, token by token.
+4. a solver finds the repeated windows of each anchor among its passages, token by token.
+
+:func:`repeated_spans` settles passages that recur whole by their count and gives the spans of
+the others; :func:`solved` gives whatever a solver says of the passages of each anchor, with
+how often each occurs.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wireflow.llm.common import ship_code, staged
+from wireflow.llm.common import ship_code, staged, unstage
 
 #: An anchor with more different passages than this is split; so a solver never holds more of one anchor.
 MOST_PASSAGES = 1 << 15
@@ -35,7 +39,8 @@ MOST_PASSAGES = 1 << 15
 HASH_BYTES, SOLVE_BYTES, STRETCH = 1 << 20, 1 << 20, 1 << 20
 POSITION_BITS = np.uint64(24)
 GROUPS = "rid long, a long, s long, i0 int, n int, am int"
-PASSAGES = "key long, s long, rid long, i0 int, am int, p int, q int, passage binary"
+PASSAGES = "key long, a long, s long, copies long, rid long, i0 int, am int, p int, q int, passage binary"
+NAMES = [c.split(" ")[0] for c in PASSAGES.split(", ")]
 SPANS = "rid long, first int, upto int"
 
 
@@ -169,13 +174,13 @@ def hashing(unit: Unit) -> Callable:
     return run
 
 
-def stretches(codes: np.ndarray, starts: np.ndarray, unit: Unit) -> Iterator[tuple]:
+def stretches(codes: np.ndarray, starts: np.ndarray, unit: Unit, stretch: int = STRETCH) -> Iterator[tuple]:
     """The groups of all texts; a single long text is taken a stretch at a time, each with the windows that start in it."""
-    if len(starts) > 2 or len(codes) <= 2 * STRETCH:
+    if len(starts) > 2 or len(codes) <= 2 * stretch:
         yield groups(codes, starts, unit)
         return
-    for at in range(0, len(codes), STRETCH):
-        part = codes[at : at + STRETCH + unit.length - 1]
+    for at in range(0, len(codes), stretch):
+        part = codes[at : at + stretch + unit.length - 1]
         text, a, s, i0, n, am = groups(part, np.array([0, len(part)]), unit)
         yield text, a, s, i0 + at, n, am
 
@@ -190,11 +195,11 @@ def cutting(unit: Unit) -> Callable:
                 tokens = unit.split((text or "").encode())
                 for g in wanted:
                     i0, n = g["i0"], g["n"]
-                    rows.append((g["a"], g["s"], rid, i0, g["am"], 0, unit.offsets - 1, unit.join(tokens[i0 : i0 + n - 1 + unit.length])))
+                    rows.append((g["a"], g["a"], g["s"], g["copies"], rid, i0, g["am"], 0, unit.offsets - 1, unit.join(tokens[i0 : i0 + n - 1 + unit.length])))
                 if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["key", "s", "rid", "i0", "am", "p", "q", "passage"])
+                    yield pd.DataFrame(rows, columns=NAMES)
                     rows = []
-            yield pd.DataFrame(rows, columns=["key", "s", "rid", "i0", "am", "p", "q", "passage"])
+            yield pd.DataFrame(rows, columns=NAMES)
 
     return run
 
@@ -209,7 +214,7 @@ def halving(unit: Unit) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for _, _, rid, i0, am, p, q, passage in batch.itertuples(index=False):
+            for _, a, _, copies, rid, i0, am, p, q, passage in batch.itertuples(index=False):
                 tokens = unit.split(passage)
                 last = len(tokens) - unit.length
                 mid = (p + q) // 2
@@ -218,8 +223,8 @@ def halving(unit: Unit) -> Callable:
                     if lo <= hi and first <= final:
                         own = unit.join(tokens[first : final + unit.length])
                         core = unit.join(tokens[am - lo : am - hi + unit.length])
-                        rows.append((hashed(core, b"%d %d" % (lo, hi)), hashed(own, b"%d" % (am - first)), rid, i0 + first, am - first, lo, hi, own))
-            yield pd.DataFrame(rows, columns=["key", "s", "rid", "i0", "am", "p", "q", "passage"])
+                        rows.append((hashed(core, b"%d %d" % (lo, hi)), a, hashed(own, b"%d" % (am - first)), copies, rid, i0 + first, am - first, lo, hi, own))
+            yield pd.DataFrame(rows, columns=NAMES)
 
     return run
 
@@ -262,45 +267,85 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
+def different(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """One row of each different passage of a key, with the sum of ``copies``; copies are summed where they are read, so a hot passage is one row for a task."""
+    others = [c for c in rows.columns if c not in (key, "s", "copies")]
+    return staged(rows.groupBy(key, "s").agg(F.sum("copies").alias("copies"), F.min(F.struct(*others)).alias("one")), label).select(key, "s", "copies", "one.*")
+
+
 def settled(rows: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose passage occurs again under the same key, one row of each different passage of the keys that have several).
 
-    All windows of the former recur; copies are summed where they are read, so a hot passage is one row for a task."""
-    others = [c for c in rows.columns if c not in (key, "s")]
-    unlike = staged(rows.groupBy(key, "s").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*others)).alias("one")), f"{label}-unlike")
+    All windows of the former recur."""
+    unlike = different(rows, key, f"{label}-unlike")
     again = rows.join(unlike.where("copies > 1").select(key, "s"), [key, "s"], "left_semi")
     several = unlike.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(key)
-    return again, unlike.join(several, key, "left_semi").select(key, "s", "one.*")
+    return again, unlike.join(several, key, "left_semi")
 
 
-def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, most_passages: int = MOST_PASSAGES) -> DataFrame:
-    """(rid, first, upto): token spans of docs (rid, text) that windows occurring elsewhere cover; spans may overlap."""
+def recurring_groups(docs: DataFrame, unit: Unit) -> DataFrame:
+    """The groups of docs (rid, text) whose anchor recurs, written; ``unlike``: the anchor has different passages."""
     ship_code(docs.sparkSession)
     found = staged(docs.select("rid", "text").mapInArrow(hashing(unit), GROUPS), "groups")
-    anchors = found.groupBy("a").agg(F.count(F.lit(1)).alias("k"), (F.min("s") != F.max("s")).alias("unlike")).where("k > 1").select("a", "unlike")
+    anchors = staged(found.groupBy("a").agg(F.count(F.lit(1)).alias("k"), (F.min("s") != F.max("s")).alias("unlike")).where("k > 1").select("a", "unlike"), "anchors")
     recurring = staged(found.join(anchors, "a"), "recurring")
-    again, ones = settled(recurring.where("unlike").drop("unlike"), "a", "anchors")
-    span = [F.col("rid"), F.col("i0").alias("first"), (F.col("i0") + F.col("n") - 1 + unit.length).alias("upto")]
-    spans = recurring.where(~F.col("unlike")).select(*span).unionByName(again.select(*span))
-    wanted = ones.groupBy("rid").agg(F.collect_list(F.struct("a", "s", "i0", "n", "am")).alias("wanted"))
-    passages = staged(docs.select("rid", "text").join(wanted, "rid").mapInPandas(cutting(unit), PASSAGES), "passages")
-    ready, turn = [], 0
+    unstage(found, anchors)
+    return recurring
+
+
+def passages_of(docs: DataFrame, ones: DataFrame, unit: Unit) -> DataFrame:
+    """The passages (see PASSAGES) of groups (rid, a, s, i0, n, am, copies), cut out of their texts."""
+    wanted = ones.groupBy("rid").agg(F.collect_list(F.struct("a", "s", "i0", "n", "am", "copies")).alias("wanted"))
+    return staged(docs.select("rid", "text").join(wanted, "rid").mapInPandas(cutting(unit), PASSAGES), "passages")
+
+
+def split_small(passages: DataFrame, unit: Unit, most_passages: int) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """(passages of keys that are small enough, halves of the others' passages): the caller sends what it wants to go on with."""
+    turn = 0
     while True:
         large = staged(passages.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most_passages).select("key"), f"large{turn}")
         if large.isEmpty():
-            ready.append(passages)
-            break
-        ready.append(passages.join(large, "key", "left_anti"))
+            yield passages, None
+            return
         halves = staged(passages.join(large, "key", "left_semi").mapInPandas(halving(unit), PASSAGES), f"halves{turn}")
-        again, ones = settled(halves, "key", f"halves{turn}")
-        spans = spans.unionByName(again.select("rid", F.col("i0").alias("first"), (F.col("i0") + _tokens(unit)).alias("upto")))
-        passages = staged(ones.select(*halves.columns), f"passages{turn}")
+        passages = yield passages.join(large, "key", "left_anti"), halves
         turn += 1
-    every = ready[0]
-    for r in ready[1:]:
-        every = every.unionByName(r)
-    dealt = every.select("key", "rid", "i0", "passage").repartition("key").sortWithinPartitions("key")
-    return spans.unionByName(dealt.mapInPandas(solving(unit, solver), SPANS))
+
+
+def united(frames: list[DataFrame]) -> DataFrame:
+    every = frames[0]
+    for f in frames[1:]:
+        every = every.unionByName(f)
+    return every
+
+
+def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, most_passages: int = MOST_PASSAGES) -> DataFrame:
+    """(rid, first, upto): token spans of docs (rid, text) that windows occurring elsewhere cover; spans may overlap."""
+    recurring = recurring_groups(docs, unit)
+    again, ones = settled(recurring.where("unlike").drop("unlike").withColumn("copies", F.lit(1).cast("bigint")), "a", "anchors")
+    span = [F.col("rid"), F.col("i0").alias("first"), (F.col("i0") + F.col("n") - 1 + unit.length).alias("upto")]
+    spans = [recurring.where(~F.col("unlike")).select(*span), again.select(*span)]
+    ready, rounds = [], split_small(passages_of(docs, ones, unit), unit, most_passages)
+    small, halves = next(rounds)
+    while halves is not None:
+        ready.append(small)
+        again, ones = settled(halves, "key", "halves")
+        spans.append(again.select("rid", F.col("i0").alias("first"), (F.col("i0") + _tokens(unit)).alias("upto")))
+        small, halves = rounds.send(staged(ones.select(*NAMES), "passages"))
+    dealt = united([*ready, small]).select("key", "rid", "i0", "passage").repartition("key").sortWithinPartitions("key")
+    return united([*spans, dealt.mapInPandas(solving(unit, solver), SPANS)])
+
+
+def solved(docs: DataFrame, recurring: DataFrame, unit: Unit, solve: Callable, schema: str, most_passages: int = MOST_PASSAGES) -> DataFrame:
+    """What ``solve`` (rows of (key, a, copies, passage) in order of the key, whole keys together) gives for the different passages of recurring groups."""
+    ones = different(recurring.drop("unlike").withColumn("copies", F.lit(1).cast("bigint")), "a", "different")
+    ready, rounds = [], split_small(passages_of(docs, ones, unit), unit, most_passages)
+    small, halves = next(rounds)
+    while halves is not None:
+        ready.append(small)
+        small, halves = rounds.send(different(halves, "key", "halves").select(*NAMES))
+    dealt = united([*ready, small]).select("key", "a", "copies", "passage").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInPandas(solve, schema)
 
 
 def _tokens(unit: Unit):
