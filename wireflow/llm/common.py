@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wireflow.plans.staging import shared_dir
+
 #: ASCII white space: the blank and U+0009 to U+000D. Everything else belongs to words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,20 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS, STEP_BITS = 60, 12
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where that setting is absent, a temporary folder is made if all runs in one process (tests);
-    on a cluster that would scatter the parts over the executors' disks, so it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-wf-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 #: With this, Spark drops the shuffle files of a query when the query has ended, not when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -56,8 +44,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def unstage(*frames: DataFrame) -> None:
-    """Delete the tables behind frames that :func:`staged` made, once nothing is to be computed from them."""
+    """Delete the tables of those frames that :func:`staged` made, once nothing is to be computed from them."""
     for df in frames:
+        if not hasattr(df, "staged_at"):
+            continue
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -95,19 +85,47 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Plans that give the rows of a file scan as they are, some columns or rows left out.
+SCANS = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
+
+
+def scans_parquet(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of a Parquet file, so that its file and place there tell it apart."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName().split(" ")[0] in SCANS:
+        if node.children().isEmpty():
+            try:
+                return "_metadata" not in df.columns and bool(df.select("_metadata.file_path", "_metadata.row_index").columns)
+            except AnalysisException:
+                return False
+        if node.children().size() > 1:
+            return False
+        node = node.children().apply(0)
+    return False
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows and write them with their numbers.
+    """Number the rows, the same whenever and wherever they are read.
 
-    Numbers computed again could differ (files are split by the cores there are, shuffles deal
-    in any order), so joins on them read the ones that were written."""
-    return staged(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    Rows of Parquet files are numbered by their file (in the order of the paths; one short row a
+    file is ranked) and their place in it. How files are split depends on the cores there are,
+    and shuffles deal in any order, so numbers by place in the plan would change: other tables
+    are written with such numbers first."""
+    if not scans_parquet(df):
+        return staged(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    path, row, file = fresh(df, "path"), fresh(df, "row"), fresh(df, "file")
+    at = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
+    files = staged(at.select(path).distinct().withColumn(file, (F.row_number().over(Window.orderBy(path)) - 1).cast("bigint")), "files")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return at.join(files, path).select(*columns, (F.shiftleft(file, 40) + F.col(row)).alias(name))
 
 
 def numbered(docs: DataFrame, row_key: str | None, *columns) -> DataFrame:
-    """``columns`` of the rows of ``docs`` with their numbers as rid, written: those in ``row_key`` if it is given, else new ones."""
-    if row_key:
-        return staged(docs.select(F.col(row_key).alias("rid"), *columns), "rows")
-    return with_row_key(docs.select(*columns), "rid")
+    """``columns`` of the rows of ``docs`` with their numbers as rid, written: the numbers in ``row_key`` if it is given, else new ones."""
+    if not row_key:
+        row_key = fresh(docs, "rid")
+        docs = with_row_key(docs, row_key)
+    return staged(docs.select(F.col(row_key).alias("rid"), *columns), "rows")
 
 
 def key60(*cols) -> F.Column:
@@ -128,18 +146,16 @@ def weighted_cuts(rows: DataFrame, budgets: DataFrame, label: str) -> DataFrame:
     sorted but at most 4096 sums a group. A group without rows gets no cut."""
     rest = rows.select("g", "key", "w", F.lit(0).cast("bigint").alias("before"))
     goal = budgets.select(F.col("g").alias("bg"), "budget")
-    from pyspark.sql import Window as W
-
     done = []
     for shift in range(KEY_BITS - STEP_BITS, -1, -STEP_BITS):
         last = shift == 0
         sums = rest.groupBy("g", F.shiftright("key", shift).alias("b")).agg(
             F.sum("w").alias("bw"), F.max("before").alias("before"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        run = F.sum("bw").over(W.partitionBy("g").orderBy("b"))
+        run = F.sum("bw").over(Window.partitionBy("g").orderBy("b"))
         sums = (sums.withColumn("upto", F.col("before") + run).withColumn("start", F.col("upto") - F.col("bw"))
                 .join(goal, F.col("g").eqNullSafe(F.col("bg"))))
         hit = (F.col("start") <= F.col("budget")) & (F.col("budget") < F.col("upto"))
-        top = W.partitionBy("g")
+        top = Window.partitionBy("g")
         marked = staged(sums.withColumn("n_hit", F.max(hit.cast("int")).over(top)).withColumn("end", F.max("hi").over(top))
                         .where(hit | ((F.col("n_hit") == 0) & (F.col("hi") == F.col("end")))), f"{label}-cut")
         one = F.col("lo") == F.col("hi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wireflow.llm.common import staged, table, weighted_cuts, with_row_key
+from wireflow.llm.common import numbered, staged, table, weighted_cuts
 
 N_SHARDS = 16
 DIMS = ("x_size", "x_source", "x_lang")
@@ -68,9 +68,10 @@ def kd_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
     group's smallest source and lang. A null text has size 1; a null source or lang has place
     0; an empty table gives no rows; other columns are not read."""
     t = F.coalesce(F.col(text), F.lit(""))
-    meta = with_row_key(docs.select(
+    meta = numbered(
+        docs, None,
         F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("bigint").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
-        F.sha2(t, 256).alias("digest"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang")), "rid")
+        F.sha2(t, 256).alias("digest"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"))
     groups = staged(meta.groupBy("digest").agg(F.sum("size").alias("bytes"), F.max("size").alias("one"), F.min("source").alias("source"), F.min("lang").alias("lang")).select(
         "digest", F.conv(F.substring("digest", 1, 10), 16, 10).cast("bigint").alias("key_low"), "bytes",
         (F.log2("one") / 40).alias("x_size"), _unit(F.col("source")).alias("x_source"), _unit(F.col("lang")).alias("x_lang")), "groups")
