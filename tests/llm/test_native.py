@@ -331,5 +331,83 @@ def test_urls(spark):
         ("", "", None), ("", "", None), ("myorg", "/x", None), ("b:", "//c/d", None), ("x.org", "", None)]
     assert [got[i].verdict for i in range(1, 6)] == ["block", "block", "allow", "allow", "block"]
     assert got[100].verdict == "block" and got[205].verdict == "allow"
-    s, d = suffix_and_domain("h", ("co.uk",))
-    assert [tuple(r) for r in spark.createDataFrame([("a.b.co.uk",), ("x.y.com",), ("com",), ("",)], "h string").select(s, d).collect()] == [("co.uk", "b.co.uk"), ("com", "y.com"), ("com", "com"), ("", "")]
+    s, d = suffix_and_domain("h")
+    assert [tuple(r) for r in spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",)], "h string").select(s, d).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "y.com"), ("com", "com"), ("", "")]
+
+
+def test_urls_odd(spark):
+    """Repeated rows are judged each; of tied outcomes the bad one counts; a long url is read whole; other columns do not matter."""
+    long = "http://long.test/" + "x" * 200_000 + "?q"
+    pages = [(1, "http://bad.example/1", "a", "b")] * 2 + [(i, f"http://bad.example/{i}", "a", "b") for i in range(2, 40)] + [(90, long, None, ""), (None, "http://bad.example/n", "", "")]
+    pages += [(100 + i, f"http://long.test/{i}", "a", "b") for i in range(40)]
+    outcomes = [(i, b) for i in range(1, 40) for b in (0, 1, 1)] + [(100 + i, 0) for i in range(40)]
+    rows = url_filter(spark.createDataFrame(pages, "page_id long, url string, host string, rate string"), spark.createDataFrame(outcomes, "page_id long, bad int")).collect()
+    assert len(rows) == len(pages) and sum(r.page_id == 1 for r in rows) == 2
+    assert all(r.verdict == ("block" if r.host == "bad.example" else "allow") for r in rows)
+    assert next(r for r in rows if r.page_id == 90).path == "/" + "x" * 200_000
+
+
+def test_very_long_texts(spark):
+    """Whole texts count: they differ in their last word alone."""
+    long = "word " * 400_000
+    docs = spark.createDataFrame([(1, long + "a", "s"), (2, long + "b", "s"), (3, long + "a", "s"), (4, "x", "t")], "doc_id long, text string, source string")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs).collect()} == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+    assert {r.doc_id: r["size"] for r in mix(docs).collect()} == {1: 400_001, 2: 400_001, 3: 400_001, 4: 1}
+    assert {r.doc_id: r["size"] for r in kd_shards(docs.withColumn("lang", docs.source)).collect()} == {1: 2_000_002, 2: 2_000_002, 3: 2_000_002, 4: 2}
+    rules = {r.doc_id: r for r in host_rules(docs).collect()}
+    assert rules[1].n_words == 400_001 and rules[1].n_repeat_words == 400_000 and rules[1].base_failed
+    mail = "write to " + "me " * 300_000 + "a@b.example now"
+    (row,) = personal_data(spark.createDataFrame([(1, mail)], "doc_id long, text string")).collect()
+    assert row.spans == f"email:{len(mail) - 15}:{len(mail) - 4}"
+
+
+def test_kept_rows_keep_their_columns(spark, odd):
+    """Clashing names, repeats and ties: what is kept are rows of the table, whole."""
+    rows = Counter(map(str, odd.collect()))
+    for f in (keep_one, keep_good):
+        out = f(odd)
+        assert out.columns == odd.columns and not Counter(map(str, out.collect())) - rows
+    out = mixed_documents(odd)
+    assert out.columns == odd.columns and set(map(str, out.collect())) <= set(rows)
+    clash = odd.withColumnRenamed("t", "__rid").withColumnRenamed("kept", "start")
+    assert keep_one(clash).count() == keep_one(odd).count()
+    assert {r.doc_id: r.spans for r in personal_data(clash.withColumn("found", clash.text)).collect()}[8] == ""
+
+
+def test_shards_brute(spark, sf):
+    """The k-d tree by hand: the same weighted medians, the same shards."""
+    from math import floor, log
+
+    docs = table(spark, sf, "documents").collect()
+    groups = defaultdict(list)
+    for d in docs:
+        groups[hashlib.sha256((d.text or "").encode()).hexdigest()].append(d)
+    unit = lambda x: 0.0 if x is None else zlib.crc32(x.encode()) / 2.0**32
+    least = lambda v: min((x for x in v if x is not None), default=None)
+    rows = []
+    for digest, own in groups.items():
+        sizes = [len((d.text or "").encode()) + 1 for d in own]
+        rows.append((digest, int(digest[:10], 16), sum(sizes), (log(max(sizes)) / log(2) / 40, unit(least(d.source for d in own)), unit(least(d.lang for d in own)))))
+    want = {}
+
+    def split(rows, lo, n):
+        if n == 1:
+            want.update({r[0]: lo for r in rows})
+            return
+        spread = [max(r[3][i] for r in rows) - min(r[3][i] for r in rows) for i in range(3)]
+        axis = spread.index(max(spread))
+        key = lambda r: (min(floor(r[3][axis] * 2**20), 2**20 - 1) << 40) + r[1]
+        budget, run, cut = sum(r[2] for r in rows) * (n // 2) / n, 0, None
+        by_key = Counter()
+        for r in rows:
+            by_key[key(r)] += r[2]
+        for k in sorted(by_key):
+            if run <= budget < run + by_key[k]:
+                cut = k + 1 if run * 2 + by_key[k] <= budget * 2 else k
+            run += by_key[k]
+        split([r for r in rows if key(r) < cut], lo, n // 2)
+        split([r for r in rows if key(r) >= cut], lo + n // 2, n - n // 2)
+
+    split(rows, 0, 16)
+    got = {r.doc_id: r.shard for r in kd_shards(table(spark, sf, "documents")).collect()}
+    assert got == {d.doc_id: want[hashlib.sha256((d.text or "").encode()).hexdigest()] for d in docs}

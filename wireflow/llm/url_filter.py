@@ -9,8 +9,13 @@ from wireflow.llm.common import staged, table
 
 #: (host, path, verdict); a rule's name is host + path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Public suffixes of more than one label, where they are to be told apart.
-LONG_SUFFIXES: tuple[str, ...] = ()
+#: Public suffixes of two labels, under which anyone can register a name or a site. A parameter; more can be given.
+LONG_SUFFIXES: tuple[str, ...] = tuple((
+    "ac.id ac.il ac.in ac.jp ac.kr ac.nz ac.th ac.uk ac.za asso.fr co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn com.co com.eg com.hk com.mx "
+    "com.my com.ng com.pe com.ph com.pk com.pl com.pt com.ru com.sa com.sg com.tr com.tw com.ua com.vn edu.au edu.br edu.cn edu.hk edu.in edu.mx edu.pl edu.sg edu.tr edu.tw firm.in "
+    "go.id go.jp go.kr go.th gob.ar gob.mx gov.au gov.br gov.cn gov.il gov.in gov.pl gov.sg gov.tr gov.tw gov.ua gov.uk gov.za govt.nz id.au ltd.uk me.uk ne.jp net.au net.br net.cn net.in "
+    "net.nz net.pl net.tr net.uk nom.br or.id or.jp or.kr or.th org.ar org.au org.br org.cn org.hk org.il org.in org.mx org.nz org.pl org.sg org.tr org.tw org.ua org.uk org.za plc.uk sch.uk "
+    "blogspot.com github.io gitlab.io herokuapp.com netlify.app pages.dev tumblr.com vercel.app weebly.com wixsite.com wordpress.com").split())
 #: A host is blocked if the lower bound of its rate of bad pages is above this.
 MAX_BAD_RATE, BOUND_SDS = 0.4, 2.0
 
@@ -26,8 +31,9 @@ def url_parts(url: str) -> tuple[F.Column, F.Column]:
 def suffix_and_domain(host: str, long_suffixes=LONG_SUFFIXES) -> tuple[F.Column, F.Column]:
     """The last label (or a listed longer suffix) and that with one label more."""
     suffix = F.substring_index(host, ".", -1)
-    for s in long_suffixes:
-        suffix = F.when(F.col(host).endswith("." + s) | (F.col(host) == s), F.lit(s)).otherwise(suffix)
+    for n in sorted({s.count(".") + 1 for s in long_suffixes}):
+        last = F.substring_index(host, ".", -n)
+        suffix = F.when(last.isin(*[s for s in long_suffixes if s.count(".") + 1 == n]), last).otherwise(suffix)
     labels = F.size(F.split(suffix, r"\.")) + 1
     return suffix, F.array_join(F.slice(F.split(F.col(host), r"\."), F.greatest(F.size(F.split(F.col(host), r"\.")) - labels + 1, F.lit(1)), labels), ".")
 
@@ -76,9 +82,11 @@ def reputations(parsed: DataFrame, outcomes: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, host_rate, host_bound.
 
-    A rule that fits decides; else the host's posterior bound. A null url has an empty host,
-    which is a host like any other; a null page_id has no outcome; repeated rows are judged
-    each; of several outcomes of a page the bad one counts; empty tables give no rows."""
+    A rule that fits decides; else the host's posterior bound: the mean of its beta posterior less
+    two of its standard deviations. A null url has an empty host, which is a host like any other; a
+    null page_id has no outcome; repeated rows are judged each; a long url is read whole; of several
+    (tied) outcomes of a page the bad one counts; empty tables give no rows; other columns, whatever
+    their names, are not read."""
     host, path = url_parts("url")
     parsed = staged(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", host.alias("host"), path.alias("path")), "urls")
     judged = staged(reputations(parsed.select("page_id", "host"), outcomes), "reputation")
@@ -95,16 +103,19 @@ def labelled_outcomes(labels: DataFrame) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`url_filter` of the whole pages table with the outcomes of the labels table."""
     found = url_filter(table(spark, sf_dir, "pages"), labelled_outcomes(table(spark, sf_dir, "labels")))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+_LONG = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
 SQL = {"op1_url_filter": r"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 o AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-h AS (SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-             count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+l AS (SELECT *, string_split(host, '.') AS labels, array_to_string(string_split(host, '.')[-2:], '.') IN (""" + _LONG + r""") AS long FROM p),
+h AS (SELECT host, CASE WHEN long THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix, array_to_string(CASE WHEN long THEN labels[-3:] ELSE labels[-2:] END, '.') AS domain,
+             count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM l LEFT JOIN o USING (page_id) GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 a AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m FROM s),
