@@ -110,6 +110,27 @@ def approximate_t_depth(placed: DataFrame, precision: float) -> DataFrame:
     return placed.groupBy("layer").agg(F.max(cost).alias("cost")).agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("t_depth"))
 
 
+def rotation_cost(precision) -> F.Column:
+    """T gates of a rotation to a precision (a number or column) by the cost model."""
+    return F.floor(F.lit(T_SLOPE) * F.log2(1 / (F.lit(precision) if isinstance(precision, float) else precision)) + T_OFFSET).cast("bigint")
+
+
+def precision_budget(angles: DataFrame, circuit_precision: float, tolerance: float = 1e-10) -> DataFrame:
+    """(rotations, precision): what each rotation of (angle in multiples of pi) may err if all together may err ``circuit_precision``.
+
+    Multiples of a quarter are exact and take no share; without rotations the whole is left."""
+    turn = F.col("angle") * 4
+    n = angles.agg(F.count_if(F.abs(turn - F.round(turn)) > tolerance).cast("bigint").alias("rotations"))
+    return n.withColumn("precision", F.when(F.col("rotations") > 0, F.lit(circuit_precision) / F.col("rotations")).otherwise(F.lit(circuit_precision)))
+
+
+def rotation_resources(angles: DataFrame, precision: float, tolerance: float = 1e-10) -> DataFrame:
+    """Rows (k, axis 2..4, angle) with t_count: none for half turns' halves, one for odd quarters, else the cost model's."""
+    turn = F.col("angle") * 4
+    exact = F.abs(turn - F.round(turn)) <= tolerance
+    return angles.withColumn("t_count", F.when(exact, F.pmod(F.round(turn), F.lit(2.0)).cast("bigint")).otherwise(rotation_cost(precision)))
+
+
 def resolve_wires(gates: DataFrame, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, port, wire) of every port of a linked table; a wire is named by its In gate.
 

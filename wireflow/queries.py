@@ -105,6 +105,7 @@ query("scan_by_label", GATE + " SELECT id, type FROM gates WHERE label = '3'")(l
 query("scan_by_ids", GATE + " SELECT id, type FROM gates WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0)")(
     lambda s, d: gates.by_ids(stored(s, d), table(s, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("id"))).select(*big("id", "type")))
 query("batch_sizes", GATE + " SELECT id // 1000 AS batch, count(*) AS n FROM gates GROUP BY 1")(lambda s, d: gates.batches(stored(s, d)))
+query("scan_batches", GATE + " SELECT id // 1000 AS batch, id, type FROM gates")(lambda s, d: stored(s, d).select(F.floor(F.col("id") / 1000).cast("bigint").alias("batch"), *big("id", "type")))
 query("filter_type_param", GATE + " SELECT id FROM gates WHERE type = 8 AND param = 1.0")(
     lambda s, d: stored(s, d).where((F.col("type") == H) & (F.col("param") == F.lit(1.0).cast("float"))).select("id"))
 query("filter_type_in", GATE + " SELECT id, type FROM gates WHERE type IN (29, 30)")(lambda s, d: stored(s, d).where(F.col("type").isin(T, T_DAG)).select(*big("id", "type")))
@@ -229,6 +230,11 @@ query("cx_to_hhcxhh", OPS + """, five(sub, type, w) AS (VALUES (0, 8, 'a'), (1,
 FROM ops, five WHERE ops.type IN (15, 18) UNION ALL SELECT op_id, 0, type, q0, q1 FROM ops WHERE type NOT IN (15, 18)""")(lambda s, d: (o := rewrites.expand_cx(circuit(s, d))).select("op_id", "sub", *big("type"), *flat(o)))
 
 
+query("cx_to_hhcxhh_sampled", OPS + """, five(sub, type, w) AS (VALUES (0, 8, 'a'), (1, 8, 'b'), (2, 18, 'ba'), (3, 8, 'a'), (4, 8, 'b')), pk AS (SELECT *, type IN (15, 18) AND op_id * 7919 % 10007 * 100 < 10 * 10007 AS hit FROM ops)
+SELECT op_id, CAST(sub AS BIGINT) AS sub, CAST(five.type AS BIGINT) AS type, CASE WHEN w = 'a' THEN q0 ELSE q1 END AS q0, CASE WHEN w = 'ba' THEN q0 END AS q1 FROM pk, five WHERE hit UNION ALL SELECT op_id, 0, type, q0, q1 FROM pk WHERE NOT hit""")(
+    lambda s, d: (o := rewrites.expand_cx(circuit(s, d), 10)).select("op_id", "sub", *big("type"), *flat(o)))
+
+
 def _steps(text: str, codes: dict) -> str:
     return ", ".join(f"({i}, {c}, {p}, '{q}')" for i, (c, p, q) in enumerate(decompose.sequence(text, codes)))
 
@@ -268,6 +274,19 @@ al AS (SELECT k, qubit, pos, type, param FROM rz UNION ALL SELECT k, qubit, 1, 8
 SELECT k, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS sub, CAST(type AS BIGINT) AS type, CAST(param AS DOUBLE) AS param, qubit FROM al""")(
     lambda s, d: decompose.lower_rotations(rotations(s, d)).select("k", "sub", *big("type"), *real("param"), "qubit"))
 
+_ANGLES = "WITH r AS (SELECT o_orderkey AS k, 2 + o_orderkey % 3 AS axis, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 16 - 8) / 4.0 ELSE o_totalprice / 7 END AS angle, o_custkey % 64 AS qubit FROM orders)"
+query("precision_budget", _ANGLES + ", n AS (SELECT count(*) FILTER (WHERE abs(angle * 4 - round(angle * 4)) > 1e-10) AS rotations FROM r) SELECT rotations, CASE WHEN rotations > 0 THEN 1e-6::DOUBLE / rotations ELSE 1e-6::DOUBLE END AS precision FROM n")(
+    lambda s, d: layers.precision_budget(rotations(s, d), 1e-6))
+query("rotation_resources", _ANGLES + " SELECT k, CASE WHEN abs(angle * 4 - round(angle * 4)) <= 1e-10 THEN CAST(abs(round(angle * 4)) AS BIGINT) % 2 ELSE CAST(floor(3.02::DOUBLE * log2(1 / 1e-10::DOUBLE) + 0.77::DOUBLE) AS BIGINT) END AS t_count FROM r")(
+    lambda s, d: layers.rotation_resources(rotations(s, d), 1e-10).select("k", "t_count"))
+query("qasm_rotations", _ANGLES + " SELECT k AS op_id, CAST(axis AS BIGINT) AS type, CAST(CAST(angle AS FLOAT) AS DOUBLE) AS param, qubit AS q0 FROM r")(
+    lambda s, d: files.from_qasm(files.to_qasm(rotations(s, d).select(F.col("k").alias("op_id"), F.col("axis").cast("short").alias("type"), F.col("angle").cast("float").alias("param"), F.array("qubit").alias("qubits"))))
+    .select("op_id", *big("type"), *real("param"), F.element_at("qubits", 1).alias("q0")))
+query("ancillas", TRIPLES + " SELECT k, 64 + row_number() OVER (ORDER BY k) - 1 AS ancilla FROM tri")(
+    lambda s, d: generators.with_ancillas((t := triples(s, d)), "k", t.select(F.explode(F.array("a", "b", "c")).alias("qubit"))).select("k", "ancilla"))
+query("repeat_ops", OPS + ", m AS (SELECT count(*) AS n FROM ops) SELECT t * n + op_id AS op_id, type, q0, q1 FROM ops, m, range(3) r(t)")(
+    lambda s, d: (o := generators.repeated(circuit(s, d), 3)).select("op_id", *big("type"), *flat(o)))
+
 # graph
 _EDGES = GATE + ", ed AS (SELECT -1 AS source, id AS target FROM gates WHERE type = 0 UNION ALL SELECT id, -2 FROM gates WHERE type = 1 UNION ALL SELECT id, next_q1 // 1000 FROM gates WHERE next_q1 IS NOT NULL UNION ALL SELECT id, next_q2 // 1000 FROM gates WHERE next_q2 IS NOT NULL)"
 _BATCH = _EDGES + ", bt AS (SELECT (row_number() OVER (ORDER BY source, target) - 1) // 500 AS batch, source, target FROM ed)"
@@ -411,6 +430,8 @@ query("common_angle", "WITH r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey %
 
 _WORD = "CASE type WHEN 8 THEN 'h' WHEN 18 THEN 'cx' WHEN 29 THEN 't' ELSE 'tdg' END"
 query("qasm_lines", OPS + f" SELECT op_id, {_WORD} || ' q[' || q0 || ']' || coalesce(', q[' || q1 || ']', '') || ';' AS line FROM ops")(lambda s, d: files.to_qasm(circuit(s, d)))
+query("qasm_program", OPS + f""" SELECT -3 AS place, 'OPENQASM 3.0;' AS line UNION ALL SELECT -2, 'include "stdgates.inc";' UNION ALL SELECT -1, 'qubit[' || (max(greatest(q0, coalesce(q1, q0))) + 1) || '] q;' FROM ops
+UNION ALL SELECT op_id, {_WORD} || ' q[' || q0 || ']' || coalesce(', q[' || q1 || ']', '') || ';' FROM ops""")(lambda s, d: files.qasm_program(circuit(s, d)))
 query("qasm_parsed", OPS + " SELECT op_id, type, param, q0, q1 FROM ops")(lambda s, d: (o := files.from_qasm(files.to_qasm(circuit(s, d)))).select("op_id", *big("type"), *real("param"), *flat(o)))
 
 # engine and streaming

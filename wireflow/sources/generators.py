@@ -53,6 +53,19 @@ def random_cx(numbers: DataFrame, qubits: int, turned_pct: float = 0.0, seed: in
     return _numbered(_pairs(numbers, qubits, seed).withColumn("ops", F.when(turned, F.array(*outer, h, g, _one(CX, 1.0, b, a), h, g, *outer)).otherwise(F.array(_one(CX, 1.0, a, b)))))
 
 
+def repeated(ops: DataFrame, times: int) -> DataFrame:
+    """A circuit so many times in a row (op_ids dense from 0)."""
+    n = ops.agg(F.count(F.lit(1)).alias("n_ops"))
+    rows = ops.join(F.broadcast(n)).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint"))))
+    return rows.withColumn("op_id", F.col("turn") * F.col("n_ops") + F.col("op_id")).drop("n_ops", "turn")
+
+
+def with_ancillas(rows: DataFrame, order: str, used: DataFrame) -> DataFrame:
+    """Add ``ancilla``: a fresh qubit for every row, in the order of a column, after the largest of ``used`` (qubit)."""
+    top = used.agg(F.coalesce(F.max("qubit"), F.lit(-1)).alias("top"))
+    return global_rank(rows, order, name="place").join(F.broadcast(top)).withColumn("ancilla", F.col("top") + 1 + F.col("place")).drop("top", "place")
+
+
 def bernstein_vazirani(bits: DataFrame) -> DataFrame:
     """For a secret given as (i, one boolean), read in the order of i: H on every qubit, X and H on one more after them, a controlled NOT to it for every 1, H on all but it."""
     own = global_rank(bits.select("i", "one"), "i", name="q").withColumn("q", F.col("q").cast("bigint"))
