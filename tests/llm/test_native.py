@@ -301,9 +301,15 @@ def test_packing(spark, sf, odd):
         for _, s in pieces.groupby("sequence_id"):
             s = s.sort_values("offset")
             assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 1024
+        if docs is not odd:
+            used = pieces.groupby("sequence_id").length.sum()
+            padding = sum(1024 - n for n in used if n & (n - 1))
+            assert padding <= 0.02 * used.sum()
 
 
 def test_differencing():
+    # by hand: 8 - 7 = 1, 6 - 5 = 1, 4 - 1 = 3, 3 - 1 = 2
+    assert sorted(sum((8, 7, 6, 5, 4)[i] for i in s) for s in differenced([8, 7, 6, 5, 4], 2)) == [14, 16]
     r = np.random.default_rng(3)
     sizes = r.integers(1, 257, 600).tolist()
     sets = differenced(sizes, 75)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireflow.llm.common import ship_code, staged, table, unstage, with_row_key
-from wireflow.llm.repeats import MOST_PASSAGES, SOLVE_BYTES, SPANS, Unit, merged, recurring_groups, solved
+from wireflow.llm.repeats import MOST_PASSAGES, SPANS, Unit, merged, recurring_groups, solved, whole_keys
 
 LENGTH, K = 35, 12
 #: Occurrences of one anchor that stream through one shard, and phrases of one anchor in a shard: more are dealt to several.
@@ -48,26 +48,11 @@ def cover(passages: list[bytes], copies: list[int], unit: Unit) -> list[list[byt
     return out
 
 
-def whole_keys(batches: Iterator[pd.DataFrame], columns: list[str], size: Callable) -> Iterator[list[tuple]]:
-    """Rows of a sorted partition, whole keys (the first column) together, about SOLVE_BYTES at a time."""
-    rows: list[tuple] = []
-    held = 0
-    for batch in batches:
-        for row in zip(*(batch[c] for c in columns), strict=True):
-            if held > SOLVE_BYTES and row[0] != rows[-1][0]:
-                yield rows
-                rows, held = [], 0
-            rows.append(row)
-            held += size(row)
-    if rows:
-        yield rows
-
-
 def confirming(unit: Unit) -> Callable:
     """(a, phrase): the phrases of each anchor's passages, without those that its other passages gave too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_keys(batches, ["key", "a", "copies", "passage"], lambda r: len(r[3])):
+        for rows in whole_keys(batches, ["key", "a", "copies", "passage"]):
             found = cover([r[3] for r in rows], [r[2] for r in rows], unit)
             phrases = dict.fromkeys((r[1], p) for r, own in zip(rows, found, strict=True) for p in own)
             yield pd.DataFrame(list(phrases), columns=["a", "phrase"])
@@ -79,7 +64,7 @@ def streaming(unit: Unit) -> Callable:
     """(rid, first, upto): one Aho-Corasick automaton over the words of some shards' phrases (kind 0), through which their texts (kind 1) stream."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_keys(batches, ["key", "kind", "rid", "i0", "words"], lambda r: len(r[4])):
+        for rows in whole_keys(batches, ["key", "kind", "rid", "i0", "words"]):
             numbers: dict[bytes, int] = {}
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
             for _, kind, _, _, words in rows:

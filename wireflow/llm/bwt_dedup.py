@@ -28,7 +28,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         key |= padded[i : i + n]
     done = PACK
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(n, bool)
         key = key[order]
         new[1:] = key[1:] != key[:-1]
@@ -57,27 +57,31 @@ def alike(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     first = symbols[order]
     cut = np.ones(n, bool)  # cut[i]: rows i - 1 and i are known to differ
     cut[1:] = first[1:] != first[:-1]
-    fresh = cut.copy()
-    unset = np.flatnonzero(~cut & same)
-    low, high = by[unset - 1], by[unset]
+    rows = np.flatnonzero(~cut & same)
+    wide = by[rows] - by[rows - 1] > 1
+    far, near = rows[wide], rows[~wide]
+    low, high = by[far - 1], by[far]
+    reached = np.full(n, -1)  # near rows extend neighbours, so one boundary decides: the row that a boundary reaches
+    reached[by[near]] = near
+    new = np.flatnonzero(cut)
     for _ in range(depth - 1):
-        if not len(unset):
+        found = reached[new]
+        found = found[found >= 0]
+        found = found[~cut[found]]
+        if len(far):  # some boundary of the turn before lies between the two rows that are extended
+            hit = np.searchsorted(new, high, side="right") > np.searchsorted(new, low, side="right")
+            found = np.concatenate([found, far[hit]])
+            far, low, high = far[~hit], low[~hit], high[~hit]
+        if not len(found):
             break
-        reach = np.cumsum(fresh, dtype=np.int32)
-        hit = reach[high] > reach[low]
-        new = unset[hit]
-        if not len(new):
-            break
-        fresh[:] = False
-        fresh[new] = True
-        cut[new] = True
-        unset, low, high = unset[~hit], low[~hit], high[~hit]
+        cut[found] = True
+        new = np.sort(found)
     return np.cumsum(cut)
 
 
-def repeated(passages: list[bytes], unit: Unit) -> list[list[tuple[int, int]]]:
-    """The spans of each passage that windows occurring again, in it or another, cover."""
-    parts = [np.zeros(1, np.int16)]
+def repeated(passages: list[bytes], copies: list[int], unit: Unit) -> list[list[tuple[int, int]]]:
+    """The spans of each passage that windows occurring again, in it, a copy of it or another, cover."""
+    parts, times = [np.zeros(1, np.int16)], np.repeat(np.append(0, copies), np.append(1, [len(p) + 1 for p in passages]))
     starts, at = [], 1
     for p in passages:
         starts.append(at)
@@ -86,7 +90,7 @@ def repeated(passages: list[bytes], unit: Unit) -> list[list[tuple[int, int]]]:
     symbols = np.concatenate(parts)
     order = suffix_order(symbols, unit.length)
     classes = alike(symbols, order, unit.length)
-    often = np.bincount(classes) > 1
+    often = np.bincount(classes, times[order]) > 1
     again = np.zeros(len(symbols) + 1, bool)
     again[order] = often[classes]
     out = []

@@ -14,9 +14,9 @@ equal anchors; consecutive windows with one anchor make a group, about two for e
    share, so no task gets an unbounded group;
 4. a solver finds the repeated windows of each anchor among its passages, token by token.
 
-:func:`repeated_spans` settles passages that recur whole by their count and gives the spans of
-the others; :func:`solved` gives whatever a solver says of the passages of each anchor, with
-how often each occurs.
+:func:`repeated_spans` gives each occurrence of a passage the spans that the solver finds in the
+copy of it; :func:`solved` gives whatever a solver says of the passages of each anchor. Solvers
+are told how often each passage occurs.
 """
 
 from __future__ import annotations
@@ -39,9 +39,11 @@ MOST_PASSAGES = 1 << 15
 HASH_BYTES, SOLVE_BYTES, STRETCH = 1 << 20, 1 << 20, 1 << 20
 POSITION_BITS = np.uint64(24)
 GROUPS = "rid long, a long, s long, i0 int, n int, am int"
-PASSAGES = "key long, a long, s long, copies long, rid long, i0 int, am int, p int, q int, passage binary"
+#: Half a passage knows the key and hash of the whole (``pkey``, ``ps``) and where it starts there (``off``).
+PASSAGES = "key long, s long, a long, pkey long, ps long, off int, copies long, am int, p int, q int, passage binary"
 NAMES = [c.split(" ")[0] for c in PASSAGES.split(", ")]
 SPANS = "rid long, first int, upto int"
+FOUND = "key long, s long, first int, upto int"
 
 
 @dataclass(frozen=True)
@@ -195,7 +197,7 @@ def cutting(unit: Unit) -> Callable:
                 tokens = unit.split((text or "").encode())
                 for g in wanted:
                     i0, n = g["i0"], g["n"]
-                    rows.append((g["a"], g["a"], g["s"], g["copies"], rid, i0, g["am"], 0, unit.offsets - 1, unit.join(tokens[i0 : i0 + n - 1 + unit.length])))
+                    rows.append((g["a"], g["s"], g["a"], 0, 0, 0, g["copies"], g["am"], 0, unit.offsets - 1, unit.join(tokens[i0 : i0 + n - 1 + unit.length])))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=NAMES)
                     rows = []
@@ -214,7 +216,7 @@ def halving(unit: Unit) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for _, a, _, copies, rid, i0, am, p, q, passage in batch.itertuples(index=False):
+            for key, s, a, _, _, _, copies, am, p, q, passage in batch.itertuples(index=False):
                 tokens = unit.split(passage)
                 last = len(tokens) - unit.length
                 mid = (p + q) // 2
@@ -223,35 +225,38 @@ def halving(unit: Unit) -> Callable:
                     if lo <= hi and first <= final:
                         own = unit.join(tokens[first : final + unit.length])
                         core = unit.join(tokens[am - lo : am - hi + unit.length])
-                        rows.append((hashed(core, b"%d %d" % (lo, hi)), a, hashed(own, b"%d" % (am - first)), copies, rid, i0 + first, am - first, lo, hi, own))
+                        rows.append((hashed(core, b"%d %d" % (lo, hi)), hashed(own, b"%d" % (am - first)), a, key, s, first, copies, am - first, lo, hi, own))
             yield pd.DataFrame(rows, columns=NAMES)
 
     return run
 
 
-Solver = Callable[[list[bytes], Unit], list[list[tuple[int, int]]]]
+Solver = Callable[[list[bytes], list[int], Unit], list[list[tuple[int, int]]]]
 
 
-def solving(unit: Unit, solver: Solver) -> Callable:
-    """Solve whole keys, several at a time; equal windows have equal keys."""
+def whole_keys(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows of a sorted partition, whole keys (the first column) together, about SOLVE_BYTES (of the last column) at a time."""
+    rows: list[tuple] = []
+    held = 0
+    for batch in batches:
+        for row in zip(*(batch[c] for c in columns), strict=True):
+            if held > SOLVE_BYTES and row[0] != rows[-1][0]:
+                yield rows
+                rows, held = [], 0
+            rows.append(row)
+            held += len(row[-1])
+    if rows:
+        yield rows
+
 
-    def solve(rows: list[tuple]) -> pd.DataFrame:
-        found = solver([r[3] for r in rows], unit)
-        out = [(rid, i0 + a, i0 + b) for (_, rid, i0, _), spans in zip(rows, found, strict=True) for a, b in spans]
-        return pd.DataFrame(out, columns=["rid", "first", "upto"])
+def solving(unit: Unit, solver: Solver) -> Callable:
+    """Solve whole keys, several at a time; equal windows have equal keys. Spans count from a passage's first token."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        held = 0
-        for batch in batches:
-            for row in zip(batch["key"], batch["rid"], batch["i0"], batch["passage"], strict=True):
-                if held > SOLVE_BYTES and row[0] != rows[-1][0]:
-                    yield solve(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[3])
-        if rows:
-            yield solve(rows)
+        for rows in whole_keys(batches, ["key", "s", "copies", "passage"]):
+            found = solver([r[3] for r in rows], [r[2] for r in rows], unit)
+            out = [(key, s, x, y) for (key, s, _, _), spans in zip(rows, found, strict=True) for x, y in spans]
+            yield pd.DataFrame(out, columns=["key", "s", "first", "upto"])
 
     return run
 
@@ -273,16 +278,6 @@ def different(rows: DataFrame, key: str, label: str) -> DataFrame:
     return staged(rows.groupBy(key, "s").agg(F.sum("copies").alias("copies"), F.min(F.struct(*others)).alias("one")), label).select(key, "s", "copies", "one.*")
 
 
-def settled(rows: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose passage occurs again under the same key, one row of each different passage of the keys that have several).
-
-    All windows of the former recur."""
-    unlike = different(rows, key, f"{label}-unlike")
-    again = rows.join(unlike.where("copies > 1").select(key, "s"), [key, "s"], "left_semi")
-    several = unlike.groupBy(key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(key)
-    return again, unlike.join(several, key, "left_semi")
-
-
 def recurring_groups(docs: DataFrame, unit: Unit) -> DataFrame:
     """The groups of docs (rid, text) whose anchor recurs, written; ``unlike``: the anchor has different passages."""
     ship_code(docs.sparkSession)
@@ -299,19 +294,6 @@ def passages_of(docs: DataFrame, ones: DataFrame, unit: Unit) -> DataFrame:
     return staged(docs.select("rid", "text").join(wanted, "rid").mapInPandas(cutting(unit), PASSAGES), "passages")
 
 
-def split_small(passages: DataFrame, unit: Unit, most_passages: int) -> Iterator[tuple[DataFrame, DataFrame | None]]:
-    """(passages of keys that are small enough, halves of the others' passages): the caller sends what it wants to go on with."""
-    turn = 0
-    while True:
-        large = staged(passages.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most_passages).select("key"), f"large{turn}")
-        if large.isEmpty():
-            yield passages, None
-            return
-        halves = staged(passages.join(large, "key", "left_semi").mapInPandas(halving(unit), PASSAGES), f"halves{turn}")
-        passages = yield passages.join(large, "key", "left_anti"), halves
-        turn += 1
-
-
 def united(frames: list[DataFrame]) -> DataFrame:
     every = frames[0]
     for f in frames[1:]:
@@ -319,35 +301,37 @@ def united(frames: list[DataFrame]) -> DataFrame:
     return every
 
 
+def small_keys(docs: DataFrame, recurring: DataFrame, unit: Unit, most_passages: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(the different passages of recurring groups in order of the key, those of large keys in halves; the halves of each turn)."""
+    ones = different(recurring.drop("unlike").withColumn("copies", F.lit(1).cast("bigint")), "a", "different")
+    ready, halves, passages = [], [], passages_of(docs, ones, unit)
+    while True:
+        large = staged(passages.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most_passages).select("key"), "large")
+        if large.isEmpty():
+            break
+        ready.append(passages.join(large, "key", "left_anti"))
+        halves.append(staged(passages.join(large, "key", "left_semi").mapInPandas(halving(unit), PASSAGES), "halves"))
+        passages = different(halves[-1], "key", "unlike").select(*NAMES)
+    return united([*ready, passages]).repartition("key").sortWithinPartitions("key"), halves
+
+
 def repeated_spans(docs: DataFrame, unit: Unit, solver: Solver, most_passages: int = MOST_PASSAGES) -> DataFrame:
-    """(rid, first, upto): token spans of docs (rid, text) that windows occurring elsewhere cover; spans may overlap."""
+    """(rid, first, upto): token spans of docs (rid, text) that windows occurring elsewhere cover; spans may overlap.
+
+    The solver sees one copy of each different passage and how often it occurs; each occurrence
+    gets the spans of its copy, halves hand theirs back to the passages they come from."""
     recurring = recurring_groups(docs, unit)
-    again, ones = settled(recurring.where("unlike").drop("unlike").withColumn("copies", F.lit(1).cast("bigint")), "a", "anchors")
-    span = [F.col("rid"), F.col("i0").alias("first"), (F.col("i0") + F.col("n") - 1 + unit.length).alias("upto")]
-    spans = [recurring.where(~F.col("unlike")).select(*span), again.select(*span)]
-    ready, rounds = [], split_small(passages_of(docs, ones, unit), unit, most_passages)
-    small, halves = next(rounds)
-    while halves is not None:
-        ready.append(small)
-        again, ones = settled(halves, "key", "halves")
-        spans.append(again.select("rid", F.col("i0").alias("first"), (F.col("i0") + _tokens(unit)).alias("upto")))
-        small, halves = rounds.send(staged(ones.select(*NAMES), "passages"))
-    dealt = united([*ready, small]).select("key", "rid", "i0", "passage").repartition("key").sortWithinPartitions("key")
-    return united([*spans, dealt.mapInPandas(solving(unit, solver), SPANS)])
+    dealt, halves = small_keys(docs, recurring, unit, most_passages)
+    found = staged(dealt.mapInPandas(solving(unit, solver), FOUND), "found")
+    for h in reversed(halves):
+        whole = found.join(h.select("key", "s", "pkey", "ps", "off"), ["key", "s"])
+        found = staged(found.unionByName(whole.select(F.col("pkey").alias("key"), F.col("ps").alias("s"), (F.col("first") + F.col("off")).alias("first"), (F.col("upto") + F.col("off")).alias("upto"))), "found")
+    spans = staged(found.groupBy(F.col("key").alias("a"), "s").agg(F.collect_set(F.struct("first", "upto")).alias("spans")), "spans")
+    each = recurring.select("a", "s", "rid", "i0").join(spans, ["a", "s"]).select("rid", "i0", F.explode("spans").alias("x"))
+    return each.select("rid", (F.col("i0") + F.col("x.first")).alias("first"), (F.col("i0") + F.col("x.upto")).alias("upto"))
 
 
 def solved(docs: DataFrame, recurring: DataFrame, unit: Unit, solve: Callable, schema: str, most_passages: int = MOST_PASSAGES) -> DataFrame:
     """What ``solve`` (rows of (key, a, copies, passage) in order of the key, whole keys together) gives for the different passages of recurring groups."""
-    ones = different(recurring.drop("unlike").withColumn("copies", F.lit(1).cast("bigint")), "a", "different")
-    ready, rounds = [], split_small(passages_of(docs, ones, unit), unit, most_passages)
-    small, halves = next(rounds)
-    while halves is not None:
-        ready.append(small)
-        small, halves = rounds.send(different(halves, "key", "halves").select(*NAMES))
-    dealt = united([*ready, small]).select("key", "a", "copies", "passage").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInPandas(solve, schema)
-
-
-def _tokens(unit: Unit):
-    """Tokens of a passage column."""
-    return F.size(F.split(F.col("passage").cast("string"), " ")) if unit.words else F.octet_length("passage")
+    dealt, _ = small_keys(docs, recurring, unit, most_passages)
+    return dealt.select("key", "a", "copies", "passage").mapInPandas(solve, schema)
