@@ -117,11 +117,13 @@ def phrase_spans(docs: DataFrame, unit: Unit, most_passages: int = MOST_PASSAGES
     wanted = salted.withColumn("sub", every("subs")).select("rid", key("salt", "sub"), "i0", "n").groupBy("rid").agg(F.collect_list(F.struct("key", "i0", "n")).alias("wanted"))
     own = phrases.join(shards, "a").withColumn("sub", F.pmod(F.xxhash64("phrase"), F.col("subs")).cast("int")).withColumn("salt", every("salts"))
     own = own.select(key("salt", "sub"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("rid"), F.lit(0).alias("i0"), F.col("phrase").alias("words"))
-    stream = docs.select("rid", "text").join(wanted, "rid").mapInPandas(occurrences(unit), DEALT)
+    # neighbours in a text overlap, so they are small when written together; the texts' shuffle files go before the next shuffle
+    stream = staged(docs.select("rid", "text").join(wanted, "rid").mapInPandas(occurrences(unit), DEALT), "stream", "zstd")
+    unstage(recurring)
     dealt = own.unionByName(stream).repartition("key").sortWithinPartitions("key", "kind")
     spans = dealt.mapInPandas(streaming(unit), SPANS)
     out = staged(spans.groupBy("rid").agg(F.collect_set(F.struct("first", "upto")).alias("spans")), "spans")
-    unstage(recurring, phrases, shards)
+    unstage(stream, phrases, shards)
     return out
 
 
