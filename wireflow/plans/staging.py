@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: dict[tuple, DataFrame] = {}
+#: Where the tables of :func:`once` are, with their schemas.
+_MADE: dict[tuple, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,14 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, label: str = "table") -> DataFrame:
     """A Parquet copy in the shared folder: it cuts the lineage and has a known size."""
+    return _read(df.sparkSession, _written(df, label), df.schema)
+
+
+def _written(df: DataFrame, label: str) -> str:
     path = f"{shared_dir(df.sparkSession)}/wf-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, written once for a source in a Spark application and read by whoever asks again."""
+    """What ``make`` gives, written once for a source in a Spark application and read by whoever asks again while it is there."""
     key = (spark.sparkContext.applicationId, name, source)
-    if key not in _MADE:
-        _MADE[key] = staged(make(), name)
-    return _MADE[key]
+    if key not in _MADE or not _is_there(spark, _MADE[key][0]):
+        df = make()
+        _MADE[key] = _written(df, name), df.schema
+    return _read(spark, *_MADE[key])

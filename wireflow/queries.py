@@ -435,15 +435,20 @@ UNION ALL SELECT op_id, {_WORD} || ' q[' || q0 || ']' || coalesce(', q[' || q1 |
 query("qasm_parsed", OPS + " SELECT op_id, type, param, q0, q1 FROM ops")(lambda s, d: (o := files.from_qasm(files.to_qasm(circuit(s, d)))).select("op_id", *big("type"), *real("param"), *flat(o)))
 
 # engine and streaming
+def optimised(spark, sf_dir) -> DataFrame:
+    """The circuit after the standard rules have come to a fixpoint, computed once for a folder."""
+    return once(spark, "optimised", sf_dir, lambda: engine.optimise(stored(spark, sf_dir), engine.STANDARD_RULES, staged))
+
+
 @query("engine_fixpoint")
 def engine_fixpoint(spark, sf_dir):
-    return gates.stats(engine.optimise(stored(spark, sf_dir), engine.STANDARD_RULES, staged))
+    return gates.stats(optimised(spark, sf_dir))
 
 
 @query("engine_circuit")
 def engine_circuit(spark, sf_dir):
     """The linked table that is left when no standard rule matches any more."""
-    return engine.optimise(stored(spark, sf_dir), engine.STANDARD_RULES, staged).select(*big("id", "prev_q1", "prev_q2", "type"), *real("param"), *big("next_q1", "next_q2"))
+    return optimised(spark, sf_dir).select(*big("id", "prev_q1", "prev_q2", "type"), *real("param"), *big("next_q1", "next_q2"))
 
 
 @query("engine_series")
