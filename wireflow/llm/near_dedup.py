@@ -392,7 +392,7 @@ def candidates(members: DataFrame, known: DataFrame, least: int, best: int | Non
     classed = members.join(label, F.col("rid") == F.col("lrid"), "left").withColumn("class", F.coalesce("label", "rid")).drop("lrid", "label")
     classed = staged(classed, "classed")
     several = classed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("greatest"), F.count(F.lit(1)).alias("k")).where("least <> greatest")
-    several = several.select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    several = staged(several.select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "several")
     rest = classed.join(several, "bucket").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rid", "class", "bands", "sketch")
