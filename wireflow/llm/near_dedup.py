@@ -30,9 +30,10 @@ EXTRA, SIFT = 256, 0.09
 BLOCK, PAIRS = 1024, 1 << 16
 #: Partners that a member is held against first.
 NEAREST = 4
-#: Documents are counted in blocks of 2^BLOCK_BITS row numbers, shingles in ranges of about RANGE_SHINGLES: both bound a task's memory.
-BLOCK_BITS, RANGE_SHINGLES = 9, 1 << 21
-#: A shingle is told from others of its range by this many bits of its hash: one in 500,000 is taken for another, at any size.
+#: Documents are counted in blocks of 2^BLOCK_BITS row numbers, shingles in ranges of about RANGE_SHINGLES: both bound a task's
+#: memory. Above 2^35 words both grow together, up to 16 times, so that a block's part of a range does not become a few bytes.
+BLOCK_BITS, RANGE_SHINGLES, MOST_RANGE_SHINGLES = 9, 1 << 21, 1 << 25
+#: A shingle is told from others of its range by this many bits of its hash: one in 500,000 is taken for another (in the largest ranges, in 30,000).
 KEY_BITS = 40
 #: Bytes of text hashed at a time, and shingles held by a task before their counts go out.
 HASH_BYTES, HELD_SHINGLES = 1 << 18, 1 << 19
@@ -108,7 +109,7 @@ def parts(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.array([raw[a * width : b * width] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
 
 
-def counting(size: int, ranges: int) -> Callable:
+def counting(size: int, ranges: int, block_bits: int) -> Callable:
     """(range, block, keys, n): the shingles of each block's documents in a batch, and in how many of them each is."""
 
     def pieces(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
@@ -120,7 +121,7 @@ def counting(size: int, ranges: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, keys, owners, held = batch.column(0).to_numpy() >> BLOCK_BITS, [], [], 0
+            block, keys, owners, held = batch.column(0).to_numpy() >> block_bits, [], [], 0
             for at, _, data, starts in slices(batch, 1):
                 h, text, _ = counted(*shingle_hashes(data, starts, size))
                 keys.append(range_keys(h, ranges))
@@ -150,12 +151,12 @@ def adding(group: pa.Table) -> pa.Table:
     return pa.table({"block": group["block"], "range": group["range"], "keys": parts(five_bytes(keys[again]), cuts), "df": blobs(df[again], cuts)})
 
 
-def shingle_counts(d: DataFrame, ranges: int, size: int) -> DataFrame:
+def shingle_counts(d: DataFrame, ranges: int, size: int, block_bits: int) -> DataFrame:
     """(block, range, keys, df) of all shingles in more documents than one, for each block that has them.
 
     Blocks are counted apart, the counts added up by range of hashes, and the sums dealt back to
     the blocks; what does not come back is in one document."""
-    counts = d.select("rid", "text").mapInArrow(counting(size, ranges), "range long, block long, keys binary, n binary")
+    counts = d.select("rid", "text").mapInArrow(counting(size, ranges, block_bits), "range long, block long, keys binary, n binary")
     return counts.groupBy("range").applyInArrow(adding, "block long, range long, keys binary, df binary")
 
 
@@ -436,9 +437,11 @@ def classes(d: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, b
     """The rows of :func:`near_dedup` for written documents (rid, doc_id, text)."""
     ship_code(d.sparkSession)
     n, held = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    ranges = max(1, -(-held // (6 * RANGE_SHINGLES)))  # a word and a blank take about six bytes
-    counts = staged(shingle_counts(d, ranges, size), "counts")
-    blocks = d.withColumn("block", F.shiftright("rid", BLOCK_BITS)).groupBy("block").cogroup(counts.groupBy("block"))
+    words = held // 6  # a word and a blank take about six bytes
+    of_range = min(max(RANGE_SHINGLES, words >> 14), MOST_RANGE_SHINGLES)
+    ranges, block_bits = max(1, -(-words // of_range)), BLOCK_BITS + of_range.bit_length() - RANGE_SHINGLES.bit_length()
+    counts = staged(shingle_counts(d, ranges, size, block_bits), "counts")
+    blocks = d.withColumn("block", F.shiftright("rid", block_bits)).groupBy("block").cogroup(counts.groupBy("block"))
     sketched = staged(blocks.applyInArrow(banding(size, n, ranges, bands, rows), BANDED), "bands")
     unstage(counts)
     first = sketched.groupBy("digest").agg(F.min("rid").alias("rep"))
