@@ -22,7 +22,7 @@ from wireflow.llm.repeats import MOST_PASSAGES, SPANS, Unit, merged, recurring_g
 
 LENGTH, K = 35, 12
 #: Occurrences of one anchor that stream through one shard, and phrases of one anchor in a shard: more are dealt to several.
-SHARD_OCCURRENCES, SHARD_PHRASES = 1 << 13, 1 << 13
+SHARD_OCCURRENCES, SHARD_PHRASES = 1 << 11, 1 << 13
 PHRASES, DEALT = "a long, phrase binary", "key long, kind int, rid long, i0 int, words binary"
 
 
