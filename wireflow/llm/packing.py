@@ -22,8 +22,8 @@ from wireflow.llm.common import ship_code, table
 
 LENGTH, PIECE, BLOCK_WINDOWS = 1024, 256, 128
 TOKENIZER = "byte_bpe_50k.json"
-#: Encoded chunks that a task remembers, and the longest chunk that it does.
-MEMO, MEMO_CHARS = 400_000, 48
+#: Encoded chunks that a Python worker remembers (about 200 bytes each), the longest chunk that it does, and chunks encoded at a time.
+MEMO, MEMO_CHARS, LEARNT = 1_000_000, 48, 20_000
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long")
 
@@ -50,51 +50,46 @@ class Encoder:
         self.odd = re.compile(r" (?:\s|$)").search
 
     def chunks(self, text: str) -> list[str]:
+        """What stands before the first cut, then the chunks, each without the blank that it starts with."""
         if not self.odd(text):
-            first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]]
+            return text.split(" ")
         out = [""]
         for i, x in enumerate(text.split(" ")):
             if i and x and not x[0].isspace():
-                out.append(" " + x)
+                out.append(x)
             else:
                 out[-1] += " " + x if i else x
         return out
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of chunks that each start with a blank and a character that is no white space."""
-        found, part, held = {}, [], 0
-        for c in [*new, None]:
-            if c is None or held > 200_000:
-                ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                ends, cuts = np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) for x in part])
-                at = np.searchsorted(ends, cuts)
-                if part and (at[-1] != len(ids) - 1 or (ends[at] != cuts).any()):
-                    raise ValueError("the tokenizer's words do not start at blanks; a byte-level vocabulary is needed")
-                raw, last = ids.tobytes(), 0
-                for x, k in zip(part, ((at + 1) * 4).tolist(), strict=True):
-                    found[x] = raw[last:k]
-                    last = k
-                part, held = [], 0
-            if c is not None:
-                part.append(c)
-                held += len(c)
+        """The ids of chunks, each a blank and what is given, which starts with a character that is no white space."""
+        found: dict[str, bytes] = {}
+        for first in range(0, len(new), LEARNT):
+            part = new[first : first + LEARNT]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends, cuts = np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)) + 1)
+            at = np.searchsorted(ends, cuts)
+            if at[-1] != len(ids) - 1 or (ends[at] != cuts).any():
+                raise ValueError("the tokenizer's words do not start at blanks; a byte-level vocabulary is needed")
+            raw, upto = ids.tobytes(), ((at + 1) * 4).tolist()
+            found.update(zip(part, [raw[a:b] for a, b in zip([0, *upto], upto)], strict=False))
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [[""] if i in plain else self.chunks(t) for i, t in enumerate(texts)]
-        starts = [self.tokenizer.encode(s[0], add_special_tokens=False).ids if s[0] else plain.get(i, []) for i, s in enumerate(split)]
-        used = set().union(*[s[1:] for s in split]) if split else set()
-        new = used - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, used
+        starts, split = [], []
+        for t in texts:
+            whole = any(s in t for s in self.special)
+            first, *rest = [t] if whole else self.chunks(t)
+            starts.append(np.array(self.tokenizer.encode(first, add_special_tokens=False).ids if first else [], "<u4").tobytes())
+            split.append(rest)
+        known = [list(map(self.memo.get, s)) for s in split]
+        new = {c for s, k in zip(split, known, strict=True) if None in k for c, b in zip(s, k, strict=True) if b is None}
         found = self.learn(list(new))
-        kept = {c: b for c, b in found.items() if len(c) <= MEMO_CHARS}
-        self.memo.update(kept)
-        look = self.memo if len(kept) == len(found) else self.memo | found
-        get = look.__getitem__
-        return [np.array(i, "<u4").tobytes() + b"".join(map(get, s[1:])) for i, s in zip(starts, split, strict=True)]
+        if len(self.memo) + len(found) > MEMO:  # what this batch uses stays
+            self.memo = {c: b for s, k in zip(split, known, strict=True) for c, b in zip(s, k, strict=True) if b is not None}
+        self.memo.update(found if max(map(len, found), default=0) <= MEMO_CHARS else {c: b for c, b in found.items() if len(c) <= MEMO_CHARS})
+        filled = (k if None not in k else [found[c] if b is None else b for c, b in zip(s, k, strict=True)] for s, k in zip(split, known, strict=True))
+        return [i + b"".join(k) for i, k in zip(starts, filled, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -168,9 +163,9 @@ def packer(path: str, length: int, piece: int, block_windows: int):
             waiting, held = [], 0
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
+            for at in range(0, len(batch), 512):
                 rows: list[tuple] = []
-                part = batch.iloc[at : at + 256]
+                part = batch.iloc[at : at + 512]
                 for doc, ids in zip(part["doc_id"], encode([t or "" for t in part["text"]]), strict=True):
                     ids += b"\0\0\0\0"
                     n = len(ids) // 4
