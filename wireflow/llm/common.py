@@ -21,8 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS, STEP_BITS = 60, 12
 
 
-#: With this, Spark drops the shuffle files of a query when the query has ended, not when the driver collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark drops the shuffle files of the query when it has ended, not when the driver collects its
+#: garbage, and Python workers get 2,000 rows at a time, which bounds their memory.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
@@ -32,12 +33,14 @@ def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     that Spark broadcasts the table only if it is below its broadcast threshold."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wf-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path, compression=compression)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -27,7 +27,7 @@ BANDS, ROWS = 12, 3
 #: are not checked: at 0.8 that is fewer than 182 of 256, with probability 0.0002. SIFT = 1 checks all pairs of a bucket.
 EXTRA, SIFT = 256, 0.09
 #: Members of a bucket compared in one task, and pairs compared at a time.
-BLOCK, PAIRS = 1024, 1 << 16
+BLOCK, PAIRS = 1024, 1 << 14
 #: Partners that a member is held against first.
 NEAREST = 4
 #: Documents are counted in blocks of 2^BLOCK_BITS row numbers, shingles in ranges of about RANGE_SHINGLES: both bound a task's
