@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from wireflow.llm import automata_dedup, bwt_dedup, exact_dedup, host_rules, mixing, near_dedup, packing, pii, sharding, url_filter
+from wireflow.llm import automata_dedup, bwt_dedup, conversations, exact_dedup, host_rules, mixing, near_dedup, packing, pii, sharding, spelling, toxicity, url_filter
 
-MODULES = (url_filter, exact_dedup, host_rules, sharding, mixing, packing, pii, automata_dedup, bwt_dedup, near_dedup)
+MODULES = (url_filter, exact_dedup, host_rules, sharding, mixing, packing, pii, automata_dedup, bwt_dedup, near_dedup, spelling, toxicity, conversations)
 
 
 def queries() -> dict:
