@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wireflow import queries as q
 from wireflow.functions import codec
 from wireflow.operators import decompose, edges, engine, equivalence, gates, layers, widgets
+from wireflow.operators import linked as linked_ops
 from wireflow.operators import wire_rewrites as rewrites
 from wireflow.plans.build import linked, wires
 from wireflow.plans.running import global_rank, neighbours, running_sum
@@ -161,7 +162,7 @@ def test_layers_brute(spark, chunk):
 
 def test_wires_resolved(spark):
     table = q.staged(linked(ops_frame(spark, random_ops(5, qubits=4, n=60))))
-    found = {(r.id, r.port): r.wire for r in layers.resolve_wires(table, q.staged).collect()}
+    found = {(r.id, r.port): r.wire for r in linked_ops.wire_places(table, q.staged).collect()}
     rows = {r.id: r for r in table.collect()}
     for (g, p), w in found.items():
         at = (g, p)

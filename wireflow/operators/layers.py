@@ -1,4 +1,4 @@
-"""Layers (the earliest moment of every operation), wire resolution and layered export."""
+"""Layers (the earliest moment of every operation) and layered export."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wireflow.functions.codec import link_id, link_port
-from wireflow.schema import CCX, IN, T, T_DAG, ZPOW
+from wireflow.schema import CCX, T, T_DAG, ZPOW
 
 #: Qubits up to which a chunk's longest paths are a matrix over all qubits, and operations of a chunk beyond; both bound a task's memory.
 DENSE_QUBITS, SMALL_CHUNK, CHUNKS = 2048, 1 << 10, (1 << 14, 1 << 20)
@@ -129,18 +128,3 @@ def rotation_resources(angles: DataFrame, precision: float, tolerance: float = 1
     turn = F.col("angle") * 4
     exact = F.abs(turn - F.round(turn)) <= tolerance
     return angles.withColumn("t_count", F.when(exact, F.pmod(F.round(turn), F.lit(2.0)).cast("bigint")).otherwise(rotation_cost(precision)))
-
-
-def resolve_wires(gates: DataFrame, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, port, wire) of every port of a linked table; a wire is named by its In gate.
-
-    Pointer doubling along the links back: log2 of the longest wire rounds of one join each."""
-    nodes = gates.select("id", F.explode(F.array(*[F.struct(F.lit(p).cast("bigint").alias("port"), F.col(f"prev_q{p + 1}").alias("prev")) for p in range(3)])).alias("x")).select("id", "x.*").where("prev is not null")
-    now = staged(nodes.select("id", "port", link_id("prev").alias("to"), link_port("prev").alias("to_port"), F.lit(False).alias("done")))
-    ends = gates.where(F.col("type") == IN).select(F.col("id").alias("end"))
-    now = staged(now.join(ends, F.col("to") == F.col("end"), "left").withColumn("done", F.col("end").isNotNull()).drop("end"))
-    while not now.where("not done").isEmpty():
-        step = now.select(F.col("id").alias("to"), F.col("port").alias("to_port"), F.col("to").alias("far"), F.col("to_port").alias("far_port"), F.col("done").alias("far_done"))
-        now = staged(now.join(step, ["to", "to_port"], "left").select(
-            "id", "port", F.when(F.col("done"), F.col("to")).otherwise(F.col("far")).alias("to"), F.when(F.col("done"), F.col("to_port")).otherwise(F.col("far_port")).alias("to_port"), (F.col("done") | F.col("far_done")).alias("done")))
-    return now.select("id", "port", F.col("to").alias("wire"))

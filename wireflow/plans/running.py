@@ -56,3 +56,13 @@ def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     starts = counts.select(F.col("__part").alias("p"), (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__start"))
     inside = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
     return parts.withColumn("__in", inside).join(F.broadcast(starts), F.col("__part") == F.col("p")).withColumn(name, (F.col("__start") + F.col("__in")).cast("bigint")).drop("__part", "__in", "p", "__start")
+
+
+def running_max(df: DataFrame, by: list[str], order: str, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Add ``name``: the largest ``value`` up to and with each row, in the order of ``order`` within ``by``."""
+    cut = df.withColumn("__chunk", _chunk(order, chunk)).withColumn("__v", value)
+    tops = cut.groupBy(*by, "__chunk").agg(F.max("__v").alias("top"))
+    earlier = F.max("top").over(W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1))
+    before = tops.select(*[F.col(b).alias(f"c_{b}") for b in by], F.col("__chunk").alias("c_chunk"), earlier.alias("__top"))
+    inside = F.max("__v").over(W.partitionBy(*by, "__chunk").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return cut.withColumn("__in", inside).join(before, _same(by)).withColumn(name, F.greatest("__in", "__top")).drop("__chunk", "__v", "__in", "c_chunk", "__top", *[f"c_{b}" for b in by])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +9,16 @@ from wireflow.functions import codec
 from wireflow.functions.codec import link_id, link_port, link_type, strip_type
 from wireflow.functions.numeric import common_angle, readable, twos_complement
 from wireflow.operators import decompose, edges, engine, equivalence, gates, layers, widgets
+from wireflow.operators import linked as linked_ops
 from wireflow.operators import wire_rewrites as rewrites
 from wireflow.plans.build import linked, numbered, qubits, relinked, wires
-from wireflow.plans.running import global_rank
-from wireflow.plans.staging import once, shared_dir, staged
+from wireflow.plans.running import global_rank, running_sum
+from wireflow.plans.staging import once, staged
 from wireflow.schema import CCX, CX, GATES, H, T, T_DAG
 from wireflow.sources import adder_text, files, generators
 from wireflow.sources.orders import circuit, events_circuit, table, triples
 
 QUERIES: dict = {}
-_LABELLED: set[str] = set()
 SQL: dict[str, str] = {}
 
 _ROWS = ", ".join(f"({p}, {s}, {j}, {c}, {w}, '{q}')" for p, s, seq in (
@@ -86,11 +84,7 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored circuit in a folder for every label: a scan by label reads only its files."""
-    path = once(spark, "labels", sf_dir, lambda: spark.createDataFrame([(f"{shared_dir(spark)}/wf-labelled-{uuid.uuid4().hex}",)], "path string")).first().path
-    if path not in _LABELLED:
-        files.write_gates(stored(spark, sf_dir), path)
-        _LABELLED.add(path)
-    return files.read_gates(spark, path)
+    return once(spark, "labels", sf_dir, lambda: stored(spark, sf_dir), write=files.write_gates)
 
 
 def flat(ops: DataFrame) -> list:
@@ -324,13 +318,58 @@ query("approx_t_depth", _LAY + ", c AS (SELECT layer, max(CASE WHEN type IN (29,
 @query("scan_layered", _LAY + _LAYER_ROWS + " WHERE layer BETWEEN 11 AND 40")
 def scan_layered(spark, sf_dir):
     """A range of layers from a written layer table."""
-    path = f"{shared_dir(spark)}/wf-layered-{uuid.uuid4().hex}"
-    files.write_layers(layers.layer_rows(placed(spark, sf_dir)), path)
-    return files.read_layers(spark, path).where("layer between 11 and 40")
+    return once(spark, "layer-rows", sf_dir, lambda: layers.layer_rows(placed(spark, sf_dir)), write=files.write_layers).where("layer between 11 and 40")
 
 
 query("wire_resolve", GATE + " SELECT id, max(CASE WHEN port = 0 THEN in_id END) AS w1, max(CASE WHEN port = 1 THEN in_id END) AS w2 FROM wl GROUP BY id UNION ALL SELECT out_id, in_id, NULL FROM wl WHERE ld IS NULL")(
-    lambda s, d: layers.resolve_wires(staged(stored(s, d)), staged).groupBy("id").agg(F.max(F.when(F.col("port") == 0, F.col("wire"))).alias("w1"), F.max(F.when(F.col("port") == 1, F.col("wire"))).alias("w2")))
+    lambda s, d: linked_ops.wire_places(stored(s, d), staged).groupBy("id").agg(F.max(F.when(F.col("port") == 0, F.col("wire"))).alias("w1"), F.max(F.when(F.col("port") == 1, F.col("wire"))).alias("w2")))
+
+
+def turned(spark, sf_dir) -> DataFrame:
+    """The stored circuit with its ids in reverse, so that they say nothing about the order of time."""
+    return once(spark, "turned", sf_dir, lambda: linked_ops.renumbered(stored(spark, sf_dir)))
+
+
+def turned_ops(spark, sf_dir) -> DataFrame:
+    return once(spark, "turned-ops", sf_dir, lambda: linked_ops.linked_to_ops(turned(spark, sf_dir), staged))
+
+
+# qubits are numbered by the In gates' ids, which are in reverse, and a gate is named by its place on its first qubit's wire
+_PLACES = ", pl AS (SELECT op_id, port, (SELECT n_q FROM n) - 1 - r AS q, row_number() OVER (PARTITION BY wires.qubit ORDER BY op_id) AS at FROM wires JOIN qb USING (qubit))"
+_N = ", qb AS (SELECT qubit, row_number() OVER (ORDER BY min(op_id * 10 + port)) - 1 AS r FROM wires GROUP BY qubit), n AS (SELECT count(*) AS n_q FROM qb)" + _PLACES
+
+
+@query("linked_ops", OPS + _N + " SELECT type, param, a.q AS q0, a.at AS at0, b.q AS q1, b.at AS at1 FROM ops JOIN pl a ON a.op_id = ops.op_id AND a.port = 0 LEFT JOIN pl b ON b.op_id = ops.op_id AND b.port = 1")
+def linked_ops_(spark, sf_dir):
+    """Operations from a linked table, each with its places on its qubits' wires by the op_ids that were found."""
+    ops = turned_ops(spark, sf_dir)
+    at = running_sum(wires(ops), ["qubit"], "op_id", F.lit(1).cast("bigint"), "at")
+    pick = lambda c, p, name: F.max(F.when(F.col("port") == p, F.col(c))).alias(name)
+    rows = at.groupBy("op_id").agg(pick("qubit", 0, "q0"), pick("at", 0, "at0"), pick("qubit", 1, "q1"), pick("at", 1, "at1"))
+    return rows.join(ops.select("op_id", *big("type"), *real("param")), "op_id").drop("op_id")
+
+
+@query("linked_layers", _LAY + _N + " SELECT pl.q AS q0, pl.at AS at0, layer FROM ly JOIN pl ON pl.op_id = ly.op_id AND pl.port = 0")
+def linked_layers(spark, sf_dir):
+    """Layers of a linked table: (first qubit, place on its wire, layer)."""
+    table_ = turned(spark, sf_dir)
+    found = linked_ops.linked_layers(table_, staged)
+    at = linked_ops.wire_places(table_, staged).where("port = 0").select("id", F.col("at").alias("at0"))
+    return found.join(at, "id").select(F.element_at("qubits", 1).alias("q0"), "at0", "layer")
+
+
+@query("linked_rebuilt", "SELECT * FROM (VALUES ('turned', 0), ('optimised', 0), ('toffoli', 0)) t(source, differing)")
+def linked_rebuilt(spark, sf_dir):
+    """Gates that differ between a linked table and the one that is linked again from its operations: none, for three tables."""
+    sources = {"turned": turned, "optimised": optimised, "toffoli": toffolis_replaced}
+    parts = []
+    for name, table_ in sources.items():
+        first = table_(spark, sf_dir)
+        ops = staged(linked_ops.linked_to_ops(first, staged))
+        parts.append(linked_ops.differing(first, staged(linked(ops, staged)), staged, qubits(ops)).select(F.lit(name).alias("source"), F.col("differing").cast("int")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 query("export_ops", OPS + " SELECT op_id, q0, q1, type, param FROM ops ORDER BY op_id")(lambda s, d: (o := circuit(s, d)).select("op_id", *flat(o), *big("type"), *real("param")).orderBy("op_id"))
 
 # partition
@@ -470,12 +509,14 @@ def engine_rules(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("toffoli_linked")
-def toffoli_linked(spark, sf_dir):
-    """A linked table of doubly controlled NOTs with each of them replaced by its sequence, in place."""
+def toffolis_replaced(spark, sf_dir) -> DataFrame:
+    """A linked table of doubly controlled NOTs with each of them replaced by its sequence, in place; computed once for a folder."""
     ops = triples(spark, sf_dir).select(F.col("k").alias("op_id"), F.lit(CCX).cast("short").alias("type"), F.lit(1.0).cast("float").alias("param"), F.array("a", "b", "c").alias("qubits"))
     table_ = once(spark, "ccx", sf_dir, lambda: linked(staged(ops), staged))
-    return decompose.toffolis_in_place(table_, staged).select(*big("id", "prev_q1", "prev_q2", "prev_q3", "type"), *real("param"), *big("next_q1", "next_q2", "next_q3"))
+    return once(spark, "ccx-replaced", sf_dir, lambda: decompose.toffolis_in_place(table_, staged))
+
+
+query("toffoli_linked")(lambda s, d: toffolis_replaced(s, d).select(*big("id", "prev_q1", "prev_q2", "prev_q3", "type"), *real("param"), *big("next_q1", "next_q2", "next_q3")))
 
 
 _DEC = [(i, c, p, q) for i, (c, p, q) in enumerate(decompose.sequence(decompose.TOFFOLI, decompose.AS_TYPES))]

@@ -6,15 +6,13 @@ is written by batch number, so a batch that runs twice gives the same files."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wireflow.functions.codec import link
 from wireflow.plans.build import numbered, qubits
 from wireflow.plans.running import global_rank, neighbours
-from wireflow.plans.staging import shared_dir, staged
+from wireflow.plans.staging import delete, is_written, names_in, new_path, staged, unstage
 from wireflow.schema import IN, OUT
 
 #: A row for every port: what its gate is, the qubit's place in the order of first touch, and the links of the port (next is null while open).
@@ -40,10 +38,18 @@ def _io(rows: DataFrame, code: int) -> DataFrame:
 class Builder:
     """Links the micro-batches of a stream of operations (op_id, type, param, qubits) under the folder ``at``.
 
-    Operations must come in the order of op_id, dense from 0, batch after batch; a late one is an error."""
+    Operations must come in the order of op_id, dense from 0, batch after batch; a late one is an error.
+    All that is carried on is in the folder, by batch number, and a batch counts once its totals are
+    written, last of all. So a new builder on the folder goes on where the last one ended, a batch
+    that was cut off is linked again, and more may come after a flush."""
 
     def __init__(self, spark: SparkSession, at: str):
-        self.spark, self.at, self.last = spark, at, -1
+        self.spark, self.at = spark, at
+
+    def last(self) -> int:
+        """The last batch that was linked to its end, -1 before the first."""
+        batches = [int(n) for n in names_in(self.spark, f"{self.at}/totals") if n.isdigit() and is_written(self.spark, f"{self.at}/totals/{n}")]
+        return max(batches, default=-1)
 
     def _read(self, what: str, batch: int, schema: str) -> DataFrame:
         if batch < 0:
@@ -54,7 +60,9 @@ class Builder:
         df.write.mode("overwrite").parquet(f"{self.at}/{what}/{batch}")
 
     def step(self, batch_ops: DataFrame, batch: int) -> None:
-        """Link one batch: write the gates that are finished by it and what stays open."""
+        """Link one batch: write the gates that are finished by it and what stays open; the state of two batches before is deleted."""
+        if batch > self.last() + 1:
+            raise ValueError(f"batch {batch} came after {self.last()}")
         ops = staged(batch_ops.select("op_id", "type", F.col("param").cast("float").alias("param"), "qubits"), "batch")
         open_ports, totals = self._read("open", batch - 1, PORTS), self._read("totals", batch - 1, TOTALS)
         n_ops, n_qubits, last_op = totals.first() or (0, 0, -1)
@@ -83,12 +91,16 @@ class Builder:
         entered = ports.where("first and in_id is not null").select(F.col("in_id").alias("id"), link("id", "port", "type").alias("link"))
         self._write(_gates(every.join(done, "id", "left_semi")).unionByName(_io(entered, IN)), "gates", batch)
         self._write(every.join(done, "id", "left_anti").select(*open_ports.columns), "open", batch)
+        delete(self.spark, f"{self.at}/gates/end")
         self._write(self.spark.createDataFrame([(n_ops + n, n_qubits + fresh.count(), after if n else last_op)], TOTALS), "totals", batch)
-        self.last = batch
+        unstage(ops, new, fresh, ports, every)
+        for what in ("open", "totals"):
+            delete(self.spark, f"{self.at}/{what}/{batch - 2}")
 
     def flush(self) -> None:
         """At the end of the stream: the open ports lead to Out gates, numbered after all others in the order of first touch."""
-        open_ports, totals = self._read("open", self.last, PORTS), self._read("totals", self.last, TOTALS)
+        last = self.last()
+        open_ports, totals = self._read("open", last, PORTS), self._read("totals", last, TOTALS)
         n_ops, n_qubits, _ = totals.first() or (0, 0, -1)
         out = F.col("rank") + n_ops + n_qubits
         closed = open_ports.withColumn("next", F.coalesce("next", link(out, F.lit(0), F.lit(OUT))))
@@ -96,10 +108,13 @@ class Builder:
         self._write(_gates(closed).unionByName(_io(left, OUT)), "gates", "end")
 
 
-def run_builder(ops: DataFrame) -> DataFrame:
-    """The gate table (GATES) of all operations that a streaming frame (op_id, type, param, qubits) has now."""
+def run_builder(ops: DataFrame, at: str | None = None) -> DataFrame:
+    """The gate table (GATES) of all operations that a streaming frame (op_id, type, param, qubits) has now.
+
+    With the folder ``at`` of an earlier run, which may have been cut off at any point, it goes on
+    from there: the stream's own checkpoint says which batches are still to come."""
     spark = ops.sparkSession
-    at = f"{shared_dir(spark)}/wf-stream-{uuid.uuid4().hex}"
+    at = at or new_path(spark, "stream")
     builder = Builder(spark, at)
     ops.writeStream.foreachBatch(builder.step).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     builder.flush()
@@ -109,7 +124,7 @@ def run_builder(ops: DataFrame) -> DataFrame:
 def run_links(ops: DataFrame) -> DataFrame:
     """(qubit, op_id, prev_op) of a streaming (op_id, qubit): of each micro-batch the neighbours, with the last operation of every qubit as what is carried on."""
     spark = ops.sparkSession
-    at = f"{shared_dir(spark)}/wf-stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
 
     def step(batch_ops: DataFrame, batch: int) -> None:
         last = spark.read.schema("lq long, last long").parquet(f"{at}/last/{batch - 1}") if batch else spark.createDataFrame([], "lq long, last long")
