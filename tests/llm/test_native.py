@@ -171,7 +171,7 @@ def learned_by_hand(texts):
     """The bootstrapping of contexts in plain Python: {(document, kind, start, end)} of the learned spans."""
     from math import exp, log
 
-    from wireflow.llm.pii import LENGTHS, MIN_SCORE, MIN_SUPPORT, SHAPE_WEIGHT, TURNS
+    from wireflow.llm.pii import LENGTHS, MIN_SCORE, MIN_SUPPORT, SHAPE_WEIGHT
 
     edge = "\"'.,;:!?()[]{}<>"
     seen = []
@@ -204,7 +204,7 @@ def learned_by_hand(texts):
             edges[p].add(core)
     known = {core: kind for _, _, core, kind, _ in seen if kind}
     fresh = {core for _, _, core, kind, _ in seen if not kind}
-    for _ in range(TURNS):
+    while True:
         doubt = defaultdict(float)
         for p, cores in edges.items():
             for kind, k in Counter(known[c] for c in cores if c in known).items():

@@ -252,3 +252,21 @@ def test_all_shingles_are_weighed_by_their_counts(spark):
     assert alike == [(20, 21)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert {(r.class_id, r.doc_id) for r in near_dedup(docs).collect() if r.class_id != r.doc_id} == set(alike)
+
+
+def test_long_texts_are_blocks_of_their_own(spark, monkeypatch):
+    """Texts above a block's share of bytes are counted and banded apart, with the same classes."""
+    import wireflow.llm.near_dedup as nd
+
+    r = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(r.choice(words, int(n))) for n in r.integers(3, 200, 40)]
+    texts = base + [b + " more" for b in base[::2]] + base[::3] + [None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: {x.doc_id: (x.class_id, x.class_size, x.kept) for x in near_dedup(df).collect()}
+    want = found()
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 300 << nd.BLOCK_BITS)
+    assert 5 < sum(len(t or "") > nd.longest(nd.BLOCK_BITS) for t in texts) < len(texts)
+    assert found() == want
+    label, _ = classes(texts)
+    assert {i: v[0] for i, v in want.items()} == {i: min(j for j, x in enumerate(label) if x == label[i]) for i in range(len(texts))}

@@ -5,55 +5,21 @@ from __future__ import annotations
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wireflow.plans.staging import shared_dir
+from wireflow.plans.staging import staged, unstage
 
 #: ASCII white space: the blank and U+0009 to U+000D. Everything else belongs to words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: 60-bit keys are searched 12 bits at a time.
 KEY_BITS, STEP_BITS = 60, 12
-
-
-#: While a table is written: Spark drops the shuffle files of the query when it has ended, not when the driver collects its
-#: garbage, and Python workers get 2,000 rows at a time, which bounds their memory.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
-
-
-def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    This cuts the lineage, survives lost executors, and gives later joins the true size, so
-    that Spark broadcasts the table only if it is below its broadcast threshold."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wf-{label}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in WRITING}
-    try:
-        for k, v in WRITING.items():
-            spark.conf.set(k, v)
-        df.write.parquet(path, compression=compression)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Delete the tables of those frames that :func:`staged` made, once nothing is to be computed from them."""
-    for df in frames:
-        if not hasattr(df, "staged_at"):
-            continue
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: The list of files, two numbers each, is broadcast if there are no more than this (about 64 MB).
+MOST_FILES = 2_000_000
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -118,9 +84,16 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
         return staged(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
     path, row, file = fresh(df, "path"), fresh(df, "row"), fresh(df, "file")
     at = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
-    files = staged(at.select(path).distinct().withColumn(file, (F.row_number().over(Window.orderBy(path)) - 1).cast("bigint")), "files")
+    hashed = fresh(df, "hash")
+    files = at.select(path).distinct().withColumn(file, (F.row_number().over(Window.orderBy(path)) - 1).cast("bigint"))
+    files = staged(files.withColumn(hashed, F.xxhash64(path)), "files")
+    n, different = files.agg(F.count(F.lit(1)), F.countDistinct(hashed)).first()
     columns = [F.col(f"`{c}`") for c in df.columns]
-    return at.join(files, path).select(*columns, (F.shiftleft(file, 40) + F.col(row)).alias(name))
+    if n == different and n <= MOST_FILES:  # no row of the table is shuffled
+        met = at.withColumn(hashed, F.xxhash64(path)).join(F.broadcast(files.select(hashed, file)), hashed)
+    else:
+        met = at.join(files, path)
+    return met.select(*columns, (F.shiftleft(file, 40) + F.col(row)).alias(name))
 
 
 def numbered(docs: DataFrame, row_key: str | None, *columns) -> DataFrame:

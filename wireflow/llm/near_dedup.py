@@ -33,6 +33,8 @@ NEAREST = 4
 #: Documents are counted in blocks of 2^BLOCK_BITS row numbers, shingles in ranges of about RANGE_SHINGLES: both bound a task's
 #: memory. Above 2^35 words both grow together, up to 16 times, so that a block's part of a range does not become a few bytes.
 BLOCK_BITS, RANGE_SHINGLES, MOST_RANGE_SHINGLES = 9, 1 << 21, 1 << 25
+#: A block has about so many bytes at most: texts of more than its share (BLOCK_BYTES / 2^block_bits) are blocks of their own.
+BLOCK_BYTES = 1 << 26
 #: A shingle is told from others of its range by this many bits of its hash: one in 500,000 is taken for another (in the largest ranges, in 30,000).
 KEY_BITS = 40
 #: Bytes of text hashed at a time, and shingles held by a task before their counts go out.
@@ -109,6 +111,16 @@ def parts(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.array([raw[a * width : b * width] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
 
 
+def longest(block_bits: int) -> int:
+    """Bytes of the longest texts that share a block."""
+    return BLOCK_BYTES >> block_bits
+
+
+def block_of(rid, n_bytes, block_bits: int) -> F.Column:
+    """The block of a row: by its number, or its own if its text is long."""
+    return F.when(n_bytes > longest(block_bits), -1 - rid).otherwise(F.shiftright(rid, block_bits))
+
+
 def counting(size: int, ranges: int, block_bits: int) -> Callable:
     """(range, block, keys, n): the shingles of each block's documents in a batch, and in how many of them each is."""
 
@@ -121,7 +133,7 @@ def counting(size: int, ranges: int, block_bits: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, keys, owners, held = batch.column(0).to_numpy() >> block_bits, [], [], 0
+            block, keys, owners, held = batch.column(2).to_numpy(), [], [], 0
             for at, _, data, starts in slices(batch, 1):
                 h, text, _ = counted(*shingle_hashes(data, starts, size))
                 keys.append(range_keys(h, ranges))
@@ -156,7 +168,7 @@ def shingle_counts(d: DataFrame, ranges: int, size: int, block_bits: int) -> Dat
 
     Blocks are counted apart, the counts added up by range of hashes, and the sums dealt back to
     the blocks; what does not come back is in one document."""
-    counts = d.select("rid", "text").mapInArrow(counting(size, ranges, block_bits), "range long, block long, keys binary, n binary")
+    counts = d.select("rid", "text", "block").mapInArrow(counting(size, ranges, block_bits), "range long, block long, keys binary, n binary")
     return counts.groupBy("range").applyInArrow(adding, "block long, range long, keys binary, df binary")
 
 
@@ -436,12 +448,15 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
 def classes(d: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, extra: int = EXTRA, sift: float = SIFT) -> DataFrame:
     """The rows of :func:`near_dedup` for written documents (rid, doc_id, text)."""
     ship_code(d.sparkSession)
-    n, held = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    words = held // 6  # a word and a blank take about six bytes
+    # blanks and line ends are about as many as words; a word and a blank take about six bytes
+    blanks = F.octet_length("text") - F.octet_length(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit("")))
+    n, held, parted = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(blanks), F.lit(0))).first()
+    words = max(held // 6, parted)
     of_range = min(max(RANGE_SHINGLES, words >> 14), MOST_RANGE_SHINGLES)
     ranges, block_bits = max(1, -(-words // of_range)), BLOCK_BITS + of_range.bit_length() - RANGE_SHINGLES.bit_length()
+    d = d.withColumn("block", block_of(F.col("rid"), F.coalesce(F.octet_length("text"), F.lit(0)), block_bits))
     counts = staged(shingle_counts(d, ranges, size, block_bits), "counts")
-    blocks = d.withColumn("block", F.shiftright("rid", block_bits)).groupBy("block").cogroup(counts.groupBy("block"))
+    blocks = d.groupBy("block").cogroup(counts.groupBy("block"))
     sketched = staged(blocks.applyInArrow(banding(size, n, ranges, bands, rows), BANDED), "bands")
     unstage(counts)
     first = sketched.groupBy("digest").agg(F.min("rid").alias("rep"))

@@ -29,8 +29,8 @@ _WORD = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 UNIT, LENGTHS = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:\x20{_WORD})*+", (8, 64)
 #: Not part of an identifier at its start or end.
 EDGE = r"[\"'.,;:!?()\[\]{}<>]"
-#: A pattern needs so many accepted strings, a string so high a score; a shape counts less than a context; so many turns at most.
-MIN_SUPPORT, MIN_SCORE, SHAPE_WEIGHT, TURNS = 3, 0.8, 0.5, 6
+#: A pattern needs so many accepted strings, a string so high a score; a shape counts less than a context.
+MIN_SUPPORT, MIN_SCORE, SHAPE_WEIGHT = 3, 0.8, 0.5
 
 
 def _found(docs: DataFrame, kind: str, pattern: str, needs: str) -> DataFrame:
@@ -93,12 +93,14 @@ def learned_strings(seen: DataFrame) -> DataFrame:
     counted with one more that is not, so a context that goes with any kind is a weak pattern for
     each. A string's score for a kind is one less the product of its patterns' doubts; it takes
     the kind of its highest score. Edges are distinct (pattern, string) pairs, so a frequent
-    context costs as many rows as it has strings."""
+    context costs as many rows as it has strings. Turns go on until one accepts nothing new."""
     edges = staged(seen.select("found", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "found").agg(F.min("kind").alias("kind")), "edges")
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeds")).where((F.col("n") >= MIN_SUPPORT) & (F.col("n") > F.col("seeds")))
     graph = staged(edges.join(sizes.select("pattern", "n"), "pattern"), "graph")
     known = staged(edges.where("kind is not null").groupBy("found").agg(F.min("kind").alias("kind")).withColumn("turn", F.lit(0)), "known")
-    for turn in range(1, TURNS + 1):
+    turn = 0
+    while True:
+        turn += 1
         weight = F.when(F.col("pattern").startswith("#"), SHAPE_WEIGHT).otherwise(1.0)
         support = graph.drop("kind").join(known.select("found", "kind"), "found").groupBy("pattern", "n", "kind").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MIN_SUPPORT)
         patterns = staged(support.select("pattern", F.col("kind").alias("pkind"), (weight * F.col("k") / (F.col("n") + 1)).alias("conf")), f"patterns{turn}")
@@ -106,9 +108,8 @@ def learned_strings(seen: DataFrame) -> DataFrame:
         best = scored.where(F.col("score") >= MIN_SCORE).groupBy("found").agg(F.max(F.struct("score", F.col("pkind").alias("kind"))).alias("best"))
         new = staged(best.select("found", "best.kind", F.lit(turn).alias("turn")).join(known.select("found"), "found", "left_anti"), f"new{turn}")
         if new.isEmpty():
-            break
+            return known.where("turn > 0").select("found", "kind")
         known = staged(known.unionByName(new), f"known{turn}")
-    return known.where("turn > 0").select("found", "kind")
 
 
 def _written(spans: DataFrame, name: str) -> DataFrame:

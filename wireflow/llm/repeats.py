@@ -279,10 +279,10 @@ def different(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def recurring_groups(docs: DataFrame, unit: Unit) -> DataFrame:
-    """The groups of docs (rid, text) whose anchor recurs, written; ``unlike``: the anchor has different passages."""
+    """The groups of docs (rid, text) whose anchor recurs, written."""
     ship_code(docs.sparkSession)
     found = staged(docs.select("rid", "text").mapInArrow(hashing(unit), GROUPS), "groups")
-    anchors = staged(found.groupBy("a").agg(F.count(F.lit(1)).alias("k"), (F.min("s") != F.max("s")).alias("unlike")).where("k > 1").select("a", "unlike"), "anchors")
+    anchors = staged(found.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a"), "anchors")
     recurring = staged(found.join(anchors, "a"), "recurring")
     unstage(found, anchors)
     return recurring
@@ -303,7 +303,7 @@ def united(frames: list[DataFrame]) -> DataFrame:
 
 def small_keys(docs: DataFrame, recurring: DataFrame, unit: Unit, most_passages: int) -> tuple[DataFrame, list[DataFrame]]:
     """(the different passages of recurring groups in order of the key, those of large keys in halves; the halves of each turn)."""
-    ones = different(recurring.drop("unlike").withColumn("copies", F.lit(1).cast("bigint")), "a", "different")
+    ones = different(recurring.withColumn("copies", F.lit(1).cast("bigint")), "a", "different")
     ready, halves, passages = [], [], passages_of(docs, ones, unit)
     while True:
         large = staged(passages.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most_passages).select("key"), "large")
