@@ -380,6 +380,11 @@ def verified(pairs: DataFrame, bags: DataFrame, verify: Callable, most: float, l
     return staged(exact.select("x", "y", (F.col("distance") <= most).alias("alike")), label)
 
 
+def parted(df: DataFrame, rows: int, of: int = 1 << 18) -> DataFrame:
+    """In as many parts as so many short rows need: a small table written in hundreds of files costs more than it holds."""
+    return df.coalesce(max(1, -(-rows // of)))
+
+
 def links(members: DataFrame, bags: DataFrame, verify: Callable, most: float, least: int, block: int = BLOCK) -> DataFrame:
     """(x, y): verified links of members (bucket, rid, bands, sketch), enough to join all that are linked.
 
@@ -389,23 +394,24 @@ def links(members: DataFrame, bags: DataFrame, verify: Callable, most: float, le
     several classes compares the members of different classes, all of them: samples meet samples
     within a task, block by block, and only the pairs that agree leave it for the exact check. So
     every pair asked for is checked, or of one class."""
+    n = members.count()
     lead = members.groupBy("bucket").agg(F.min_by("rid", F.xxhash64("rid", "bucket")).alias("y"))
-    lead = staged(lead.join(members.select("rid", "sketch").dropDuplicates(["rid"]).select(F.col("rid").alias("y"), F.col("sketch").alias("sy")), "y"), "lead")
+    lead = staged(parted(lead.join(members.select("rid", "sketch").dropDuplicates(["rid"]).select(F.col("rid").alias("y"), F.col("sketch").alias("sy")), "y"), n, 1 << 16), "lead")
     near = members.join(lead, "bucket").where("rid <> y").select(F.col("rid").alias("x"), "y", F.col("sketch").alias("sx"), "sy")
     known = verified(near.mapInArrow(filtering(least), "x long, y long").distinct(), bags, verify, most, "stars")
     for best, label in ((NEAREST, "nearest"), (None, "rest")):
-        pairs = staged(candidates(members, known, least, best, block), "pairs")
-        known = staged(known.unionByName(verified(pairs, bags, verify, most, label)), "known")
+        pairs = staged(candidates(members, n, known, least, best, block), "pairs")
+        known = known.unionByName(verified(pairs, bags, verify, most, label))
     return known.where("alike").select("x", "y")
 
 
-def candidates(members: DataFrame, known: DataFrame, least: int, best: int | None, block: int) -> DataFrame:
-    """(x, y) that are not known, of members of a bucket in different classes by the known links; see :func:`pairing`."""
+def candidates(members: DataFrame, n: int, known: DataFrame, least: int, best: int | None, block: int) -> DataFrame:
+    """(x, y) that are not known, of the n members of a bucket in different classes by the known links; see :func:`pairing`."""
     label = components(known.where("alike")).select(F.col("rid").alias("lrid"), "label")
     classed = members.join(label, F.col("rid") == F.col("lrid"), "left").withColumn("class", F.coalesce("label", "rid")).drop("lrid", "label")
-    classed = staged(classed, "classed")
+    classed = staged(parted(classed, n, 1 << 16), "classed")
     several = classed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("greatest"), F.count(F.lit(1)).alias("k")).where("least <> greatest")
-    several = staged(several.select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "several")
+    several = staged(parted(several.select("bucket", F.ceil(F.col("k") / block).cast("int").alias("blocks")), n), "several")
     rest = classed.join(several, "bucket").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rid", "class", "bands", "sketch")
@@ -415,15 +421,16 @@ def candidates(members: DataFrame, known: DataFrame, least: int, best: int | Non
 
 def components(edges: DataFrame) -> DataFrame:
     """(rid, label): the smallest rid that links lead to, by least labels and pointer jumping."""
-    both = staged(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(edges.select(F.col("y").alias("u"), F.col("x").alias("v"))), "edges")
-    labels = staged(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
+    n = 2 * edges.count()
+    both = staged(parted(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(edges.select(F.col("y").alias("u"), F.col("x").alias("v"))), n), "edges")
+    labels = staged(parted(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("label")), n), "labels")
     turn = 0
     while True:
         around = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("seen"))
         lower = labels.join(around, "u").select("u", F.least("label", "seen").alias("label"), F.col("label").alias("old"))
-        lower = staged(lower, f"lower{turn}")
+        lower = staged(parted(lower, n), f"lower{turn}")
         jump = lower.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        after = staged(lower.join(jump, "label", "left").select("u", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), f"labels{turn}")
+        after = staged(parted(lower.join(jump, "label", "left").select("u", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), n), f"labels{turn}")
         turn += 1
         if after.where("label <> old").isEmpty():
             return after.select(F.col("u").alias("rid"), "label")
