@@ -1,5 +1,9 @@
 """Template rewriting of the linked table in rounds: match, keep matches that do not conflict, apply.
 
+The table is a base and what changed since (:class:`Versions`). The first round of a rule looks at
+all gates; the next ones only at those near a gate that was changed or that lost a conflict, for
+nowhere else can a match be new. So what is written grows with the rewrites, not with the rounds.
+
 A match has a core (gates deleted, retyped or rewired) and a boundary (neighbours that get one
 new link). Two matches conflict if the core of one meets the other; of those around a gate the
 one with the smallest hashed priority stays, so chains resolve in few rounds and every round
@@ -7,6 +11,7 @@ makes progress. Edits are keyed by (gate, side, port) and never collide."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +20,7 @@ from pyspark.sql import functions as F
 
 from wireflow.functions.codec import link, link_id, link_port, link_type
 from wireflow.operators.gates import stats
+from wireflow.plans.staging import unstage
 from wireflow.schema import CONTROLLED, CX, H, S, S_DAG, T, T_DAG
 
 SIDES = [f"{s}_q{p}" for s in ("prev", "next") for p in (1, 2, 3)]
@@ -22,10 +28,13 @@ SIDES = [f"{s}_q{p}" for s in ("prev", "next") for p in (1, 2, 3)]
 
 @dataclass(frozen=True)
 class Rule:
-    """``match`` gives (match, core array, boundary array, edits array<struct<gate, slot, link>>, deletes array, retype struct)."""
+    """``match`` gives (match, core array, boundary array, edits array<struct<gate, slot, link>>, deletes array, retype struct).
+
+    The gates of a core are within ``radius`` links of each other."""
 
     name: str
     match: Callable[[DataFrame], DataFrame]
+    radius: int = 1
 
 
 def _is(prefix: str, code: int, param: float) -> Column:
@@ -40,13 +49,20 @@ def _slot(side: str, at) -> Column:
     return F.concat(F.lit(f"{side}_q"), (link_port(at) + 1).cast("string"))
 
 
-def _pairs(gates: DataFrame) -> DataFrame:
-    """(g, h): one-wire neighbours g on port 0 then h; the row structs of both."""
-    g = gates.select(F.struct(*gates.columns).alias("g"), link_id("next_q1").alias("to")).where("to is not null")
-    h = gates.select(F.struct(*gates.columns).alias("h"), F.col("id").alias("to"))
+def _pairs(gates: DataFrame, first: Column, *second: int) -> DataFrame:
+    """(g, h): one-wire neighbours g on port 0 then h, of which g satisfies ``first`` and h is of the types ``second``; the row structs of both.
+
+    The link of g names the type of h, so only gates that have a partner are joined."""
+    g = gates.where(first & link_type("next_q1").isin(*second)).select(F.struct(*gates.columns).alias("g"), link_id("next_q1").alias("to"))
+    h = gates.where(F.col("type").isin(*second)).select(F.struct(*gates.columns).alias("h"), F.col("id").alias("to"))
     return g.join(h, "to").where("h.prev_q1 = g.id * 1000 + g.type")
 
 
+def _one(code: int, param: float) -> Column:
+    """A gate of a type and parameter that has a neighbour before it."""
+    return (F.col("type") == code) & (F.col("param") == F.lit(param).cast("float")) & F.col("prev_q1").isNotNull()
+
+
 def _made(df: DataFrame, core: list, boundary: list, edits: list, deletes: list, retype=None) -> DataFrame:
     none = F.lit(None).cast("struct<gate:bigint,type:smallint,param:float,flip:boolean>")
     return df.select(core[0].alias("match"), F.array(*core).alias("core"), F.array(*boundary).alias("boundary"), F.array(*edits).alias("edits"), F.array(*deletes).alias("deletes"), (retype if retype is not None else none).alias("retype"))
@@ -56,7 +72,7 @@ def cancel_one(first: int, second: int, p1: float, p2: float) -> Rule:
     """Two one-qubit gates in a row vanish; their neighbours are joined."""
 
     def match(gates: DataFrame) -> DataFrame:
-        m = _pairs(gates).where(_is("g", first, p1) & _is("h", second, p2) & F.col("g.prev_q1").isNotNull() & F.col("h.next_q1").isNotNull())
+        m = _pairs(gates, _one(first, p1), second).where(_is("h", second, p2) & F.col("h.next_q1").isNotNull())
         a, b, g, h = F.col("g.prev_q1"), F.col("h.next_q1"), F.col("g.id"), F.col("h.id")
         return _made(m, [g, h], [link_id(a), link_id(b)], [_edit(link_id(a), _slot("next", a), b), _edit(link_id(b), _slot("prev", b), a)], [g, h])
 
@@ -67,7 +83,7 @@ def fuse(first: int, second: int, p1: float, p2: float, code: int, param: float)
     """Two one-qubit gates in a row become one of another type; the links to it get its type."""
 
     def match(gates: DataFrame) -> DataFrame:
-        m = _pairs(gates).where(_is("g", first, p1) & _is("h", second, p2) & F.col("g.prev_q1").isNotNull() & F.col("h.next_q1").isNotNull())
+        m = _pairs(gates, _one(first, p1), second).where(_is("h", second, p2) & F.col("h.next_q1").isNotNull())
         a, b, g, h = F.col("g.prev_q1"), F.col("h.next_q1"), F.col("g.id"), F.col("h.id")
         me = link(g, F.lit(0), F.lit(code))
         retype = F.struct(g.alias("gate"), F.lit(code).cast("short").alias("type"), F.lit(param).cast("float").alias("param"), F.lit(False).alias("flip"))
@@ -80,7 +96,7 @@ def cancel_two(code: int, param: float) -> Rule:
     """Two equal self-inverse two-qubit gates in a row on both wires, ports alike, vanish."""
 
     def match(gates: DataFrame) -> DataFrame:
-        m = _pairs(gates).where(_is("g", code, param) & _is("h", code, param) & F.expr("g.next_q2 = h.id * 1000 + 100 + h.type and h.prev_q2 = g.id * 1000 + 100 + g.type"))
+        m = _pairs(gates, _one(code, param) & (link_id("next_q1") == link_id("next_q2")), code).where(_is("h", code, param) & F.expr("g.next_q2 = h.id * 1000 + 100 + h.type and h.prev_q2 = g.id * 1000 + 100 + g.type"))
         g, h = F.col("g.id"), F.col("h.id")
         edits, around = [], []
         for p in (1, 2):
@@ -96,7 +112,7 @@ def commute(code: int, param: float) -> Rule:
     """A diagonal one-qubit gate before a control moves behind it."""
 
     def match(gates: DataFrame) -> DataFrame:
-        m = _pairs(gates).where(_is("g", code, param) & F.col("h.type").isin(*CONTROLLED) & F.col("g.prev_q1").isNotNull() & F.col("h.next_q1").isNotNull())
+        m = _pairs(gates, _one(code, param), *CONTROLLED).where(F.col("h.next_q1").isNotNull())
         a, b, g, h = F.col("g.prev_q1"), F.col("h.next_q1"), F.col("g.id"), F.col("h.id")
         control, single = link(h, F.lit(0), F.col("h.type")), link(g, F.lit(0), F.col("g.type"))
         edits = [_edit(link_id(a), _slot("next", a), control), _edit(h, F.lit("prev_q1"), a), _edit(h, F.lit("next_q1"), single),
@@ -125,7 +141,7 @@ def reverse_cx() -> Rule:
         retype = F.struct(cx.alias("gate"), F.col("code").cast("short").alias("type"), F.col("p").cast("float").alias("param"), F.lit(True).alias("flip"))
         return _made(m, [cx, *hs], [link_id(x) for x in (l1, l2, r1, r2)], edits, hs, retype)
 
-    return Rule("reverse cx", match)
+    return Rule("reverse cx", match, 2)
 
 
 def _one_h() -> Column:
@@ -135,14 +151,14 @@ def _one_h() -> Column:
 STANDARD_RULES = (cancel_one(H, H, 1.0, 1.0), cancel_one(T, T_DAG, 0.0, 0.0), cancel_one(T_DAG, T, 0.0, 0.0), cancel_one(S, S_DAG, 0.0, 0.0), cancel_one(S_DAG, S, 0.0, 0.0), cancel_two(CX, 1.0), reverse_cx(), fuse(T, T, 0.0, 0.0, S, 0.0))
 
 
-def independent(matches: DataFrame, turn: int) -> DataFrame:
-    """Matches of which none conflicts with another; at least the one of smallest priority."""
+def judged(matches: DataFrame, turn: int) -> DataFrame:
+    """Matches with ``wins``: of those that win none conflicts with another, and the one of smallest priority wins."""
     ranked = matches.withColumn("prio", F.struct(F.xxhash64("match", F.lit(turn)).alias("h"), "match"))
     touched = ranked.select("prio", F.explode(F.concat(F.transform("core", lambda g: F.struct(g.alias("gate"), F.lit(True).alias("own"))), F.transform("boundary", lambda g: F.struct(g.alias("gate"), F.lit(False).alias("own"))))).alias("x")).select("prio", "x.*")
     least = touched.groupBy("gate").agg(F.min("prio").alias("any"), F.min(F.when(F.col("own"), F.col("prio"))).alias("core"))
     held = touched.join(least, "gate")
-    wins = F.when(F.col("own"), F.col("prio") == F.col("any")).otherwise(F.col("core").isNull() | (F.col("prio") <= F.col("core")))
-    return ranked.join(held.groupBy("prio").agg(F.min(wins).alias("wins")).where("wins"), "prio").drop("prio", "wins")
+    free = F.when(F.col("own"), F.col("prio") == F.col("any")).otherwise(F.col("core").isNull() | (F.col("prio") <= F.col("core")))
+    return ranked.join(held.groupBy("prio").agg(F.min(free).alias("wins")), "prio").drop("prio")
 
 
 def applied(gates: DataFrame, kept: DataFrame) -> DataFrame:
@@ -156,46 +172,164 @@ def applied(gates: DataFrame, kept: DataFrame) -> DataFrame:
     return rest.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in gates.columns])
 
 
-def to_fixpoint(gates: DataFrame, rule: Rule, staged: Callable[[DataFrame], DataFrame], rounds: int | None = None) -> tuple[DataFrame, int]:
-    """Apply a rule in rounds until it matches nothing (or so many rounds); the table and the number of rewrites."""
-    done, turn = 0, 0
-    while rounds is None or turn < rounds:
-        kept = staged(independent(rule.match(gates), turn))
+class Versions:
+    """A gate table as a base table and small tables of what changed since, each with its version; of each id the latest row counts.
+
+    The small tables are merged when there are many, and written into a new base when they have a
+    quarter of its rows. Which ids changed when is kept."""
+
+    MOST, FEW = 8, 10_000
+
+    def __init__(self, gates: DataFrame, staged: Callable[[DataFrame], DataFrame]):
+        self.staged, self.base, self.own, self.columns = staged, gates, False, gates.columns
+        self.changes: list[DataFrame] = []
+        self.log: list[DataFrame] = []
+        self.version, self.changed, self.size = 0, 0, None
+
+    def _latest(self) -> DataFrame:
+        every = self.changes[0]
+        for c in self.changes[1:]:
+            every = every.unionByName(c)
+        row = F.max_by(F.struct(*every.columns), "version").alias("r")
+        return every if len(self.changes) == 1 else every.groupBy("id").agg(row).select("r.*")
+
+    def current(self) -> DataFrame:
+        """The table as it is now."""
+        if not self.changes:
+            return self.base
+        latest = self._latest()
+        return self.base.join(latest.select("id"), "id", "left_anti").select(*self.columns).unionByName(latest.where("not gone").select(*self.columns))
+
+    def rows(self, ids: DataFrame) -> DataFrame:
+        return self.current().join(ids, "id", "left_semi")
+
+    def around(self, ids: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+        """(the rows of ``ids`` and of all within ``radius`` links of them, the table of their ids)."""
+        for k in range(radius):
+            out = self.rows(ids)
+            near = out.select(F.explode(F.array_append(F.array_compact(F.array(*[link_id(c) for c in SIDES])), F.col("id"))).alias("id")).distinct()
+            wider = self.staged(near)
+            if k:
+                unstage(ids)
+            ids = wider
+        return self.rows(ids), ids
+
+    def apply(self, kept: DataFrame) -> DataFrame:
+        """Apply independent matches and return the ids (id) of the rows that changed and are still there."""
+        self.version += 1
+        gone = kept.select(F.explode("deletes").alias("id")).distinct()
+        met = kept.select(F.explode("edits").alias("e")).select(F.col("e.gate").alias("id")).unionByName(kept.where("retype is not null").select(F.col("retype.gate").alias("id"))).distinct()
+        after = applied(self.rows(met), kept).withColumn("gone", F.lit(False))
+        none = [F.col("id") if c == "id" else F.lit(None).cast(k).alias(c) for c, k in after.dtypes if c != "gone"]
+        every = after.unionByName(gone.select(*none, F.lit(True).alias("gone"))).withColumn("version", F.lit(self.version))
+        change = self.staged(every)
+        self.changes.append(change)
+        self.log.append(change.select("id", "version"))
+        self.changed += change.count()
+        if self.size is None:
+            self.size = self.base.count()
+        if self.changed * 4 > self.size and self.changed > self.FEW:
+            self._rebase()
+        elif len(self.changes) > self.MOST:
+            merged = self.staged(self._latest())
+            self.log = [self._kept_log()]
+            unstage(*self.changes)
+            self.changes = [merged]
+        return self.since(self.version - 1)
+
+    def _kept_log(self) -> DataFrame:
+        every = self.log[0]
+        for x in self.log[1:]:
+            every = every.unionByName(x)
+        return self.staged(every.groupBy("id").agg(F.max("version").alias("version")))
+
+    def _rebase(self) -> None:
+        base, self.log = self.staged(self.current()), [self._kept_log()]
+        unstage(*self.changes, *([self.base] if self.own else []))
+        self.base, self.own, self.changes, self.changed, self.size = base, True, [], 0, None
+
+    def since(self, version: int) -> DataFrame:
+        """The ids (id) that changed after a version."""
+        every = self.log[0]
+        for x in self.log[1:]:
+            every = every.unionByName(x)
+        return every.where(F.col("version") > version).select("id").distinct()
+
+    def table(self) -> DataFrame:
+        """The table as it is now, as one written table; what it was made of is deleted."""
+        if self.changes:
+            self._rebase()
+        return self.base
+
+
+def _ends(seconds: float | None) -> float | None:
+    return None if seconds is None else time.monotonic() + seconds
+
+
+def _fix(gates: Versions, rule: Rule, near: DataFrame | None, rounds: int | None, ends: float | None) -> tuple[int, bool]:
+    """Apply a rule near the ids ``near`` (or everywhere) until it matches nothing; the number of rewrites, and whether it came to its end."""
+    done, turn, held = 0, 0, []
+    while (rounds is None or turn < rounds) and (ends is None or time.monotonic() < ends):
+        part, ids = (gates.current(), None) if near is None else gates.around(near, rule.radius)
+        found = gates.staged(judged(rule.match(part), turn))
+        kept = found.where("wins")
         n = kept.count()
+        unstage(*([ids] if ids is not None else []))
         if not n:
-            break
-        gates, done, turn = staged(applied(gates, kept)), done + n, turn + 1
-    return gates, done
+            unstage(found)
+            return done, True
+        near = gates.apply(kept).unionByName(found.where("not wins").select(F.explode("core").alias("id"))).distinct()
+        unstage(*held)
+        held = [found]  # the next round reads who lost in this one
+        done, turn = done + n, turn + 1
+    return done, False
+
+
+def to_fixpoint(gates: DataFrame, rule: Rule, staged: Callable[[DataFrame], DataFrame], rounds: int | None = None, seconds: float | None = None) -> tuple[DataFrame, int]:
+    """Apply a rule in rounds until it matches nothing (or so many rounds, or for so long: the clock is read between rounds); the table and the number of rewrites."""
+    own = Versions(gates, staged)
+    done, _ = _fix(own, rule, None, rounds, _ends(seconds))
+    return own.table(), done
+
+
+def _passes(own: Versions, rules, passes: int | None, ends: float | None):
+    """Pass after pass of all rules: (pass, rule, rewrites), until a pass rewrites nothing. A rule looks only near what changed since it last matched nothing."""
+    turn, done, seen = 0, 1, [None] * len(rules)
+    while done and (passes is None or turn < passes) and (ends is None or time.monotonic() < ends):
+        done = 0
+        for i, rule in enumerate(rules):
+            if seen[i] == own.version:
+                yield turn, rule, 0
+                continue
+            n, whole = _fix(own, rule, None if seen[i] is None else own.since(seen[i]), None, ends)
+            seen[i] = own.version if whole else None
+            done += n
+            yield turn, rule, n
+        turn += 1
 
 
-def optimise(gates: DataFrame, rules, staged: Callable[[DataFrame], DataFrame], passes: int | None = None) -> DataFrame:
-    """The rules in order, each to its fixpoint, pass after pass until one rewrites nothing (or for so many passes).
+def optimise(gates: DataFrame, rules, staged: Callable[[DataFrame], DataFrame], passes: int | None = None, seconds: float | None = None) -> DataFrame:
+    """The rules in order, each to its fixpoint, pass after pass until one rewrites nothing (or for so many passes, or so long).
 
     What a rule removes may bring others' patterns together, so one pass is not enough. Rules
-    that undo each other need ``passes``."""
-    gates, turn, done = staged(gates), 0, 1
-    while done and (passes is None or turn < passes):
-        done = 0
-        for rule in rules:
-            gates, n = to_fixpoint(gates, rule, staged)
-            done += n
-        turn += 1
-    return gates
+    that undo each other need ``passes`` or ``seconds``."""
+    own = Versions(gates, staged)
+    for _ in _passes(own, rules, passes, _ends(seconds)):
+        pass
+    return own.table()
 
 
 def series(gates: DataFrame, rules, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(step, pass, rule, rewrites, counts...): the counts at the start (step 0) and after every rule of :func:`optimise`, until a pass rewrites nothing."""
     spark = gates.sparkSession
-    gates = staged(gates)
-    log, rows, turn, step, done = [], stats(gates).withColumn("step", F.lit(0)), 0, 0, 1
-    log.append((0, None, "start", 0))
-    while done:
-        done = 0
-        for rule in rules:
-            gates, n = to_fixpoint(gates, rule, staged)
-            step, done = step + 1, done + n
-            log.append((step, turn, rule.name, n))
-            rows = rows.unionByName(stats(gates).withColumn("step", F.lit(step)))
-        turn += 1
-    names = spark.createDataFrame(log, "step int, pass int, rule string, rewrites long")
-    return names.join(rows, "step")
+    own = Versions(gates, staged)
+    log, last = [(0, None, "start", 0)], staged(stats(gates))
+    rows = [last.withColumn("step", F.lit(0))]
+    for step, (turn, rule, n) in enumerate(_passes(own, rules, None, None), 1):
+        log.append((step, turn, rule.name, n))
+        last = staged(stats(own.current())) if n else last
+        rows.append(last.withColumn("step", F.lit(step)))
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return spark.createDataFrame(log, "step int, pass int, rule string, rewrites long").join(every, "step")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wireflow.functions import codec
 from wireflow.functions.codec import link_id, link_port, link_type, strip_type
 from wireflow.functions.numeric import common_angle, readable, twos_complement
-from wireflow.operators import decompose, edges, engine, equivalence, gates, layers, widgets
+from wireflow.operators import decompose, edges, engine, equivalence, gates, layers, patterns, widgets
 from wireflow.operators import linked as linked_ops
 from wireflow.operators import wire_rewrites as rewrites
 from wireflow.plans.build import linked, numbered, qubits, relinked, wires
@@ -229,8 +229,8 @@ SELECT op_id, CAST(sub AS BIGINT) AS sub, CAST(five.type AS BIGINT) AS type, CAS
     lambda s, d: (o := rewrites.expand_cx(circuit(s, d), 10)).select("op_id", "sub", *big("type"), *flat(o)))
 
 
-def _steps(text: str, codes: dict) -> str:
-    return ", ".join(f"({i}, {c}, {p}, '{q}')" for i, (c, p, q) in enumerate(decompose.sequence(text, codes)))
+def _steps(steps: tuple, codes: dict) -> str:
+    return ", ".join(f"({i}, {c}, {p}, '{q}')" for i, (c, p, q) in enumerate(decompose.sequence(steps, codes)))
 
 
 def _expanded(*cases: tuple[str, str]) -> str:
@@ -248,8 +248,8 @@ query("toffoli_decomp", _expanded(("true", _steps(decompose.TOFFOLI, decompose.A
 query("toffoli_decomp_tt", _expanded(("true", _steps(decompose.TOFFOLI, decompose.AS_TYPES))))(lambda s, d: _shown(decompose.toffolis(triples(s, d), decompose.AS_TYPES)))
 query("toffoli_variants", _expanded(("k % 2 = 0", _steps(decompose.TOFFOLI, decompose.AS_TYPES)), ("k % 2 = 1", _steps(decompose.TOFFOLI_REVERSED_DAGGER, decompose.AS_TYPES))))(lambda s, d: _shown(decompose.toffoli_variants(triples(s, d))))
 query("fredkin_decomp", _expanded(("true", _steps(decompose.FREDKIN, decompose.AS_POWERS))))(lambda s, d: _shown(decompose.fredkins(triples(s, d))))
-_Z, _R, _P = decompose.CCZ_DIRECT, decompose.CCZ_DIRECT_REVERSED, decompose.AS_POWERS
-query("direct_cpt", _expanded(("k % 2 = 0 AND k % 3 = 0", _steps(f"H c,{_R},H c", _P)), ("k % 2 = 0 AND k % 3 <> 0", _steps(f"H c,{_Z},H c", _P)), ("k % 2 = 1 AND k % 3 = 0", _steps(_R, _P)), ("k % 2 = 1 AND k % 3 <> 0", _steps(_Z, _P))))(
+_Z, _R, _P, _HC = decompose.CCZ_DIRECT, decompose.CCZ_DIRECT_REVERSED, decompose.AS_POWERS, (("H", "c"),)
+query("direct_cpt", _expanded(("k % 2 = 0 AND k % 3 = 0", _steps(_HC + _R + _HC, _P)), ("k % 2 = 0 AND k % 3 <> 0", _steps(_HC + _Z + _HC, _P)), ("k % 2 = 1 AND k % 3 = 0", _steps(_R, _P)), ("k % 2 = 1 AND k % 3 <> 0", _steps(_Z, _P))))(
     lambda s, d: _shown(decompose.direct_clifford_t(triples(s, d))))
 
 
@@ -260,7 +260,7 @@ def rotations(spark, sf_dir) -> DataFrame:
     return o.select(k.alias("k"), (2 + k % 3).alias("axis"), F.when(k % 2 == 0, (k % 16 - 8) / 4.0).otherwise(F.col("o_totalprice") / 7).alias("angle"), (F.col("o_custkey") % 64).alias("qubit"))
 
 
-_QUARTERS = ", ".join(f"({i}, {j}, {decompose.AS_TYPES[x][0]})" for i, q in enumerate(decompose.QUARTERS) for j, x in enumerate(y for y in q.split(",") if y))
+_QUARTERS = ", ".join(f"({i}, {j}, {decompose.AS_TYPES[x][0]})" for i, q in enumerate(decompose.QUARTERS) for j, x in enumerate(q))
 query("lower_rotations", f"""WITH r AS (SELECT o_orderkey AS k, 2 + o_orderkey % 3 AS axis, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 16 - 8) / 4.0 ELSE o_totalprice / 7 END AS angle, o_custkey % 64 AS qubit FROM orders),
 e AS (SELECT *, angle - 2 * floor(angle / 2) AS turn FROM r), x AS (SELECT *, abs(turn * 4 - round(turn * 4)) <= 1e-10 AS exact, CAST(round(turn * 4) AS INT) % 8 AS near FROM e),
 rz AS (SELECT k, qubit, axis, 2 + j AS pos, type, 0.0 AS param FROM x JOIN (VALUES {_QUARTERS}) v(i, j, type) ON i = near WHERE exact UNION ALL SELECT k, qubit, axis, 2, 4, angle FROM x WHERE NOT exact),
@@ -509,6 +509,22 @@ def engine_rules(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_ONE = " UNION ALL ".join(f"SELECT '{kind} {a} {b}' AS rule, count(*) FILTER (WHERE type = {a} AND next_q1 % 100 = {b}) AS n FROM gates" for kind, a, b in (("cancel", 8, 8), ("cancel", 29, 30), ("cancel", 30, 29), ("cancel", 27, 28), ("cancel", 28, 27), ("fuse", 29, 29)))
+
+
+@query("rules_as_data", GATE + f""" {_ONE} UNION ALL SELECT 'cancel 18 18', count(*) FILTER (WHERE type = 18 AND next_q1 // 1000 = next_q2 // 1000 AND next_q1 // 100 % 10 = 0 AND next_q2 // 100 % 10 = 1 AND next_q1 % 100 = 18) FROM gates
+UNION ALL SELECT 'reverse cx', count(*) FILTER (WHERE type IN (15, 18) AND prev_q1 % 100 = 8 AND prev_q2 % 100 = 8 AND next_q1 % 100 = 8 AND next_q2 % 100 = 8) FROM gates
+UNION ALL SELECT 'commute 29', count(*) FILTER (WHERE type = 29 AND next_q1 % 100 IN (15, 16, 17, 18) AND next_q1 // 100 % 10 = 0) FROM gates""")
+def rules_as_data(spark, sf_dir):
+    """How often each rule of the standard relations matches: patterns given as rows, compiled by the table's counts of types."""
+    gates_ = stored(spark, sf_dir)
+    parts = [rule.match(gates_).agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule.name).alias("rule"), "n") for rule in patterns.compiled(*patterns.standard_rows(spark), patterns.type_counts(gates_))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def toffolis_replaced(spark, sf_dir) -> DataFrame:
     """A linked table of doubly controlled NOTs with each of them replaced by its sequence, in place; computed once for a folder."""
     ops = triples(spark, sf_dir).select(F.col("k").alias("op_id"), F.lit(CCX).cast("short").alias("type"), F.lit(1.0).cast("float").alias("param"), F.array("a", "b", "c").alias("qubits"))
@@ -536,6 +552,50 @@ def base_gates(spark, sf_dir) -> DataFrame:
     return flat_.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("at", "type", "q0", "q1"))).alias("g")).select("line", F.posexplode("g").alias("sub", "x")).select("line", F.col("sub").cast("bigint").alias("sub"), "x.type", "x.q0", "x.q1")
 
 
+#: A user's relation beside the library's: an "And" is a Toffoli with its target between H's, so it takes two rounds to come down to it.
+_AND = {22: (("H", "c"), ("CCX", "abc"), ("H", "c")), 31: decompose.SWAP, 24: (("CX", "cb"), ("CCX", "abc"), ("CX", "cb")), 23: decompose.TOFFOLI}
+_AND_CODES = decompose.AS_TYPES | {"CCX": (CCX, 1.0)}
+
+
+def composite(spark, sf_dir) -> DataFrame:
+    """A composite gate for every order: And, CSwap, CCX or Swap by its key."""
+    k = F.col("k") % 4
+    kind = F.when(k == 0, 22).when(k == 1, 24).when(k == 2, 23).otherwise(31)
+    return triples(spark, sf_dir).select(F.col("k").alias("op_id"), kind.cast("short").alias("type"), F.lit(0.0).cast("float").alias("param"), F.when(k == 3, F.array("a", "b")).otherwise(F.array("a", "b", "c")).alias("qubits"))
+
+
+_REL = ", ".join(f"({kind}, {at}, {c}, {p}, {['abc'.index(q) + 1 for q in qs]})" for kind, steps in _AND.items() for at, (c, p, qs) in enumerate(decompose.sequence(steps, _AND_CODES)))
+_DEPTHS = TRIPLES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", rel(type, at, step, param, ports) AS (VALUES {_REL}),
+dec(op_id, path, depth, type, param, q) AS (SELECT k, CAST([] AS INT[]), 0, CASE k % 4 WHEN 0 THEN 22 WHEN 1 THEN 24 WHEN 2 THEN 23 ELSE 31 END, CAST(0.0 AS DOUBLE), CASE WHEN k % 4 = 3 THEN [a, b] ELSE [a, b, c] END FROM tri
+  UNION ALL SELECT op_id, list_append(path, rel.at), depth + 1, step, CAST(rel.param AS DOUBLE), list_transform(ports, lambda i: q[i]) FROM dec JOIN rel USING (type) WHERE depth < 4),
+lim AS (SELECT d AS most, dec.* FROM dec, range(4) r(d) WHERE depth <= d AND (depth = d OR type NOT IN (SELECT type FROM rel)))"""
+
+
+@query("decompose_depth", _DEPTHS + " SELECT CAST(most AS BIGINT) AS most, op_id, array_to_string(path, '.') AS path, CAST(depth AS BIGINT) AS depth, CAST(type AS BIGINT) AS type, param, q[1] AS q0, q[2] AS q1, q[3] AS q2 FROM lim")
+def decompose_depth(spark, sf_dir):
+    """Composite gates decomposed by a relation to depths of 0 to 3."""
+    rules, ops = decompose.relation(spark, _AND, _AND_CODES), composite(spark, sf_dir)
+    every = None
+    for most in range(4):
+        rows = decompose.decomposed(ops, rules, staged, most).withColumn("most", F.lit(most).cast("bigint"))
+        every = rows if every is None else every.unionByName(rows)
+    return every.select("most", "op_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), *big("depth", "type"), *real("param"), *flat(every), F.try_element_at("qubits", F.lit(3)).alias("q2"))
+
+
+@query("decompose_keep", _DEPTHS.replace("JOIN rel USING (type) WHERE", "JOIN rel USING (type) WHERE type <> 23 AND") + " SELECT CAST(type AS BIGINT) AS type, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM dec WHERE type = 23 OR type NOT IN (SELECT type FROM rel) GROUP BY 1, 2")
+def decompose_keep(spark, sf_dir):
+    """Decomposed to the end, but for doubly controlled NOTs, which are kept: gates by type and depth."""
+    rows = decompose.decomposed(composite(spark, sf_dir), decompose.relation(spark, _AND, _AND_CODES), staged, keep=(CCX,))
+    return rows.groupBy(*big("type", "depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("decompose_window_gates", _DEPTHS + ", fin AS (SELECT *, row_number() OVER (ORDER BY op_id, path) - 1 AS place FROM dec WHERE type NOT IN (SELECT type FROM rel)) SELECT place // 1000 AS window, place, CAST(type AS BIGINT) AS type, q[1] AS q0, q[2] AS q1 FROM fin")
+def decompose_window_gates(spark, sf_dir):
+    """The gates of the base set in windows of a thousand, in their order."""
+    rows = decompose.windowed(decompose.decomposed(composite(spark, sf_dir), decompose.relation(spark, _AND, _AND_CODES), staged), 1000)
+    return rows.select("window", "place", *big("type"), *flat(rows))
+
+
 # circuits by rule, from the orders' keys
 def keys(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"))
