@@ -16,6 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wireflow.functions.codec import link, link_id, link_port, link_type
@@ -155,8 +156,8 @@ def judged(matches: DataFrame, turn: int) -> DataFrame:
     """Matches with ``wins``: of those that win none conflicts with another, and the one of smallest priority wins."""
     ranked = matches.withColumn("prio", F.struct(F.xxhash64("match", F.lit(turn)).alias("h"), "match"))
     touched = ranked.select("prio", F.explode(F.concat(F.transform("core", lambda g: F.struct(g.alias("gate"), F.lit(True).alias("own"))), F.transform("boundary", lambda g: F.struct(g.alias("gate"), F.lit(False).alias("own"))))).alias("x")).select("prio", "x.*")
-    least = touched.groupBy("gate").agg(F.min("prio").alias("any"), F.min(F.when(F.col("own"), F.col("prio"))).alias("core"))
-    held = touched.join(least, "gate")
+    around = W.partitionBy("gate")  # a gate is in few matches
+    held = touched.withColumn("any", F.min("prio").over(around)).withColumn("core", F.min(F.when(F.col("own"), F.col("prio"))).over(around))
     free = F.when(F.col("own"), F.col("prio") == F.col("any")).otherwise(F.col("core").isNull() | (F.col("prio") <= F.col("core")))
     return ranked.join(held.groupBy("prio").agg(F.min(free).alias("wins")), "prio").drop("prio")
 
@@ -173,32 +174,24 @@ def applied(gates: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 class Versions:
-    """A gate table as a base table and small tables of what changed since, each with its version; of each id the latest row counts.
+    """A gate table as a base table and one smaller table of the rows that changed since, each with its version; a changed row counts instead of the base's.
 
-    The small tables are merged when there are many, and written into a new base when they have a
-    quarter of its rows. Which ids changed when is kept."""
+    When the changes have a quarter of the base's rows, all is written as a new base. Which ids
+    changed when is kept."""
 
-    MOST, FEW = 8, 10_000
+    FEW = 10_000
 
     def __init__(self, gates: DataFrame, staged: Callable[[DataFrame], DataFrame]):
         self.staged, self.base, self.own, self.columns = staged, gates, False, gates.columns
-        self.changes: list[DataFrame] = []
-        self.log: list[DataFrame] = []
-        self.version, self.changed, self.size = 0, 0, None
-
-    def _latest(self) -> DataFrame:
-        every = self.changes[0]
-        for c in self.changes[1:]:
-            every = every.unionByName(c)
-        row = F.max_by(F.struct(*every.columns), "version").alias("r")
-        return every if len(self.changes) == 1 else every.groupBy("id").agg(row).select("r.*")
+        self.delta: DataFrame | None = None
+        self.log: DataFrame | None = None
+        self.version, self.size = 0, None
 
     def current(self) -> DataFrame:
         """The table as it is now."""
-        if not self.changes:
+        if self.delta is None:
             return self.base
-        latest = self._latest()
-        return self.base.join(latest.select("id"), "id", "left_anti").select(*self.columns).unionByName(latest.where("not gone").select(*self.columns))
+        return self.base.join(self.delta.select("id"), "id", "left_anti").select(*self.columns).unionByName(self.delta.where("not gone").select(*self.columns))
 
     def rows(self, ids: DataFrame) -> DataFrame:
         return self.current().join(ids, "id", "left_semi")
@@ -222,42 +215,34 @@ class Versions:
         after = applied(self.rows(met), kept).withColumn("gone", F.lit(False))
         none = [F.col("id") if c == "id" else F.lit(None).cast(k).alias(c) for c, k in after.dtypes if c != "gone"]
         every = after.unionByName(gone.select(*none, F.lit(True).alias("gone"))).withColumn("version", F.lit(self.version))
-        change = self.staged(every)
-        self.changes.append(change)
-        self.log.append(change.select("id", "version"))
-        self.changed += change.count()
-        if self.size is None:
-            self.size = self.base.count()
-        if self.changed * 4 > self.size and self.changed > self.FEW:
+        before = self.delta
+        if before is not None:
+            every = every.unionByName(before.join(met.unionByName(gone), "id", "left_anti"))
+        self.delta = self.staged(every)
+        if before is not None:
+            unstage(before)
+        self.size = self.base.count() if self.size is None else self.size
+        if self.delta.count() > max(self.size // 4, self.FEW):
             self._rebase()
-        elif len(self.changes) > self.MOST:
-            merged = self.staged(self._latest())
-            self.log = [self._kept_log()]
-            unstage(*self.changes)
-            self.changes = [merged]
         return self.since(self.version - 1)
 
-    def _kept_log(self) -> DataFrame:
-        every = self.log[0]
-        for x in self.log[1:]:
-            every = every.unionByName(x)
-        return self.staged(every.groupBy("id").agg(F.max("version").alias("version")))
+    def _changes(self) -> DataFrame:
+        """(id, version) of all rows that were changed, gone ones too; an id may come twice."""
+        parts = [x.select("id", "version") for x in (self.delta, self.log) if x is not None]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _rebase(self) -> None:
-        base, self.log = self.staged(self.current()), [self._kept_log()]
-        unstage(*self.changes, *([self.base] if self.own else []))
-        self.base, self.own, self.changes, self.changed, self.size = base, True, [], 0, None
+        base, log = self.staged(self.current()), self.staged(self._changes().groupBy("id").agg(F.max("version").alias("version")))
+        unstage(self.delta, *([self.base] if self.own else []), *([self.log] if self.log is not None else []))
+        self.base, self.log, self.own, self.delta, self.size = base, log, True, None, None
 
     def since(self, version: int) -> DataFrame:
         """The ids (id) that changed after a version."""
-        every = self.log[0]
-        for x in self.log[1:]:
-            every = every.unionByName(x)
-        return every.where(F.col("version") > version).select("id").distinct()
+        return self._changes().where(F.col("version") > version).select("id").distinct()
 
     def table(self) -> DataFrame:
         """The table as it is now, as one written table; what it was made of is deleted."""
-        if self.changes:
+        if self.delta is not None:
             self._rebase()
         return self.base
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wireflow.plans.staging import ship_code
 from wireflow.schema import CCX, T, T_DAG, ZPOW
 
 #: Qubits up to which a chunk's longest paths are a matrix over all qubits, and operations of a chunk beyond; both bound a task's memory.
@@ -74,6 +75,7 @@ def layered(ops: DataFrame, staged: Callable[[DataFrame], DataFrame], chunk: int
     the paths of neighbouring chunks, as many rounds as the number of chunks has binary digits;
     down the same tree the layers at the start of each chunk are handed on, and the chunks are
     scanned apart, each from its start. No task sees more than its chunk."""
+    ship_code(ops.sparkSession)
     rows = ops.select("op_id", "type", F.col("param").cast("double").alias("param"), "qubits")
     if chunk is None:
         n = rows.select(F.explode("qubits").alias("q")).distinct().count()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from wireflow.functions.codec import link_id, link_port
 from wireflow.operators.layers import layered
 from wireflow.plans.running import global_rank, running_max
-from wireflow.plans.staging import unstage
+from wireflow.plans.staging import ship_code, unstage
 from wireflow.schema import IN, OUT
 
 #: About so many gates are put in order by one task.
@@ -86,6 +86,7 @@ def linked_to_ops(gates: DataFrame, staged: Callable[[DataFrame], DataFrame], si
 
     Qubits are numbered by their In gates' ids. A missing gate and a circle are errors. A chunk
     has about ``size`` gates if the gates are spread evenly over the levels of their guesses."""
+    ship_code(gates.sparkSession)
     places = wire_places(gates, staged)
     own = staged(places.join(gates.where(~F.col("type").isin(IN, OUT)).select("id"), "id", "left_semi"))
     wires = staged(global_rank(gates.where(F.col("type") == IN).select(F.col("id").alias("wire")), "wire", name="qubit"))

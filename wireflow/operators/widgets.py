@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wireflow.operators.gates import is_t_like
+from wireflow.plans.staging import ship_code
 
 MAX_T, MAX_DEPTH = 5, 10
 SCHEMA = "batch long, node long, widget long, t long, depth long, code string"
@@ -59,6 +60,7 @@ def clusters(max_t: int, max_depth: int):
 
 def _clustered(batches: DataFrame, gates: DataFrame, max_t: int, max_depth: int) -> DataFrame:
     """Edges to the global gates are left out; a batch has a fixed number of edges, so groups are bounded."""
+    ship_code(gates.sparkSession)
     kind = gates.select(F.col("id"), F.coalesce(is_t_like(), F.lit(False)).cast("int").alias("t"))
     own = batches.where("source >= 0 and target >= 0")
     own = own.join(kind.select(F.col("id").alias("source"), F.col("t").alias("source_t")), "source").join(kind.select(F.col("id").alias("target"), F.col("t").alias("target_t")), "target")

@@ -565,9 +565,9 @@ def composite(spark, sf_dir) -> DataFrame:
 
 
 _REL = ", ".join(f"({kind}, {at}, {c}, {p}, {['abc'.index(q) + 1 for q in qs]})" for kind, steps in _AND.items() for at, (c, p, qs) in enumerate(decompose.sequence(steps, _AND_CODES)))
-_DEPTHS = TRIPLES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", rel(type, at, step, param, ports) AS (VALUES {_REL}),
+_DEPTHS = TRIPLES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", rel(type, nth, step, param, ports) AS (VALUES {_REL}),
 dec(op_id, path, depth, type, param, q) AS (SELECT k, CAST([] AS INT[]), 0, CASE k % 4 WHEN 0 THEN 22 WHEN 1 THEN 24 WHEN 2 THEN 23 ELSE 31 END, CAST(0.0 AS DOUBLE), CASE WHEN k % 4 = 3 THEN [a, b] ELSE [a, b, c] END FROM tri
-  UNION ALL SELECT op_id, list_append(path, rel.at), depth + 1, step, CAST(rel.param AS DOUBLE), list_transform(ports, lambda i: q[i]) FROM dec JOIN rel USING (type) WHERE depth < 4),
+  UNION ALL SELECT op_id, list_append(path, rel.nth), depth + 1, step, CAST(rel.param AS DOUBLE), list_transform(ports, lambda i: q[i]) FROM dec JOIN rel USING (type) WHERE depth < 4),
 lim AS (SELECT d AS most, dec.* FROM dec, range(4) r(d) WHERE depth <= d AND (depth = d OR type NOT IN (SELECT type FROM rel)))"""
 
 
