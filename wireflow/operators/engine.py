@@ -177,9 +177,10 @@ class Versions:
     """A gate table as a base table and one smaller table of the rows that changed since, each with its version; a changed row counts instead of the base's.
 
     When the changes have a quarter of the base's rows, all is written as a new base. Which ids
-    changed when is kept."""
+    changed when is kept. A table of up to FEW gates is read faster than its changes are sorted
+    out: it is matched whole and written anew in every round."""
 
-    FEW = 10_000
+    FEW = 1_000_000
 
     def __init__(self, gates: DataFrame, staged: Callable[[DataFrame], DataFrame]):
         self.staged, self.base, self.own, self.columns = staged, gates, False, gates.columns
@@ -187,6 +188,12 @@ class Versions:
         self.log: DataFrame | None = None
         self.version, self.size = 0, None
 
+    @property
+    def small(self) -> bool:
+        if self.size is None:
+            self.size = self.base.count()
+        return self.size <= self.FEW
+
     def current(self) -> DataFrame:
         """The table as it is now."""
         if self.delta is None:
@@ -207,9 +214,14 @@ class Versions:
             ids = wider
         return self.rows(ids), ids
 
-    def apply(self, kept: DataFrame) -> DataFrame:
-        """Apply independent matches and return the ids (id) of the rows that changed and are still there."""
+    def apply(self, kept: DataFrame) -> DataFrame | None:
+        """Apply independent matches and return the ids (id) of the rows that changed; none for a small table, which is matched whole again."""
         self.version += 1
+        if self.small:
+            after = self.staged(applied(self.base, kept))
+            unstage(*([self.base] if self.own else []))
+            self.base, self.own = after, True
+            return None
         gone = kept.select(F.explode("deletes").alias("id")).distinct()
         met = kept.select(F.explode("edits").alias("e")).select(F.col("e.gate").alias("id")).unionByName(kept.where("retype is not null").select(F.col("retype.gate").alias("id"))).distinct()
         after = applied(self.rows(met), kept).withColumn("gone", F.lit(False))
@@ -221,8 +233,7 @@ class Versions:
         self.delta = self.staged(every)
         if before is not None:
             unstage(before)
-        self.size = self.base.count() if self.size is None else self.size
-        if self.delta.count() > max(self.size // 4, self.FEW):
+        if self.delta.count() > self.size // 4:
             self._rebase()
         return self.since(self.version - 1)
 
@@ -234,7 +245,7 @@ class Versions:
     def _rebase(self) -> None:
         base, log = self.staged(self.current()), self.staged(self._changes().groupBy("id").agg(F.max("version").alias("version")))
         unstage(self.delta, *([self.base] if self.own else []), *([self.log] if self.log is not None else []))
-        self.base, self.log, self.own, self.delta, self.size = base, log, True, None, None
+        self.base, self.log, self.own, self.delta = base, log, True, None
 
     def since(self, version: int) -> DataFrame:
         """The ids (id) that changed after a version."""
@@ -263,7 +274,8 @@ def _fix(gates: Versions, rule: Rule, near: DataFrame | None, rounds: int | None
         if not n:
             unstage(found)
             return done, True
-        near = gates.apply(kept).unionByName(found.where("not wins").select(F.explode("core").alias("id"))).distinct()
+        changed = gates.apply(kept)
+        near = None if changed is None else changed.unionByName(found.where("not wins").select(F.explode("core").alias("id"))).distinct()
         unstage(*held)
         held = [found]  # the next round reads who lost in this one
         done, turn = done + n, turn + 1
@@ -286,7 +298,7 @@ def _passes(own: Versions, rules, passes: int | None, ends: float | None):
             if seen[i] == own.version:
                 yield turn, rule, 0
                 continue
-            n, whole = _fix(own, rule, None if seen[i] is None else own.since(seen[i]), None, ends)
+            n, whole = _fix(own, rule, None if seen[i] is None or own.small else own.since(seen[i]), None, ends)
             seen[i] = own.version if whole else None
             done += n
             yield turn, rule, n
