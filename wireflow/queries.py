@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from wireflow.functions import codec
 from wireflow.functions.codec import link_id, link_port, link_type, strip_type
 from wireflow.functions.numeric import common_angle, readable, twos_complement
-from wireflow.operators import decompose, edges, engine, equivalence, gates, layers, patterns, widgets
+from wireflow.operators import ancillas, decompose, edges, engine, equivalence, gates, grammar, layers, patterns, widgets
 from wireflow.operators import linked as linked_ops
 from wireflow.operators import wire_rewrites as rewrites
 from wireflow.plans.build import linked, numbered, qubits, relinked, wires
 from wireflow.plans.running import global_rank, running_sum
 from wireflow.plans.staging import once, staged
 from wireflow.schema import CCX, CX, GATES, H, T, T_DAG
-from wireflow.sources import adder_text, files, generators
+from wireflow.sources import adder_text, files, generators, modular
 from wireflow.sources.orders import circuit, events_circuit, table, triples
 
 QUERIES: dict = {}
@@ -609,6 +609,150 @@ UNION ALL SELECT n + 1 + row_number() OVER (ORDER BY i), 18, i, n FROM b, n WHER
     lambda s, d: (o := generators.bernstein_vazirani(table(s, d, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderstatus") == "F").alias("one")))).select("op_id", *big("type"), *flat(o)))
 
 
+# ancillas used again
+_SLOTS = """WITH RECURSIVE life AS ({life}), ev AS (SELECT id, first AS t, 0 AS kind, 1 AS step FROM life UNION ALL SELECT id, last, 1, -1 FROM life),
+lv AS (SELECT *, CAST(sum(step) OVER w AS BIGINT) AS live, row_number() OVER w AS n FROM ev WINDOW w AS (ORDER BY t, kind, id)),
+mx AS MATERIALIZED (SELECT *, max(live) OVER (ORDER BY n) AS made, max(live - step) OVER (ORDER BY n) AS was FROM lv),
+al AS MATERIALIZED (SELECT id, made - 1 AS top, live > was AS new, (n + live) // 2 - made AS nth FROM mx WHERE kind = 0), fr AS MATERIALIZED (SELECT id, (n - live) // 2 AS nth FROM mx WHERE kind = 1),
+taken AS MATERIALIZED (SELECT fr.id AS giver, al.id AS taker FROM al JOIN fr USING (nth) WHERE NOT new),
+slots(id, slot) AS (SELECT id, top FROM al WHERE new UNION ALL SELECT taker, slot FROM slots JOIN taken ON giver = slots.id)"""
+_LIFE = "SELECT o_orderkey AS id, o_orderkey AS first, o_orderkey + o_custkey % 97 AS last FROM orders"
+
+
+def lifetimes(spark, sf_dir) -> DataFrame:
+    """A qubit for every order, needed from its key on for up to 96 more."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), k.alias("first"), (k + F.col("o_custkey") % 97).alias("last"))
+
+
+def dealt(spark, sf_dir) -> DataFrame:
+    return once(spark, "slots", sf_dir, lambda: ancillas.slots(lifetimes(spark, sf_dir), staged))
+
+
+query("ancilla_slots", _SLOTS.format(life=_LIFE) + " SELECT id AS k, slot FROM slots")(lambda s, d: dealt(s, d).select(F.col("id").alias("k"), "slot"))
+
+
+@query("ancilla_width", f"""WITH life AS ({_LIFE}), ev AS (SELECT first AS t, 0 AS kind, 1 AS step FROM life UNION ALL SELECT last, 1, -1 FROM life),
+lv AS (SELECT sum(step) OVER (ORDER BY t, kind ROWS UNBOUNDED PRECEDING) AS live FROM ev) SELECT CAST(max(live) AS BIGINT) AS width, CAST(0 AS BIGINT) AS overlapping FROM lv""")
+def ancilla_width(spark, sf_dir):
+    """The slots that were made (as many as lifetimes overlap at most) and the lifetimes that overlap in a slot (none)."""
+    rows = dealt(spark, sf_dir)
+    return rows.agg((F.max("slot") + 1).alias("width")).join(F.broadcast(ancillas.overlaps(rows).agg(F.count(F.lit(1)).alias("overlapping"))))
+
+
+@query("ancilla_reuse_ops", TRIPLES.replace("WITH ", ", ", 1).join((_SLOTS.format(life="SELECT o_orderkey AS id, 64 * o_orderkey AS first, 64 * (o_orderkey + o_custkey % 37) + 1 + o_custkey % 37 AS last FROM orders"), "")) + """
+SELECT CASE WHEN x.p > 0 THEN first ELSE last END AS op_id, CAST(x.p AS DOUBLE) AS param, a AS q0, b AS q1, 64 + slot AS q2 FROM slots JOIN life USING (id) JOIN tri ON k = id, (VALUES (1), (-1)) x(p)""")
+def ancilla_reuse_ops(spark, sf_dir):
+    """A carry for every order, made and undone some operations later, on ancillas that are used again."""
+    own = triples(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 37).alias("d")), "k")
+    both = F.array(F.struct((64 * F.col("k")).alias("op_id"), F.lit(1.0).alias("param")), F.struct((64 * (F.col("k") + F.col("d")) + 1 + F.col("d")).alias("op_id"), F.lit(-1.0).alias("param")))
+    ops = own.select(F.explode(both).alias("x"), F.array("a", "b", 64 + F.col("k")).alias("qubits")).select("x.*", "qubits")
+    out = ancillas.reused(staged(ops), 64, staged)
+    return out.select("op_id", "param", *flat(out), F.element_at("qubits", 3).alias("q2"))
+
+
+# circuits in compact form: an order is a block of gates, a customer one of orders, one of 25 groups one of customers, and a root holds the groups
+def blocks(spark, sf_dir) -> DataFrame:
+    """The grammar of the orders: some ten thousand gates stand for more than 10^12."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    name = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+
+    def part(block, at, times, ports, child=None, code=None, scale=0.0, shift=0.0):
+        cells = {"block": block, "at": at, "child": child, "type": code, "times": times, "ports": ports, "scale": scale, "shift": shift}
+        kinds = {"block": "string", "at": "bigint", "child": "string", "type": "smallint", "times": "bigint", "ports": "array<bigint>", "scale": "double", "shift": "double"}
+        return F.struct(*[(v if hasattr(v, "cast") else F.lit(v)).cast(kinds[n]).alias(n) for n, v in cells.items()])
+
+    k, c, n = F.col("k"), F.col("c"), F.col("n")
+    o = name("o", "k")
+    gates_ = [part(o, 0, 1 + k % 3, F.array(F.lit(0)), code=H, shift=1.0), part(o, 1, 1, F.array(F.lit(0), F.lit(1)), code=CX, shift=1.0), part(o, 2, 1 + k % 2, F.array(F.lit(1)), code=4, scale=1.0),
+              part(o, 3, k % 4, F.array(k % 2), code=T)]
+    held = part(name("c", "c"), k, 1 + k % 1000, F.array(k % 8, (k % 8 + 1 + k % 7) % 8), o, scale=0.5, shift=(k % 16) / 8)
+    orders = rows.select(F.explode(F.array(*gates_, held)).alias("x")).select("x.*")
+    customers = rows.select("c", (c % 25).alias("n")).distinct()
+    groups = customers.select(part(name("n", "n"), c, 1 + c % 1000, F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (c * 5 + i) % 64), name("c", "c"), scale=1.0, shift=(c % 4) / 4).alias("x")).select("x.*")
+    roots = customers.select("n").distinct().select(part(F.lit("root"), n, 1000, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i + n) % 64), name("n", "n"), scale=1.0).alias("x")).select("x.*")
+    return orders.unionByName(groups).unionByName(roots)
+
+
+def written_blocks(spark, sf_dir) -> DataFrame:
+    return once(spark, "blocks", sf_dir, lambda: blocks(spark, sf_dir))
+
+
+_BLOCKS = """WITH od AS (SELECT o_orderkey AS k, o_custkey AS c, o_custkey % 25 AS n, 3 + o_orderkey % 3 + o_orderkey % 2 + o_orderkey % 4 AS g, o_orderkey % 4 AS t FROM orders), cu AS (SELECT DISTINCT c, n FROM od), gr AS (SELECT DISTINCT n FROM cu)"""
+
+
+@query("block_totals", _BLOCKS + """, ct AS (SELECT c, sum((1 + k % 1000) * g) AS g, sum((1 + k % 1000) * t) AS t FROM od GROUP BY c), nt AS (SELECT n, sum((1 + c % 1000) * g) AS g, sum((1 + c % 1000) * t) AS t FROM ct JOIN cu USING (c) GROUP BY n),
+cq AS (SELECT DISTINCT c, unnest([k % 8, (k % 8 + 1 + k % 7) % 8]) AS q FROM od), nq AS (SELECT DISTINCT n, (c * 5 + q) % 64 AS q FROM cq JOIN cu USING (c)),
+al AS (SELECT 'o' || k AS block, g, t, 2 AS w FROM od UNION ALL SELECT 'c' || c, g, t, w FROM ct JOIN (SELECT c, count(*) AS w FROM cq GROUP BY c) USING (c) UNION ALL SELECT 'n' || n, g, t, w FROM nt JOIN (SELECT n, count(*) AS w FROM nq GROUP BY n) USING (n)
+UNION ALL SELECT 'root', 1000 * sum(g), 1000 * sum(t), (SELECT count(DISTINCT (q + n) % 64) FROM nq) FROM nt)
+SELECT block, CAST(g AS BIGINT) AS gates, CAST(t AS BIGINT) AS t_count, CAST(w AS BIGINT) AS width FROM al""")
+def block_totals(spark, sf_dir):
+    """Gates, T gates and qubits of every block, by multiplying along the blocks."""
+    rules = written_blocks(spark, sf_dir)
+    found = grammar.totals(rules, staged).groupBy("block").agg(F.sum("n").cast("bigint").alias("gates"), F.coalesce(F.sum(F.when(F.col("type") == T, F.col("n"))), F.lit(0)).cast("bigint").alias("t_count"))
+    return found.join(grammar.touched(rules, staged).groupBy("block").agg(F.count(F.lit(1)).alias("width")), "block")
+
+
+_FROM, _TO = 10**11, 10**11 + 20_000
+_OPEN = "SELECT {keys}, base + start + unnest(range(greatest(0, ({f} - base - start) // size), least(times, ({t} - 1 - base - start) // size + 1))) * size AS base FROM {src} WHERE base + start < {t} AND base + start + times * size > {f}"
+
+
+def _open(keys: str, src: str) -> str:
+    return _OPEN.format(keys=keys, src=src, f=f"CAST({_FROM} AS BIGINT)", t=f"CAST({_TO} AS BIGINT)")
+
+
+query("block_range", _BLOCKS + f""", cp AS (SELECT c, k, g AS size, 1 + k % 1000 AS times, CAST(sum((1 + k % 1000) * g) OVER (PARTITION BY c ORDER BY k) - (1 + k % 1000) * g AS BIGINT) AS start FROM od),
+ct AS (SELECT c, CAST(sum(times * size) AS BIGINT) AS g FROM cp GROUP BY c), np AS (SELECT n, c, g AS size, 1 + c % 1000 AS times, CAST(sum((1 + c % 1000) * g) OVER (PARTITION BY n ORDER BY c) - (1 + c % 1000) * g AS BIGINT) AS start FROM ct JOIN cu USING (c)),
+nt AS (SELECT n, CAST(sum(times * size) AS BIGINT) AS g FROM np GROUP BY n), rp AS (SELECT n, g AS size, CAST(1000 AS BIGINT) AS times, CAST(sum(1000 * g) OVER (ORDER BY n) - 1000 * g AS BIGINT) AS start, CAST(0 AS BIGINT) AS base FROM nt),
+r1 AS ({_open("n", "rp")}), r2 AS ({_open("n, c", "r1 JOIN np USING (n)")}), r3 AS ({_open("n, c, k", "r2 JOIN cp USING (c)")}),
+op(j, type) AS (VALUES (0, 8), (1, 18), (2, 4), (3, 29)), og AS (SELECT k, j, type, CAST(1 AS BIGINT) AS size, CASE j WHEN 0 THEN 1 + k % 3 WHEN 1 THEN 1 WHEN 2 THEN 1 + k % 2 ELSE k % 4 END AS times, CASE j WHEN 0 THEN 0 WHEN 1 THEN 1 + k % 3 WHEN 2 THEN 2 + k % 3 ELSE 3 + k % 3 + k % 2 END AS start FROM od, op),
+r4 AS ({_open("n, c, k, j, type", "r3 JOIN og USING (k)")}),
+qs AS (SELECT *, [((c * 5 + k % 8) % 64 + n) % 64, ((c * 5 + (k % 8 + 1 + k % 7) % 8) % 64 + n) % 64] AS q FROM r4)
+SELECT base AS place, CAST(type AS BIGINT) AS type, CASE WHEN type IN (8, 18) THEN 1.0 WHEN type = 4 THEN 0.5 * (c % 4) / 4 + (k % 16) / 8 ELSE 0.0 END::DOUBLE AS param, CASE j WHEN 2 THEN q[2] WHEN 3 THEN q[1 + k % 2] ELSE q[1] END AS q0, CASE WHEN j = 1 THEN q[2] END AS q1 FROM qs""")(
+    lambda s, d: (o := grammar.expanded(written_blocks(s, d), "root", _FROM, _TO, staged)).select(F.col("place").cast("bigint").alias("place"), *big("type"), *real("param"), *flat(o)))
+
+
+# modular adders
+_ADDERS = """WITH ad AS (SELECT o_orderkey AS k, {bits} AS bits, 1 + o_orderkey * 1000003 % (CAST(1 AS BIGINT) << least({bits} - 1, 62)) AS modulus, o_orderkey % 4 AS m FROM orders),
+av AS (SELECT *, (o_custkey * 7919 - 5000000) AS given FROM ad JOIN (SELECT o_orderkey AS k, o_custkey FROM orders) USING (k)), am AS (SELECT *, (given % modulus + modulus) % modulus AS value FROM av)"""
+
+
+def adders(spark, sf_dir, bits) -> DataFrame:
+    """A modular adder for every order, with none to three controls; a row becomes some thousand gates, so the rows are dealt to all cores first."""
+    k = F.col("k")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") * 7919 - 5000000).alias("value")).repartition(spark.sparkContext.defaultParallelism, "k").withColumn("bits", bits(k))
+    power = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.col("bits") - 1, F.lit(62)).cast("int"))
+    none = F.expr("cast(array() as array<boolean>)")
+    controls = F.when(k % 4 == 0, none).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 4 - 1), lambda i: (k + i) % 3 != 0))
+    return modular.modular_adders(rows.withColumn("modulus", 1 + k * 1000003 % power).withColumn("controls", F.when(k % 4 >= 1, controls).otherwise(none)))
+
+
+@query("modular_adders", _ADDERS.format(bits="2 + o_orderkey % 63") + """, pc AS (SELECT *, bit_count(modulus) AS pm, bit_count(value) AS pv, len(list_filter(range(m), lambda i: (k + i) % 3 = 0)) AS hollow FROM am)
+SELECT k, CAST(bits AS BIGINT) AS bits, CAST(4 * bits + greatest(2 * m - 1, 0) AS BIGINT) AS n_qubits, CAST(2 * pm + 2 + 2 * hollow + CASE WHEN m = 0 THEN 2 * pv ELSE 0 END AS BIGINT) AS x_count,
+CAST(5 * (6 * bits - 9) + 2 * pm + 2 + CASE WHEN m > 0 THEN 2 * pv ELSE 0 END AS BIGINT) AS cx_count, CAST(5 * (bits - 1) + greatest(m - 1, 0) AS BIGINT) AS and_count, CAST(5 * (bits - 1) + greatest(m - 1, 0) AS BIGINT) AS undone_count FROM pc""")
+def modular_adders(spark, sf_dir):
+    """Gates by kind of modular adders of 2 to 64 bits, counted from the circuits."""
+    count = lambda p, name: F.size(F.filter("gates", p)).cast("bigint").alias(name)
+    is_and = lambda g: g["type"] == modular.AND
+    return adders(spark, sf_dir, lambda k: 2 + k % 63).select(
+        "k", *big("bits", "n_qubits"), count(lambda g: g["type"] == 9, "x_count"), count(lambda g: g["type"] == CX, "cx_count"), count(lambda g: is_and(g) & (g["param"] > 0), "and_count"), count(lambda g: is_and(g) & (g["param"] < 0), "undone_count"))
+
+
+@query("modular_adder_sums", _ADDERS.format(bits="2 + o_orderkey % 12") + """, st AS (SELECT *, k * 31 % modulus AS before FROM am)
+SELECT k, CAST(before AS BIGINT) AS before, CAST(CASE WHEN k % 5 > 0 OR m = 0 THEN (before + value) % modulus ELSE before END AS BIGINT) AS after, true AS others_kept FROM st""")
+def modular_adder_sums(spark, sf_dir):
+    """The circuits applied to a register and controls (in every fifth adder the first control is wrong): what the register holds then, and that all other qubits are as before."""
+    k = F.col("k")
+    rows = adders(spark, sf_dir, lambda k: 2 + k % 12).withColumn("m", F.size("controls").cast("bigint")).withColumn("before", k * 31 % F.col("modulus"))
+    wanted = F.transform("controls", lambda on, i: F.call_function("shiftleft", (on != ((i == 0) & (k % 5 == 0))).cast("bigint"), i))
+    held = F.aggregate(wanted, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    state = rows.withColumn("held", held).withColumn("state", modular.applied(F.col("gates"), F.col("held") + modular.with_register(F.col("before"), F.col("bits"), F.col("m"))))
+    register = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits").cast("int")) - 1, F.col("m").cast("int"))
+    digits = F.call_function("shiftright", F.col("state").bitwiseAND(register), F.col("m").cast("int"))
+    after = F.conv(F.reverse(F.lpad(F.bin(digits), F.col("bits").cast("int"), F.lit("0"))), 2, 10).cast("bigint")
+    return state.select("k", "before", after.alias("after"), ((F.col("state") - F.col("state").bitwiseAND(register)) == F.col("held")).alias("others_kept"))
+
+
 # streaming
 def event_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/event[s].parquet")
