@@ -1,4 +1,4 @@
-"""Ancillas used again, circuits in compact form, modular adders."""
+"""Ancillas used again, circuits in compact form, modular adders, statistics of a stream."""
 
 import itertools
 import random
@@ -130,3 +130,24 @@ def test_modular_adder_of_odd_rows(spark):
     for bad in ((1, 0, 1, None), (65, 0, 1, None), (3, 0, 5, None), (3, 0, 0, None)):
         with pytest.raises(Exception, match="no modular adder"):
             make(*bad).collect()
+
+
+def test_series_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    """Five files, one a batch, with late rows; stopped after two files and gone on with; a null time counts nowhere."""
+    from wireflow.streaming import live
+
+    schema = "type short, param float, at timestamp_ntz"
+    rows = spark.range(200).select(F.element_at(F.array(*[F.lit(c) for c in (8, 29, 30, 14, 18)]), (F.col("id") % 5 + 1).cast("int")).cast("short").alias("type"), F.lit(1.0).cast("float").alias("param"),
+                                   F.when(F.col("id") != 7, F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id * 37 % 90 as int))")).alias("at"), "id")
+    whole = q.staged(rows)
+    want = sorted(map(tuple, live.counted(whole, "at", "1 day").where("step is not null").collect()))
+    for f in range(5):
+        whole.where(F.col("id") % 5 == f).select("type", "param", "at").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if f in (1, 4):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            got = live.run_series(stream, "at", "1 day", f"{tmp_path}/run")
+            if f == 1:
+                assert got.agg(F.sum("n_gates")).first()[0] == 80
+    assert sorted(map(tuple, got.collect())) == want and sum(x[1] for x in want) == 199
+    ratio = sorted(map(tuple, live.normalised(got).collect()))
+    assert ratio == [(x[0], *[0.0 if b == 0 else a / b for a, b in zip(x[1:], want[0][1:])]) for x in want]

@@ -24,6 +24,30 @@ def test_generators(spark):
     assert bv == [(8, 1.0, [0]), (8, 1.0, [1]), (8, 1.0, [2]), (9, 0.0, [3]), (8, 1.0, [3]), (18, 1.0, [0, 3]), (18, 1.0, [2, 3]), (8, 1.0, [0]), (8, 1.0, [1]), (8, 1.0, [2])]
 
 
+def test_text_lines_are_numbered_alike_however_they_are_read(spark, tmp_path):
+    """One file, forty files, and splits of 64 bytes: the same numbers, operations and linked table; an empty folder's file has none."""
+    lines = [f'QGate["not"]({i % 5}) with controls=[{["", "+7", "-8", "+7, -9"][i % 4]}] with nocontrol' if i % 6 else f"Inputs: {i}" for i in range(120)]
+    one, many = tmp_path / "one", tmp_path / "many"
+    one.mkdir(), many.mkdir()
+    (one / "a.txt").write_text("\n".join(lines) + "\n")
+    for f in range(40):
+        (many / f"{f:03}.txt").write_text("\n".join(lines[3 * f:3 * f + 3]) + "\n")
+    found = []
+    for path, split in ((one, None), (many, None), (one, "64"), (many, "64")):
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            read = q.staged(adder_text.read(spark, str(path)))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [(r.line, r.value) for r in read.orderBy("line").collect()] == list(enumerate(lines))
+        found.append(sorted(map(repr, linked(q.staged(adder_text.operations(read)), q.staged).collect())))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) > 300
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.txt").write_text("")
+    assert adder_text.operations(adder_text.read(spark, str(tmp_path / "none"))).isEmpty()
+
+
 def test_text_circuit(spark, tmp_path):
     (tmp_path / "a.txt").write_text('Inputs: 0:Qbit\nQGate["not"](5) with controls=[+7]\nQInit0(16) with nocontrol\nQGate["not"](16) with controls=[+7, -15] with nocontrol\nQGate["not"](2)\n')
     rows = decompose.lowered_controls(adder_text.parse(adder_text.read(spark, str(tmp_path)))).orderBy("line", "sub").collect()

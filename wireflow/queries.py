@@ -13,7 +13,7 @@ from wireflow.operators import linked as linked_ops
 from wireflow.operators import wire_rewrites as rewrites
 from wireflow.plans.build import linked, numbered, qubits, relinked, wires
 from wireflow.plans.running import global_rank, running_sum
-from wireflow.plans.staging import once, staged
+from wireflow.plans.staging import new_path, once, staged
 from wireflow.schema import CCX, CX, GATES, H, T, T_DAG
 from wireflow.sources import adder_text, files, generators, modular
 from wireflow.sources.orders import circuit, events_circuit, table, triples
@@ -552,6 +552,25 @@ def base_gates(spark, sf_dir) -> DataFrame:
     return flat_.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("at", "type", "q0", "q1"))).alias("g")).select("line", F.posexplode("g").alias("sub", "x")).select("line", F.col("sub").cast("bigint").alias("sub"), "x.type", "x.q0", "x.q1")
 
 
+_ADDER_GATES = _DEC_SQL + """, ops AS (SELECT row_number() OVER (ORDER BY line, pos, j) - 1 AS op_id, CAST(type AS BIGINT) AS type, CASE WHEN type IN (8, 18) THEN 1.0 ELSE 0.0 END::DOUBLE AS param, q[1] AS q0, q[2] AS q1, NULL AS label FROM
+(SELECT line, pos, j, type, q FROM base)), wires AS (SELECT op_id, 0 AS port, q0 AS qubit, type, param FROM ops UNION ALL SELECT op_id, 1, q1, type, param FROM ops WHERE q1 IS NOT NULL)""" + GATE.removeprefix(OPS)
+
+
+def adder_gates(spark, sf_dir) -> DataFrame:
+    """The linked table of the adder lines, written as text in seven files and read again; computed once for a folder."""
+    def make() -> DataFrame:
+        at = new_path(spark, "adder-text")
+        adder_lines(spark, sf_dir).repartitionByRange(7, "line").sortWithinPartitions("line").select("value").write.text(at)
+        return linked(staged(adder_text.operations(adder_text.read(spark, at))), staged)
+
+    return once(spark, "adder-gates", sf_dir, make)
+
+
+query("adder_circuit", _ADDER_GATES + " SELECT id, prev_q1, prev_q2, type, param, next_q1, next_q2 FROM gates")(lambda s, d: adder_gates(s, d).select(*big("id", "prev_q1", "prev_q2", "type"), *real("param"), *big("next_q1", "next_q2")))
+query("adder_stats", _ADDER_GATES + " SELECT count(*) FILTER (WHERE type > 1) AS n_gates, count(*) FILTER (WHERE type IN (29, 30)) AS t_count, count(*) FILTER (WHERE type = 18) AS cx_count, count(*) FILTER (WHERE type = 0) AS width FROM gates")(
+    lambda s, d: adder_gates(s, d).agg(*[F.count_if(c).alias(n) for n, c in (("n_gates", F.col("type") > 1), ("t_count", gates.is_t_like()), ("cx_count", F.col("type") == CX), ("width", F.col("type") == 0))]))
+
+
 #: A user's relation beside the library's: an "And" is a Toffoli with its target between H's, so it takes two rounds to come down to it.
 _AND = {22: (("H", "c"), ("CCX", "abc"), ("H", "c")), 31: decompose.SWAP, 24: (("CX", "cb"), ("CCX", "abc"), ("CX", "cb")), 23: decompose.TOFFOLI}
 _AND_CODES = decompose.AS_TYPES | {"CCX": (CCX, 1.0)}
@@ -775,3 +794,25 @@ def stream_gates(spark, sf_dir):
     from wireflow.streaming.builder import run_builder
 
     return run_builder(event_ops(event_stream(spark, sf_dir))).select(*big("id", "prev_q1", "type", "next_q1"))
+
+
+_DAYS = EVENTS.replace("SELECT event_id AS op_id,", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id AS op_id,") + """, dy AS (SELECT day, count(*) AS n_gates, count(*) FILTER (WHERE type = 8) AS h_count, count(*) FILTER (WHERE type IN (29, 30)) AS t_count, count(*) FILTER (WHERE type = 14) AS measured FROM ev GROUP BY day)"""
+
+
+def daily(spark, sf_dir) -> DataFrame:
+    """Counts of the events' operations by day, aggregated while they stream in."""
+    from wireflow.sources.orders import event_ops
+    from wireflow.streaming import live
+
+    return live.run_series(event_ops(event_stream(spark, sf_dir), "ts"), "ts", "1 day")
+
+
+query("stream_series", _DAYS + " SELECT * FROM dy")(lambda s, d: daily(s, d).withColumn("day", F.col("step").cast("date").cast("string")).drop("step"))
+
+
+@query("stream_normalised", _DAYS + ", fd AS (SELECT * FROM dy ORDER BY day LIMIT 1) SELECT dy.day, " + ", ".join(f"CASE WHEN fd.{c} = 0 THEN 0.0 ELSE dy.{c} / fd.{c} END AS {c}" for c in ("n_gates", "h_count", "t_count", "measured")) + " FROM dy, fd")
+def stream_normalised(spark, sf_dir):
+    """The daily counts, each divided by the first day's."""
+    from wireflow.streaming import live
+
+    return live.normalised(daily(spark, sf_dir)).withColumn("day", F.col("step").cast("date").cast("string")).drop("step")

@@ -41,13 +41,13 @@ def events_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_ops(table(spark, sf_dir, "events"))
 
 
-def event_ops(events: DataFrame) -> DataFrame:
-    """ops(op_id, type, param, qubits, meas_key): one single-qubit operation per event; errors are measurements."""
+def event_ops(events: DataFrame, *kept: str) -> DataFrame:
+    """ops(op_id, type, param, qubits, meas_key, columns that are kept): one single-qubit operation per event; errors are measurements."""
     kind = F.col("event_type")
     code = F.when(kind == "view", H).when(kind == "click", T).when(kind == "purchase", T_DAG).when(kind == "signup", S).otherwise(M).cast("short")
     return events.select(
         F.col("event_id").alias("op_id"), code.alias("type"), F.when(code == H, 1.0).otherwise(0.0).cast("float").alias("param"),
-        F.array(F.col("user_id") % QUBITS).alias("qubits"), F.when(code == M, F.concat(F.lit("m_"), (F.col("user_id") % 1000).cast("string"))).alias("meas_key"))
+        F.array(F.col("user_id") % QUBITS).alias("qubits"), F.when(code == M, F.concat(F.lit("m_"), (F.col("user_id") % 1000).cast("string"))).alias("meas_key"), *kept)
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
