@@ -1,4 +1,4 @@
-"""Ancillas used again, circuits in compact form, modular adders, statistics of a stream."""
+"""Ancillas used again, circuits in compact form, modular adders, statistics of a stream, validation."""
 
 import itertools
 import random
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wireflow import queries as q
-from wireflow.operators import ancillas, grammar
+from wireflow.operators import ancillas, gates, grammar, layers
 from wireflow.sources import modular
 
 LIFE = "id long, first long, last long"
@@ -151,3 +151,25 @@ def test_series_of_a_stream_are_those_of_the_table(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want and sum(x[1] for x in want) == 199
     ratio = sorted(map(tuple, live.normalised(got).collect()))
     assert ratio == [(x[0], *[0.0 if b == 0 else a / b for a, b in zip(x[1:], want[0][1:])]) for x in want]
+
+
+def test_layer_rows_are_validated(spark):
+    make = lambda *rows: layers.moments_of_rows(spark.createDataFrame(rows, "id long, control_q long, target_q long, type long, param double, layer long").withColumn("op_id", F.lit("x")))
+    got = make((1, 0, 1, 18, 1.0, 1), (2, 2, None, 8, 1.0, 1), (3, None, None, 12, 0.0, 1), (4, 0, None, 29, 0.0, 2)).orderBy("layer").collect()
+    assert [(r.layer, [(o.op_id, o.type, o.qubits) for o in r.ops]) for r in got] == [(1, [(1, 18, [0, 1]), (2, 8, [2])]), (2, [(4, 29, [0])])]
+    for bad, text in (((1, None, 1, 18, 1.0, 1), "without a control: gate 1"), ((1, 0, None, 77, 1.0, 1), "no such type: gate 1"), ((1, 0, None, None, 1.0, 1), "no such type"), ((1, 0, None, 8, 1.0, None), "no layer")):
+        with pytest.raises(Exception, match=text):
+            make(bad).collect()
+    with pytest.raises(Exception, match="share a qubit in layer 3"):
+        make((1, 0, 1, 18, 1.0, 3), (2, 1, None, 8, 1.0, 3)).collect()
+
+
+def test_gate_sets(spark):
+    rows = spark.range(50).select("id", F.when(F.col("id") % 3 == 0, 8).when(F.col("id") != 49, 29).cast("short").alias("type"))
+    assert gates.require(rows.where("id < 49"), (8, 29)).count() == 49
+    with pytest.raises(gates.OutsideGateSet) as e:
+        gates.require(rows, (29,))
+    assert e.value.first == [(i, 8) for i in range(0, 30, 3)]
+    with pytest.raises(gates.OutsideGateSet) as e:
+        gates.require(rows, (8, 29))
+    assert e.value.first == [(49, None)]

@@ -124,3 +124,27 @@ def normalised(series: DataFrame, order: str, *columns: str) -> DataFrame:
     w = W.orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     first = {c: F.first(c).over(w) for c in columns}
     return series.select(order, *[F.when(first[c] == 0, 0.0).otherwise(F.col(c) / first[c]).alias(c) for c in columns])
+
+
+class OutsideGateSet(ValueError):
+    """A circuit has gates that are not in the set; ``first`` are the first of them as (id, type)."""
+
+    def __init__(self, first: list[tuple]):
+        super().__init__(f"gates outside the set: {first}")
+        self.first = first
+
+
+def unsupported(rows: DataFrame, gate_set: tuple[int, ...], key: str = "id", most: int = 10) -> DataFrame:
+    """(key, type): the first gates that are not in the set, in the order of the key; a null type is in no set.
+
+    Spark keeps the first of each partition only, so the report costs one pass, however many there are."""
+    allowed = F.broadcast(rows.sparkSession.createDataFrame([(c,) for c in sorted(gate_set)], "type short"))  # types are two digits: a hundred rows at most
+    return rows.select(key, F.col("type").cast("short").alias("type")).join(allowed, "type", "left_anti").select(key, "type").orderBy(key).limit(most)
+
+
+def require(rows: DataFrame, gate_set: tuple[int, ...], key: str = "id") -> DataFrame:
+    """The rows themselves if all are of the set, else an error with the first ten that are not."""
+    first = [tuple(r) for r in unsupported(rows, gate_set, key).collect()]
+    if first:
+        raise OutsideGateSet(first)
+    return rows

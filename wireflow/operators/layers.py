@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wireflow.plans.staging import ship_code
-from wireflow.schema import CCX, T, T_DAG, ZPOW
+from wireflow.schema import CCX, GATES, T, T_DAG, ZPOW
 
 #: Qubits up to which a chunk's longest paths are a matrix over all qubits, and operations of a chunk beyond; both bound a task's memory.
 DENSE_QUBITS, SMALL_CHUNK, CHUNKS = 2048, 1 << 10, (1 << 14, 1 << 20)
@@ -101,6 +101,21 @@ def moments(placed: DataFrame) -> DataFrame:
     return placed.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("op_id", "type", "qubits"))).alias("ops"))
 
 
+def moments_of_rows(rows: DataFrame) -> DataFrame:
+    """(layer, ops) of layer rows (id, control_q, target_q, type, param, layer), validated where they are read.
+
+    A row without qubits is left out. A target without a control, a type that is not in the dictionary (null included),
+    a null layer and a qubit that two operations of a layer share are errors that name the gate or the layer."""
+    wrong = lambda text, *cells: F.raise_error(F.concat(F.lit(text), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cells]))
+    control, target = F.col("control_q"), F.col("target_q")
+    known = F.coalesce(F.col("type").isin(*[g[0] for g in GATES]), F.lit(False))
+    qubits = (F.when(control.isNull() & target.isNotNull(), wrong("a target without a control: gate ", F.col("id"))).when(~known, wrong("no such type: gate ", F.col("id")))
+              .when(F.col("layer").isNull(), wrong("no layer: gate ", F.col("id"))).otherwise(F.array_compact(F.array(control, target))))
+    grouped = moments(rows.select(F.col("id").alias("op_id"), "type", "layer", qubits.alias("qubits")).where(F.size("qubits") > 0))
+    used = F.flatten("ops.qubits")
+    return grouped.select("layer", F.when(F.size(F.array_distinct(used)) < F.size(used), wrong("operations share a qubit in layer ", F.col("layer"))).otherwise(F.col("ops")).alias("ops"))
+
+
 def approximate_t_depth(placed: DataFrame, precision: float) -> DataFrame:
     """The sum over layers of the greatest T cost: 1 for T, 7 for CCX, the cost model's for other rotations."""
     rotation = floor(T_SLOPE * log2(1 / precision) + T_OFFSET)

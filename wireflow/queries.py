@@ -109,6 +109,7 @@ query("arity_by_links", GATE + " SELECT CASE WHEN next_q2 IS NOT NULL THEN 2 WHE
     lambda s, d: stored(s, d).groupBy(F.when(F.col("next_q3").isNotNull(), 3).when(F.col("next_q2").isNotNull(), 2).when(F.col("next_q1").isNotNull(), 1).otherwise(0).alias("arity")).agg(F.count(F.lit(1)).alias("n")))
 query("unsupported_gates", GATE + " SELECT type, count(*) AS n FROM gates WHERE type NOT IN (0, 1, 8, 29, 30) GROUP BY type")(
     lambda s, d: stored(s, d).join(F.broadcast(s.createDataFrame([(c,) for c in (0, 1, H, T, T_DAG)], "type short")), "type", "left_anti").groupBy(*big("type")).agg(F.count(F.lit(1)).alias("n")))
+query("unsupported_first", GATE + " SELECT id, type FROM gates WHERE type NOT IN (0, 1, 8, 29, 30) ORDER BY id LIMIT 10")(lambda s, d: gates.unsupported(stored(s, d), (0, 1, H, T, T_DAG)).select("id", *big("type")))
 _IO = " ".join(f"CASE WHEN {c}_q{p} % 100 NOT IN (0, 1) THEN {c}_q{p} // 1000 END AS {c}_{p}," for c in ("prev", "next") for p in (1, 2))
 query("strip_io", GATE + f" SELECT {_IO} id FROM gates WHERE type NOT IN (0, 1)")(lambda s, d: gates.without_io(stored(s, d)))
 query("count_non_io", GATE + " SELECT label, count(*) AS n FROM gates WHERE type NOT IN (0, 1) GROUP BY ROLLUP (label)")(
@@ -310,6 +311,9 @@ query("layered", _LAY + _LAYER_ROWS)(lambda s, d: layers.layer_rows(placed(s, d)
 query("layered_order", _LAY + _LAYER_ROWS + " ORDER BY layer, id")(lambda s, d: layers.layer_rows(placed(s, d)).orderBy("layer", "id"))
 query("layers_to_moments", _LAY + " SELECT layer, string_agg(op_id || ':' || type || ':' || q0 || coalesce('-' || q1, ''), ',' ORDER BY op_id) AS ops FROM ly GROUP BY layer")(
     lambda s, d: layers.moments(placed(s, d)).select("layer", F.array_join(F.transform("ops", lambda o: F.concat_ws(":", o["op_id"], o["type"], F.array_join(o["qubits"].cast("array<string>"), "-"))), ",").alias("ops")))
+query("layer_rows_to_moments", _LAY + " SELECT layer, string_agg(op_id || ':' || type || ':' || q0 || coalesce('-' || q1, ''), ',' ORDER BY op_id) AS ops FROM ly WHERE op_id % 11 <> 0 GROUP BY layer")(
+    lambda s, d: layers.moments_of_rows(layers.layer_rows(placed(s, d)).select("id", *[F.when(F.col("id") % 11 != 0, F.col(c)).alias(c) for c in ("control_q", "target_q")], "type", "param", "layer"))
+    .select("layer", F.array_join(F.transform("ops", lambda o: F.concat_ws(":", o["op_id"], o["type"], F.array_join(o["qubits"].cast("array<string>"), "-"))), ",").alias("ops")))
 query("layer_sizes", _LAY + " SELECT layer, count(*) AS n FROM ly GROUP BY layer")(lambda s, d: placed(s, d).groupBy("layer").agg(F.count(F.lit(1)).alias("n")))
 query("circuit_width", _LAY + " SELECT max(layer) AS depth, max(greatest(q0, coalesce(q1, q0))) AS width FROM ly")(lambda s, d: placed(s, d).agg(F.max("layer").alias("depth"), F.max(F.array_max("qubits")).alias("width")))
 query("approx_t_depth", _LAY + ", c AS (SELECT layer, max(CASE WHEN type IN (29, 30) THEN 1 ELSE 0 END) AS cost FROM ly GROUP BY layer) SELECT CAST(sum(cost) AS BIGINT) AS t_depth FROM c")(lambda s, d: layers.approximate_t_depth(placed(s, d), 1e-10))
