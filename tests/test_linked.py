@@ -57,6 +57,36 @@ def test_rewritten_tables(spark):
     assert same(unitary([(23, 1, [0, 1, 2]), (8, 1, [1]), (23, 1, [2, 1, 0])], 3), unitary(in_time(q.staged(decompose.toffolis_in_place(three, q.staged))), 3))
 
 
+def shuffled(table, by: int):
+    """The same circuit with ids that say nothing about the order of time: multiplied modulo a prime."""
+    turn = lambda c: ((ln.link_id(c) * by % 10007) * 1000 + F.col(c) % 1000).alias(c)
+    return q.staged(table.select(*[(F.col("id") * by % 10007).alias(c) if c == "id" else turn(c) if c in engine.SIDES else F.col(c) for c in table.columns]))
+
+
+def test_blocks_of_ids(spark):
+    """Ids in any order give the circuit; where neighbours have near ids, long wires take no more tables than short ones and blocks are the chunks."""
+    ops = random_ops(4, qubits=4, n=60)
+    table = q.staged(linked(ops_frame(spark, ops)))
+    names = {x: n for n, x in enumerate(dict.fromkeys(x for _, _, qs in ops for x in qs))}
+    want = unitary([(c, p, [names[x] for x in qs]) for c, p, qs in ops], 4)
+    mixed = shuffled(table, 3571)
+    assert ln._block_order(mixed, 8) is None
+    order = {r.wire: n for n, r in enumerate(sorted(mixed.where("type = 0").select((F.col("id")).alias("wire")).collect()))}
+    first = [r.id for r in table.where("type = 0").orderBy("id").collect()]
+    places = [order[g * 3571 % 10007] for g in first]
+    assert same(unitary([(c, p, [places[names[x]] for x in qs]) for c, p, qs in ops], 4), unitary(in_time(mixed, 8), 4))
+    assert same(want, unitary(in_time(table, 8), 4)) and ln._block_order(table, 8) is not None
+    made = []
+
+    def counted(df):
+        made.append(1)
+        return q.staged(df)
+
+    wire = q.staged(linked(ops_frame(spark, [(8, 1, [0]) for _ in range(600)])))
+    assert sorted(r.at for r in ln.wire_places(q.staged(ln.renumbered(wire)), counted).collect()) == list(range(1, 602))
+    assert len(made) <= 4
+
+
 def test_circles_and_missing_gates(spark):
     link = lambda g, p, t: g * 1000 + p * 100 + t
     table = q.staged(linked(ops_frame(spark, [(18, 1, [0, 1]), (18, 1, [0, 1])])))

@@ -1,21 +1,24 @@
 """From a linked gate table, whatever its ids, back to operations in order of time and to layers.
 
-The links are ranked along the wires by pointer doubling. A gate's largest rank is a first guess
-of when it runs; guesses are cut into chunks of levels, and chunks are raised along the wires
-until no gate is in an earlier chunk than one before it. Then each chunk is put in order apart,
-and the chunks follow each other. A cycle ends up within one chunk, where it is found."""
+The links are ranked along the wires: within blocks of ids apart, from block to block by pointer
+doubling. Blocks of ids that follow each other in time are chunks. Where they do not, a gate's
+largest rank is a first guess of when it runs; guesses are cut into chunks of levels, and chunks
+are raised along the wires until no gate is in an earlier chunk than one before it. Then each chunk
+is put in order apart, and the chunks follow each other. A cycle ends up within one chunk, where it is found."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from graphlib import CycleError, TopologicalSorter
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wireflow.functions.codec import link_id, link_port
+from wireflow.functions.codec import link_id, link_port, link_type
 from wireflow.operators.layers import layered
 from wireflow.plans.running import global_rank, running_max
 from wireflow.plans.staging import ship_code, unstage
@@ -23,6 +26,8 @@ from wireflow.schema import IN, OUT
 
 #: About so many gates are put in order by one task.
 GATES = 1 << 16
+#: Blocks of ids are put in order by their pairs if there are no more pairs than these.
+PAIRS = 1 << 20
 
 
 class NotInOrder(ValueError):
@@ -33,31 +38,76 @@ class MissingGate(ValueError):
     """A link leads to no gate of the table."""
 
 
-def wire_places(gates: DataFrame, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, port, wire, at) of every port but those of In gates: the id of the wire's In gate and the number of links from it.
+def _block(column, low: int, width: int):
+    return F.call_function("div", (column - low).cast("bigint"), F.lit(width).cast("bigint"))
+
+
+def blocks(gates: DataFrame, size: int = GATES) -> tuple[int, int]:
+    """(lowest id, width): ranges of ids that hold about ``size`` gates each if the ids are spread evenly."""
+    low, high, n = gates.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
+    return (low, max(1, size * (high - low + 1) // n)) if n else (0, 1)
+
+
+def _within(rows: pd.DataFrame) -> pd.DataFrame:
+    """The ports of a block, each followed back to the first port outside of the block or to an In gate; what runs in a circle leads to itself."""
+    own = rows[rows["port"] >= 0]
+    key = own["id"].to_numpy() * 4 + own["port"].to_numpy()
+    order = np.argsort(key)
+    own, key = own.iloc[order], key[order]
+    goal = own["to"].to_numpy() * 4 + own["to_port"].to_numpy()
+    place = np.minimum(np.searchsorted(key, goal), max(len(key) - 1, 0))
+    inside = key[place] == goal
+    step, at = np.where(inside, place, np.arange(len(key))), inside.astype(np.int64)
+    for _ in range(len(key).bit_length() + 1):
+        at, step = at + at[step], step[step]
+    circle = inside[step]
+    far = np.where(circle, key, goal[step])
+    done = ~circle & np.isin(far // 4, rows.loc[rows["port"] < 0, "id"].to_numpy())
+    return pd.DataFrame({"id": own["id"].to_numpy(), "port": own["port"].to_numpy(), "type": own["type"].to_numpy(), "to": far // 4, "to_port": far % 4, "at": at + 1, "done": done})
+
 
-    Pointer doubling along the links back: a join for every binary digit of the longest wire."""
-    nodes = gates.select("id", F.explode(F.array(*[F.struct(F.lit(p).cast("bigint").alias("port"), F.col(f"prev_q{p + 1}").alias("prev")) for p in range(3)])).alias("x")).select("id", "x.*").where("prev is not null")
-    ends = gates.select(F.col("id").alias("end"), (F.col("type") == IN).alias("done"))
-    met = nodes.select("id", "port", link_id("prev").alias("to"), link_port("prev").alias("to_port"), F.lit(1).cast("bigint").alias("at")).join(ends, F.col("to") == F.col("end"), "left")
-    now = staged(met.select("id", "port", "to", "to_port", "at", "done"))
-    lost, most = now.agg(F.first(F.when(F.col("done").isNull(), F.struct("id", "to")), True), F.count(F.lit(1))).first()
+def _places(gates: DataFrame, staged: Callable[[DataFrame], DataFrame], size: int = GATES) -> DataFrame:
+    """(id, port, type, wire, at) of every port but those of In gates, see :func:`wire_places`."""
+    ship_code(gates.sparkSession)
+    low, width = blocks(gates, size)
+    ports = [F.struct(F.lit(p).cast("bigint").alias("port"), F.col(f"prev_q{p + 1}").alias("prev")) for p in range(3)]
+    start = F.array(F.struct(F.lit(-1).cast("bigint").alias("port"), F.lit(-1000).cast("bigint").alias("prev")))
+    nodes = gates.select("id", "type", F.explode(F.when(F.col("type") == IN, start).otherwise(F.array(*ports))).alias("x")).where("x.prev is not null").select(
+        _block(F.col("id"), low, width).alias("block"), "id", F.col("type").cast("bigint").alias("type"), "x.port", link_id("x.prev").alias("to"), link_port("x.prev").alias("to_port"))
+    now = staged(nodes.groupBy("block").applyInPandas(_within, "id long, port long, type long, to long, to_port long, at long, done boolean"))
+    ends = gates.select(F.col("id").alias("end"), (F.col("type") == IN).alias("first"))
+    met = staged(now.where("not done").select("to", "to_port").distinct().join(ends, F.col("to") == F.col("end"), "left").select("to", "to_port", "first"))
+    lost = met.where("first is null").first()
     if lost:
-        raise MissingGate(f"gate {lost.id} comes after gate {lost.to}, which is not there")
-    for _ in range(most.bit_length() + 1):
-        if now.where("not done").isEmpty():
-            return now.select("id", "port", F.col("to").alias("wire"), "at")
-        far = now.select(F.col("id").alias("to"), F.col("port").alias("to_port"), F.col("to").alias("far"), F.col("to_port").alias("far_port"), F.col("at").alias("more"), F.col("done").alias("far_done"))
-        # a link to a port without a link back is as far as it goes (its gate is no In gate, so it never gets done)
-        step = staged(now.where("not done").join(far, ["to", "to_port"], "left").select(
-            "id", "port", F.coalesce("far", "to").alias("to"), F.coalesce("far_port", "to_port").alias("to_port"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"), F.coalesce("far_done", F.lit(False)).alias("done")).unionByName(now.where("done")))
-        unstage(now)
-        now = step
+        from_ = now.where((F.col("at") == 1) & (F.col("to") == lost.to)).first()
+        raise MissingGate(f"gate {from_.id} comes after gate {lost.to}, which is not there")
+    own = now.select(F.col("id").alias("to"), F.col("port").alias("to_port"), F.col("to").alias("far"), F.col("to_port").alias("far_port"), F.col("at").alias("more"), "done")
+    # a link to a port without a link back is as far as it goes (its gate is no In gate, so it never gets done)
+    far = staged(met.where("not first").drop("first").join(own, ["to", "to_port"], "left").select("to", "to_port", F.coalesce("far", "to").alias("far"), F.coalesce("far_port", "to_port").alias("far_port"),
+                 F.coalesce("more", F.lit(0)).cast("bigint").alias("more"), F.coalesce("done", F.lit(False)).alias("done")).unionByName(
+        met.where("first").select("to", "to_port", F.col("to").alias("far"), F.col("to_port").alias("far_port"), F.lit(0).cast("bigint").alias("more"), F.lit(True).alias("done"))))
+    unstage(met)
+    for _ in range(far.count().bit_length() + 1):
+        if far.where("not done").isEmpty():
+            return now.join(far.drop("done"), ["to", "to_port"], "left").select("id", "port", "type", F.coalesce("far", "to").alias("wire"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"))
+        on = far.select(F.col("to").alias("far"), F.col("to_port").alias("far_port"), F.col("far").alias("next"), F.col("far_port").alias("next_port"), F.col("more").alias("rest"), F.col("done").alias("next_done"))
+        step = staged(far.where("not done").join(on, ["far", "far_port"]).select("to", "to_port", F.col("next").alias("far"), F.col("next_port").alias("far_port"), (F.col("more") + F.col("rest")).alias("more"), F.col("next_done").alias("done")).unionByName(far.where("done")))
+        unstage(far)
+        far = step
     raise NotInOrder("a wire has no In gate: its gates follow each other in a circle")
 
 
+def wire_places(gates: DataFrame, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, port, wire, at) of every port but those of In gates: the id of the wire's In gate and the number of links from it.
+
+    Links are followed within blocks of ids first, each block apart. The links that leave a block are then followed by
+    pointer doubling, a join for every binary digit of the most blocks on a wire; if ids say nothing at all about the
+    neighbourhood these are nearly all links."""
+    return _places(gates, staged).drop("type")
+
+
 def _in_order(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """(chunk, place, id): gates of a chunk, each after those before it on its wires; of those that are ready the earliest guess first."""
+    """(chunk, place, id, qubits): gates of a chunk, each after those before it on its wires; of those that are ready the earliest guess first."""
     guess = rows.groupby("id")["at"].max().to_dict()
     waits, after = dict.fromkeys(guess, 0), {g: [] for g in guess}
     wire, last = None, None
@@ -78,22 +128,35 @@ def _in_order(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
                 heappush(ready, (guess[h], h))
     if len(out) < len(guess):
         raise NotInOrder(f"gates wait for each other in a circle, among them {min(g for g, n in waits.items() if n)}")
-    return pd.DataFrame({"chunk": key[0], "place": range(len(out)), "id": out})
-
-
-def linked_to_ops(gates: DataFrame, staged: Callable[[DataFrame], DataFrame], size: int = GATES) -> DataFrame:
-    """(op_id, id, type, param, qubits, label, cl_ctrl, meas_key) of a linked table: op_ids are dense from 0 in an order of time.
-
-    Qubits are numbered by their In gates' ids. A missing gate and a circle are errors. A chunk
-    has about ``size`` gates if the gates are spread evenly over the levels of their guesses."""
-    ship_code(gates.sparkSession)
-    places = wire_places(gates, staged)
-    own = staged(places.join(gates.where(~F.col("type").isin(IN, OUT)).select("id"), "id", "left_semi"))
-    wires = staged(global_rank(gates.where(F.col("type") == IN).select(F.col("id").alias("wire")), "wire", name="qubit"))
-    levels = max(1, size // max(1, wires.count()))
+    qubits = {g: [] for g in guess}
+    for g, q in rows.sort_values(["id", "port"])[["id", "qubit"]].itertuples(index=False):
+        qubits[g].append(q)
+    return pd.DataFrame({"chunk": key[0], "place": range(len(out)), "id": out, "qubits": [qubits[g] for g in out]})
+
+
+def _block_order(gates: DataFrame, size: int) -> DataFrame | None:
+    """(block, chunk): blocks of ids in an order in which no link leads to a later one; none if there is no such order, or too many pairs to tell."""
+    low, width = blocks(gates, size)
+    links = gates.where(~F.col("type").isin(IN, OUT)).select("id", F.explode(F.array(*[F.col(f"prev_q{p}") for p in (1, 2, 3)])).alias("prev")).where(link_type("prev") != IN)
+    pairs = links.select(_block(link_id("prev"), low, width).alias("first"), _block(F.col("id"), low, width).alias("then")).where("first <> then").distinct().limit(PAIRS + 1).collect()
+    if len(pairs) > PAIRS:
+        return None
+    named = [r[0] for r in gates.select(_block(F.col("id"), low, width).alias("block")).distinct().limit(PAIRS + 1).collect()]
+    order = TopologicalSorter(dict.fromkeys(named, ()))
+    for first, then in pairs:
+        order.add(then, first)
+    try:
+        found = list(order.static_order())
+    except CycleError:
+        return None
+    return gates.sparkSession.createDataFrame(list(zip(found, range(len(found)), strict=True)), "block long, chunk long") if len(named) <= PAIRS else None
+
+
+def _raised(own: DataFrame, n_wires: int, staged: Callable[[DataFrame], DataFrame], size: int) -> DataFrame:
+    """``own`` with ``chunk`` by the largest places on wires, raised along the wires until no gate is in an earlier chunk than one before it."""
+    levels = max(1, size // max(1, n_wires))
     guess = own.groupBy("id").agg(F.floor(F.max("at") / levels).cast("bigint").alias("chunk"))
     rows = staged(own.join(guess, "id"))
-    unstage(own)
     while True:
         seen = running_max(rows, ["wire"], "at", F.col("chunk"), "seen")
         raised = seen.groupBy("id").agg(F.max("seen").alias("now"))
@@ -101,14 +164,28 @@ def linked_to_ops(gates: DataFrame, staged: Callable[[DataFrame], DataFrame], si
         unstage(rows)
         rows = step.drop("chunk").withColumnRenamed("now", "chunk")
         if step.where("now > chunk").isEmpty():
-            break
-    placed = staged(rows.select("chunk", "id", "wire", "at").groupBy("chunk").applyInPandas(_in_order, "chunk long, place long, id long"))
+            return rows
+
+
+def linked_to_ops(gates: DataFrame, staged: Callable[[DataFrame], DataFrame], size: int = GATES) -> DataFrame:
+    """(op_id, id, type, param, qubits, label, cl_ctrl, meas_key) of a linked table: op_ids are dense from 0 in an order of time.
+
+    Qubits are numbered by their In gates' ids. A missing gate and a circle are errors. Where blocks of ids follow each other
+    in time, in whatever order, they are the chunks. Otherwise chunks come from the places on the wires and
+    have about ``size`` gates if the gates are spread evenly over the levels of their guesses."""
+    own = staged(_places(gates, staged, size).where(~F.col("type").isin(IN, OUT)).drop("type"))
+    wires = staged(global_rank(gates.where(F.col("type") == IN).select(F.col("id").alias("wire")), "wire", name="qubit"))
+    order = _block_order(gates, size)
+    if order is None:
+        rows = _raised(own, wires.count(), staged, size)
+    else:
+        rows = own.withColumn("block", _block(F.col("id"), *blocks(gates, size))).join(F.broadcast(order), "block").drop("block")
+    placed = staged(rows.join(wires, "wire").select("chunk", "id", "port", "wire", "at", "qubit").groupBy("chunk").applyInPandas(_in_order, "chunk long, place long, id long, qubits array<long>"))
+    unstage(own)
     counts = placed.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select(F.col("chunk").alias("c"), (F.sum("n").over(W.orderBy("chunk")) - F.col("n")).alias("start"))
-    order = placed.join(starts, F.col("chunk") == F.col("c")).select("id", (F.col("start") + F.col("place")).alias("op_id"))
-    at = F.array_sort(F.collect_list(F.struct("port", "qubit")))
-    qubits = rows.select("id", "port", "wire").join(wires, "wire").groupBy("id").agg(F.transform(at, lambda x: x["qubit"]).alias("qubits"))
-    return gates.select("id", "type", "param", "label", "cl_ctrl", "meas_key").join(order, "id").join(qubits, "id").select("op_id", "id", "type", "param", "qubits", "label", "cl_ctrl", "meas_key")
+    order = placed.join(F.broadcast(starts), F.col("chunk") == F.col("c")).select("id", (F.col("start") + F.col("place")).alias("op_id"), "qubits")
+    return gates.select("id", "type", "param", "label", "cl_ctrl", "meas_key").join(order, "id").select("op_id", "id", "type", "param", "qubits", "label", "cl_ctrl", "meas_key")
 
 
 def linked_layers(gates: DataFrame, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
