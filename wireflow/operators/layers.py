@@ -15,6 +15,8 @@ from wireflow.schema import CCX, GATES, T, T_DAG, ZPOW
 
 #: Qubits up to which a chunk's longest paths are a matrix over all qubits, and operations of a chunk beyond; both bound a task's memory.
 DENSE_QUBITS, SMALL_CHUNK, CHUNKS = 2048, 1 << 10, (1 << 14, 1 << 20)
+#: Operations of a chunk up to which longer chunks are taken so that fewer paths are joined.
+MOST_JOINED = 1 << 18
 #: Fixed values of the cost model: T gates of a rotation to precision e are 3.02 log2(1/e) + 0.77.
 T_SLOPE, T_OFFSET, CCX_COST = 3.02, 0.77, 7
 
@@ -79,7 +81,8 @@ def layered(ops: DataFrame, staged: Callable[[DataFrame], DataFrame], chunk: int
     rows = ops.select("op_id", "type", F.col("param").cast("double").alias("param"), "qubits")
     if chunk is None:
         n = rows.select(F.explode("qubits").alias("q")).distinct().count()
-        chunk = min(max(CHUNKS[0], n * n // 4), CHUNKS[1]) if n <= DENSE_QUBITS else SMALL_CHUNK
+        # a pair of chunks is joined through up to n^3 paths: about one for each operation, as far as a task's memory allows
+        chunk = min(max(CHUNKS[0], n * n // 4, min(n**3, MOST_JOINED)), CHUNKS[1]) if n <= DENSE_QUBITS else SMALL_CHUNK
     rows = rows.withColumn("chunk", F.floor(F.col("op_id") / chunk).cast("bigint"))
     last = rows.agg(F.max("chunk")).first()[0]
     tree = [staged(rows.groupBy("chunk").applyInPandas(_summary, "chunk long, source long, target long, length long"))]
