@@ -87,6 +87,12 @@ def test_blocks_of_ids(spark):
     assert len(made) <= 4
 
 
+def test_gates_are_dealt_once(spark):
+    """The ports of a gate meet where its chunk is; gates are not shuffled by id."""
+    plan = linked(ops_frame(spark, random_ops(4, qubits=4, n=60)), q.staged)._jdf.queryExecution().toString()
+    assert "hashpartitioning(chunk#" in plan and "hashpartitioning(id#" not in plan
+
+
 def test_circles_and_missing_gates(spark):
     link = lambda g, p, t: g * 1000 + p * 100 + t
     table = q.staged(linked(ops_frame(spark, [(18, 1, [0, 1]), (18, 1, [0, 1])])))

@@ -1,7 +1,9 @@
 """Running sums and neighbours in two levels, so that no task holds a whole long sequence.
 
 A sequence is cut into chunks by its order key; each (group, chunk) is a window partition of
-its own, one row a chunk carries the totals, and only those rows meet in a window by group."""
+its own, one row a chunk carries the totals, and only those rows meet in a window by group.
+With few groups the totals may be ``written``: Spark then knows their size before it plans the
+join and, where they are small, broadcasts them instead of shuffling the rows."""
 
 from __future__ import annotations
 
@@ -14,7 +16,7 @@ from wireflow.plans.staging import staged
 CHUNK = 1 << 16
 
 
-def _chunk(order: str, chunk: int) -> Column:
+def chunk_of(order: str, chunk: int = CHUNK) -> Column:
     return F.call_function("div", F.col(order).cast("bigint"), F.lit(chunk).cast("bigint"))
 
 
@@ -25,24 +27,24 @@ def _same(by: list[str]) -> Column:
     return out
 
 
-def running_sum(df: DataFrame, by: list[str], order: str, value: Column, name: str, chunk: int = CHUNK, ties: str | None = None) -> DataFrame:
+def running_sum(df: DataFrame, by: list[str], order: str, value: Column, name: str, chunk: int = CHUNK, ties: str | None = None, written: bool = False) -> DataFrame:
     """Add ``name``: the sum of ``value`` up to and with each row, in the order of ``order`` (then ``ties``) within ``by``."""
-    cut = df.withColumn("__chunk", _chunk(order, chunk)).withColumn("__v", value)
+    cut = df.withColumn("__chunk", chunk_of(order, chunk)).withColumn("__v", value)
     keys = [F.col(order), *([F.col(ties)] if ties else [])]
     sums = cut.groupBy(*by, "__chunk").agg(F.sum("__v").alias("s"))
     before = sums.withColumn("__start", F.sum("s").over(W.partitionBy(*by).orderBy("__chunk")) - F.col("s")).select(*[F.col(b).alias(f"c_{b}") for b in by], F.col("__chunk").alias("c_chunk"), "__start")
     inside = F.sum("__v").over(W.partitionBy(*by, "__chunk").orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return cut.withColumn("__in", inside).join(before, _same(by)).withColumn(name, F.col("__in") + F.col("__start")).drop("__chunk", "__v", "__in", "c_chunk", "__start", *[f"c_{b}" for b in by])
+    return cut.withColumn("__in", inside).join(staged(before, "totals") if written else before, _same(by)).withColumn(name, F.col("__in") + F.col("__start")).drop("__chunk", "__v", "__in", "c_chunk", "__start", *[f"c_{b}" for b in by])
 
 
-def neighbours(df: DataFrame, by: list[str], order: str, value: Column, before: str, after: str, chunk: int = CHUNK) -> DataFrame:
+def neighbours(df: DataFrame, by: list[str], order: str, value: Column, before: str, after: str, chunk: int = CHUNK, written: bool = False) -> DataFrame:
     """Add the ``value`` (a struct) of the row before and the row after in the order of ``order`` within ``by``; null at the ends."""
-    cut = df.withColumn("__chunk", _chunk(order, chunk)).withColumn("__v", value)
+    cut = df.withColumn("__chunk", chunk_of(order, chunk)).withColumn("__v", value)
     near = W.partitionBy(*by, "__chunk").orderBy(order)
     ends = cut.groupBy(*by, "__chunk").agg(F.min_by("__v", order).alias("first"), F.max_by("__v", order).alias("last"))
     row = W.partitionBy(*by).orderBy("__chunk")
     ends = ends.select(*[F.col(b).alias(f"c_{b}") for b in by], F.col("__chunk").alias("c_chunk"), F.lag("last").over(row).alias("c_before"), F.lead("first").over(row).alias("c_after"))
-    return (cut.withColumn("__b", F.lag("__v").over(near)).withColumn("__a", F.lead("__v").over(near)).join(ends, _same(by))
+    return (cut.withColumn("__b", F.lag("__v").over(near)).withColumn("__a", F.lead("__v").over(near)).join(staged(ends, "ends") if written else ends, _same(by))
             .withColumn(before, F.coalesce("__b", "c_before")).withColumn(after, F.coalesce("__a", "c_after"))
             .drop("__chunk", "__v", "__b", "__a", "c_chunk", "c_before", "c_after", *[f"c_{b}" for b in by]))
 
@@ -60,7 +62,7 @@ def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
 
 def running_max(df: DataFrame, by: list[str], order: str, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
     """Add ``name``: the largest ``value`` up to and with each row, in the order of ``order`` within ``by``."""
-    cut = df.withColumn("__chunk", _chunk(order, chunk)).withColumn("__v", value)
+    cut = df.withColumn("__chunk", chunk_of(order, chunk)).withColumn("__v", value)
     tops = cut.groupBy(*by, "__chunk").agg(F.max("__v").alias("top"))
     earlier = F.max("top").over(W.partitionBy(*by).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1))
     before = tops.select(*[F.col(b).alias(f"c_{b}") for b in by], F.col("__chunk").alias("c_chunk"), earlier.alias("__top"))
