@@ -173,3 +173,13 @@ def test_gate_sets(spark):
     with pytest.raises(gates.OutsideGateSet) as e:
         gates.require(rows, (8, 29))
     assert e.value.first == [(49, None)]
+
+
+def test_kinds_are_counted_as_in_the_circuits(spark):
+    """Sums counted once for a shape and the rest by adder: the same numbers as in the gates, for every number of controls; unknown adders have none."""
+    rows = [(bits, bits * 7919 - 30000, 1 + bits * 31 % (1 << (bits - 1)), [i % 2 == 0 for i in range(m)] if m else None) for bits in (2, 3, 9, 64) for m in range(4)] + [(5, None, 3, None)]
+    frame = spark.createDataFrame(rows, "bits int, value long, modulus long, controls array<boolean>")
+    kinds = {"x": lambda g: g["type"] == 9, "cx": lambda g: g["type"] == 18, "made": lambda g: (g["type"] == modular.AND) & (g["param"] > 0)}
+    whole = modular.modular_adders(frame).select("bits", F.coalesce(F.size("controls"), F.lit(0)).alias("m"), "n_qubits", *[F.when(F.col("gates").isNotNull(), F.size(F.filter("gates", of))).cast("bigint").alias(k) for k, of in kinds.items()])
+    found = modular.counted(frame, kinds).select("bits", F.coalesce(F.size("controls"), F.lit(0)).alias("m"), "n_qubits", *kinds)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, whole.collect()))

@@ -43,50 +43,88 @@ def _undone(gates: Column) -> Column:
     return F.transform(F.reverse(gates), back)
 
 
-def modular_adders(rows: DataFrame) -> DataFrame:
-    """Add ``gates`` (array of type, param, qubits in order of time) and ``n_qubits`` to rows (bits, value, modulus, controls).
+def _layout(rows: DataFrame) -> DataFrame:
+    """Rows with ``__bits`` and ``__m``: what the places of an adder's qubits depend on; the size of null is -1 outside of ANSI mode."""
+    return rows.withColumn("__bits", F.col("bits").cast("bigint")).withColumn("__m", F.greatest(F.coalesce(F.size("controls"), F.lit(0)).cast("bigint"), F.lit(0).cast("bigint")))
 
-    The circuit adds ``value`` to a register below ``modulus``, modulo it, if all its controls are as ``controls`` says
-    (an array of booleans, null or empty: always). Qubits are the controls, the register with its highest bit first, and qubits
-    that begin and end as zero: the value's, the modulus', one for the comparison, the carries, and those that gather controls.
-    The value is taken modulo the modulus, so it may be negative. The highest bit serves as a sign: a modulus above half of
-    the register's range, one below 1, and bits other than 2 to 64 are errors; a null in bits, value or modulus gives null gates."""
-    n, m = F.col("bits").cast("bigint"), F.coalesce(F.size("controls"), F.lit(0)).cast("bigint")
-    m = F.greatest(m, F.lit(0).cast("bigint"))  # the size of null is -1 outside of ANSI mode
+
+def _shapes(rows: DataFrame) -> DataFrame:
+    """(__n, __c, add_value, sub_value, add_modulus, sub_modulus): the four sums for each number of bits and of controls that occurs; none of any other adder's."""
+    known = rows.where(F.col("__bits").between(2, MOST_BITS)).select(F.col("__bits").alias("__n"), F.col("__m").alias("__c")).distinct()
+    n, m = F.col("__n"), F.col("__c")
+    high = lambda base: lambda j: base + n - 1 - j  # noqa: E731  bit j of a register whose highest comes first
+    b, a, c, carry = high(m), high(m + n), high(m + 2 * n), lambda j: m + 3 * n + 1 + j
+    sums = known.select("__n", "__c", _sum(n, a, b, carry).alias("add_value"), _sum(n, c, b, carry).alias("add_modulus"))
+    return sums.select("*", _undone(F.col("add_value")).alias("sub_value"), _undone(F.col("add_modulus")).alias("sub_modulus"))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`_layout` with ``n_qubits`` and the gates that depend on more than the shape, each made once: ``__before`` all sums, ``__flag`` (also set by __modulus) and ``__after``."""
+    n, m = F.col("__bits"), F.col("__m")
     reg, val, mod = m, m + n, m + 2 * n
     flag, carries = m + 3 * n, m + 3 * n + 1
     ladder = carries + n - 1
-    high = lambda base: lambda j: base + n - 1 - j  # noqa: E731  bit j of a register whose highest comes first
-    b, a, c, carry = high(reg), high(val), high(mod), lambda j: carries + j
-    digits = lambda x: F.lpad(F.bin(x), F.col("bits").cast("int"), F.lit("0"))
     modulus = F.col("modulus").cast("bigint")
-    low, top, one = F.lit(0).cast("bigint"), n - 1, F.lit(1).cast("bigint")
-
-    def ones(number: Column, of: Callable[[Column], Column]) -> Column:
-        """of(i) for every digit i from the highest that is a one."""
-        return _each(low, top, lambda i: F.when(F.substring(digits(number), (i + 1).cast("int"), F.lit(1)) == "1", of(i)).otherwise(F.slice(of(i), 1, 0)))
-
+    low, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     x, cx = (lambda q: F.array(_gate(X, 0.0, q))), (lambda p, q: F.array(_gate(CX, 1.0, p, q)))
-    hollow = F.flatten(F.transform("controls", lambda on, i: F.when(on, F.slice(x(i), 1, 0)).otherwise(x(i))))
-    gather = _each(one, m - 1, lambda i: F.array(_gate(AND, 1.0, F.when(i == 1, low).otherwise(ladder + i - 2), i, ladder + i - 1)))
-    value = F.pmod(F.col("value").cast("bigint"), modulus)
-    told = F.when(m == 1, low).otherwise(ladder + m - 2)
-    load = F.when(m == 0, ones(value, lambda i: x(val + i))).otherwise(ones(value, lambda i: cx(told, val + i)))
     none = F.slice(x(low), 1, 0)
-    controlled = F.when(m > 0, F.concat(hollow, gather)).otherwise(none)
-    set_modulus, if_flag = ones(modulus, lambda i: x(mod + i)), ones(modulus, lambda i: cx(flag, mod + i))
-    add_value, add_modulus = _sum(n, a, b, carry), _sum(n, c, b, carry)
-    gates = F.concat(
-        controlled, load, set_modulus, add_value, _undone(add_modulus),
-        x(reg), cx(reg, flag), x(reg),  # the flag says that the sum was no less than the modulus, which then stays off
-        if_flag, add_modulus, if_flag,
-        _undone(add_value), cx(reg, flag), add_value,  # without the value the register is negative just if the flag is set
-        load, set_modulus, _undone(controlled))
     half = F.call_function("shiftleft", one, F.least(n - 1, F.lit(62).cast("bigint")).cast("int"))
     wrong = ~n.between(2, MOST_BITS) | (modulus < 1) | ((modulus > half) & (n < MOST_BITS))
     known = F.col("bits").isNotNull() & F.col("value").isNotNull() & modulus.isNotNull()
-    checked = F.when(known & wrong, F.raise_error(F.concat(F.lit("no modular adder of "), n.cast("string"), F.lit(" bits for the modulus "), modulus.cast("string")))).when(known, gates)
-    return rows.withColumn("gates", checked).withColumn("n_qubits", F.when(known, ladder + F.greatest(m - 1, low)))
+    error = F.raise_error(F.concat(F.lit("no modular adder of "), n.cast("string"), F.lit(" bits for the modulus "), modulus.cast("string")))
+
+    def digits(number: Column) -> Column:
+        """The places, from the highest digit, of the ones of a number in so many bits."""
+        text = F.lpad(F.bin(number), n.cast("int"), F.lit("0"))
+        return F.filter(F.transform(F.split(text, ""), lambda d, i: F.when(d == "1", i.cast("bigint"))), lambda i: i.isNotNull())
+
+    hollow = F.flatten(F.transform("controls", lambda on, i: F.when(on, F.slice(x(i), 1, 0)).otherwise(x(i))))
+    gather = _each(one, m - 1, lambda i: F.array(_gate(AND, 1.0, F.when(i == 1, low).otherwise(ladder + i - 2), i, ladder + i - 1)))
+    told = F.when(m == 1, low).otherwise(ladder + m - 2)
+    made = rows.withColumn("__known", F.when(known & wrong, error.cast("boolean")).otherwise(known))
+    made = made.withColumn("__ones", F.when(F.col("__known"), digits(F.pmod(F.col("value").cast("bigint"), modulus)))).withColumn("__mods", F.when(F.col("__known"), digits(modulus)))
+    made = made.withColumn("__controlled", F.when(m > 0, F.concat(hollow, gather)).otherwise(none))
+    made = made.withColumn("__load", F.when(m == 0, F.transform("__ones", lambda i: _gate(X, 0.0, val + i))).otherwise(F.transform("__ones", lambda i: _gate(CX, 1.0, told, val + i))))
+    made = made.withColumn("__modulus", F.transform("__mods", lambda i: _gate(X, 0.0, mod + i))).withColumn("__if", F.transform("__mods", lambda i: _gate(CX, 1.0, flag, mod + i)))
+    made = made.withColumn("__flag", F.concat(x(reg), cx(reg, flag), x(reg))).withColumn("__clear", cx(reg, flag)).withColumn("__undo", _undone(F.col("__controlled")))
+    return made.withColumn("n_qubits", F.when(F.col("__known"), ladder + F.greatest(m - 1, low)))
+
+
+#: The circuit: the sums are those of a shape, all else is an adder's own. The flag says that the sum was no less than the
+#: modulus, which then stays off; without the value the register is negative just if the flag is set.
+CIRCUIT = ("__controlled", "__load", "__modulus", "add_value", "sub_modulus", "__flag", "__if", "add_modulus", "__if", "sub_value", "__clear", "add_value", "__load", "__modulus", "__undo")
+SUMS = ("add_value", "sub_value", "add_modulus", "sub_modulus")
+
+
+def _shaped(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Rows with the columns of their shapes; there are at most 63 numbers of bits for a number of controls."""
+    return rows.join(F.broadcast(shapes), (F.col("__bits") == F.col("__n")) & (F.col("__m") == F.col("__c")), "left").drop("__n", "__c")
+
+
+def modular_adders(rows: DataFrame) -> DataFrame:
+    """Add ``gates`` (array of type, param, qubits in order of time) and ``n_qubits`` to rows (bits, value, modulus, controls).
+
+    The circuit adds ``value`` to a register below ``modulus``, modulo it, if all its controls are as ``controls`` says
+    (an array of booleans, null or empty: always). Qubits are the controls, the register with its highest bit first, and qubits
+    that begin and end as zero: the value's, the modulus', one for the comparison, the carries, and those that gather controls.
+    The value is taken modulo the modulus, so it may be negative. The highest bit serves as a sign: a modulus above half of
+    the register's range, one below 1, and bits other than 2 to 64 are errors; a null in bits, value or modulus gives null gates.
+    The sums are made once for each number of bits and of controls."""
+    own = _layout(rows)
+    made = _shaped(_parts(own), _shapes(own))
+    return made.select(*rows.columns, F.when(F.col("__known"), F.concat(*CIRCUIT)).alias("gates"), "n_qubits")
+
+
+def counted(rows: DataFrame, kinds: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Rows (see :func:`modular_adders`) with ``n_qubits`` and the number of the circuit's gates of every kind (name: condition on a gate).
+
+    The gates of the sums are counted once for each number of bits and of controls, an adder's own gates in each."""
+    own = _layout(rows)
+    many = lambda part, of: F.size(F.filter(part, of)).cast("bigint")
+    sums = _shapes(own).select("__n", "__c", *[sum((many(p, of) for p in CIRCUIT if p in SUMS), F.lit(0).cast("bigint")).alias(f"__{k}") for k, of in kinds.items()])
+    rest = F.concat(*[p for p in CIRCUIT if p not in SUMS])
+    made = _shaped(_parts(own).withColumn("__rest", rest), sums)
+    return made.select(*rows.columns, "n_qubits", *[F.when(F.col("__known"), many("__rest", of) + F.col(f"__{k}")).alias(k) for k, of in kinds.items()])
 
 
 def gate_rows(adders: DataFrame, key: str) -> DataFrame:
