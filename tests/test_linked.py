@@ -10,6 +10,7 @@ from wireflow import queries as q
 from wireflow.operators import decompose, engine, layers
 from wireflow.operators import linked as ln
 from wireflow.plans.build import linked, qubits
+from wireflow.plans.running import global_rank
 from wireflow.plans.staging import names_in, once
 
 
@@ -93,6 +94,15 @@ def test_gates_are_dealt_once(spark):
     assert "hashpartitioning(chunk#" in plan and "hashpartitioning(id#" not in plan
 
 
+def test_global_rank_moves_rows_once(spark):
+    """Rows are numbered in the task that sorted their range: no window over them, and so no second shuffle."""
+    rows = [(random.Random(i).randrange(10**6), i) for i in range(3000)]
+    found = global_rank(spark.createDataFrame(rows, "x long, y long").repartition(7), "x", "y")
+    assert "row_number" not in found._jdf.queryExecution().toString()
+    assert [(r.x, r.y) for r in sorted(found.collect(), key=lambda r: r["rank"])] == sorted(rows) and sorted(r["rank"] for r in found.collect()) == list(range(3000))
+    assert global_rank(spark.range(0), "id").count() == 0
+
+
 def test_circles_and_missing_gates(spark):
     link = lambda g, p, t: g * 1000 + p * 100 + t
     table = q.staged(linked(ops_frame(spark, [(18, 1, [0, 1]), (18, 1, [0, 1])])))

@@ -52,12 +52,13 @@ def neighbours(df: DataFrame, by: list[str], order: str, value: Column, before:
 def global_rank(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     """Number all rows from 0 in the order of columns: ranges are sorted apart and offset by the counts before them.
 
-    The ranges are written with their numbers first, so that the counts and the rows see the same ones."""
-    parts = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
-    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.select(F.col("__part").alias("p"), (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__start"))
-    inside = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
-    return parts.withColumn("__in", inside).join(F.broadcast(starts), F.col("__part") == F.col("p")).withColumn(name, (F.col("__start") + F.col("__in")).cast("bigint")).drop("__part", "__in", "p", "__start")
+    The ranges are sorted and written with their numbers and places first, so that the counts and the rows see the same ones and no row is moved again."""
+    # in a sorted range the generated number is the range, shifted by 33 bits, and the row's place in it
+    parts = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("__at", 33)
+    counts = parts.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("p", (F.sum("n").over(W.orderBy("p")) - F.col("n")).alias("__start"))
+    return parts.join(F.broadcast(starts), part == F.col("p")).withColumn(name, (F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("__at", "p", "__start")
 
 
 def running_max(df: DataFrame, by: list[str], order: str, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
