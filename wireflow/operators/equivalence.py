@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wireflow.operators.wire_rewrites import cancel_two_qubit
-from wireflow.plans.build import wires
 from wireflow.plans.running import running_sum
 from wireflow.schema import INVERSE
 
@@ -43,12 +42,18 @@ def equivalent(first: DataFrame, second: DataFrame, staged) -> DataFrame:
     Cancelling ``first`` with the inverse of ``second`` to nothing takes as many rounds as the
     circuit is deep. Reducing each alone takes few, and reduced circuits are equal just if
     every wire meets the same gates in the same order."""
+    return same_words(words(first, staged), words(second, staged))
 
-    def word(ops: DataFrame, side: str) -> DataFrame:
-        left = cancel_two_qubit(ops, staged=staged)
-        own = wires(left).join(left.select("op_id", F.col("qubits").alias("both")), "op_id")
-        return running_sum(own, ["qubit"], "op_id", F.lit(1).cast("bigint"), "at").select("qubit", "at", F.col("both").alias(side), F.lit(True).alias(f"has_{side}"))
 
-    same = word(first, "x").join(word(second, "y"), ["qubit", "at"], "full_outer")
+def words(ops: DataFrame, staged) -> DataFrame:
+    """(qubit, at, both), written: the gates that each wire meets in the reduced circuit, by their qubits. The operations are written first, for every round reads them."""
+    left = cancel_two_qubit(staged(ops.select("op_id", "type", "param", "qubits")), staged=staged)
+    own = left.select("op_id", F.col("qubits").alias("both"), F.explode("qubits").alias("qubit"))
+    return staged(running_sum(own, ["qubit"], "op_id", F.lit(1).cast("bigint"), "at").select("qubit", "at", "both"))
+
+
+def same_words(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row (equivalent): whether all wires meet the same gates in the same order."""
+    same = first.withColumnRenamed("both", "x").join(second.withColumnRenamed("both", "y"), ["qubit", "at"], "full_outer")
     differs = ~F.coalesce(F.col("x") == F.col("y"), F.lit(False))
     return same.agg((F.count_if(differs) == 0).alias("equivalent"))
