@@ -60,8 +60,17 @@ def reused(ops: DataFrame, base: int, staged: Callable[[DataFrame], DataFrame],
     These are dealt to as few qubits from ``base`` on as that allows; all other columns stay. op_ids are of one operation each."""
     uses = ops.select("op_id", F.explode(F.array_distinct(F.filter("qubits", lambda q: q >= base))).alias("q"))
     dealt = slots(uses.groupBy(F.col("q").alias("id")).agg(F.min("op_id").alias("first"), F.max("op_id").alias("last")), staged, chunk)
-    moves = uses.join(dealt.select(F.col("id").alias("q"), "slot"), "q").groupBy("op_id").agg(F.map_from_entries(F.collect_list(F.struct("q", F.col("slot") + base))).alias("__to"))
-    return ops.join(moves, "op_id", "left").withColumn("qubits", F.transform("qubits", lambda q: F.coalesce(F.try_element_at("__to", q), q))).drop("__to")
+    to = staged(dealt.select(F.col("id").alias("__q"), (F.col("slot") + base).alias("__to")))
+    own = ops.withColumn("__own", F.array_distinct(F.filter("qubits", lambda q: q >= base)))
+    n, columns = F.size("__own"), ops.columns
+    # an operation with one such qubit meets it by the qubit; only those with more are put together again
+    one = own.where(n == 1).withColumn("__q", F.element_at("__own", 1)).join(to, "__q")
+    one = one.withColumn("qubits", F.transform("qubits", lambda q: F.when(q == F.col("__q"), F.col("__to")).otherwise(q)))
+    many = own.where(n > 1)
+    moves = many.select("op_id", F.explode("__own").alias("__q")).join(to, "__q").groupBy("op_id").agg(F.map_from_entries(F.collect_list(F.struct("__q", "__to"))).alias("__map"))
+    many = many.join(moves, "op_id").withColumn("qubits", F.transform("qubits", lambda q: F.coalesce(F.try_element_at("__map", q), q)))
+    none = own.where(F.coalesce(n, F.lit(0)) <= 0)
+    return one.select(*columns).unionByName(many.select(*columns)).unionByName(none.select(*columns))
 
 
 def overlaps(dealt: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -50,9 +50,9 @@ def event_ops(events: DataFrame, *kept: str) -> DataFrame:
         F.array(F.col("user_id") % QUBITS).alias("qubits"), F.when(code == M, F.concat(F.lit("m_"), (F.col("user_id") % 1000).cast("string"))).alias("meas_key"), *kept)
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, a, b, c): three different qubits for every order."""
+def triples(spark: SparkSession, sf_dir: str, *kept) -> DataFrame:
+    """(k, a, b, c, columns that are kept): three different qubits for every order."""
     k, a = F.col("o_orderkey"), F.col("o_custkey") % QUBITS
     off1, off2 = 1 + k % (QUBITS - 1), 1 + (k + 7) % (QUBITS - 2)
     off2 = off2 + (off2 >= off1).cast("bigint")
-    return table(spark, sf_dir, "orders").select(k.alias("k"), a.alias("a"), ((a + off1) % QUBITS).alias("b"), ((a + off2) % QUBITS).alias("c"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), a.alias("a"), ((a + off1) % QUBITS).alias("b"), ((a + off2) % QUBITS).alias("c"), *kept)
