@@ -157,27 +157,29 @@ def toffolis_in_place(gates: DataFrame, staged, steps: Steps = TOFFOLI, code: in
     steps = sequence(steps, AS_TYPES)
     size, columns = len(steps), gates.columns
     top = gates.agg((F.max("id") + 1).alias("top"))
-    own = staged(global_rank(gates.where(F.col("type") == code), "id", name="n").join(F.broadcast(top)).withColumn("base", F.col("top") + size * F.col("n")))
+    own = global_rank(gates.where(F.col("type") == code).select("id", *SIDES), "id", name="n").join(F.broadcast(top)).withColumn("base", F.col("top") + size * F.col("n"))
     where = {q: [(i, qs.index(q)) for i, (_, _, qs) in enumerate(steps) if q in qs] for q in "abc"}
     ends = {q: (where[q][0], where[q][-1]) for q in "abc"}
     to = lambda base, at: link(base + at[0], F.lit(at[1]), F.lit(steps[at[0]][0]))
-    entry = F.array(*[to(F.col("base"), ends[q][0]) for q in "abc"])
-    leave = F.array(*[to(F.col("base"), ends[q][1]) for q in "abc"])
-    doors = own.select(F.col("id").alias("door"), entry.alias("entry"), leave.alias("leave"))
 
-    def moved(rows: DataFrame, column: str) -> DataFrame:
+    def told(side: str, port: int) -> F.Column:
+        """What the gate at a link of a replaced gate is told: which of its own links now leads to which new gate."""
+        at = F.col(f"{side}_q{port + 1}")
+        slot = F.concat(F.lit("next_q" if side == "prev" else "prev_q"), (link_port(at) + 1).cast("string"))
+        return F.struct(link_id(at).alias("id"), link_type(at).alias("kind"), slot.alias("slot"), to(F.col("base"), ends["abc"[port]][0 if side == "prev" else 1]).cast("bigint").alias("link"))
+
+    # links are reciprocal: each replaced gate tells its neighbours, whose six links meet in one place; rows are moved once
+    news = own.select(F.explode(F.array(*[told(s, p) for s in ("prev", "next") for p in range(3)])).alias("x")).select("x.*").where("id is not null")
+
+    def moved(rows: DataFrame, inner: bool) -> DataFrame:
         """Links to ports of replaced gates lead to the new gates instead."""
-        side = "leave" if column.startswith("prev") else "entry"
-        met = rows.withColumn("__to", F.when(link_type(column) == code, link_id(column)))
-        met = met.join(doors.select(F.col("door").alias("__to"), F.col(side).alias("__ends")), "__to", "left")
-        return met.withColumn(column, F.coalesce(F.try_element_at("__ends", (link_port(column) + 1).cast("int")), F.col(column))).drop("__to", "__ends")
-
-    rest = gates.where(F.col("type") != code)
-    outer = own.select("base", *SIDES)
-    for c in SIDES:
-        rest = moved(rest, c)
-        outer = moved(outer, c)
-    outer = staged(outer)
+        mine = news.where((F.col("kind") == code) if inner else (F.col("kind") != code)).select("id", "slot", "link").repartition("id")
+        got = mine.groupBy("id").agg(*[F.max(F.when(F.col("slot") == c, F.col("link"))).alias(f"__{c}") for c in SIDES])
+        met = rows.join(got, "id", "left")
+        return met.select(*[F.coalesce(f"__{c}", c).alias(c) if c in SIDES else F.col(c) for c in rows.columns])
+
+    rest = moved(gates.where(F.col("type") != code), False)
+    outer = moved(own.select("id", "base", *SIDES), True)
     rows = []
     for i, (kind, param, qs) in enumerate(steps):
         links = {}
