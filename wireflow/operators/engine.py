@@ -1,5 +1,8 @@
 """Template rewriting of the linked table in rounds: match, keep matches that do not conflict, apply.
 
+Rules that are told as rows are applied to a fixpoint by blocks (:mod:`wireflow.operators.blocks`). Rounds
+are for the others, for so many passes or seconds, and for tables whose ids say nothing about neighbourhood.
+
 The table is a base and what changed since (:class:`Versions`). The first round of a rule looks at
 all gates; the next ones only at those near a gate that was changed or that lost a conflict, for
 nowhere else can a match be new. So what is written grows with the rewrites, not with the rounds.
@@ -20,7 +23,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wireflow.functions.codec import link, link_id, link_port, link_type
+from wireflow.operators.blocks import by_blocks
 from wireflow.operators.gates import stats
+from wireflow.operators.rows import cancel_rows, cancel_two_rows, commute_rows, fuse_rows, reverse_rows
 from wireflow.plans.staging import unstage
 from wireflow.schema import CONTROLLED, CX, H, S, S_DAG, T, T_DAG
 
@@ -31,11 +36,13 @@ SIDES = [f"{s}_q{p}" for s in ("prev", "next") for p in (1, 2, 3)]
 class Rule:
     """``match`` gives (match, core array, boundary array, edits array<struct<gate, slot, link>>, deletes array, retype struct).
 
-    The gates of a core are within ``radius`` links of each other."""
+    The gates of a core are within ``radius`` links of each other. ``rows`` are the same rule as the rows
+    of :mod:`wireflow.operators.patterns`, if it can be told so."""
 
     name: str
     match: Callable[[DataFrame], DataFrame]
     radius: int = 1
+    rows: tuple | None = None
 
 
 def _is(prefix: str, code: int, param: float) -> Column:
@@ -77,7 +84,7 @@ def cancel_one(first: int, second: int, p1: float, p2: float) -> Rule:
         a, b, g, h = F.col("g.prev_q1"), F.col("h.next_q1"), F.col("g.id"), F.col("h.id")
         return _made(m, [g, h], [link_id(a), link_id(b)], [_edit(link_id(a), _slot("next", a), b), _edit(link_id(b), _slot("prev", b), a)], [g, h])
 
-    return Rule(f"cancel {first} {second}", match)
+    return Rule(f"cancel {first} {second}", match, rows=cancel_rows(first, second, p1, p2))
 
 
 def fuse(first: int, second: int, p1: float, p2: float, code: int, param: float) -> Rule:
@@ -90,7 +97,7 @@ def fuse(first: int, second: int, p1: float, p2: float, code: int, param: float)
         retype = F.struct(g.alias("gate"), F.lit(code).cast("short").alias("type"), F.lit(param).cast("float").alias("param"), F.lit(False).alias("flip"))
         return _made(m, [g, h], [link_id(a), link_id(b)], [_edit(g, F.lit("next_q1"), b), _edit(link_id(a), _slot("next", a), me), _edit(link_id(b), _slot("prev", b), me)], [h], retype)
 
-    return Rule(f"fuse {first} {second}", match)
+    return Rule(f"fuse {first} {second}", match, rows=fuse_rows(first, second, p1, p2, code, param))
 
 
 def cancel_two(code: int, param: float) -> Rule:
@@ -106,7 +113,7 @@ def cancel_two(code: int, param: float) -> Rule:
             around += [link_id(a), link_id(b)]
         return _made(m, [g, h], around, edits, [g, h])
 
-    return Rule(f"cancel {code} {code}", match)
+    return Rule(f"cancel {code} {code}", match, rows=cancel_two_rows(code, param))
 
 
 def commute(code: int, param: float) -> Rule:
@@ -120,7 +127,7 @@ def commute(code: int, param: float) -> Rule:
                  _edit(g, F.lit("prev_q1"), control), _edit(g, F.lit("next_q1"), b), _edit(link_id(b), _slot("prev", b), single)]
         return _made(m, [g, h], [link_id(a), link_id(b)], edits, [])
 
-    return Rule(f"commute {code}", match)
+    return Rule(f"commute {code}", match, rows=commute_rows(code, param))
 
 
 def reverse_cx() -> Rule:
@@ -142,7 +149,7 @@ def reverse_cx() -> Rule:
         retype = F.struct(cx.alias("gate"), F.col("code").cast("short").alias("type"), F.col("p").cast("float").alias("param"), F.lit(True).alias("flip"))
         return _made(m, [cx, *hs], [link_id(x) for x in (l1, l2, r1, r2)], edits, hs, retype)
 
-    return Rule("reverse cx", match, 2)
+    return Rule("reverse cx", match, 2, reverse_rows())
 
 
 def _one_h() -> Column:
@@ -283,7 +290,10 @@ def _fix(gates: Versions, rule: Rule, near: DataFrame | None, rounds: int | None
 
 
 def to_fixpoint(gates: DataFrame, rule: Rule, staged: Callable[[DataFrame], DataFrame], rounds: int | None = None, seconds: float | None = None) -> tuple[DataFrame, int]:
-    """Apply a rule in rounds until it matches nothing (or so many rounds, or for so long: the clock is read between rounds); the table and the number of rewrites."""
+    """Apply a rule until it matches nothing; the table and the number of rewrites. With a bound, in so many rounds or for so long (the clock is read between rounds)."""
+    found = by_blocks(gates, [rule], staged) if rounds is None and seconds is None else None
+    if found:
+        return found.table, sum(found.rewrites.values())
     own = Versions(gates, staged)
     done, _ = _fix(own, rule, None, rounds, _ends(seconds))
     return own.table(), done
@@ -310,6 +320,9 @@ def optimise(gates: DataFrame, rules, staged: Callable[[DataFrame], DataFrame],
 
     What a rule removes may bring others' patterns together, so one pass is not enough. Rules
     that undo each other need ``passes`` or ``seconds``."""
+    found = by_blocks(gates, rules, staged) if passes is None and seconds is None else None
+    if found:
+        return found.table
     own = Versions(gates, staged)
     for _ in _passes(own, rules, passes, _ends(seconds)):
         pass

@@ -67,12 +67,15 @@ def dangling(gates: DataFrame) -> DataFrame:
     return own.withColumn("port", F.col("port").cast("bigint")).join(back, ["a", "side", "port", "b", "bport", "btype"], "left_anti")
 
 
-def class_counts() -> list[F.Column]:
-    n = lambda c: F.count_if(c).cast("bigint")
+def classes() -> dict[str, F.Column]:
+    """The classes of gates that are counted."""
     kind = F.col("type")
-    return [n(not_io()).alias("total_count"), n(is_t_like()).alias("t_count"),
-            n(kind.isin(27, 28) | ((kind == ZPOW) & F.col("param").isin(0.5, -0.5))).alias("s_count"), n(kind == H).alias("h_count"),
-            n(kind.isin(15, CX)).alias("cx_count"), n(kind.isin(X, 5)).alias("x_count")]
+    return {"total_count": not_io(), "t_count": is_t_like(), "s_count": kind.isin(27, 28) | ((kind == ZPOW) & F.col("param").isin(0.5, -0.5)),
+            "h_count": kind == H, "cx_count": kind.isin(15, CX), "x_count": kind.isin(X, 5)}
+
+
+def class_counts() -> list[F.Column]:
+    return [F.count_if(c).cast("bigint").alias(name) for name, c in classes().items()]
 
 
 def stats(gates: DataFrame) -> DataFrame:

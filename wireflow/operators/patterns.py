@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from wireflow.functions.codec import link, link_id, link_port, link_type
 from wireflow.operators.engine import Rule, _made, _slot
-from wireflow.schema import CONTROLLED, CX, H, S, S_DAG, T, T_DAG
+from wireflow.operators.rows import cancel_rows, cancel_two_rows, commute_rows, fuse_rows, reverse_rows
+from wireflow.schema import CX, H, S, S_DAG, T, T_DAG
 
 #: The relations, all keyed by the rule: a gate may be of several types, and a parameter that is null is not compared.
 GATES = "rule string, gate string, types array<int>, param float"
@@ -36,6 +37,7 @@ class Pattern:
 
     def __init__(self, rule: str, gates, links, fates, edits):
         own = lambda rows: [r for r in rows if r["rule"] == rule]
+        self.rows = tuple([tuple(r[c.split(" ")[0]] for c in s.split(", ")) for r in own(rows)] for s, rows in zip((GATES, LINKS, FATES, EDITS), (gates, links, fates, edits), strict=True))
         self.rule, self.links, self.fates, self.edits = rule, own(links), {r["gate"]: r for r in own(fates)}, own(edits)
         self.gates = {r["gate"]: r for r in own(gates)}
         for r in self.links:
@@ -120,7 +122,7 @@ class Pattern:
             made = [F.struct(a[0].cast("bigint").alias("gate"), a[1].alias("slot"), b[2].cast("bigint").alias("link")) for a, b in edits]
             return _made(m.where(different), ids, boundary, made, goes, retype)
 
-        return Rule(self.rule, match, max(1, len(self.gates) - 1) if len(self.gates) < 4 else 2)
+        return Rule(self.rule, match, max(1, len(self.gates) - 1) if len(self.gates) < 4 else 2, self.rows)
 
 
 def type_counts(gates: DataFrame) -> dict[int, int]:
@@ -137,54 +139,6 @@ def compiled(gates: DataFrame, links: DataFrame, fates: DataFrame, edits: DataFr
 # the standard rules as rows
 
 
-def _beyond(gate: str, side: str, port: int = 0) -> tuple:
-    return True, gate, side, port
-
-
-def _own(gate: str, side: str, port: int = 0) -> tuple:
-    return False, gate, side, port
-
-
-def _bridge(rule: str, a: str, b: str, port: int = 0) -> list[tuple]:
-    """The neighbours before a and after b are linked to each other."""
-    return [(rule, *_beyond(a, "prev", port), *_beyond(b, "next", port)), (rule, *_beyond(b, "next", port), *_beyond(a, "prev", port))]
-
-
-def cancel_rows(first: int, second: int, p1: float, p2: float) -> tuple[list, list, list, list]:
-    rule = f"cancel {first} {second}"
-    return ([(rule, "g", [first], p1), (rule, "h", [second], p2)], [(rule, "g", 0, "h", 0)], [(rule, x, True, None, None, False) for x in "gh"], _bridge(rule, "g", "h"))
-
-
-def cancel_two_rows(code: int, param: float) -> tuple[list, list, list, list]:
-    rule = f"cancel {code} {code}"
-    return ([(rule, x, [code], param) for x in "gh"], [(rule, "g", p, "h", p) for p in (0, 1)], [(rule, x, True, None, None, False) for x in "gh"], _bridge(rule, "g", "h", 0) + _bridge(rule, "g", "h", 1))
-
-
-def fuse_rows(first: int, second: int, p1: float, p2: float, code: int, param: float) -> tuple[list, list, list, list]:
-    rule = f"fuse {first} {second}"
-    edits = [(rule, *_own("g", "next"), *_beyond("h", "next")), (rule, *_beyond("g", "prev"), *_own("g", "prev")), (rule, *_beyond("h", "next"), *_own("g", "next"))]
-    return ([(rule, "g", [first], p1), (rule, "h", [second], p2)], [(rule, "g", 0, "h", 0)], [(rule, "g", False, code, param, False), (rule, "h", True, None, None, False)], edits)
-
-
-def commute_rows(code: int, param: float) -> tuple[list, list, list, list]:
-    rule = f"commute {code}"
-    edits = [(rule, *_beyond("g", "prev"), *_own("h", "prev")), (rule, *_own("h", "prev"), *_beyond("g", "prev")), (rule, *_own("h", "next"), *_own("g", "prev")),
-             (rule, *_own("g", "prev"), *_own("h", "next")), (rule, *_own("g", "next"), *_beyond("h", "next")), (rule, *_beyond("h", "next"), *_own("g", "next"))]
-    return ([(rule, "g", [code], param), (rule, "h", list(CONTROLLED), None)], [(rule, "g", 0, "h", 0)], [], edits)
-
-
-def reverse_rows() -> tuple[list, list, list, list]:
-    rule = "reverse cx"
-    gates = [(rule, "cx", [15, CX], None), *[(rule, x, [H], 1.0) for x in ("l1", "l2", "r1", "r2")]]
-    links = [(rule, "l1", 0, "cx", 0), (rule, "l2", 0, "cx", 1), (rule, "cx", 0, "r1", 0), (rule, "cx", 1, "r2", 0)]
-    fates = [(rule, "cx", False, None, None, True), *[(rule, x, True, None, None, False) for x in ("l1", "l2", "r1", "r2")]]
-    edits = []
-    for side, one, two in (("prev", "l1", "l2"), ("next", "r1", "r2")):  # what is beyond the H on one wire comes to the other port
-        for outer, port in ((one, 1), (two, 0)):
-            edits += [(rule, *_beyond(outer, side), *_own("cx", side, port)), (rule, *_own("cx", side, port), *_beyond(outer, side))]
-    return gates, links, fates, edits
-
-
 def standard_rows(spark: SparkSession, *more: tuple[list, list, list, list]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The relations of the engine's standard rules, commutation of T, and of further rules."""
     parts = [cancel_rows(H, H, 1.0, 1.0), cancel_rows(T, T_DAG, 0.0, 0.0), cancel_rows(T_DAG, T, 0.0, 0.0), cancel_rows(S, S_DAG, 0.0, 0.0), cancel_rows(S_DAG, S, 0.0, 0.0),
