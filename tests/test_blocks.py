@@ -35,6 +35,11 @@ def test_many_blocks_are_one_history(spark, monkeypatch, seed):
             last[x] = last.get(x, 0) + 1 if c == 8 else 0
             runs += c == 8 and last[x] % 2 == 0
     assert found.rewrites.get(0, 0) == runs
+    monkeypatch.setattr(blocks, "WIDTH", 1000)
+    steps = engine.series(table, rules, q.staged).orderBy("step").collect()
+    assert [r.rewrites for r in steps[1:]] == [found.rewrites.get(s, 0) for s in range(len(steps) - 1)]
+    assert not any(r.rewrites for r in steps[-len(rules):]) and (len(steps) - 1) % len(rules) == 0
+    assert tuple(steps[-1])[4:] == tuple(gates.stats(after).first()) and tuple(steps[0])[4:] == tuple(gates.stats(table).first())
 
 
 def test_blocks_that_do_not_agree_are_refused(spark):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wireflow.functions.codec import link, link_id, link_port, link_type
 from wireflow.operators.blocks import by_blocks
-from wireflow.operators.gates import stats
+from wireflow.operators.gates import classes, stats
 from wireflow.operators.rows import cancel_rows, cancel_two_rows, commute_rows, fuse_rows, reverse_rows
 from wireflow.plans.staging import unstage
 from wireflow.schema import CONTROLLED, CX, H, S, S_DAG, T, T_DAG
@@ -332,6 +332,15 @@ def optimise(gates: DataFrame, rules, staged: Callable[[DataFrame], DataFrame],
 def series(gates: DataFrame, rules, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(step, pass, rule, rewrites, counts...): the counts at the start (step 0) and after every rule of :func:`optimise`, until a pass rewrites nothing."""
     spark = gates.sparkSession
+    found = by_blocks(gates, rules, staged, rows=False)
+    if found:
+        # a row for every step: the counts at the start and all that changed until then
+        turns = (max((s for s, n in found.rewrites.items() if n), default=-1) // len(rules) + 2) * len(rules)
+        steps = spark.createDataFrame([(0, None, "start", 0)] + [(s + 1, s // len(rules), rules[s % len(rules)].name, found.rewrites.get(s, 0)) for s in range(turns)], "step int, pass int, rule string, rewrites long")
+        more = found.changes.groupBy((F.col("step") + 1).alias("step")).agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(f"d_{name}") for name, c in classes().items()])
+        upto = W.orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
+        rows = steps.join(more, "step", "left").join(F.broadcast(stats(gates)))
+        return rows.select("step", "pass", "rule", "rewrites", *[(F.col(name) + F.sum(F.coalesce(f"d_{name}", F.lit(0))).over(upto)).cast("bigint").alias(name) for name in classes()])
     own = Versions(gates, staged)
     log, last = [(0, None, "start", 0)], staged(stats(gates))
     rows = [last.withColumn("step", F.lit(0))]
