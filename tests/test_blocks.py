@@ -3,9 +3,11 @@
 import random
 
 import pytest
-from test_engine import back_to_ops, ops_frame, same, unitary
+from pyspark.sql import functions as F
+from test_engine import back_to_ops, ops_frame, random_ops, same, unitary
 
 from wireflow import queries as q
+from wireflow.functions.codec import link_id
 from wireflow.operators import blocks, engine, gates
 from wireflow.plans.build import linked
 
@@ -40,6 +42,8 @@ def test_many_blocks_are_one_history(spark, monkeypatch, seed):
     assert [r.rewrites for r in steps[1:]] == [found.rewrites.get(s, 0) for s in range(len(steps) - 1)]
     assert not any(r.rewrites for r in steps[-len(rules):]) and (len(steps) - 1) % len(rules) == 0
     assert tuple(steps[-1])[4:] == tuple(gates.stats(after).first()) and tuple(steps[0])[4:] == tuple(gates.stats(table).first())
+    for rule in (rules[0], rules[5]):
+        assert engine.counts_at_fixpoint(table, rule, q.staged).first() == gates.stats(engine.to_fixpoint(table, rule, q.staged)[0]).first()
 
 
 def test_blocks_that_do_not_agree_are_refused(spark):
@@ -50,3 +54,15 @@ def test_blocks_that_do_not_agree_are_refused(spark):
     assert blocks.by_blocks(table, [rule], q.staged, 101, rows=False) is None
     whole = blocks.by_blocks(table, [rule], q.staged)
     assert whole.rewrites == {0: 150} and whole.table.count() == table.count() - 300
+
+
+def test_ids_without_neighbourhood_go_in_rounds(spark, monkeypatch):
+    """Where links lead out of the margins the rounds do the work, and come to the same counts."""
+    table = q.staged(linked(ops_frame(spark, random_ops(4, n=120))))
+    turn = lambda x: x * 7919 % 10007
+    mixed = q.staged(table.select(*[turn(F.col("id")).alias(c) if c == "id" else (turn(link_id(c)) * 1000 + F.col(c) % 1000).alias(c) if c in engine.SIDES else F.col(c) for c in table.columns]))
+    rule = engine.STANDARD_RULES[0]
+    want = engine.counts_at_fixpoint(table, rule, q.staged).first()
+    monkeypatch.setattr(blocks, "WIDTH", 1000)
+    assert blocks.by_blocks(mixed, [rule], q.staged) is None
+    assert engine.counts_at_fixpoint(mixed, rule, q.staged).first() == want

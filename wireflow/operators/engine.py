@@ -299,6 +299,15 @@ def to_fixpoint(gates: DataFrame, rule: Rule, staged: Callable[[DataFrame], Data
     return own.table(), done
 
 
+def counts_at_fixpoint(gates: DataFrame, rule: Rule, staged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of counts after :func:`to_fixpoint`, without the table where blocks count what came and went."""
+    found = by_blocks(gates, [rule], staged, rows=False)
+    if not found:
+        return stats(to_fixpoint(gates, rule, staged)[0])
+    more = found.changes.agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(f"d_{name}") for name, c in classes().items()])
+    return stats(gates).join(F.broadcast(more)).select(*[(F.col(name) + F.col(f"d_{name}")).cast("bigint").alias(name) for name in classes()])
+
+
 def _passes(own: Versions, rules, passes: int | None, ends: float | None):
     """Pass after pass of all rules: (pass, rule, rewrites), until a pass rewrites nothing. A rule looks only near what changed since it last matched nothing."""
     turn, done, seen = 0, 1, [None] * len(rules)
