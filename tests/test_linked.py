@@ -88,6 +88,40 @@ def test_blocks_of_ids(spark):
     assert len(made) <= 4
 
 
+def moved(table, size, by):
+    """The same circuit with two gates at every ``size`` ids swapped, ``by`` ids from each other, so that links lead back to later blocks."""
+    kinds = {r.id: r.type for r in table.select("id", "type").collect()}
+    swap = {}
+    for x in range(size - 1, max(kinds), size):
+        a, b = x - by // 2, x - by // 2 + by
+        if kinds.get(a, 0) > 1 and kinds.get(b, 0) > 1:
+            swap |= {a: b, b: a}
+    names = F.create_map(*[F.lit(x) for pair in swap.items() for x in pair])
+    new = lambda x: F.coalesce(F.try_element_at(names, x.cast("int")), x)
+    return q.staged(table.select(*[new(F.col("id")).alias(c) if c == "id" else (new(ln.link_id(c)) * 1000 + F.col(c) % 1000).alias(c) if c in engine.SIDES else F.col(c) for c in table.columns]))
+
+
+@pytest.mark.parametrize("by", [6, 90])
+def test_gates_behind_later_ones_are_raised(spark, monkeypatch, by):
+    """Where few links lead back, chunks are raised from block to block; not all gates go in rounds along all wires."""
+    monkeypatch.setattr(ln, "_raised", None)
+    table = moved(q.staged(linked(ops_frame(spark, random_ops(7, qubits=8, n=700)), q.staged)), 64, by)
+    assert ln._block_order(table, 64) is None
+    ops = q.staged(ln.linked_to_ops(table, q.staged, 64))
+    assert sorted(r.op_id for r in ops.select("op_id").collect()) == list(range(ops.count()))
+    assert ln.differing(table, q.staged(linked(ops, q.staged)), q.staged, qubits(ops)).first()[0] == 0
+    other = q.staged(linked(ops.withColumn("param", F.when(F.col("op_id") == 99, 7.5).otherwise(F.col("param")).cast("float")), q.staged))
+    assert ln.differing(table, other, q.staged, qubits(ops)).first()[0] == 2
+
+
+def test_rows_are_moved_once_to_blocks(spark):
+    """Operations are not joined with their gates by id again; chunks are linked, not sorted wire by wire."""
+    table = q.staged(linked(ops_frame(spark, random_ops(4, qubits=4, n=60)), q.staged))
+    plan = ln.linked_to_ops(table, q.staged)._jdf.queryExecution().toString()
+    assert "hashpartitioning(id#" not in plan and "InPandas" not in plan
+    assert "Window" not in linked(ops_frame(spark, random_ops(4, qubits=4, n=60)), q.staged)._jdf.queryExecution().toString()
+
+
 def test_gates_are_dealt_once(spark):
     """The ports of a gate meet where its chunk is; gates are not shuffled by id."""
     plan = linked(ops_frame(spark, random_ops(4, qubits=4, n=60)), q.staged)._jdf.queryExecution().toString()
