@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_engine import ops_frame, random_ops, same, unitary
 
 from wireflow import queries as q
-from wireflow.operators import decompose, engine, layers
+from wireflow.operators import decompose, engine, gates, layers
 from wireflow.operators import linked as ln
 from wireflow.plans.build import linked, qubits
 from wireflow.plans.running import global_rank
@@ -114,6 +114,22 @@ def test_gates_behind_later_ones_are_raised(spark, monkeypatch, by):
     assert ln.differing(table, other, q.staged, qubits(ops)).first()[0] == 2
 
 
+def test_chunks_are_linked_and_followed_at_once(spark, monkeypatch):
+    """What is linked and followed by one task is the linked table, in whose comparison other links, parameters and missing gates show; its blocks are followed in ranges."""
+    monkeypatch.setattr(ln, "RANGE", 8)
+    monkeypatch.setattr(ln, "GATES", 16)
+    monkeypatch.setattr("wireflow.plans.running.chunk_of.__defaults__", (16,))
+    ops = ops_frame(spark, random_ops(9, qubits=5, n=120) + [(23, 1, [0, 2, 1]), (24, 1, [3, 0, 1])])
+    table = q.staged(linked(ops, q.staged))
+    many = ln.followed(table, q.staged, 16, ("param",))
+    assert many.rows.where("id is null").count() > 20 and gates.dangling(table).count() == 0
+    places = qubits(ops).select("rank", F.col("rank").alias("qubit"))
+    again = lambda o: ln.differing(many, ln.linked_and_followed(o, q.staged), q.staged, places).first()[0]
+    assert again(ops) == 0 and ln.differing(many, table, q.staged, places).first()[0] == 0
+    assert again(ops.withColumn("param", F.when(F.col("op_id") == 60, 7.5).otherwise(F.col("param")).cast("float"))) == 2
+    assert again(ops.withColumn("qubits", F.when(F.col("op_id") == ops.count() - 1, F.reverse("qubits")).otherwise(F.col("qubits")))) == 2
+
+
 def test_rows_are_moved_once_to_blocks(spark):
     """Operations are not joined with their gates by id again; chunks are linked, not sorted wire by wire."""
     table = q.staged(linked(ops_frame(spark, random_ops(4, qubits=4, n=60)), q.staged))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from wireflow.functions.codec import link_id, link_type
 from wireflow.operators.layers import layered
+from wireflow.plans.build import dealt, in_chunk
 from wireflow.plans.running import global_rank, running_max
 from wireflow.plans.staging import of_numbers, ship_code, unstage
 from wireflow.schema import IN, OUT
@@ -32,6 +33,8 @@ GATES = 1 << 16
 PAIRS = 1 << 20
 #: Tables of up to so many rows (what leads out of the blocks, a few numbers each) are sent to all tasks.
 SMALL = 1 << 21
+#: About so many far ports are followed on by one task.
+RANGE = 1 << 18
 #: Blocks are raised if no more than one in so many links between blocks leads back, and no chunk gets more than so many times a block's gates.
 FEW, MOST = 4, 4
 PREV = [f"prev_q{p}" for p in (1, 2, 3)]
@@ -162,28 +165,64 @@ class Followed(NamedTuple):
         return self.rows.where(F.col("id").isNull() & (F.col("place") == what)).select(F.col("at0").alias("block"), F.col("far0").alias(name))
 
 
+def _shortened(table: pa.Table) -> pa.Table:
+    """Far ports (key, far, more, done), each followed on through those of the same table."""
+    table = table.combine_chunks().sort_by("key")
+    key, far, more, done = (table.column(c).to_numpy() for c in ("key", "far", "more", "done"))
+    place = np.minimum(np.searchsorted(key, far), max(len(key) - 1, 0))
+    inside = ~done & (key[place] == far)
+    step, at = np.where(inside, place, np.arange(len(key))), np.where(inside, more, 0)
+    for _ in range(len(key).bit_length() + 1):
+        at, step = at + at[step], step[step]
+    return pa.table({"key": key, "far": far[step], "more": at + more[step], "done": done[step]})
+
+
+def _schema(used: DataFrame, kept) -> str:
+    kinds = dict(used.dtypes)
+    return ", ".join([*[f"{c} {kinds[c]}" for c in ("id", "type", *kept)], "place long", *[f"{c}{p} long" for c in ("far", "at") for p in range(3)]])
+
+
 def followed(gates: DataFrame, staged: Callable[[DataFrame], DataFrame], size: int = GATES, kept: tuple[str, ...] = ()) -> Followed:
-    """Links followed back within blocks of ids first, each block apart. Those that leave a block are then followed by pointer
-    doubling, a join for every binary digit of the most blocks on a wire; if ids say nothing at all about the neighbourhood these are nearly all links."""
+    """Links followed back within blocks of ids first, each block apart, then from block to block (:func:`_met`)."""
     ship_code(gates.sparkSession)
     low, width = blocks(gates, size)
     used = gates.select(_block(F.col("id"), low, width).alias("block"), "id", "type", *PREV, *kept)
-    kinds = dict(used.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in ("id", "type", *kept)], "place long", *[f"{c}{p} long" for c in ("far", "at") for p in range(3)]])
-    found = Followed(staged(of_numbers(used.groupBy("block").applyInArrow(_in_block(list(kept)), schema))), None, False)
-    rows, asked = found.rows, staged(found.told(ASKED, "key").select("key").distinct())
-    small = asked.count() <= SMALL
+    return _met(staged(of_numbers(used.groupBy("block").applyInArrow(_in_block(list(kept)), _schema(used, kept)))), staged)
+
+
+def _linked_in_block(ops: pa.Table, around: pa.Table) -> pa.Table:
+    gates = in_chunk(ops, around)
+    return _in_block(["param"])(gates.append_column("block", pa.array([ops.column("chunk")[0].as_py()] * len(gates), pa.int64())))
+
+
+def linked_and_followed(ops: DataFrame, staged: Callable[[DataFrame], DataFrame]) -> Followed:
+    """The table that operations (without an empty one) are linked to, its links followed (all but those of Out gates): the task that links a chunk follows its links."""
+    rows = dealt(ops.select("op_id", "type", "param", "qubits"), staged)
+    found = staged(of_numbers(rows.apply(_linked_in_block, _schema(rows.own.withColumn("id", F.col("op_id")), ["param"]))))
+    ins = rows.io.where(F.col("type") == IN).select("id", F.col("type").cast("short").alias("type"), F.col("param").cast("float").alias("param"))
+    return _met(found.unionByName(ins, allowMissingColumns=True), staged)
+
+
+def _met(rows: DataFrame, staged: Callable[[DataFrame], DataFrame]) -> Followed:
+    """What leads out of the blocks (``rows`` are those of :func:`_in_block`), followed through ranges of blocks with so many far ports, each range apart, and then by pointer
+    doubling, a join for every binary digit of the most ranges on a wire; if ids say nothing at all about the neighbourhood these are nearly all links."""
+    asked = staged(Followed(rows, None, False).told(ASKED, "key").select("key").distinct())
+    low, high, n = asked.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
+    small = n <= SMALL
     pick = lambda c: F.when(F.col("key") % 4 == 0, F.col(f"{c}0")).when(F.col("key") % 4 == 1, F.col(f"{c}1")).when(F.col("key") % 4 == 2, F.col(f"{c}2"))
     met = rows.where("id is not null").join(F.broadcast(asked) if small else asked, F.col("id") == F.shiftright("key", 2)).select("key", (F.col("type") == IN).alias("done"), pick("far").alias("far"), pick("at").alias("more"))
     # a link to a port without a link back is as far as it goes (its gate is no In gate, so it never gets done)
-    far = staged(met.select("key", F.coalesce("far", "key").alias("far"), F.when(F.col("done"), 0).otherwise(F.coalesce("more", F.lit(0))).cast("bigint").alias("more"), "done"))
-    lost = asked.join(far, "key", "left_anti").first()
+    met = staged(met.select("key", F.coalesce("far", "key").alias("far"), F.when(F.col("done"), 0).otherwise(F.coalesce("more", F.lit(0))).cast("bigint").alias("more"), "done"))
+    lost = asked.join(met, "key", "left_anti").first()
     if lost:
         gone = lost.key >> 2
         from_ = rows.where("id is not null").where(" or ".join(f"(at{p} = 1 and shiftright(far{p}, 2) = {gone})" for p in range(3))).first()
         raise MissingGate(f"gate {from_.id} comes after gate {gone}, which is not there")
     unstage(asked)
-    for _ in range(far.count().bit_length() + 1):
+    width = max(1, RANGE * ((high or 0) - (low or 0) + 1) // n) if n else 1
+    far = staged(met.withColumn("range", _block(F.col("key"), low or 0, width)).groupBy("range").applyInArrow(_shortened, "key long, far long, more long, done boolean"))
+    unstage(met)
+    for _ in range(n.bit_length() + 1):
         if far.where("not done").isEmpty():
             return Followed(rows, far.select("key", F.shiftright("far", 2).alias("wire"), "more"), small)
         on = far.select(F.col("key").alias("far"), F.col("far").alias("next"), F.col("more").alias("rest"), F.col("done").alias("next_done"))
@@ -358,12 +397,13 @@ def linked_layers(gates: DataFrame, staged: Callable[[DataFrame], DataFrame]) ->
     return ops.select("op_id", "id").join(found, "op_id").drop("op_id")
 
 
-def _on_wires(gates: DataFrame, staged: Callable[[DataFrame], DataFrame], names: DataFrame | None = None, known: Followed | None = None) -> DataFrame:
+def _on_wires(gates: DataFrame | Followed, staged: Callable[[DataFrame], DataFrame], names: DataFrame | None = None) -> DataFrame:
     """(type, param, wire0, wire1, wire2, at0, at1, at2) of all gates but In and Out, with the numbers or names of the qubits."""
-    wires = global_rank(gates.where(F.col("type") == IN).select(F.col("id").alias("wire")), "wire", name="rank")
+    known = gates if isinstance(gates, Followed) else followed(gates, staged, kept=("param",))
+    wires = global_rank(known.rows.where(F.col("id").isNotNull() & (F.col("type") == IN)).select(F.col("id").alias("wire")), "wire", name="rank")
     wires = wires.withColumnRenamed("rank", "name") if names is None else wires.join(names.select("rank", F.col("qubit").alias("name")), "rank").drop("rank")
-    found = (followed(gates, staged, kept=("param",)) if known is None else known).gates(wires)
-    return found.where(~F.col("type").isin(IN, OUT) & F.coalesce(*[f"at{p}" for p in range(3)]).isNotNull()).select("type", "param", *[f"{c}{p}" for c in ("wire", "at") for p in range(3)])
+    rows = known.gates(wires).where(~F.col("type").isin(IN, OUT) & F.coalesce(*[f"at{p}" for p in range(3)]).isNotNull())
+    return rows.select("type", "param", *[f"{c}{p}" for c in ("wire", "at") for p in range(3)])
 
 
 def on_wires(gates: DataFrame, staged: Callable[[DataFrame], DataFrame], names: DataFrame | None = None) -> DataFrame:
@@ -375,12 +415,12 @@ def on_wires(gates: DataFrame, staged: Callable[[DataFrame], DataFrame], names:
     return _on_wires(gates, staged, names).select("type", "param", F.array_compact(ends).alias("ends"))
 
 
-def differing(first: DataFrame, second: DataFrame, staged: Callable[[DataFrame], DataFrame], names: DataFrame | None = None, known: Followed | None = None) -> DataFrame:
-    """One row (differing): how many gates of either table have no like in the other; ``names`` are those of the second's qubits, ``known`` is the first as :func:`followed` gave it.
+def differing(first: DataFrame | Followed, second: DataFrame | Followed, staged: Callable[[DataFrame], DataFrame], names: DataFrame | None = None) -> DataFrame:
+    """One row (differing): how many gates of either table have no like in the other; ``names`` are those of the second's qubits. Tables may be followed already (with ``param``).
 
     Gates are counted and their digests (two of 64 bits, as sums of halves) added up for so many places of a wire at a time, where the rows are;
     only gates of places whose sums are not equal are moved and compared one by one."""
-    both = _on_wires(first, staged, None, known).withColumn("sign", F.lit(1)).unionByName(_on_wires(second, staged, names).withColumn("sign", F.lit(-1)))
+    both = _on_wires(first, staged).withColumn("sign", F.lit(1)).unionByName(_on_wires(second, staged, names).withColumn("sign", F.lit(-1)))
     at, wire = F.coalesce("at0", "at1", "at2"), F.coalesce("wire0", "wire1", "wire2")
     cells = ["type", F.col("param").isNull(), "param", *[F.coalesce(f"{c}{p}", F.lit(-1).cast("bigint")) for c in ("wire", "at") for p in range(3)]]
     both = both.withColumn("at", F.shiftright(at, PLACES)).withColumn("wire", F.coalesce(wire, F.lit(-1).cast("bigint")))
